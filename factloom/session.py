@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import pathlib
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -24,4 +27,19 @@ def local_session(cpus: int | None = None, **conf: str) -> SparkSession:
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once a context: they need no installation of it."""
+    context = spark.sparkContext
+    if getattr(context, "_factloom_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="factloom-")) / "factloom.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._factloom_shipped = True
