@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from factloom.session import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +47,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,3 +57,24 @@ def text_or_empty(name: str) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
+    """left joined with right, which has each key once; a key that fills much of left is dealt over `salts` tasks.
+
+    The salt is drawn from the whole row of left, so a recomputed task deals it out alike.
+    """
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+
+
+_KINDS = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
+
+
+def schema_of(**fields: str | T.DataType) -> T.StructType:
+    """A struct of the named simple types (or given ones); unlike DDL strings it needs no session."""
+    return T.StructType([T.StructField(n, _KINDS[k] if isinstance(k, str) else k) for n, k in fields.items()])
+
+
+SPANS = T.ArrayType(schema_of(start="int", stop="int"))

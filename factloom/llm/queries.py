@@ -5,8 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe
-from factloom.llm.common import table
+from factloom.llm import bpe, chat, decontaminate, quality, urls, warc
+from factloom.llm.oracles import ORACLES  # noqa: F401
+from factloom.llm.common import scratch_path, table
+
+# fixed values: the rules of the URL query
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+# fixed values: the conversation that the chat query adds
+EXTRA_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("hit_spans") > 0).alias("contaminated"),
+    )
+
+
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    records = warc.join_revisits(warc.read_archive(spark, path))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urls.judge(pages, spark.createDataFrame(URL_RULES, urls.RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(EXTRA_CONVERSATION, turns.schema))
+    read = chat.read_back(chat.format_turns(chat.text_parts(turns)))
+    return read.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
 def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +74,11 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op10_bpe_roundtrip": op10_bpe_roundtrip}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
+    "op4_warc_revisits": op4_warc_revisits,
+    "op6_url_filter": op6_url_filter,
+    "op7_chat_format": op7_chat_format,
+    "op9_quality": op9_quality,
+    "op10_bpe_roundtrip": op10_bpe_roundtrip,
+}
