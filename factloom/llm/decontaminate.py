@@ -27,21 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm.common import SPANS, schema_of
+from factloom.llm.words import WordHashes, shingle_hashes
 
 #: Bytes of benchmark text that are broadcast at once.
 BLOCK_BYTES = 32 << 20
-#: Texts are taken in groups of about so many characters.
-GROUP_CHARS = 4 << 20
 
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _TO_SPACE = bytes(b if 0x30 <= b < 0x3A or 0x61 <= b < 0x7B or b >= 0x80 else b + 32 if 0x41 <= b < 0x5B else 0x20 for b in range(256))
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -49,33 +46,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TO_SPACE).split()
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept while the vocabulary is small."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each `size` consecutive words, from the words' hashes."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = hashes[:n].copy()
-    for i in range(1, size):
-        out *= _MULTIPLIER
-        out ^= out >> np.uint64(29)
-        out += hashes[i : i + n]
-    out ^= out >> np.uint64(32)
-    return out * _MULTIPLIER
-
-
 class Windows:
     """A block of benchmark windows: distinct word sequences and the items that hold them."""
 

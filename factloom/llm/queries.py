@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, chat, chunks, decontaminate, quality, substrings, urls, warc
+from factloom.llm import bpe, chat, chunks, decontaminate, neardup, quality, substrings, urls, warc
 from factloom.llm.oracles import ORACLES  # noqa: F401
 from factloom.llm.common import scratch_path, table
 
@@ -58,6 +58,11 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = urls.judge(pages, spark.createDataFrame(URL_RULES, urls.RULES))
@@ -108,6 +113,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_warc_revisits": op4_warc_revisits,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_url_filter": op6_url_filter,
     "op7_chat_format": op7_chat_format,
     "op8_chunk_dedup": op8_chunk_dedup,
