@@ -220,12 +220,17 @@ def compare_rest(members: DataFrame, sketches: DataFrame, bounds: list[tuple[int
     return grouped.mapInArrow(run, PAIR).where("a <> b").distinct()
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    pointed = edges.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v"))
+    chained = pointed.join(edges.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+    return pointed.where("n > 1").select("u").unionByName(chained).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) of all nodes of edges (a, b), by alternating star steps."""
-    spark = edges.sparkSession
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    before = None
-    while True:
+    while not _is_forest_of_stars(now):
         # large star: every larger neighbour points to the smallest of the neighbourhood
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -235,10 +240,7 @@ def components(edges: DataFrame) -> DataFrame:
         joined = join_hot(large, least, ["u"])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = materialize(small, "stars")
-        after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if after == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = after
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -283,13 +285,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         others = join_hot(rest, first, ["bucket"]).where("component <> seen").groupBy("bucket").agg(F.min(F.struct("id", "component")).alias("center"))
         star = join_hot(rest, others, ["bucket"]).where("component <> center.component")
         star = star.select(F.least("id", "center.id").alias("a"), F.greatest("id", "center.id").alias("b")).distinct()
-        edges = edges.unionByName(linked(star))
-        labels = components(edges)
-        rest = materialize(_labelled(rest.select("bucket", "id"), labels), "mixed")
-        if not rest.isEmpty():
-            more = verify(compare_rest(rest, signatures, bounds), sets, threshold)
-            edges = edges.unionByName(materialize(more, "links"))
+        more = linked(star)
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
             labels = components(edges)
+            rest = materialize(_labelled(rest.select("bucket", "id"), labels), "mixed")
+        more = materialize(verify(compare_rest(rest, signatures, bounds), sets, threshold), "links")
+        if not more.isEmpty():
+            labels = components(edges.unionByName(more))
 
     rows = join_hot(sketches.select("id", "n_shingles", "digest"), classes, ["digest"], "left").withColumn("node", F.coalesce("class", "id"))
     named = join_hot(rows.select("id", "n_shingles", "node"), labels, ["node"], "left").withColumn("component_id", F.coalesce("component", "node"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, chat, chunks, decontaminate, neardup, quality, substrings, urls, warc
+from factloom.llm import bpe, chat, chunks, decontaminate, neardup, neighbours, quality, substrings, urls, warc
 from factloom.llm.oracles import ORACLES  # noqa: F401
 from factloom.llm.common import scratch_path, table
 
@@ -26,6 +26,11 @@ def _removed(spans: str) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = substrings.remove_repeats(docs)
@@ -110,6 +115,7 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_warc_revisits": op4_warc_revisits,
