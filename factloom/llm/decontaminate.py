@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import SPANS, schema_of
+from factloom.llm.common import SPANS, free_names, schema_of
 from factloom.llm.words import WordHashes, shingle_hashes
 
 #: Bytes of benchmark text that are broadcast at once.
@@ -183,6 +183,7 @@ def decontaminate(
 ) -> DataFrame:
     """docs with n_words, hit_spans and items, for all windows of the whole benchmark."""
     out = None
+    spans, names = free_names(docs, "__spans", "__items")
     for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
         windows = Windows(block, window, shingle)
         if not windows.words:
@@ -191,10 +192,10 @@ def decontaminate(
         if out is None:
             out = find_windows(docs, windows, counts, text_col)
         else:
-            more = find_windows(out.withColumnsRenamed({"hit_spans": "__spans", "items": "__items"}), windows, counts, text_col)
-            both = F.array_sort(F.concat("hit_spans", "__spans"))
+            more = find_windows(out.withColumnsRenamed({"hit_spans": spans, "items": names}), windows, counts, text_col)
+            both = F.array_sort(F.concat("hit_spans", spans))
             merged = F.aggregate(both, F.array().cast(HITS["hit_spans"].dataType), _merge)
-            out = more.withColumns({"hit_spans": merged, "items": F.array_sort(F.array_union("items", "__items"))}).drop("__spans", "__items")
+            out = more.withColumns({"hit_spans": merged, "items": F.array_sort(F.array_union("items", names))}).drop(spans, names)
     return out if out is not None else find_windows(docs, Windows([], window, shingle), {}, text_col)
 
 

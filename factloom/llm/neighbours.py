@@ -181,10 +181,10 @@ def nearest(
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(T.ArrayType(T.FloatType())).alias("vector"), F.coalesce(asked, F.lit(False)).alias("asked"))
     rows = rows.where(F.col("id").isNotNull() & usable("vector"))
     alike = Window.partitionBy("vector").orderBy("id")
-    indexed = rows.withColumn("__n", F.dense_rank().over(alike)).where(F.col("__n") <= k + 1)
-    sample = indexed.where("__n = 1").select("id", "vector").distinct().orderBy(F.xxhash64("id"), "id", "vector").limit(sample_rows)
+    indexed = rows.withColumn("__n", F.dense_rank().over(alike)).where(F.col("__n") <= k + 1).distinct()
+    sample = indexed.where("__n = 1").select("id", "vector").orderBy(F.xxhash64("id"), "id", "vector").limit(sample_rows)
     drawn = sample.toPandas().vector.tolist()
-    forest = fit(np.array(drawn, np.float64).reshape(len(drawn), -1), trees, leaf_rows)
+    forest = fit(np.array(drawn, np.float64) if drawn else np.zeros((0, 0)), trees, leaf_rows)
     shared = vectors.sparkSession.sparkContext.broadcast(forest)  # its size is bounded by the sample's
     n_leaves = max(LEAST_VISITED, round(visited * trees * (forest.inner + 1)))
 
