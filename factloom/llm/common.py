@@ -59,14 +59,26 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
-    """left joined with right, which has each key once; a key that fills much of left is dealt over `salts` tasks.
-
-    The salt is drawn from the whole row of left, so a recomputed task deals it out alike.
+def free_names(df: DataFrame, *bases: str) -> list[str]:
+    """Names for helper columns that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for base in bases:
+        while base.lower() in taken:
+            base += "_"
+        taken.add(base.lower())
+        out.append(base)
+    return out
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, which has each key once, when a key may fill much of left.
+
+    right is written first: both sides of the join are then plain shuffles, so adaptive
+    execution splits the partition of a hot key over as many tasks as its size asks for
+    (or broadcasts right, where it turns out small).
     """
-    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
-    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+    return left.join(materialize(right, "keys"), on, how)
 
 
 _KINDS = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}

@@ -8,13 +8,15 @@ the threshold falls below `miss` (prior: all similarities alike). Survivors are
 verified exactly on their full sets.
 
 Pairs within a bucket are never written out as such. First every member is
-paired with the bucket's smallest one, then, where a bucket still holds several
-components, with the smallest one outside the first component. What then still
-lies in different components is compared inside the tasks, in blocks, and only
-survivors are written. So every candidate pair is either verified, pruned by
-its posterior, or already connected by verified links: no link is lost but for
-the banding's and the posterior's stated chances (at 0.75 the banding misses a
-pair with probability 5e-6, above it less).
+paired with the bucket's smallest one, and those pairs are pruned and verified.
+Where a bucket still holds several components, its members are compared with
+each other inside the tasks, in blocks: pairs of different components are
+pruned and verified there (in the first band that they share), and only links
+that connect components are written, fewer than there are members. So every
+candidate pair is verified, pruned by its posterior, or already connected by
+verified links: no link is lost but for the banding's and the posterior's
+stated chances (at 0.75 the banding misses a pair with probability 5e-6, above
+it less).
 
 Components are found by alternating large-star and small-star steps, each
 written to the shared folder.
@@ -46,7 +48,7 @@ HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-6
 #: Members of a bucket that are compared with each other in one block.
-BLOCK = 2048
+BLOCK = 4096
 
 _rng = np.random.default_rng(5)
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -106,7 +108,8 @@ def shared_buckets(signatures: DataFrame) -> DataFrame:
                 for k in range(ROWS):
                     keys = (keys ^ values[:, :, k]) * mix
                     keys ^= keys >> np.uint64(32)
-                yield packed.batch_of(list(packed.send(keys.ravel(), np.repeat(ids, BANDS), parts, all_of_shared=True)))
+                keys = keys & ~np.uint64(BANDS - 1) | np.arange(BANDS, dtype=np.uint64)  # the band can be told from the bucket
+                yield packed.batch_of(list(packed.send(keys.ravel(), np.repeat(ids, BANDS), parts, all_of_shared=True, width=8)))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +117,7 @@ def shared_buckets(signatures: DataFrame) -> DataFrame:
                 k = np.frombuffer(b"".join(keys), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), i, np.int64))], names=["bucket", "id"])
 
-    answers = packed.answer(signatures.mapInArrow(send, packed.SENT), words=1, all_of_shared=True)
+    answers = packed.answer(signatures.mapInArrow(send, packed.SENT), width=8, all_of_shared=True)
     return answers.mapInArrow(unpack, schema_of(bucket="long", id="long")).distinct()
 
 
@@ -178,31 +181,70 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return joined.mapInArrow(run, PAIR)
 
 
-def compare_rest(members: DataFrame, sketches: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
-    """Surviving pairs of different components within each bucket. members: bucket, id, component.
+def _overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of a sorted set with each other set."""
+    joined = np.concatenate(others)
+    at = np.searchsorted(one, joined)
+    at[at == len(one)] = 0
+    ends = np.cumsum([len(x) for x in others])
+    return np.diff(np.concatenate([[0], np.cumsum(one[at] == joined)[ends - 1]]))
+
+
+class _Block:
+    """Members of one bucket: two blocks of it, or one with itself."""
+
+    def __init__(self, rows: list[tuple], band: int) -> None:
+        self.band = band
+        self.mine, self.ids, self.labels = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        self.signatures = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(-1, HASHES)
+        self.sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+
+    def first_shared(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others with which i shares no earlier band than this."""
+        earlier = self.signatures[others, : self.band * ROWS] == self.signatures[i, : self.band * ROWS]
+        return others[~earlier.reshape(len(others), self.band, ROWS).all(axis=2).any(axis=1)]
+
+    def links(self, low: int, high: int, bounds: list[tuple[int, int]], threshold: int) -> Iterator[tuple[int, int]]:
+        """Verified links that connect components, each of them new to what was connected before."""
+        one, two = np.flatnonzero(self.mine == low), np.flatnonzero(self.mine == high)
+        for k, i in enumerate(one.tolist()):
+            others = two[k + 1 :] if low == high else two
+            others = others[self.labels[others] != self.labels[i]]
+            if not len(others):
+                continue
+            others = self.first_shared(i, others)
+            others = others[survivors(np.broadcast_to(self.signatures[i], (len(others), HASHES)), self.signatures[others], bounds)]
+            for at in range(0, len(others), 256):
+                part = others[at : at + 256]
+                part = part[self.labels[part] != self.labels[i]]
+                if not len(part):
+                    continue
+                sizes = np.array([len(self.sets[j]) for j in part.tolist()])
+                both = _overlaps(self.sets[i], [self.sets[j] for j in part.tolist()])
+                for j in part[100 * both >= threshold * (sizes + len(self.sets[i]) - both)].tolist():
+                    if self.labels[j] != self.labels[i]:
+                        yield int(self.ids[i]), int(self.ids[j])
+                        self.labels[self.labels == self.labels[j]] = self.labels[i]
+
+
+def compare_rest(members: DataFrame, signatures: DataFrame, sets: DataFrame, bounds: list[tuple[int, int]], threshold: int) -> DataFrame:
+    """Verified links between different components within each bucket. members: bucket, id, component.
 
     A bucket of more than BLOCK members is dealt out as pairs of blocks.
     """
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = join_hot(members, sizes, ["bucket"]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = (
-        placed.join(sketches.select("id", "signature"), "id")
+        placed.join(signatures, "id")
+        .join(sets, "id")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "id", "component", "signature")
+        .select("bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "id", "component", "signature", "shingles")
     )
 
     def flush(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        mine, ids, components = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-        s = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(-1, HASHES)
-        one, two = np.flatnonzero(mine == key[1]), np.flatnonzero(mine == key[2])
-        for k, i in enumerate(one.tolist()):
-            against = two[k + 1 :] if key[1] == key[2] else two
-            against = against[components[against] != components[i]]
-            if len(against):
-                alive = against[survivors(np.broadcast_to(s[i], (len(against), HASHES)), s[against], bounds)]
-                if len(alive):
-                    pair = np.stack([np.full(len(alive), ids[i]), ids[alive]])
-                    yield pa.RecordBatch.from_arrays([pa.array(pair.min(axis=0)), pa.array(pair.max(axis=0))], names=["a", "b"])
+        found = list(_Block(rows, key[0] % BANDS).links(key[1], key[2], bounds, threshold))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found]), pa.array([max(p) for p in found])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -217,7 +259,7 @@ def compare_rest(members: DataFrame, sketches: DataFrame, bounds: list[tuple[int
             yield from flush(key, rows)
 
     grouped = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    return grouped.mapInArrow(run, PAIR).where("a <> b").distinct()
+    return grouped.mapInArrow(run, PAIR).where("a <> b")
 
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:
@@ -281,19 +323,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(edges)
     rest = materialize(_labelled(buckets, labels), "mixed")
     if not rest.isEmpty():
-        first = rest.groupBy("bucket").agg(F.min_by("component", "id").alias("seen"))
-        others = join_hot(rest, first, ["bucket"]).where("component <> seen").groupBy("bucket").agg(F.min(F.struct("id", "component")).alias("center"))
-        star = join_hot(rest, others, ["bucket"]).where("component <> center.component")
-        star = star.select(F.least("id", "center.id").alias("a"), F.greatest("id", "center.id").alias("b")).distinct()
-        more = linked(star)
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            labels = components(edges)
-            rest = materialize(_labelled(rest.select("bucket", "id"), labels), "mixed")
-        more = materialize(verify(compare_rest(rest, signatures, bounds), sets, threshold), "links")
+        more = materialize(compare_rest(rest, signatures, sets, bounds, threshold), "links")
         if not more.isEmpty():
             labels = components(edges.unionByName(more))
 
-    rows = join_hot(sketches.select("id", "n_shingles", "digest"), classes, ["digest"], "left").withColumn("node", F.coalesce("class", "id"))
+    rows = join_hot(sketches.select("id", "n_shingles", "digest"), classes, ["digest"], "left").withColumn("node", F.when(F.col("id").isNotNull(), F.coalesce("class", "id")))
     named = join_hot(rows.select("id", "n_shingles", "node"), labels, ["node"], "left").withColumn("component_id", F.coalesce("component", "node"))
     return named.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
