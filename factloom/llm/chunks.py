@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm import packed
-from factloom.llm.common import SPANS, schema_of
+from factloom.llm.common import SPANS, free_names, schema_of
 
 #: About so many bytes a chunk beyond the least: one cut in so many places.
 AVERAGE, LEAST, LARGEST, MIN_RUN = 32, 16, 256, 100
@@ -124,13 +124,14 @@ def deduplicate(
             found = [chunk_digests(t, h, sizes)[1] for t, h in _hash_texts(texts)]
             keys = np.concatenate(found)
             owners = np.repeat(np.array(ids, np.int64), [len(f) for f in found])
-            rows = list(packed.send(keys, owners, parts, all_of_shared=False))
+            rows = list(packed.send(keys, owners, parts, all_of_shared=False, width=16))
             yield packed.batch_of(rows)
 
     sent = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(send, packed.SENT)
-    repeated = packed.answer(sent, words=2, all_of_shared=False).withColumnsRenamed({"id": "__id", "keys": "__keys"})
+    number, known = free_names(docs, "__id", "__keys")
+    repeated = packed.answer(sent, width=16, all_of_shared=False).withColumnsRenamed({"id": number, "keys": known})
     kept = [c for c in docs.columns if c not in ADDED.names]
-    joined = docs.select(*kept).join(repeated, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
+    joined = docs.select(*kept).join(repeated, F.col(id_col).cast("long") == F.col(number), "left").drop(number)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -140,9 +141,9 @@ def deduplicate(
                 ids = batch.column(batch.schema.get_field_index(id_col))
                 data = [t.as_py() or b"" for t in texts]
                 rows = []
-                for (t, h), valid, known, i in zip(_hash_texts(data), texts.is_valid().to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), ids.is_valid().to_pylist(), strict=True):
+                for (t, h), valid, keys, i in zip(_hash_texts(data), texts.is_valid().to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), ids.is_valid().to_pylist(), strict=True):
                     ends, digests = chunk_digests(t, h, sizes) if i else ([], np.zeros((0, 2), np.uint64))
-                    spans, again = repeated_runs(ends, digests, known or [], min_run)
+                    spans, again = repeated_runs(ends, digests, keys or [], min_run)
                     left, at = [], 0
                     for a, b in spans:
                         left.append(t[at:a])

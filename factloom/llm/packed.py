@@ -19,19 +19,34 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import schema_of, shuffle_width
 
-SENT = schema_of(part="int", kind="int", ids="binary", index="binary", keys="binary")
+#: ids: the documents; counts: how many of the keys each has; keys: in the order of the documents
+SENT = schema_of(part="int", kind="int", ids="binary", counts="binary", keys="binary")
 ANSWERS = schema_of(id="long", keys="binary")
 #: kind of a row: keys to compare with those of other groups, or answers that only pass through
 KEYS, LOCAL = 0, 1
 
 
 def parts_of(spark: SparkSession) -> int:
-    return 8 * shuffle_width(spark)
+    return 2 * shuffle_width(spark)
 
 
-def first_words(keys: np.ndarray) -> np.ndarray:
-    """The leading 64 bits of each key; keys are uint64 or rows of several uint64."""
-    return keys if keys.ndim == 1 else keys[:, 0]
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key; keys are uint64 or rows of several uint64."""
+    return ((keys if keys.ndim == 1 else keys[:, 0]) >> np.uint64(40)) % np.uint64(parts)
+
+
+def pack(keys: np.ndarray, width: int) -> bytes:
+    """The lowest `width` bytes of each key."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(len(keys), -1)[:, :width].tobytes()
+
+
+def unpack(packed: bytes, width: int) -> np.ndarray:
+    """Keys of up to 8 bytes as uint64, longer ones as rows of uint64."""
+    words = -(-width // 8)
+    raw = np.frombuffer(packed, np.uint8).reshape(-1, width)
+    out = np.zeros((len(raw), 8 * words), np.uint8)
+    out[:, :width] = raw
+    return out.view(np.uint64).reshape(-1) if words == 1 else out.view(np.uint64)
 
 
 def _key_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,10 +76,11 @@ def spread(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(values, np.diff(np.append(starts, n)))
 
 
-def send(keys: np.ndarray, ids: np.ndarray, parts: int, all_of_shared: bool) -> Iterator[tuple]:
+def send(keys: np.ndarray, ids: np.ndarray, parts: int, all_of_shared: bool, width: int) -> Iterator[tuple]:
     """Rows of SENT for one group of documents. keys, ids: each key of a document with its id (a repeated one counts once).
 
     all_of_shared: answer every document of a key that several have; else all but the smallest.
+    width: bytes that are sent of each key; fewer than it has make rare false matches.
     """
     order, starts, low, high = compare(keys, ids)
     n = len(order)
@@ -74,18 +90,19 @@ def send(keys: np.ndarray, ids: np.ndarray, parts: int, all_of_shared: bool) ->
     answered = spread(low != high, starts, n) if all_of_shared else own > lows
     if answered.any():
         told = order[answered]
-        yield _row(int(first_words(keys)[told[0]] % np.uint64(parts)), LOCAL, keys[told], ids[told])
+        yield _row(int(part_of(keys[told[:1]], parts)[0]), LOCAL, keys[told], ids[told], width)
     unique, smallest = keys[order[starts]], low
-    part = (first_words(unique) >> np.uint64(8)) % np.uint64(parts)
+    part = part_of(unique, parts)
     by_part = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[by_part])) + 1
     for chosen in np.split(by_part, cuts):
-        yield _row(int(part[chosen[0]]), KEYS, unique[chosen], smallest[chosen])
+        yield _row(int(part[chosen[0]]), KEYS, unique[chosen], smallest[chosen], width)
 
 
-def _row(part: int, kind: int, keys: np.ndarray, ids: np.ndarray) -> tuple:
-    distinct, index = np.unique(ids, return_inverse=True)
-    return part, kind, distinct.tobytes(), index.astype(np.uint32).tobytes(), np.ascontiguousarray(keys).tobytes()
+def _row(part: int, kind: int, keys: np.ndarray, ids: np.ndarray, width: int) -> tuple:
+    order = np.argsort(ids, kind="stable")
+    distinct, counts = np.unique(ids[order], return_counts=True)
+    return part, kind, distinct.tobytes(), counts.astype(np.uint32).tobytes(), pack(keys[order], width)
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -94,16 +111,15 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=SENT.names)
 
 
-def answer(sent: DataFrame, words: int, all_of_shared: bool) -> DataFrame:
+def answer(sent: DataFrame, width: int, all_of_shared: bool) -> DataFrame:
     """For each document the packed keys that others share (or that a smaller document has): one row an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, told_keys, told_ids = [], [], [], []
         for batch in batches:
-            for kind, distinct, index, packed in zip(*(batch.column(c).to_pylist() for c in SENT.names[1:]), strict=True):
-                k = np.frombuffer(packed, np.uint64)
-                k = k if words == 1 else k.reshape(-1, words)
-                i = np.frombuffer(distinct, np.int64)[np.frombuffer(index, np.uint32)]
+            for kind, distinct, counts, packed in zip(*(batch.column(c).to_pylist() for c in SENT.names[1:]), strict=True):
+                k = unpack(packed, width)
+                i = np.repeat(np.frombuffer(distinct, np.int64), np.frombuffer(counts, np.uint32))
                 (keys if kind == KEYS else told_keys).append(k)
                 (ids if kind == KEYS else told_ids).append(i)
         if keys:
@@ -115,21 +131,21 @@ def answer(sent: DataFrame, words: int, all_of_shared: bool) -> DataFrame:
             told_keys.append(k[order[chosen]])
             told_ids.append(i[order[chosen]])
         if told_keys:
-            yield from _by_id(np.concatenate(told_keys), np.concatenate(told_ids))
+            yield from _by_id(np.concatenate(told_keys), np.concatenate(told_ids), width)
 
     dealt = sent.repartition(shuffle_width(sent.sparkSession), "part")
     answers = dealt.mapInArrow(run, ANSWERS)
     return answers.groupBy("id").agg(F.collect_list("keys").alias("keys"))
 
 
-def _by_id(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _by_id(keys: np.ndarray, ids: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
     order = np.argsort(ids, kind="stable")
     keys, ids = keys[order], ids[order]
     starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(ids)), bool), ids[1:] != ids[:-1]]))
     stops = np.append(starts[1:], len(ids))
     for a in range(0, len(starts), 10_000):
         chosen = list(zip(starts[a : a + 10_000].tolist(), stops[a : a + 10_000].tolist(), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[starts[a : a + 10_000]]), pa.array([keys[x:y].tobytes() for x, y in chosen], pa.binary())], names=ANSWERS.names)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[starts[a : a + 10_000]]), pa.array([pack(keys[x:y], width) for x, y in chosen], pa.binary())], names=ANSWERS.names)
 
 
 def groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[bytes]]]:

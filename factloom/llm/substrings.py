@@ -33,18 +33,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm import packed
-from factloom.llm.common import SPANS, schema_of, shuffle_width
+from factloom.llm.common import SPANS, free_names, schema_of, shuffle_width
 
 LENGTH, Q = 50, 16
 BEFORE = AFTER = LENGTH - Q
 CONTEXT = BEFORE + Q + AFTER
 OFFSETS = LENGTH - Q + 1
 GROUP_BYTES = 8 << 20
+#: Bytes of a q-gram hash that are shuffled. A false match costs a comparison, no more.
+SENT_BYTES = 5
 #: Contexts that are refined together (whole buckets; a larger bucket is refined alone).
 REFINED_TOGETHER = 8192
 
@@ -63,6 +66,19 @@ def _slide(a: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(a[: len(a) - (width - span)], a[width - span :]) if width > span else a
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return (h ^ (h >> np.uint64(29))) | np.uint64(1)
+
+
+def gram_hashes(grams: np.ndarray) -> np.ndarray:
+    """The hash of each row of Q bytes, as anchors() has it."""
+    h = _BYTE[grams]
+    for k, c in zip((1, 2, 4, 8), _STEP, strict=True):
+        h = h[:, :-k] * c + h[:, k:]
+    return _mixed(h[:, 0])
+
+
 def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and q-gram hashes of the anchors of all windows inside the texts that `bounds` divides data into."""
     n = len(data)
@@ -71,9 +87,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     h = _BYTE[data]
     for k, c in zip((1, 2, 4, 8), _STEP, strict=True):
         h = h[:-k] * c + h[k:]
-    h ^= h >> np.uint64(32)
-    h *= _MIX
-    h |= np.uint64(1)
+    h = _mixed(h)
     least = _slide(h, OFFSETS, np.minimum)
     for end in bounds[1:].tolist():
         least[max(0, end - LENGTH + 1) : end] = 0  # windows over the end of a text
@@ -107,14 +121,17 @@ def initial_buckets(docs: DataFrame) -> DataFrame:
                 places, h = anchors(data, bounds)
                 owners.append(np.array(some, np.int64)[np.searchsorted(bounds, places, side="right") - 1])
                 keys.append(h)
-            yield packed.batch_of(list(packed.send(np.concatenate(keys), np.concatenate(owners), parts, all_of_shared=True)))
+            yield packed.batch_of(list(packed.send(np.concatenate(keys), np.concatenate(owners), parts, all_of_shared=True, width=SENT_BYTES)))
 
-    return packed.answer(docs.mapInArrow(send, packed.SENT), words=1, all_of_shared=True)
+    return packed.answer(docs.mapInArrow(send, packed.SENT), width=SENT_BYTES, all_of_shared=True)
 
 
-#: kind KEYS: h, id, text hash, place, context and bytes available before and after; kind LOCAL: id, text hash, start and stop of spans
-CONTEXTS = schema_of(part="int", kind="int", h="binary", ids="binary", rows="binary", places="binary", bytes="binary", room="binary")
+#: ids, rows (text hashes) and counts: of the texts. kind KEYS: then for each context its place and, compressed, its bytes
+#: and how many there are before and after; kind LOCAL: the starts and stops of spans
+CONTEXTS = schema_of(part="int", kind="int", ids="binary", rows="binary", counts="binary", places="binary", bytes="binary", room="binary")
 FOUND = schema_of(id="long", row="long", starts="binary", stops="binary")
+#: Spans of many texts on their way to the part of their ids
+SPANS_SENT = schema_of(part="int", ids="binary", rows="binary", counts="binary", starts="binary", stops="binary")
 
 
 class _Contexts:
@@ -229,10 +246,10 @@ def _refined_spans(c: _Contexts) -> Iterator[tuple[np.ndarray, ...]]:
         at = stop
 
 
-def _merge_spans(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """FOUND rows: each text's spans, overlapping or touching ones merged."""
+def _merge_spans(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, ...]:
+    """ids, rows, starts and stops of the spans, ordered by text, overlapping or touching ones merged."""
     if not len(ids):
-        return
+        return ids, rows, starts, stops
     order = np.lexsort((starts, rows, ids))
     ids, rows, starts, stops = ids[order], rows[order], starts[order], stops[order]
     text = np.concatenate([[0], np.cumsum((ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1]))])
@@ -242,8 +259,37 @@ def _merge_spans(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, stops: n
     new |= np.concatenate([[True], text[1:] != text[:-1]])
     first = np.flatnonzero(new)
     starts, stops, text = starts[first], (reach - base)[np.append(first[1:], len(ids)) - 1], text[first]
-    ids, rows = ids[first], rows[first]
-    cuts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1], [True]]))
+    return ids[first], rows[first], starts, stops
+
+
+def _send_spans(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, stops: np.ndarray, parts: int) -> pa.RecordBatch:
+    ids, rows, starts, stops = _merge_spans(ids, rows, starts, stops)
+    part = ids % parts
+    order, out = np.argsort(part, kind="stable"), []
+    for chosen in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        if len(chosen):
+            by_text, *texts = _by_text(ids[chosen], rows[chosen])
+            at = chosen[by_text]
+            out.append((int(part[chosen[0]]), *texts, starts[at].astype(np.int32).tobytes(), stops[at].astype(np.int32).tobytes()))
+    columns = list(zip(*out, strict=True)) if out else [()] * 6
+    kinds = [pa.int32(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=SPANS_SENT.names)
+
+
+def _gather_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A FOUND row for each text, from all the spans that were sent to its part."""
+    got: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        for ids, rows, counts, starts, stops in zip(*(batch.column(c).to_pylist() for c in SPANS_SENT.names[1:]), strict=True):
+            n = np.frombuffer(counts, np.uint32)
+            texts = [np.repeat(np.frombuffer(x, np.int64), n) for x in (ids, rows)]
+            got.append((*texts, np.frombuffer(starts, np.int32).astype(np.int64), np.frombuffer(stops, np.int32).astype(np.int64)))
+    if not got:
+        return
+    ids, rows, starts, stops = _merge_spans(*[np.concatenate(x) for x in zip(*got, strict=True)])
+    if not len(ids):
+        return
+    cuts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1]), [True]]))
     starts, stops = starts.astype(np.int32), stops.astype(np.int32)
     for a in range(0, len(cuts) - 1, 10_000):
         own = cuts[a : a + 10_001]
@@ -255,18 +301,29 @@ def _merge_spans(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, stops: n
 _CONTEXT_KINDS = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
 
 
+def _by_text(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, bytes, bytes, bytes]:
+    """An order by text, and the texts with their counts, packed."""
+    order = np.lexsort((rows, ids))
+    ids, rows = ids[order], rows[order]
+    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])]))
+    return order, ids[first].tobytes(), rows[first].tobytes(), np.diff(np.append(first, len(ids))).astype(np.uint32).tobytes()
+
+
 def _send_contexts(c: _Contexts, parts: int) -> pa.RecordBatch:
     """Settles what it can among its own and sends the rest by q-gram."""
     (ids, rows, starts, stops), c = settle_equal(c)
+    squeeze = zstandard.ZstdCompressor(level=3).compress
     out = []
     if len(ids):
-        out.append((int(ids[0]) % parts, packed.LOCAL, b"", ids.tobytes(), rows.tobytes(), starts.tobytes(), stops.tobytes(), b""))
-    part = (c.h >> np.uint64(8)) % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    for chosen in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        order, *texts = _by_text(ids, rows)
+        out.append((int(ids[0]) % parts, packed.LOCAL, *texts, starts[order].astype(np.int32).tobytes(), stops[order].astype(np.int32).tobytes(), b""))
+    part = packed.part_of(c.h, parts)
+    by_part = np.argsort(part, kind="stable")
+    for chosen in np.split(by_part, np.flatnonzero(np.diff(part[by_part])) + 1):
         if len(chosen):
-            x = c[chosen]
-            out.append((int(part[chosen[0]]), packed.KEYS, *[np.ascontiguousarray(a).tobytes() for a in x.all]))
+            order, *texts = _by_text(c.ids[chosen], c.rows[chosen])
+            x = c[chosen[order]]
+            out.append((int(part[chosen[0]]), packed.KEYS, *texts, x.places.astype(np.int32).tobytes(), squeeze(x.context.tobytes()), squeeze(x.room.tobytes())))
     columns = list(zip(*out, strict=True)) if out else [()] * 8
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, _CONTEXT_KINDS, strict=True)], names=CONTEXTS.names)
 
@@ -275,12 +332,14 @@ def _row_hash(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """For each id and text hash the spans to remove. docs: id, text (binary or string)."""
+def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """For each id and text hash the spans to remove. docs: rows with an id."""
     spark = docs.sparkSession
     parts = packed.parts_of(spark)
-    shared = initial_buckets(docs).withColumnsRenamed({"id": "__id", "keys": "__keys"})
-    joined = docs.join(shared, docs["id"] == shared["__id"]).drop("__id")
+    number, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    other, keys = free_names(docs, "__id", "__keys")
+    shared = initial_buckets(docs.select(number, text)).withColumnsRenamed({"id": other, "keys": keys})
+    joined = docs.join(shared, number == F.col(other)).select(number, text, keys)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[_Contexts] = []
@@ -292,14 +351,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     continue
                 data, bounds = np.frombuffer(t, np.uint8), np.array([0, len(t)])
                 places, h = anchors(data, bounds)
-                wanted = np.isin(h, np.frombuffer(b"".join(known), np.uint64))
+                wanted = np.isin(h & np.uint64((1 << 8 * SENT_BYTES) - 1), packed.unpack(b"".join(known), SENT_BYTES))
                 places, h = places[wanted], h[wanted]
                 if not len(h):
                     continue
                 context, room = context_rows(data, bounds, places)
                 held.append(_Contexts(h, np.full(len(h), i, np.int64), np.full(len(h), _row_hash(t), np.int64), places.astype(np.int64), context, room))
                 size += len(h)
-                if size >= 1 << 16:
+                if size >= 1 << 18:
                     yield _send_contexts(_Contexts.join(held), parts)
                     held, size = [], 0
         if held:
@@ -309,21 +368,25 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         kept: list[_Contexts] = []
         spans: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for kind, *blobs in zip(*(batch.column(c).to_pylist() for c in CONTEXTS.names[1:]), strict=True):
+            for kind, *texts, places, context, room in zip(*(batch.column(c).to_pylist() for c in CONTEXTS.names[1:]), strict=True):
+                counts = np.frombuffer(texts[2], np.uint32)
+                ids, rows = (np.repeat(np.frombuffer(x, np.int64), counts) for x in texts[:2])
+                places = np.frombuffer(places, np.int32).astype(np.int64)
                 if kind == packed.LOCAL:
-                    spans.append(tuple(np.frombuffer(b, np.int64) for b in blobs[1:5]))
+                    spans.append((ids, rows, places, np.frombuffer(context, np.int32).astype(np.int64)))
                 else:
-                    h = np.frombuffer(blobs[0], np.uint64)
-                    numbers = [np.frombuffer(b, np.int64) for b in blobs[1:4]]
-                    kept.append(_Contexts(h, *numbers, np.frombuffer(blobs[4], np.uint8).reshape(-1, CONTEXT), np.frombuffer(blobs[5], np.uint8).reshape(-1, 2)))
+                    expand = zstandard.ZstdDecompressor().decompress
+                    around = np.frombuffer(expand(context), np.uint8).reshape(-1, CONTEXT)
+                    kept.append(_Contexts(gram_hashes(around[:, BEFORE : BEFORE + Q]), ids, rows, places, around, np.frombuffer(expand(room), np.uint8).reshape(-1, 2)))
         if kept:
             whole, rest = settle_equal(_Contexts.join(kept))
             spans.append(whole)
             spans += _refined_spans(rest)
         if spans:
-            yield from _merge_spans(*[np.concatenate(x) for x in zip(*spans, strict=True)])
+            yield _send_spans(*[np.concatenate(x) for x in zip(*spans, strict=True)], parts)
 
-    return joined.mapInArrow(gather, CONTEXTS).repartition(shuffle_width(spark), "part").mapInArrow(compare, FOUND)
+    found = joined.mapInArrow(gather, CONTEXTS).repartition(shuffle_width(spark), "part").mapInArrow(compare, SPANS_SENT)
+    return found.repartition(shuffle_width(spark), "part").mapInArrow(_gather_spans, FOUND)
 
 
 ADDED = schema_of(n_bytes="long", removed_spans=SPANS, kept="binary")
@@ -331,10 +394,14 @@ ADDED = schema_of(n_bytes="long", removed_spans=SPANS, kept="binary")
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_bytes, removed_spans (maximal runs, in UTF-8 bytes) and kept (the bytes that are left)."""
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = repeated_spans(plain).groupBy("id").agg(F.collect_list(F.struct("row", "starts", "stops")).alias("__found"))
     kept = [c for c in docs.columns if c not in ADDED.names]
-    joined = docs.select(*kept).join(found.withColumnRenamed("id", "__id"), F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
+    other, spans = free_names(docs, "__id", "__found")
+    # both joins read one shuffle of the rows that have an id
+    named = docs.select(*kept).where(F.col(id_col).isNotNull())
+    found = repeated_spans(named, id_col, text_col).groupBy("id").agg(F.collect_list(F.struct("row", "starts", "stops")).alias(spans)).withColumnRenamed("id", other)
+    joined = named.join(found, F.col(id_col).cast("long") == F.col(other), "left").drop(other)
+    nameless = docs.select(*kept).where(F.col(id_col).isNull()).withColumn(spans, F.lit(None).cast(joined.schema[spans].dataType))
+    joined = joined.unionByName(nameless)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
