@@ -131,11 +131,26 @@ def answer(sent: DataFrame, width: int, all_of_shared: bool) -> DataFrame:
             told_keys.append(k[order[chosen]])
             told_ids.append(i[order[chosen]])
         if told_keys:
-            yield from _by_id(np.concatenate(told_keys), np.concatenate(told_ids), width)
+            k, i = np.concatenate(told_keys), np.concatenate(told_ids)
+            part = i % parts
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order])) + 1
+            yield batch_of([_row(int(part[c[0]]), LOCAL, k[c], i[c], width) for c in np.split(order, cuts) if len(c)])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row an id, from the rows of its part."""
+        keys, ids = [], []
+        for batch in batches:
+            for distinct, counts, packed in zip(*(batch.column(c).to_pylist() for c in SENT.names[2:]), strict=True):
+                keys.append(unpack(packed, width))
+                ids.append(np.repeat(np.frombuffer(distinct, np.int64), np.frombuffer(counts, np.uint32)))
+        if keys:
+            yield from _by_id(np.concatenate(keys), np.concatenate(ids), width)
 
-    dealt = sent.repartition(shuffle_width(sent.sparkSession), "part")
-    answers = dealt.mapInArrow(run, ANSWERS)
-    return answers.groupBy("id").agg(F.collect_list("keys").alias("keys"))
+    n = shuffle_width(sent.sparkSession)
+    parts = parts_of(sent.sparkSession)
+    answers = sent.repartition(n, "part").mapInArrow(run, SENT).repartition(n, "part").mapInArrow(gather, ANSWERS)
+    return answers.select("id", F.array("keys").alias("keys"))
 
 
 def _by_id(keys: np.ndarray, ids: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:

@@ -358,7 +358,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 context, room = context_rows(data, bounds, places)
                 held.append(_Contexts(h, np.full(len(h), i, np.int64), np.full(len(h), _row_hash(t), np.int64), places.astype(np.int64), context, room))
                 size += len(h)
-                if size >= 1 << 18:
+                if size >= 1 << 17:
                     yield _send_contexts(_Contexts.join(held), parts)
                     held, size = [], 0
         if held:
