@@ -5,6 +5,8 @@ Each view is one SELECT that Spark and DuckDB both run; `{orders}` and the like
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 ACTIONS = """
@@ -30,6 +32,11 @@ SELECT l_orderkey * 10 + l_linenumber AS claim_id, CAST(floor(l_orderkey / 500)
 FROM {lineitem}
 """
 
+AGREED = f"""
+SELECT claim_id, issuer_id, fact_key, document_id, source_name, CASE WHEN substr(fact_key, 8, 1) IN ('1', '2') THEN 100000 + document_id ELSE value_cents END AS value_cents
+FROM ({CLAIMS}) c
+"""
+
 LEDGER = """
 SELECT o_orderkey AS txn_id, o_custkey AS account_key, CAST(o_orderdate AS DATE) AS txn_date, o_orderkey AS seq,
        CAST(year(o_orderdate) * 2 + o_orderkey % 2 AS BIGINT) AS document_id,
@@ -81,7 +88,85 @@ SELECT c_custkey AS case_id, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE CAST(fl
 FROM {customer}
 """
 
-TABLES = ("customer", "orders", "lineitem", "events", "documents", "pages")
+NARRATED = """
+SELECT o_orderkey AS txn_id, o_custkey AS account_key, CAST(o_orderdate AS DATE) AS txn_date, o_orderkey AS seq,
+       CASE o_orderkey % 16 WHEN 0 THEN 'ACH-HDFC BANK-EMI 1234' WHEN 1 THEN 'OD INT charged' WHEN 2 THEN 'CARD BILL AUTOPAY ICICI' WHEN 3 THEN 'UPI/SHREE TRADERS/ok@bank/9981'
+            WHEN 4 THEN 'ATM 0042' WHEN 5 THEN 'ECS RETURN CHGS' WHEN 6 THEN 'RTN CHG' WHEN 7 THEN 'NEFT-ICIC0000123-KUMAR STEEL WORKS PVT'
+            WHEN 8 THEN 'Salary ACME TECHNOLOGIES' WHEN 9 THEN 'NEFT-ACME-JAN' WHEN 10 THEN 'BY SALARY CREDIT' WHEN 11 THEN 'CASH DEP 0021'
+            WHEN 12 THEN 'NEFT RETURN UNPAID' WHEN 13 THEN 'OWN A/C SWEEP' WHEN 14 THEN 'UPI/KUMAR STEEL WORKS/pay@bank' ELSE 'IMPS/334455/RAVI STORES AND SONS LTD' END AS narration,
+       CASE WHEN o_orderkey % 16 < 8 THEN CAST(floor(o_totalprice) AS BIGINT) ELSE 0 END AS debit,
+       CASE WHEN o_orderkey % 16 < 8 THEN 0 ELSE CAST(floor(o_totalprice) AS BIGINT) END AS credit
+FROM {orders}
+"""
+
+PARTIES = """
+SELECT c_custkey AS account_key, CASE c_custkey % 3 WHEN 0 THEN 'ACME TECHNOLOGIES PVT LTD' WHEN 1 THEN NULL ELSE 'Shree Foods' END AS employer,
+       CASE WHEN c_custkey % 2 = 0 THEN 'HDFC Bank' ELSE 'State Bank of India' END AS lenders, CASE WHEN c_custkey % 5 = 0 THEN 'HDFC BANK' ELSE 'ICICI BANK' END AS own_bank
+FROM {customer}
+"""
+
+SLIPS = """
+SELECT c_custkey AS account_key, c_custkey * 10 + n AS document_id, CASE WHEN (c_custkey + n) % 9 = 0 THEN NULL ELSE '1997-0' || CAST(n + 1 AS VARCHAR(4)) END AS month,
+       CAST(90000 + c_custkey % 700 AS BIGINT) AS gross, CAST(10000 AS BIGINT) AS deductions,
+       CASE WHEN (c_custkey + n) % 7 = 0 THEN NULL ELSE CAST(80000 + c_custkey % 700 - n % 2 AS BIGINT) END AS net
+FROM {customer} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) k
+"""
+
+TRADELINES = """
+SELECT c_custkey AS tradeline_id, CAST(floor(c_custkey / 8) AS BIGINT) AS case_id,
+       CASE c_custkey % 4 WHEN 0 THEN 'HDFC BANK LTD' WHEN 1 THEN 'American Express Cards' WHEN 2 THEN 'SBI Housing Finance' ELSE NULL END AS lender,
+       CASE c_custkey % 5 WHEN 0 THEN 'Personal  Loan' WHEN 1 THEN 'Credit Card' WHEN 2 THEN 'Overdraft' WHEN 3 THEN 'OD against FD' ELSE 'Housing Loan' END AS account_type,
+       CASE c_custkey % 9 WHEN 0 THEN 'Guarantor' WHEN 1 THEN 'Authorised User' WHEN 2 THEN 'Joint' WHEN 3 THEN NULL ELSE 'Individual' END AS ownership,
+       CASE c_custkey % 13 WHEN 0 THEN 'Closed' WHEN 1 THEN 'Written-off' WHEN 2 THEN 'Settled' ELSE 'Active' END AS status, c_custkey % 26 <> 0 AS status_verified,
+       CASE WHEN c_custkey % 19 = 0 THEN DATE '2023-05-01' END AS date_closed, c_custkey % 38 <> 0 AS date_closed_verified,
+       'XX-' || CAST(1000 + c_custkey % 9000 AS VARCHAR(20)) AS account_number,
+       CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN 0 ELSE 1000 + 100 * (c_custkey % 3) END AS emi,
+       CASE WHEN c_custkey % 14 = 0 THEN 'unverified' WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN 'analyst' ELSE 'reported' END AS emi_status
+FROM {customer}
+"""
+
+SERIES = """
+SELECT c_custkey AS series_id, CAST(floor(c_custkey / 8) AS BIGINT) AS case_id, CASE c_custkey % 5 WHEN 1 THEN 'card_payment' WHEN 2 THEN 'od_interest' ELSE 'loan_repayment' END AS category,
+       CASE c_custkey % 6 WHEN 0 THEN 'ACH HDFC EMI' WHEN 1 THEN 'AMEX CREDIT CARD autopay' WHEN 2 THEN 'NACH STATE HOUSING LOAN' WHEN 3 THEN 'SI PERSONAL LOAN' WHEN 4 THEN 'ECS DR' ELSE 'EMI' END
+         || CASE WHEN c_custkey % 2 = 0 THEN ' ' || CAST(1000 + c_custkey % 9000 AS VARCHAR(20)) ELSE '' END AS narrations,
+       'REF' || CAST(1001 + c_custkey % 9000 AS VARCHAR(20)) AS refs, 1000 + 100 * (c_custkey % 4) + 3 * (c_custkey % 2) AS amount, c_custkey % 6 <> 5 AS recurring, c_custkey % 3 <> 0 AS fixed_amount
+FROM {customer}
+"""
+
+DECISIONS = """
+SELECT c_custkey AS decision_id, c_custkey AS tradeline_id, c_custkey AS series_id, CASE c_custkey % 4 WHEN 0 THEN 'confirmed' ELSE 'rejected' END AS status FROM {customer} WHERE c_custkey % 3 = 0
+UNION ALL SELECT c_custkey + 1000000, c_custkey, c_custkey, 'confirmed' FROM {customer} WHERE c_custkey % 9 = 0
+"""
+
+TREATMENTS = """
+SELECT c_custkey AS treatment_id, CASE WHEN c_custkey % 2 = 0 THEN 'bureau' ELSE 'bank' END AS source, c_custkey AS key_id, c_custkey % 4 < 2 AS include, 700 + c_custkey % 50 AS amount
+FROM {customer} WHERE c_custkey % 10 = 0 OR c_custkey % 17 = 0
+"""
+
+REGISTRATIONS = """
+SELECT s_suppkey AS case_id, 'liability_date' AS field, date_add_days(DATE '2010-01-01', CAST(s_suppkey * 37 % 4000 AS INT)) AS value, CASE WHEN s_suppkey % 4 = 0 THEN 'unverified' ELSE 'reported' END AS status FROM {supplier}
+UNION ALL SELECT s_suppkey, 'incorporation_date', date_add_days(DATE '2010-01-01', CAST(s_suppkey * 91 % 4000 AS INT)), CASE WHEN s_suppkey % 6 = 0 THEN 'unverified' ELSE 'reported' END FROM {supplier}
+"""
+
+DEBTS = """
+SELECT l_orderkey * 10 + l_linenumber AS claim_id, CAST(floor(l_orderkey / 500) AS BIGINT) AS issuer_id, 'source' || CAST(l_suppkey % 4 AS VARCHAR(20)) AS source_name,
+       CAST(year(l_shipdate) * 100 + month(l_shipdate) AS BIGINT) AS published, CASE WHEN l_linenumber = 1 THEN 'total' ELSE 'ncd' END AS instrument_type,
+       CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS maturity_date, CAST(floor(l_quantity) AS BIGINT) AS amount
+FROM {lineitem}
+"""
+
+VERSIONS = """
+SELECT o_orderkey AS document_id, CASE WHEN l_suppkey % 5 = 0 THEN 'v1' WHEN l_linenumber IS NOT NULL THEN 'v2' END AS version, o_orderkey % 50 = 0 AS forced
+FROM {orders} LEFT JOIN (SELECT * FROM {lineitem} WHERE l_orderkey % 10 <> 0) l ON o_orderkey = l_orderkey
+"""
+
+ANCHORS = """
+SELECT doc_id, CAST(doc_id % 50 AS INT) AS char_start, CAST(doc_id % 50 + CASE doc_id % 31 WHEN 0 THEN -1 WHEN 1 THEN 900000 ELSE 12 END AS INT) AS char_end,
+       CASE doc_id % 29 WHEN 0 THEN '' WHEN 1 THEN 'not what is there' ELSE substr(text, CAST(doc_id % 50 + 1 AS INT), 12) END AS evidence_text
+FROM {documents}
+"""
+
+TABLES = ("customer", "supplier", "orders", "lineitem", "events", "documents", "pages")
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -92,4 +177,4 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 def duck(sql: str) -> str:
     """The same view for DuckDB."""
     text = sql.format(**{t: t for t in TABLES})
-    return text.replace("date_add_days(DATE '2024-01-01', ", "(DATE '2024-01-01' + ")
+    return re.sub(r"date_add_days\((DATE '[0-9-]+'), ", r"(\1 + ", text)
