@@ -30,6 +30,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from factloom.llm.common import tidy
+
 #: Texts are encoded in pieces of about so many characters.
 PIECE_CHARS = 1 << 16
 #: Matches of more bytes than this are merged with a heap.
@@ -164,6 +166,7 @@ def _with_column(df: DataFrame, name: str, kind: T.DataType, source: str, conver
     kept = [c for c in df.columns if c != name]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, kind)])
 
+    @tidy
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

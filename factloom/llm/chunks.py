@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm import packed
-from factloom.llm.common import SPANS, free_names, schema_of
+from factloom.llm.common import SPANS, free_names, schema_of, tidy
 
 #: About so many bytes a chunk beyond the least: one cut in so many places.
 AVERAGE, LEAST, LARGEST, MIN_RUN = 32, 16, 256, 100
@@ -119,6 +119,7 @@ def deduplicate(
     sizes = {"average": average, "least": least, "largest": largest}
     parts = packed.parts_of(docs.sparkSession)
 
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in packed.groups(batches, GROUP_BYTES):
             found = [chunk_digests(t, h, sizes)[1] for t, h in _hash_texts(texts)]
@@ -133,6 +134,7 @@ def deduplicate(
     kept = [c for c in docs.columns if c not in ADDED.names]
     joined = docs.select(*kept).join(repeated, F.col(id_col).cast("long") == F.col(number), "left").drop(number)
 
+    @tidy
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):

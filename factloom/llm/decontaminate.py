@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import SPANS, free_names, schema_of
+from factloom.llm.common import SPANS, free_names, schema_of, tidy
 from factloom.llm.words import WordHashes, shingle_hashes
 
 #: Bytes of benchmark text that are broadcast at once.
@@ -92,6 +92,7 @@ def _member(values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _count(docs: DataFrame, text_col: str, vocabulary: dict[int, np.ndarray]) -> dict[tuple[int, int], int]:
     """How often each shingle of the vocabulary occurs in all documents."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {k: np.zeros(len(v), np.int64) for k, v in vocabulary.items()}
         hashes = WordHashes()
@@ -155,6 +156,7 @@ def find_windows(docs: DataFrame, windows: Windows, counts: dict[tuple[int, int]
                 spans.append({"start": start, "stop": stop})
         return spans, sorted(items)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:

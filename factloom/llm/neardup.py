@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import packed
-from factloom.llm.common import join_hot, materialize, schema_of
+from factloom.llm.common import join_hot, materialize, schema_of, tidy
 from factloom.llm.words import WordHashes, shingle_hashes
 
 WORDS, BANDS, ROWS = 5, 32, 4
@@ -78,6 +78,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def sketch(docs: DataFrame) -> DataFrame:
     """docs (id, text) with the size and digest of each set, and its signature (null for empty sets)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
@@ -98,6 +99,7 @@ def shared_buckets(signatures: DataFrame) -> DataFrame:
     band = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     mix = np.uint64(0xD6E8FEB86659FD93)
 
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 10_000):
@@ -111,6 +113,7 @@ def shared_buckets(signatures: DataFrame) -> DataFrame:
                 keys = keys & ~np.uint64(BANDS - 1) | np.arange(BANDS, dtype=np.uint64)  # the band can be told from the bucket
                 yield packed.batch_of(list(packed.send(keys.ravel(), np.repeat(ids, BANDS), parts, all_of_shared=True, width=8)))
 
+    @tidy
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -153,6 +156,7 @@ def prune(pairs: DataFrame, sketches: DataFrame, bounds: list[tuple[int, int]])
     left = sketches.select(F.col("id").alias("a"), F.col("signature").alias("of_a"))
     right = sketches.select(F.col("id").alias("b"), F.col("signature").alias("of_b"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alive = pa.array(survivors(_signatures(batch.column("of_a")), _signatures(batch.column("of_b")), bounds))
@@ -167,6 +171,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
@@ -246,6 +251,7 @@ def compare_rest(members: DataFrame, signatures: DataFrame, sets: DataFrame, bou
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found]), pa.array([max(p) for p in found])], names=["a", "b"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in batches:
@@ -304,6 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = materialize(shared_buckets(signatures), "buckets")
     wanted = buckets.select("id").distinct()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:

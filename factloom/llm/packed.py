@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import schema_of, shuffle_width
+from factloom.llm.common import schema_of, shuffle_width, tidy
 
 #: ids: the documents; counts: how many of the keys each has; keys: in the order of the documents
 SENT = schema_of(part="int", kind="int", ids="binary", counts="binary", keys="binary")
@@ -114,6 +114,7 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
 def answer(sent: DataFrame, width: int, all_of_shared: bool) -> DataFrame:
     """For each document the packed keys that others share (or that a smaller document has): one row an id."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, told_keys, told_ids = [], [], [], []
         for batch in batches:
@@ -137,6 +138,7 @@ def answer(sent: DataFrame, width: int, all_of_shared: bool) -> DataFrame:
             cuts = np.flatnonzero(np.diff(part[order])) + 1
             yield batch_of([_row(int(part[c[0]]), LOCAL, k[c], i[c], width) for c in np.split(order, cuts) if len(c)])
 
+    @tidy
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row an id, from the rows of its part."""
         keys, ids = [], []

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import schema_of
+from factloom.llm.common import schema_of, tidy
 
 MAX_TRAINING_ROWS = 20_000
 
@@ -205,6 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     # not over max_rows rows of two numbers
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id").select("__id", "__text", "__label")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = pa.ListArray.from_arrays(np.arange(0, batch.num_rows * len(FEATURES) + 1, len(FEATURES), dtype=np.int32), _features(batch, "__text").ravel())
@@ -223,6 +224,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from a score of 0.5)."""
     kept = [c for c in docs.columns if c not in SCORED.names]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = model.score(_features(batch, text_col))
