@@ -6,12 +6,14 @@ on the line through them and splits at the median, down to LEAF_ROWS vectors a
 leaf. Every vector of the table is then put into its leaf of every tree. A
 query walks all trees through one shared priority queue, nearest margin first,
 until it has seen its number of leaves; the vectors of those leaves are then
-measured exactly, in the leaf's own task, and the best of all leaves are merged.
+measured exactly, in the leaf's own task. A task merges what its leaves found
+for a query before it is shuffled, so a query sends k rows a task, not k a leaf.
 
 Equal vectors are indexed by their k + 1 smallest ids alone (no list can use
 more), and equal queries are searched once, so a vector that fills a third of
-the table costs no more than another. Leaves are streamed in blocks: neither a
-leaf nor a result list is ever larger than a block in memory.
+the table costs no more than another. A task holds at most about PIECE_ROWS
+vectors of a leaf (a larger leaf is dealt to several tasks), streams the queries
+past them in blocks, and sends what it has found in parts of MERGED_ROWS.
 
 Defined results: vectors that are null, empty, all zero, or hold a null or
 non-finite component, and rows with a null id, take no part; vectors of another
@@ -39,7 +41,10 @@ from factloom.llm.common import join_hot, schema_of
 SAMPLE_ROWS, LEAF_ROWS, TREES = 32_768, 128, 8
 #: The share of all leaves that a query visits, and how many at least.
 VISITED, LEAST_VISITED = 0.13, 64
-BLOCK_ROWS = 4096
+#: Rows and queries measured at once, and results that a task holds before it merges them.
+BLOCK_ROWS, BLOCK_QUERIES, MERGED_ROWS = 4096, 256, 262_144
+#: Vectors of a leaf that one task holds.
+PIECE_ROWS = 65_536
 
 
 @dataclass
@@ -108,17 +113,30 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def nearest_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and exact distances of the k nearest rows of x, ties to the smaller id."""
-    rough = (x * x).sum(axis=1) - 2 * (x @ q) + q @ q
-    if len(x) > k:
-        bound = np.partition(rough, k - 1)[k - 1]
-        near = np.flatnonzero(rough <= bound + 1e-9 * (1 + abs(bound) + q @ q))
+def nearest_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of q the k nearest rows of x: index of the query, id, exact distance. Ties go to the smaller id; rows that share an id are one, at its nearest."""
+    norms = (x * x).sum(axis=1)
+    rough = norms - 2 * (q @ x.T)
+    slack = 1e-9 * (1 + norms.max(initial=0.0) + (q * q).sum(axis=1))
+    if len(x) > k and len(np.unique(ids)) == len(ids):
+        bound = np.partition(rough, k - 1, axis=1)[:, k - 1]
+        of, near = np.nonzero(rough <= (bound + slack)[:, None])
     else:
-        near = np.arange(len(x))
-    exact = np.sqrt(((x[near] - q) ** 2).sum(axis=1))
-    order = np.lexsort((ids[near], exact))[:k]
-    return near[order], exact[order]
+        of, near = np.repeat(np.arange(len(q)), len(x)), np.tile(np.arange(len(x)), len(q))
+    return best_of(of, ids[near], np.sqrt(((x[near] - q[of]) ** 2).sum(axis=1)), k)
+
+
+def best_of(keys: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each key, an id once."""
+    order = np.lexsort((scores, ids, keys))
+    keys, ids, scores = keys[order], ids[order], scores[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+    keys, ids, scores = keys[first], ids[first], scores[first]
+    order = np.lexsort((ids, scores, keys))
+    keys, ids, scores = keys[order], ids[order], scores[order]
+    place = np.arange(len(keys)) - np.searchsorted(keys, keys)
+    return keys[place < k], ids[place < k], scores[place < k]
 
 
 _CELLS = ("cell", "kind", "id", "vector")
@@ -126,40 +144,48 @@ _FOUND = schema_of(key="long", vec_id="long", score="double")
 
 
 def _rerank(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell, queries first: for each query and cell the k nearest."""
-    cell, queries, best = None, [], {}
+    """Rows sorted by cell, indexed vectors first: for each query the k nearest of the cells of a task, in several parts if they are many."""
+    cell, ids, blocks, found, n_found = None, [], [], [], 0
 
-    def close() -> Iterator[pa.RecordBatch]:
-        for key, (ids, scores) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key)), pa.array(ids), pa.array(scores)], names=_FOUND.names)
+    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return best_of(*(np.concatenate(c) for c in zip(*found, strict=True)), k)
+
+    def sent(rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=_FOUND.names)
 
     for batch in batches:
-        cells, kinds, ids = (batch.column(i).to_numpy() for i in range(3))
+        cells, kinds, keys = (batch.column(i).to_numpy() for i in range(3))
         raw = batch.column(3)
         edges = np.flatnonzero((cells[1:] != cells[:-1]) | (kinds[1:] != kinds[:-1])) + 1
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(cells)], strict=True):
             if a == b:
                 continue
             if cells[a] != cell:
-                yield from close()
-                cell, queries, best = cells[a], [], {}
-            if kinds[a] == 1 and not queries:
+                cell, ids, blocks = cells[a], [], []
+            if kinds[a] == 1 and not blocks:
                 continue
-            x = np.frombuffer(b"".join(raw.slice(a, b - a).to_pylist()), np.float32).reshape(b - a, -1).astype(np.float64)
+            x = np.frombuffer(b"".join(raw.slice(a, b - a).to_pylist()), np.float32).reshape(b - a, -1)
             if kinds[a] == 0:
-                queries += list(zip(ids[a:b].tolist(), x, strict=True))
+                ids.append(keys[a:b])
+                blocks.append(x)
                 continue
-            for start in range(0, b - a, BLOCK_ROWS):
-                block, own = x[start : start + BLOCK_ROWS], ids[a:b][start : start + BLOCK_ROWS]
-                for key, q in queries:
-                    at, scores = nearest_of(q, block, own, k)
-                    if key in best:
-                        merged_ids, merged = np.concatenate([best[key][0], own[at]]), np.concatenate([best[key][1], scores])
-                        order = np.lexsort((merged_ids, merged))[:k]
-                        best[key] = merged_ids[order], merged[order]
-                    else:
-                        best[key] = own[at], scores
-    yield from close()
+            if len(blocks) > 1:
+                ids, blocks = [np.concatenate(ids)], [np.concatenate(blocks)]
+            for start in range(0, len(ids[0]), BLOCK_ROWS):
+                block, own = blocks[0][start : start + BLOCK_ROWS].astype(np.float64), ids[0][start : start + BLOCK_ROWS]
+                for at in range(0, len(x), BLOCK_QUERIES):
+                    of, near, scores = nearest_of(x[at : at + BLOCK_QUERIES].astype(np.float64), block, own, k)
+                    found.append((keys[a:b][at + of], near, scores))
+                    n_found += len(of)
+                    if n_found > MERGED_ROWS:
+                        best = merged()
+                        if len(best[0]) > MERGED_ROWS // 2:
+                            yield sent(best)
+                            found, n_found = [], 0
+                        else:
+                            found, n_found = [best], len(best[0])
+    if found:
+        yield sent(merged())
 
 
 def nearest(
@@ -188,29 +214,34 @@ def nearest(
     shared = vectors.sparkSession.sparkContext.broadcast(forest)  # its size is bounded by the sample's
     n_leaves = max(LEAST_VISITED, round(visited * trees * (forest.inner + 1)))
 
+    # a leaf of more than PIECE_ROWS vectors is dealt to several tasks, each of which sees all its queries
+    pieces = -(-vectors.count() // ((forest.inner + 1) * PIECE_ROWS)) or 1
+
     def place(kind: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each tree and vector, or for each leaf that a query visits."""
-        forest = shared.value
+        """A row for each tree and vector, or for each piece of a leaf that a query visits."""
+        forest, step = shared.value, 1024 if kind == 0 else max(1, 16_384 // (n_leaves * pieces))
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
                 ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-                if kind:
+                if kind == 0:
                     leaf = forest.leaves(x)
                     row = np.repeat(np.arange(len(x)), trees)
-                    cell = (np.arange(trees) << 32 | leaf).ravel()
+                    piece = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+                    cell = (np.arange(trees) << 48 | leaf << 24).ravel() | (piece.astype(np.int64) % pieces)[row]
                 else:
                     found = [forest.visit(q, n_leaves) for q in x]
-                    row = np.repeat(np.arange(len(x)), [len(f) for f in found])
-                    cell = np.array([t << 32 | i for f in found for t, i in f], np.int64)
+                    row = np.repeat(np.arange(len(x)), [len(f) * pieces for f in found])
+                    leaf = np.array([t << 48 | i << 24 for f in found for t, i in f], np.int64)
+                    cell = (leaf[:, None] | np.arange(pieces)).ravel()
                 packed = pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(len(cell), kind, np.int32)), pa.array(ids[row]), packed.take(pa.array(row))], names=_CELLS)
 
     placed = schema_of(cell="long", kind="int", id="long", vector="binary")
     members = rows.where("asked").select("id", "vector").distinct()
     classes = members.groupBy("vector").agg(F.min("id").alias("key"))
-    data = indexed.select("id", "vector").mapInArrow(lambda it: place(1, it), placed)
-    probes = classes.select("key", "vector").mapInArrow(lambda it: place(0, it), placed)
+    data = indexed.select("id", "vector").mapInArrow(lambda it: place(0, it), placed)
+    probes = classes.select("key", "vector").mapInArrow(lambda it: place(1, it), placed)
     dealt = data.unionByName(probes).repartition("cell").sortWithinPartitions("cell", "kind")
     found = dealt.mapInArrow(lambda it: _rerank(k + 1, it), _FOUND)
     nearest_first = found.groupBy("key", "vec_id").agg(F.min("score").alias("score"))

@@ -287,6 +287,22 @@ def test_nearest_neighbours(spark):
     assert neighbours.nearest(df.where("vec_id IN (1, 2, 3)")).groupBy("query_id").count().where("count = 2").count() == 3
 
 
+def test_large_leaves_are_dealt_in_pieces(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(400, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    search = lambda: sorted(map(tuple, neighbours.nearest(df, F.col("vec_id") % 100 == 0, sample_rows=64, leaf_rows=32).collect()))
+    whole = search()
+    monkeypatch.setattr(neighbours, "PIECE_ROWS", 16)
+    assert search() == whole and len(whole) == 40
+
+
+def test_results_of_a_key_merge_to_its_best(spark):
+    keys, ids, scores = np.array([1, 1, 1, 1, 2]), np.array([9, 9, 7, 8, 9]), np.array([0.5, 0.2, 0.2, 0.1, 3.0])
+    assert [a.tolist() for a in neighbours.best_of(keys, ids, scores, 2)] == [[1, 1, 2], [8, 7, 9], [0.1, 0.2, 3.0]]
+    twice = neighbours.nearest_of(np.zeros((1, 2)), np.array([[1.0, 0], [2, 0], [3, 0]]), np.array([5, 5, 6]), 2)
+    assert [a.tolist() for a in twice] == [[0, 0], [5, 6], [1.0, 3.0]]
+
+
 def test_quality_is_learned_from_what_is_not_held_out(spark):
     rng = random.Random(4)
     rows, labels = [], []
