@@ -97,3 +97,38 @@ def signature(narration: Column) -> Column:
     """The first four words of two or more letters that name no channel."""
     words = F.filter(F.regexp_extract_all(F.upper(narration), F.lit(r"[A-Z]{2,}"), F.lit(0)), lambda w: ~w.isin("UPI", "IMPS", "NEFT"))
     return F.array_join(F.slice(words, 1, 4), " ")
+
+
+def text_fragment(url: Column, quote: Column) -> Column:
+    """A link to the quoted words: all of them up to eight, else the first and the last four; an old fragment is dropped."""
+    words = F.filter(F.split(F.trim(F.regexp_replace(quote, r"(?U)\s+", " ")), " "), lambda w: w != "")
+    ends = F.array(F.array_join(F.slice(words, 1, 4), " "), F.array_join(F.slice(words, F.greatest(F.size(words) - 3, F.lit(1)), F.lit(4)), " "))
+    parts = F.when(F.size(words) <= 8, F.array(F.array_join(words, " "))).otherwise(ends)
+    coded = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(F.url_encode(p), r"\+", "%20"), "-", "%2D"))
+    return F.concat(F.regexp_replace(url, "#.*$", ""), F.lit("#:~:text="), F.array_join(coded, ","))
+
+
+def display_name(name: Column) -> Column:
+    """Groups of words that are said twice running are said once."""
+    return F.regexp_replace(name, r"(?i)\b(\w+(?:[ -]\w+)*)(?:\s+\1\b)+", "$1")
+
+
+def money(text: Column) -> Column:
+    """An amount with exactly two decimals; a minus or Dr makes it negative; all else is null."""
+    shape = r"^(-?)([\d,]+\.\d{2})\s*(?i:(dr|cr)\.?)?$"
+    value = F.regexp_replace(F.regexp_extract(F.trim(text), shape, 2), ",", "").try_cast("decimal(20,2)")
+    negative = (F.regexp_extract(F.trim(text), shape, 1) == "-") | (F.lower(F.regexp_extract(F.trim(text), shape, 3)) == "dr")
+    return F.when(negative, -value).otherwise(value)
+
+
+def fiscal_end(token: Column) -> Column:
+    """The last day of a fiscal year that ends in March, or of its quarter: FY24, Q2FY25."""
+    shape = r"^(?:Q([1-4]))?\s*FY\s*(\d{2})$"
+    quarter, year = (F.regexp_extract(F.upper(F.trim(token)), shape, g).try_cast("int") for g in (1, 2))
+    months = 3 * (4 - F.coalesce(quarter, F.lit(4)))
+    return F.last_day(F.add_months(F.make_date(2000 + year, F.lit(3), F.lit(1)), -months))
+
+
+def masked_account(number: Column) -> Column:
+    digits = F.regexp_replace(number, r"\D", "")
+    return F.when(F.length(digits) >= 4, F.concat(F.lit("XX"), F.right(digits, F.lit(4))))

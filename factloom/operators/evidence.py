@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.operators import gaps, reconcile
+from factloom.operators import gaps, reconcile, timeline
 
 
 def corroborations(claims: DataFrame) -> DataFrame:
@@ -76,3 +76,36 @@ def verify_anchors(anchors: DataFrame, documents: DataFrame) -> DataFrame:
         .otherwise("verified")
     )
     return held.select("doc_id", verdict.alias("verdict"))
+
+
+def debt_table(totals: DataFrame) -> DataFrame:
+    """Stated totals of each (issuer, basis, date): each source's newest statement, and how far the sources agree.
+
+    The relative difference is given at three decimals, half even, in whole-number arithmetic.
+    """
+    cell = ["issuer_id", "basis", "as_of"]
+    newest = totals.groupBy(*cell, "source_name").agg(F.max_by("amount", F.struct("published", "claim_id")).alias("amount"), (F.count_distinct("amount") > 1).alias("changed"))
+    rows = newest.groupBy(*cell).agg(F.count("*").alias("n_sources"), F.min("amount").alias("low"), F.max("amount").alias("high"), F.bool_or("changed").alias("changed_within"))
+    gap = F.col("high") - F.col("low")
+    part = F.when(F.col("low") != 0, F.bround((gap * 100).cast("decimal(20,0)") / F.col("low").cast("decimal(20,0)"), 3).cast("decimal(20,3)"))
+    beyond = (gap * 1000 > F.col("low")) | (gap > reconcile.TOLERANCE_ABS)
+    agreement = (
+        F.when(F.col("n_sources") == 1, "single source")
+        .when(beyond, F.concat(F.lit("difference "), part.cast("string"), F.lit("%")))
+        .otherwise(F.concat(F.col("n_sources").cast("string"), F.lit(" sources agree within "), gap.cast("string")))
+    )
+    return rows.select(*cell, "n_sources", "low", "high", "changed_within", agreement.alias("agreement"))
+
+
+def conflict_evidence(runs: DataFrame, states: DataFrame) -> DataFrame:
+    """Which actions of its two agencies a run of disagreement rests on: opening (the last up to its start), latest (the last two after), or history."""
+    run = ["issuer_id", "instrument_class", "term", "aspect", "a_agency", "b_agency", "a_value", "b_value", "run_start"]
+    forever = F.to_date(F.lit(timeline.FOREVER))
+    asked = runs.withColumnsRenamed({"start": "run_start", "end": "run_end"}).select(*run, "run_end", F.explode(F.array("a_agency", "b_agency")).alias("agency"))
+    held = states.where(~F.col("withdrawn"))
+    met = asked.join(held, [*timeline.SHARED, "agency"]).where((F.col("effective_from") < F.coalesce("run_end", forever)) & (F.coalesce("effective_to", forever) > F.col("run_start")))
+    stated = F.when(F.col("aspect") == "grade", F.col("grade")).otherwise(F.col("outlook"))
+    early = F.col("effective_from") <= F.col("run_start")
+    last = F.row_number().over(Window.partitionBy(*run, "agency", "early").orderBy(F.desc("effective_from"), F.desc("claim_id")))
+    role = F.when(F.col("early") & (F.col("last") == 1), "opening").when(~F.col("early") & (F.col("last") <= 2), "latest").otherwise("history")
+    return met.where(stated.isNotNull()).withColumn("early", early).withColumn("last", last).select(*run, "agency", "claim_id", role.alias("role"))

@@ -166,6 +166,45 @@ SELECT doc_id, CAST(doc_id % 50 AS INT) AS char_start, CAST(doc_id % 50 + CASE d
 FROM {documents}
 """
 
+WORDS = """
+SELECT l_orderkey AS page_id, CAST(l_linenumber % 2 AS INT) AS block, CAST(floor(l_linenumber / 3) AS INT) AS line, CAST(l_linenumber AS INT) AS word_no,
+       CASE WHEN l_partkey % 20 = 0 THEN '' ELSE 'w' || CAST(l_partkey AS VARCHAR(20)) END AS word,
+       CAST(l_linenumber * 40 AS DOUBLE) AS x0, CAST(floor(l_linenumber / 3) * 12 AS DOUBLE) AS y0, CAST(l_linenumber * 40 + 35 AS DOUBLE) AS x1, CAST(floor(l_linenumber / 3) * 12 + 10 AS DOUBLE) AS y1
+FROM {lineitem}
+"""
+
+STATED = """
+SELECT o_orderkey AS page_id, CASE o_orderkey % 6 WHEN 0 THEN 'Balance (` in Crores) 12' WHEN 1 THEN '(Rs. in lakhs) then (INR in  Million) 5' WHEN 2 THEN 'no scale (in part 2)' WHEN 3 THEN '(in trillions)' WHEN 4 THEN NULL ELSE '(Rs in Thousand)' END AS text,
+       CAST(CAST(floor(o_totalprice * 100) AS BIGINT) AS DECIMAL(20, 0)) / 100 AS amount
+FROM {orders}
+"""
+
+RETURNS = """
+SELECT c_custkey AS document_id, CASE c_custkey % 6
+    WHEN 0 THEN '{{"ITR":{{"ITR1":{{"CreationInfo":{{"AckNo":"7"}},"Form_ITR1":{{"AssessmentYear":"2025"}},"ITR1_IncomeDeductions":{{"GrossSalary":' || CAST(900000 + c_custkey AS VARCHAR(20)) || ',"TotalIncome":' || CAST(700000 + c_custkey AS VARCHAR(20)) || '}}}}}}}}'
+    WHEN 1 THEN '{{"ITR":{{"ITR2":{{"ScheduleS":{{"TotalGrossSalary":' || CAST(500000 + c_custkey AS VARCHAR(20)) || ',"Salaries":[{{"NameOfEmployer":"ACME ' || CAST(c_custkey AS VARCHAR(20)) || '"}}]}},"PartB-TI":{{"TotalIncome":"unread"}}}}}}}}'
+    WHEN 2 THEN '{{"personalInfo":{{"name":"x"}}}}' WHEN 3 THEN '{{"other":1}}' WHEN 4 THEN 'not json' END AS raw
+FROM {customer}
+"""
+
+CASE_FILES = """
+SELECT o_orderkey AS document_id, CAST(floor(o_custkey / 8) AS BIGINT) AS case_id,
+       CASE o_orderkey % 7 WHEN 0 THEN 'kyc' WHEN 1 THEN 'salary_slip' WHEN 2 THEN 'bank_statement' WHEN 3 THEN 'credit_report' WHEN 4 THEN 'itr_json' WHEN 5 THEN 'form16' ELSE 'od_sanction' END AS kind,
+       CASE o_orderkey % 11 WHEN 0 THEN 'failed' WHEN 1 THEN 'incomplete' WHEN 2 THEN 'received' ELSE 'complete' END AS status, CAST(o_orderdate AS DATE) AS received_on
+FROM {orders}
+"""
+
+ACKS = """
+SELECT c_custkey AS ack_id, CAST(floor(c_custkey / 8) AS BIGINT) AS case_id, 'returns' AS rule, CAST(c_custkey AS VARCHAR(20)) AS item FROM {customer} WHERE c_custkey % 3 = 0
+UNION ALL SELECT c_custkey, CAST(floor(c_custkey / 8) AS BIGINT), 'obligation', 'bureau:' || CAST(c_custkey AS VARCHAR(20)) FROM {customer} WHERE c_custkey % 5 = 0
+"""
+
+TOTALS = f"""
+SELECT claim_id, issuer_id, CASE WHEN claim_id % 3 = 0 THEN 'standalone' ELSE 'consolidated' END AS basis, CAST(floor(published / 100) AS BIGINT) AS as_of, source_name, published,
+       100000 + CASE WHEN issuer_id % 3 = 0 THEN 0 WHEN issuer_id % 3 = 1 THEN amount ELSE amount % 4 END AS amount
+FROM ({DEBTS}) d WHERE instrument_type = 'total'
+"""
+
 TABLES = ("customer", "supplier", "orders", "lineitem", "events", "documents", "pages")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from factloom.operators import banking, credit, evidence
-from factloom.plans import cases
+from factloom.plans import reviews
 from factloom.streaming import activity
 
 LINE = "tradeline_id long, case_id long, lender string, account_type string, ownership string, status string, status_verified boolean, date_closed date, date_closed_verified boolean, account_number string, emi long, emi_status string"
@@ -104,7 +104,7 @@ def test_a_drained_stream_resumes_and_drops_what_is_too_late(spark, tmp_path):
     assert drain() == {("2024-01-01", "a"): (1, 1), ("2024-01-09", "a"): (2, 6), ("2024-01-08", "b"): (1, 8)}
 
 
-@pytest.mark.parametrize("name", [n for n in cases.QUERIES if n in cases.ORACLES])
+@pytest.mark.parametrize("name", [n for n in reviews.QUERIES if n in reviews.ORACLES])
 def test_queries_equal_their_twins(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
