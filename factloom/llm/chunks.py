@@ -6,8 +6,11 @@ sizes. A cut depends on nothing but the last few bytes and the cut before it,
 so after an insertion the chunks of two equal passages fall together again
 within a chunk or two. Chunks are compared by 128-bit digest over all
 documents: a chunk is repeated if a document with a smaller doc_id has it or
-if it stands earlier in the same text. Runs of repeated chunks of at least
-`min_run` bytes are removed; shorter ones are chance and stay.
+if it stands earlier in the same text. The chunk over each edge of a repeated
+passage matches nothing, so a run of repeated chunks is widened byte by byte
+against the earlier text that it repeats: that text's surroundings of the chunks
+are fetched. Widened runs of at least `min_run` bytes are removed; shorter ones
+are chance and stay. A passage that holds no whole chunk of its own is not found.
 
 Defined results: null and empty texts have no chunks and stay as they are;
 rows that share a doc_id do not count as repeats of each other; rows with a
@@ -32,6 +35,8 @@ from factloom.llm.common import SPANS, free_names, schema_of, tidy
 #: About so many bytes a chunk beyond the least: one cut in so many places.
 AVERAGE, LEAST, LARGEST, MIN_RUN = 32, 16, 256, 100
 GROUP_BYTES = 8 << 20
+#: Bytes fetched before a repeated chunk; after it, LARGEST and a character are enough, as the next chunk begins alike.
+BEFORE = 1024
 _REACH = 16  # bytes that a 16-bit gear hash sees
 
 
@@ -125,14 +130,43 @@ def deduplicate(
             found = [chunk_digests(t, h, sizes)[1] for t, h in _hash_texts(texts)]
             keys = np.concatenate(found)
             owners = np.repeat(np.array(ids, np.int64), [len(f) for f in found])
-            rows = list(packed.send(keys, owners, parts, all_of_shared=False, width=16))
+            rows = list(packed.send(keys, owners, parts, all_of_shared=False, width=16, sources=True))
             yield packed.batch_of(rows)
 
     sent = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(send, packed.SENT)
-    number, known = free_names(docs, "__id", "__keys")
-    repeated = packed.answer(sent, width=16, all_of_shared=False).withColumnsRenamed({"id": number, "keys": known})
+    number, known, asked, around = free_names(docs, "__id", "__keys", "__asked", "__around")
+    answers = packed.answer(sent, width=16, all_of_shared=False, sources=True)
     kept = [c for c in docs.columns if c not in ADDED.names]
-    joined = docs.select(*kept).join(repeated, F.col(id_col).cast("long") == F.col(number), "left").drop(number)
+    whole_docs = docs.select(*kept)
+    same = F.col(id_col).cast("long") == F.col(number)
+
+    @tidy
+    def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What each asking document needs of this one."""
+        ids, found, held = [], [], 0
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
+            for text, requests in zip(texts, batch.column(batch.num_columns - 1), strict=True):
+                if not requests.is_valid or not text.is_valid:
+                    continue
+                ((t, h),) = _hash_texts([text.as_py()])
+                ends, digests = chunk_digests(t, h, sizes)
+                for request in requests:
+                    ids.append(request["id"].as_py())
+                    found.append(surroundings(t, ends, digests, request["keys"].as_py(), largest))
+                    held += sum(map(len, found[-1]))
+                    if held >= GROUP_BYTES // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.binary()))], names=_SERVED.names)
+                        ids, found, held = [], [], 0
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.binary()))], names=_SERVED.names)
+
+    requests = answers.mapInArrow(_requests, _REQUESTS).groupBy(F.col("source").alias(number)).agg(F.collect_list(F.struct("id", "keys")).alias(asked))
+    # left joins, so that both read the same shuffle of the documents
+    served = whole_docs.join(requests, same, "left").drop(number).mapInArrow(serve, _SERVED)
+    fetched = served.groupBy(F.col("id").alias(number)).agg(F.flatten(F.collect_list("around")).alias(around))
+    repeated = answers.withColumnsRenamed({"id": number, "keys": known}).join(fetched, number, "left")
+    joined = whole_docs.join(repeated, same, "left").drop(number)
 
     @tidy
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,9 +177,10 @@ def deduplicate(
                 ids = batch.column(batch.schema.get_field_index(id_col))
                 data = [t.as_py() or b"" for t in texts]
                 rows = []
-                for (t, h), valid, keys, i in zip(_hash_texts(data), texts.is_valid().to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), ids.is_valid().to_pylist(), strict=True):
+                told, near = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
+                for (t, h), valid, keys, pieces, i in zip(_hash_texts(data), texts.is_valid().to_pylist(), told, near, ids.is_valid().to_pylist(), strict=True):
                     ends, digests = chunk_digests(t, h, sizes) if i else ([], np.zeros((0, 2), np.uint64))
-                    spans, again = repeated_runs(ends, digests, keys or [], min_run)
+                    spans, again = repeated_runs(t, ends, digests, keys or [], pieces or [], min_run)
                     left, at = [], 0
                     for a, b in spans:
                         left.append(t[at:a])
@@ -161,25 +196,109 @@ def deduplicate(
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.string()]
 
 
-def repeated_runs(ends: list[int], digests: np.ndarray, known: list[bytes], min_run: int) -> tuple[list[tuple[int, int]], int]:
+_REQUESTS = schema_of(source="long", id="long", keys="binary")
+_SERVED = schema_of(id="long", around=T.ArrayType(T.BinaryType()))
+_ASKED = 24  # bytes of an answer: a digest and the document that has it
+
+
+@tidy
+def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The answers of each document by the documents that they name."""
+    for batch in batches:
+        rows = []
+        for i, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            told = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 3)
+            told = told[np.argsort(told[:, 2], kind="stable")]
+            for part in np.split(told, np.flatnonzero(np.diff(told[:, 2])) + 1):
+                rows.append((int(part[0, 2].view(np.int64)), i, packed.pack(part, 16)))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=_REQUESTS.names)
+
+
+def surroundings(text: bytes, ends: list[int], digests: np.ndarray, keys: bytes, largest: int) -> list[bytes]:
+    """The pieces of a text around its chunks of these digests."""
+    raw = digests.tobytes()
+    wanted = {keys[i : i + 16] for i in range(0, len(keys), 16)}
+    pieces: list[tuple[int, int]] = []
+    start = 0
+    for k, end in enumerate(ends):
+        if raw[16 * k : 16 * k + 16] in wanted:
+            a, b = max(0, start - BEFORE), min(len(text), end + largest + 4)
+            if pieces and a <= pieces[-1][1]:
+                a = pieces.pop()[0]
+            pieces.append((a, b))
+        start = end
+    return [text[a:b] for a, b in pieces]
+
+
+def _alike(a: bytes, b: bytes) -> int:
+    """How many first bytes two strings share."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _places(chunk: bytes, pieces: list[bytes], text: bytes, start: int) -> Iterator[tuple[bytes, int]]:
+    """Where earlier texts, and this one before `start`, have a chunk: the first place in each."""
+    for piece in pieces:
+        at = piece.find(chunk)
+        if at >= 0:
+            yield piece, at
+    at = text.find(chunk, 0, start + len(chunk) - 1)
+    if at >= 0:
+        yield text, at
+
+
+def _widened(text: bytes, first: tuple[int, int], last: tuple[int, int], pieces: list[bytes]) -> tuple[int, int]:
+    """A run from its first to its last chunk with what is alike before and after it, in whole characters."""
+    (a, first_end), (last_start, b) = first, last
+    left = right = 0
+    before = text[max(0, a - BEFORE) : a][::-1]
+    for other, at in _places(text[a:first_end], pieces, text, a):
+        left = max(left, _alike(before, other[max(0, at - BEFORE) : at][::-1]))
+    for other, at in _places(text[last_start:b], pieces, text, last_start):
+        end = at + b - last_start
+        right = max(right, _alike(text[b : b + BEFORE], other[end : end + BEFORE]))
+    a, b = a - left, b + right
+    while text[a] & 0xC0 == 0x80:
+        a += 1
+    while b < len(text) and text[b] & 0xC0 == 0x80:
+        b -= 1
+    return a, b
+
+
+def repeated_runs(text: bytes, ends: list[int], digests: np.ndarray, known: list[bytes], pieces: list[bytes], min_run: int) -> tuple[list[tuple[int, int]], int]:
     """The spans to remove, and how many chunks are repeated: those known or seen before in the text."""
     elsewhere = set()
     for packed_keys in known:
-        elsewhere.update(packed_keys[i : i + 16] for i in range(0, len(packed_keys), 16))
+        elsewhere.update(packed_keys[i : i + 16] for i in range(0, len(packed_keys), _ASKED))
     raw = digests.tobytes()
     seen: set[bytes] = set()
-    spans, again, run_start, last = [], 0, None, 0
+    runs: list[list[tuple[int, int]]] = []
+    again, at, open_run = 0, 0, False
     for k, end in enumerate(ends):
         d = raw[16 * k : 16 * k + 16]
         if d in elsewhere or d in seen:
             again += 1
-            run_start = last if run_start is None else run_start
+            if open_run:
+                runs[-1][1] = (at, end)
+            else:
+                runs.append([(at, end), (at, end)])
+            open_run = True
         else:
             seen.add(d)
-            if run_start is not None and last - run_start >= min_run:
-                spans.append((run_start, last))
-            run_start = None
-        last = end
-    if run_start is not None and last - run_start >= min_run:
-        spans.append((run_start, last))
-    return spans, again
+            open_run = False
+        at = end
+    spans: list[tuple[int, int]] = []
+    for first, last in runs:
+        a, b = _widened(text, first, last, pieces)
+        while spans and a <= spans[-1][1]:
+            before = spans.pop()
+            a, b = min(a, before[0]), max(b, before[1])
+        spans.append((a, b))
+    return [(a, b) for a, b in spans if b - a >= min_run], again

@@ -76,11 +76,17 @@ def spread(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(values, np.diff(np.append(starts, n)))
 
 
-def send(keys: np.ndarray, ids: np.ndarray, parts: int, all_of_shared: bool, width: int) -> Iterator[tuple]:
+def _with_source(keys: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """Keys of several words followed by the document that an answer names."""
+    return np.column_stack([keys, sources.view(np.uint64)])
+
+
+def send(keys: np.ndarray, ids: np.ndarray, parts: int, all_of_shared: bool, width: int, sources: bool = False) -> Iterator[tuple]:
     """Rows of SENT for one group of documents. keys, ids: each key of a document with its id (a repeated one counts once).
 
     all_of_shared: answer every document of a key that several have; else all but the smallest.
     width: bytes that are sent of each key; fewer than it has make rare false matches.
+    sources: answers name a smaller document that has the key, in 8 bytes after it (keys of whole words only).
     """
     order, starts, low, high = compare(keys, ids)
     n = len(order)
@@ -90,7 +96,8 @@ def send(keys: np.ndarray, ids: np.ndarray, parts: int, all_of_shared: bool, wid
     answered = spread(low != high, starts, n) if all_of_shared else own > lows
     if answered.any():
         told = order[answered]
-        yield _row(int(part_of(keys[told[:1]], parts)[0]), LOCAL, keys[told], ids[told], width)
+        named = _with_source(keys[told], lows[answered]) if sources else keys[told]
+        yield _row(int(part_of(keys[told[:1]], parts)[0]), LOCAL, named, ids[told], width + 8 * sources)
     unique, smallest = keys[order[starts]], low
     part = part_of(unique, parts)
     by_part = np.argsort(part, kind="stable")
@@ -111,15 +118,16 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=SENT.names)
 
 
-def answer(sent: DataFrame, width: int, all_of_shared: bool) -> DataFrame:
+def answer(sent: DataFrame, width: int, all_of_shared: bool, sources: bool = False) -> DataFrame:
     """For each document the packed keys that others share (or that a smaller document has): one row an id."""
+    told_width = width + 8 * sources
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, told_keys, told_ids = [], [], [], []
         for batch in batches:
             for kind, distinct, counts, packed in zip(*(batch.column(c).to_pylist() for c in SENT.names[1:]), strict=True):
-                k = unpack(packed, width)
+                k = unpack(packed, width if kind == KEYS else told_width)
                 i = np.repeat(np.frombuffer(distinct, np.int64), np.frombuffer(counts, np.uint32))
                 (keys if kind == KEYS else told_keys).append(k)
                 (ids if kind == KEYS else told_ids).append(i)
@@ -128,15 +136,16 @@ def answer(sent: DataFrame, width: int, all_of_shared: bool) -> DataFrame:
             keys.clear()
             order, starts, low, high = compare(k, i)
             shared = low != high
-            chosen = spread(shared, starts, len(order)) if all_of_shared else i[order] > spread(low, starts, len(order))
-            told_keys.append(k[order[chosen]])
+            lows = spread(low, starts, len(order))
+            chosen = spread(shared, starts, len(order)) if all_of_shared else i[order] > lows
+            told_keys.append(_with_source(k[order[chosen]], lows[chosen]) if sources else k[order[chosen]])
             told_ids.append(i[order[chosen]])
         if told_keys:
             k, i = np.concatenate(told_keys), np.concatenate(told_ids)
             part = i % parts
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[order])) + 1
-            yield batch_of([_row(int(part[c[0]]), LOCAL, k[c], i[c], width) for c in np.split(order, cuts) if len(c)])
+            yield batch_of([_row(int(part[c[0]]), LOCAL, k[c], i[c], told_width) for c in np.split(order, cuts) if len(c)])
 
     @tidy
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +153,10 @@ def answer(sent: DataFrame, width: int, all_of_shared: bool) -> DataFrame:
         keys, ids = [], []
         for batch in batches:
             for distinct, counts, packed in zip(*(batch.column(c).to_pylist() for c in SENT.names[2:]), strict=True):
-                keys.append(unpack(packed, width))
+                keys.append(unpack(packed, told_width))
                 ids.append(np.repeat(np.frombuffer(distinct, np.int64), np.frombuffer(counts, np.uint32)))
         if keys:
-            yield from _by_id(np.concatenate(keys), np.concatenate(ids), width)
+            yield from _by_id(np.concatenate(keys), np.concatenate(ids), told_width)
 
     n = shuffle_width(sent.sparkSession)
     parts = parts_of(sent.sparkSession)

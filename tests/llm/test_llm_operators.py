@@ -106,6 +106,20 @@ def test_chunks_find_passages_and_resist_shifts(docs, texts, nothing):
     assert chunks.deduplicate(nothing).count() == 0
 
 
+def test_chunks_remove_short_passages_to_their_edges(spark):
+    rng = random.Random(5)
+    rows, places = [], {}
+    for k in range(0, 400, 2):
+        passage, before = words(rng, 51), words(rng, 40) + " "
+        rows += [(k, words(rng, 45) + "|" + passage + "|" + words(rng, 40)), (k + 1, before + passage + " " + words(rng, 40))]
+        start = len(before.encode())
+        places[k + 1] = start, start + len(passage.encode())
+    got = by_id(chunks.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    spans = {i: [(s.start, s.stop) for s in got[i].removed_spans] for i in places}
+    assert sum(spans[i] == [places[i]] for i in places) >= 0.95 * len(places)
+    assert all(got[i - 1].removed_spans == [] for i in places)
+
+
 def test_gear_hash_and_cuts_match_the_sequential_rule():
     data = random.Random(2).randbytes(5000)
     h, want = 0, []
