@@ -10,32 +10,86 @@ from factloom.functions import text
 
 # fixed values: thresholds of the banking analysis
 LARGE_CREDIT, QUICK_SHARE, QUICK_DAYS = 10_000, 0.8, 2
+#: covered days from which a month counts in the average
+FULL_MONTH = 20
 ORDER = ["txn_date", "document_id", "seq"]
 
 
 def mark_duplicates(rows: DataFrame) -> DataFrame:
-    """A row that an earlier document of the account already shows is a duplicate; repeats inside a document are not."""
-    alike = ["account_key", "txn_date", "debit", "credit", text.normalise(F.col("narration"))]
-    first = F.first("document_id").over(Window.partitionBy(*alike).orderBy("document_id", "seq", "txn_id"))
-    return rows.withColumn("duplicate", F.col("document_id") != first)
-
+    """A row that an earlier document of the account already shows is a duplicate; repeats inside a document are not.
 
-def balance_breaks(rows: DataFrame) -> DataFrame:
-    """Rows whose balance does not follow from the last stated one and their own amounts."""
-    line = Window.partitionBy("account_key").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.withColumn("previous", F.last("balance", ignorenulls=True).over(line))
+    Rows of different balance are different payments. An account without a number, keyed by its document ("...doc7"), has no duplicates.
+    """
+    alike = ["account_key", "txn_date", "debit", "credit", "balance", text.normalise(F.col("narration"))]
+    first = F.first("document_id").over(Window.partitionBy(*alike).orderBy("document_id", "seq", "txn_id"))
+    numbered = ~F.col("account_key").cast("string").endswith(F.concat(F.lit("doc"), F.col("document_id").cast("string")))
+    return rows.withColumn("duplicate", numbered & (F.col("document_id") != first))
+
+
+def balance_breaks(rows: DataFrame, statements: DataFrame | None = None) -> DataFrame:
+    """Rows whose balance does not follow from the last stated one and their own amounts.
+
+    Without statements an account is one line of rows; with them (document_id, opening) each document is, and starts from its opening.
+    """
+    key, order = (["account_key"], ORDER) if statements is None else (["document_id"], ["seq"])
+    line = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last("balance", ignorenulls=True).over(line)
+    if statements is None:
+        before = rows.withColumn("previous", last)
+    else:
+        openings = statements.select("document_id", F.col("opening").alias("__opening"))
+        before = rows.join(openings, "document_id", "left").withColumn("previous", F.coalesce(last, "__opening")).drop("__opening")
     off = F.col("previous") + F.col("credit") - F.col("debit") - F.col("balance")
     return before.withColumn("off_by", off).where("balance IS NOT NULL AND previous IS NOT NULL AND off_by <> 0")
 
 
 def daily_balances(rows: DataFrame) -> DataFrame:
-    """The last stated balance of every day from an account's first to its last, carried forward."""
+    """The last stated balance of every day from an account's first to its last, carried forward: for rows without statements."""
     eod = rows.where("balance IS NOT NULL").groupBy("account_key", "txn_date").agg(F.max_by("balance", "seq").alias("eod"))
     span = rows.groupBy("account_key").agg(F.explode(F.sequence(F.min("txn_date"), F.max("txn_date"))).alias("txn_date"))
     line = Window.partitionBy("account_key").orderBy("txn_date").rowsBetween(Window.unboundedPreceding, 0)
     return span.join(eod, ["account_key", "txn_date"], "left").select("account_key", "txn_date", F.last("eod", ignorenulls=True).over(line).alias("balance"))
 
 
+def covered_balances(rows: DataFrame, statements: DataFrame) -> DataFrame:
+    """The balance at the end of every day that a statement covers; after a gap it starts from the next statement's opening.
+
+    rows: without duplicates; statements: account_key, document_id, period_start, period_end, opening. An account has
+    balances if a row states one and its first statement an opening. A day's own balance outranks an opening, and one
+    stated on a day that is not covered is carried on too. A statement without an end covers no day.
+    """
+    held = statements.where("period_start IS NOT NULL")
+    eod = rows.where("balance IS NOT NULL").groupBy("account_key", "txn_date").agg(F.max_by("balance", F.struct("document_id", "seq")).alias("eod"))
+    first = held.groupBy("account_key").agg(F.min_by("opening", F.struct("period_start", "document_id")).alias("first_opening"), F.min(F.when(F.col("period_end").isNotNull(), F.col("period_start"))).alias("since"))
+    usable = first.where("first_opening IS NOT NULL").join(eod.select("account_key").distinct(), "account_key", "left_semi")
+    covered = held.where("period_end >= period_start").select("account_key", F.explode(F.sequence("period_start", "period_end")).alias("txn_date")).distinct()
+    openings = held.where("opening IS NOT NULL").groupBy("account_key", F.col("period_start").alias("txn_date")).agg(F.min_by("opening", "document_id").alias("opening"))
+    days = covered.withColumn("covered", F.lit(True)).join(eod, ["account_key", "txn_date"], "full_outer").join(openings, ["account_key", "txn_date"], "left")
+    line = Window.partitionBy("account_key").orderBy("txn_date")
+    # days on which nothing is known have no row: the covered day before must be the row before, or the one before the uncovered rows
+    last_covered = F.last(F.when(F.col("covered"), F.col("txn_date")), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.col("covered") & F.coalesce(F.datediff("txn_date", last_covered) > 1, F.lit(True))
+    seen = days.join(usable, "account_key").where("txn_date >= since")
+    stated = seen.withColumn("stated", F.coalesce("eod", F.when(starts, F.when(F.col("txn_date") == F.col("since"), F.coalesce("opening", "first_opening")).otherwise(F.col("opening")))))
+    carried = stated.withColumn("balance", F.last("stated", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return carried.where("covered").select("account_key", "txn_date", "balance")
+
+
+def balance_months(daily: DataFrame) -> DataFrame:
+    """Covered days, average and lowest balance and negative days of each month of covered_balances."""
+    return daily.groupBy("account_key", F.date_format("txn_date", "yyyy-MM").alias("month")).agg(
+        F.count("*").alias("days"),
+        F.round(F.avg("balance"), 2).alias("average"),
+        F.min("balance").alias("lowest"),
+        F.count_if(F.col("balance") < 0).alias("negative_days"),
+    )
+
+
+def average_balances(months: DataFrame) -> DataFrame:
+    """An account's average monthly balance: over its months of FULL_MONTH covered days or more, null without one."""
+    return months.groupBy("account_key").agg(F.round(F.avg(F.when(F.col("days") >= FULL_MONTH, F.col("average"))), 2).alias("average"))
+
+
 def monthly(rows: DataFrame) -> DataFrame:
     cash = F.upper("narration").rlike(r"\bCASH\b")
     return rows.groupBy("account_key", F.date_format("txn_date", "yyyy-MM").alias("month")).agg(

@@ -183,7 +183,9 @@ SELECT txn_id, account_key, document_id, document_id <> first_value(document_id)
   PARTITION BY account_key, txn_date, debit, credit, {_NORM('narration')} ORDER BY document_id, seq, txn_id) AS duplicate
 FROM ({src.duck(src.REPEATED)})""")
 def duplicate_transactions(spark, sf_dir):
-    return ledger.mark_duplicates(src.view(spark, sf_dir, src.REPEATED)).select("txn_id", "account_key", "document_id", "duplicate")
+    # the view states no balances
+    rows = src.view(spark, sf_dir, src.REPEATED).withColumn("balance", F.lit(None).cast("long"))
+    return ledger.mark_duplicates(rows).select("txn_id", "account_key", "document_id", "duplicate")
 
 
 @query(f"""

@@ -66,6 +66,37 @@ def test_state_is_kept_resolved_and_reopened(spark):
     assert got == {("a", "r1", "r2", None), ("b", "r1", "r1", "r2"), ("c", "r0", "r2", None), ("d", "r2", "r2", None)}
 
 
+def test_duplicates_are_of_equal_balance_and_numbered_accounts(spark):
+    d = date(2024, 1, 5)
+    rows = [(1, "A", d, 1, 1, 50, 0, 950, "upi x"), (2, "A", d, 2, 1, 50, 0, 950, "UPI  X"), (3, "A", d, 2, 2, 50, 0, 900, "upi x"), (4, "A", d, 1, 2, 7, 0, None, "y"), (5, "A", d, 2, 3, 7, 0, None, "y")]
+    rows += [(6, "unnumbered-doc3", d, 3, 1, 50, 0, 950, "upi x"), (7, "A", d, 2, 4, 50, 0, 950, "upi x")]
+    got = ledger.mark_duplicates(spark.createDataFrame(rows, "txn_id long, account_key string, txn_date date, document_id long, seq long, debit long, credit long, balance long, narration string"))
+    assert {r.txn_id for r in got.where("duplicate").collect()} == {2, 5, 7} and got.count() == 7
+    unnumbered = spark.createDataFrame([(1, "doc3", d, 2, 1, 5, 0, 9, "z"), (2, "doc3", d, 3, 1, 5, 0, 9, "z")], got.drop("duplicate").schema)
+    assert ledger.mark_duplicates(unnumbered).where("duplicate").count() == 0
+
+
+def test_breaks_start_from_the_opening(spark):
+    d = date(2024, 1, 5)
+    rows = spark.createDataFrame([(1, 1, d, 1, 0, 100, 1100), (2, 1, d, 2, 50, 0, 1050), (3, 2, d, 1, 0, 5, 900), (4, 3, d, 1, 0, 5, 900)], "txn_id long, document_id long, txn_date date, seq long, debit long, credit long, balance long").withColumn("account_key", F.lit(1))
+    statements = spark.createDataFrame([(1, 1000), (2, 800), (3, None)], "document_id long, opening long")
+    assert [(r.txn_id, r.previous, r.off_by) for r in ledger.balance_breaks(rows, statements).collect()] == [(3, 800, -95)]
+
+
+def test_covered_days_restart_after_a_gap(spark):
+    d = date.fromisoformat
+    kinds = "account_key long, document_id long, period_start date, period_end date, opening long"
+    statements = [(1, 1, d("2024-01-01"), d("2024-01-25"), 100), (1, 2, d("2024-02-01"), d("2024-02-03"), -40), (1, 3, d("2024-02-04"), d("2024-02-05"), 999), (2, 4, d("2024-01-01"), d("2024-01-02"), None), (3, 5, d("2024-01-01"), d("2024-01-02"), 5), (1, 6, d("2024-02-10"), d("2024-02-10"), None)]
+    rows = [(1, 1, d("2024-01-03"), 1, 70), (1, 1, d("2024-01-03"), 2, 60), (1, 1, d("2023-12-30"), 0, 5), (1, 2, d("2024-02-03"), 1, 10), (1, 3, d("2024-02-08"), 1, 33), (2, 4, d("2024-01-01"), 1, 7)]
+    daily = ledger.covered_balances(spark.createDataFrame(rows, "account_key long, document_id long, txn_date date, seq long, balance long"), spark.createDataFrame(statements, kinds))
+    got = {str(r.txn_date): r.balance for r in daily.collect()}
+    want = {f"2024-01-{k:02}": 100 if k < 3 else 60 for k in range(1, 26)} | {"2024-02-01": -40, "2024-02-02": -40, "2024-02-03": 10, "2024-02-04": 10, "2024-02-05": 10, "2024-02-10": 33}
+    assert got == want and {r.account_key for r in daily.collect()} == {1}
+    months = ledger.balance_months(daily)
+    assert sorted(tuple(r)[1:] for r in months.collect()) == [("2024-01", 25, 63.2, 60, 0), ("2024-02", 6, -2.83, -40, 2)]
+    assert [r.average for r in ledger.average_balances(months).collect()] == [63.2]
+
+
 def test_retention_counts_each_rupee_once(spark):
     rows = [(1, date(2024, 1, 10), 1, 0, 10000), (1, date(2024, 1, 10), 2, 0, 10000), (1, date(2024, 1, 11), 3, 8000, 0)]
     got = ledger.retention(spark.createDataFrame(rows, "account_key long, txn_date date, seq long, debit long, credit long")).first()
