@@ -6,7 +6,7 @@ written as Parquet into the shared folder and read again as the next one's docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import bpe, chunks, decontaminate, neardup, quality
@@ -22,9 +22,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    """One document of each group of near duplicates: the one with the smallest doc_id.
+
+    Rows of one doc_id, or of none, with the same text are one document: the first by the other columns stays. Rows of
+    one doc_id with other texts all stay with it; a row without a doc_id is near to no other.
+    """
     kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    rows = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    # the doc_id as the join deals it, so that rows are not shuffled again
+    same = Window.partitionBy(F.coalesce("doc_id", F.lit(0).cast("long")), F.isnull("doc_id"), F.sha2("text", 256)).orderBy("lang", "source", "n_chars")
+    return rows.withColumn("__copy", F.row_number().over(same)).where("__copy = 1").drop("__copy")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
