@@ -1,44 +1,53 @@
-"""Benchmark decontamination: a prefix-filtered join of benchmark windows with documents.
+"""Benchmark decontamination: a prefix-filtered set join of benchmark windows with documents.
 
 A window is `window` consecutive words of an item (a shorter item is one
 window). The tokens of a window are its shingles of `shingle` consecutive
-words. All occurrences of all the windows' shingles are counted over all
-documents and a window's shingles are ordered by rarity. A window must be
-contained whole, so its necessary prefix is its single rarest shingle: only
-where that occurs can the window occur. At each occurrence the window's place
-follows from the shingle's position in it (positional bound), it must fit into
-the document (length bound), and its words are then compared one by one.
-
-The benchmark is joined in blocks of bounded size, each broadcast to one pass
-over the documents, so a benchmark of any size is matched completely.
+words.
+
+1. Rarity: all occurrences of the windows' shingles are counted over all
+   documents, and a window's shingles are ordered by that count. A window must
+   be contained whole, so its necessary prefix is its single rarest shingle;
+   a window with a shingle that occurs nowhere cannot occur and is done with.
+2. Join: every occurrence of a prefix shingle in a document meets the windows
+   of that prefix in a hash join. It brings the few words around it, so that
+   the join's rows can be verified where they are; occurrences alike in all of
+   these words are one row of a task, with the list of their places.
+3. Bounds and verification: the window's place follows from the shingle's
+   position in it (positional bound), its words must all be there (length
+   bound), and are then compared as text.
+
+No part of the benchmark goes through the driver. A Bloom filter of bounded
+size (bits.py) keeps shingles that no window has from being shuffled.
 
 Defined results: null texts have no words; items without words have no
 windows; repeated item_ids are one item with the windows of all its rows; null
-item_ids are left out; repeated documents each get their own row; extra
-columns stay, columns of the names that are added are replaced; an empty table
-gives no rows, an empty benchmark no hits.
+item_ids are left out; repeated documents each get their own row (equal texts
+are searched once a task and joined back by a 128-bit digest); extra columns
+stay, columns of the names that are added are replaced; an empty table gives
+no rows, an empty benchmark no hits.
 """
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import SPANS, free_names, schema_of, tidy
+from factloom.llm.bits import BitFilter, filter_of
+from factloom.llm.common import SPANS, free_names, join_hot, materialize, schema_of, tidy
 from factloom.llm.words import WordHashes, shingle_hashes
 
-#: Bytes of benchmark text that are broadcast at once.
-BLOCK_BYTES = 32 << 20
+#: Occurrences that a task holds before it sends them, and distinct shingles before it adds up their counts.
+HELD, COUNTED = 1 << 16, 1 << 20
 
-_WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _TO_SPACE = bytes(b if 0x30 <= b < 0x3A or 0x61 <= b < 0x7B or b >= 0x80 else b + 32 if 0x41 <= b < 0x5B else 0x20 for b in range(256))
+_MIX = 0x9E3779B97F4A7C15
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -46,164 +55,178 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TO_SPACE).split()
 
 
-class Windows:
-    """A block of benchmark windows: distinct word sequences and the items that hold them."""
+def count_words(texts: list[bytes]) -> np.ndarray:
+    """How many words each text has."""
+    ends = np.cumsum([0, *map(len, texts)])
+    inside = np.frombuffer(b"".join(texts).translate(_TO_SPACE), np.uint8) != 0x20
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    first = ends[:-1][ends[:-1] < len(inside)]
+    starts[first] = inside[first]
+    return np.diff(np.concatenate([[0], np.cumsum(starts)])[ends])
+
+
+def shingle_keys(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A key of each shingle of so many words; shingles of other sizes have other keys."""
+    return shingle_hashes(hashes, size) ^ np.uint64(size * _MIX % (1 << 64))
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int, shingle: int) -> None:
-        holders: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            words = words_of(text)
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                holders[tuple(words[i : i + window])].add(item)
-        self.words = list(holders)
-        self.items = [sorted(holders[w]) for w in self.words]
-        hashes = WordHashes()
-        #: For each window the size of its shingles, and their hashes in order.
-        self.sizes = [min(shingle, len(w)) for w in self.words]
-        self.shingles = [shingle_hashes(hashes.of(list(w)), k) for w, k in zip(self.words, self.sizes, strict=True)]
-
-    def vocabulary(self) -> dict[int, np.ndarray]:
-        found: dict[int, list[np.ndarray]] = defaultdict(list)
-        for k, s in zip(self.sizes, self.shingles, strict=True):
-            found[k].append(s)
-        return {k: np.unique(np.concatenate(v)) for k, v in found.items()}
-
-    def prefixes(self, counts: dict[tuple[int, int], int]) -> dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]]:
-        """By shingle size: the windows' rarest shingles, sorted, and for each the (window, offset) it stands for."""
-        found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for i, (k, s) in enumerate(zip(self.sizes, self.shingles, strict=True)):
-            offset = min(range(len(s)), key=lambda j: (counts.get((k, int(s[j])), 0), j))
-            found[k][int(s[offset])].append((i, offset))
-        out = {}
-        for k, by_hash in found.items():
-            keys = sorted(by_hash)
-            out[k] = np.array(keys, np.uint64), [by_hash[h] for h in keys]
-        return out
-
-
-def _member(values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the values that are in `of` (sorted, not empty), and where there."""
-    at = np.searchsorted(of, values)
-    at[at == len(of)] = 0
-    hit = np.flatnonzero(of[at] == values)
-    return hit, at[hit]
-
-
-def _count(docs: DataFrame, text_col: str, vocabulary: dict[int, np.ndarray]) -> dict[tuple[int, int], int]:
-    """How often each shingle of the vocabulary occurs in all documents."""
+
+WINDOWS = schema_of(id="binary", item="string", words="string", length="int", keys=T.ArrayType(T.LongType()))
+
+
+def cut_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
+    """A row for each window of each item. benchmark: item, text."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {k: np.zeros(len(v), np.int64) for k, v in vocabulary.items()}
         hashes = WordHashes()
         for batch in batches:
-            for text in batch.column(0):
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = words_of(text.as_py())
+                n = min(window, len(words))
+                k = min(shingle, n)
+                keys = shingle_keys(hashes.of(words), k).view(np.int64) if words else None
+                for at in range(0, len(words) - n + 1 if words else 0, 4096):
+                    starts = range(at, min(at + 4096, len(words) - n + 1))
+                    joined = [b" ".join(words[i : i + n]) for i in starts]
+                    own = np.concatenate([keys[i : i + n - k + 1] for i in starts])
+                    offsets = np.arange(0, len(own) + 1, n - k + 1, dtype=np.int32)
+                    columns = [pa.array([xxhash.xxh3_128_digest(w) for w in joined], pa.binary()), pa.array([item] * len(joined), pa.string())]
+                    columns += [pa.array([w.decode() for w in joined], pa.string()), pa.array([n] * len(joined), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, own)], names=WINDOWS.names)
+
+    return benchmark.mapInArrow(run, WINDOWS)
+
+
+def count_shingles(texts: DataFrame, wanted: BitFilter, sizes: list[int]) -> DataFrame:
+    """(key, n): how often the wanted shingles occur in all documents; a few others are counted too. texts: digest, text."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, bits = WordHashes(), shared.value
+        held: list[np.ndarray] = []
+        n_held = 0
+
+        def total() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+        for batch in batches:
+            for text in batch.column(1):
                 h = hashes.of(words_of(text.as_py()))
-                for k, v in vocabulary.items():
-                    _, at = _member(shingle_hashes(h, k), v)
-                    if len(at):
-                        np.add.at(totals[k], at, 1)
-        sizes = np.concatenate([np.full(len(v), k, np.int32) for k, v in vocabulary.items()])
-        keys = np.concatenate(list(vocabulary.values())).view(np.int64)
-        n = np.concatenate(list(totals.values()))
-        yield pa.RecordBatch.from_arrays([pa.array(x[n > 0]) for x in (sizes, keys, n)], names=["size", "shingle", "n"])
-
-    counted = docs.select(text_col).mapInArrow(run, "size int, shingle long, n long").groupBy("size", "shingle").agg(F.sum("n").alias("n"))
-    # no more rows than the block's vocabulary
-    return {(r["size"], r["shingle"] % (1 << 64)): r["n"] for r in counted.collect()}
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> Iterator[list[tuple[str, str | None]]]:
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string"), F.col(text_col))
-    block, held = [], 0
-    for item, text in items.toLocalIterator():
-        block.append((item, text))
-        held += len(text or "")
-        if held >= size:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+                for k in sizes:
+                    keys = shingle_keys(h, k)
+                    held.append(keys[bits.has(keys)])
+                    n_held += len(held[-1])
+                if n_held > COUNTED:
+                    yield total()
+                    held, n_held = [], 0
+        if n_held:
+            yield total()
 
+    return texts.mapInArrow(run, schema_of(key="long", n="long")).groupBy("key").agg(F.sum("n").alias("n"))
 
-HITS = schema_of(n_words="long", hit_spans=SPANS, items=T.ArrayType(T.StringType()))
 
+def rarest_prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """The windows that can occur, each with its rarest shingle: id, words, length, key, offset."""
+    tokens = windows.select("id", F.posexplode("keys").alias("offset", "key"))
+    counted = join_hot(tokens, counts, ["key"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = counted.groupBy("id").agg(F.min(F.struct("n", "offset", "key")).alias("rarest")).where("rarest.n > 0")
+    return windows.join(rarest, "id").select("id", "words", "length", "rarest.key", "rarest.offset")
 
-def find_windows(docs: DataFrame, windows: Windows, counts: dict[tuple[int, int], int], text_col: str) -> DataFrame:
-    """docs with n_words, hit_spans (runs of hit words) and items (those with a window in the document)."""
-    kept = [c for c in docs.columns if c not in HITS.names]
-    prefixes = windows.prefixes(counts)
-
-    def find(words: list[bytes], hashes: np.ndarray) -> tuple[list[dict], list[str]]:
-        items: set[str] = set()
-        marks: list[tuple[int, int]] = []
-        for k, (rare, owners) in prefixes.items():
-            where, which = _member(shingle_hashes(hashes, k), rare)
-            for at, owner in zip(where.tolist(), which.tolist(), strict=True):
-                for window, offset in owners[owner]:
-                    wanted = windows.words[window]
-                    start = at - offset
-                    if start < 0 or start + len(wanted) > len(words):
-                        continue
-                    if tuple(words[start : start + len(wanted)]) == wanted:
-                        marks.append((start, start + len(wanted)))
-                        items.update(windows.items[window])
-        spans: list[dict] = []
-        for start, stop in sorted(marks):
-            if spans and start <= spans[-1]["stop"]:
-                spans[-1]["stop"] = max(stop, spans[-1]["stop"])
-            else:
-                spans.append({"start": start, "stop": stop})
-        return spans, sorted(items)
+
+OCCURRENCES = schema_of(key="long", lead="int", context="string", digests=T.ArrayType(T.BinaryType()), places=T.ArrayType(T.IntegerType()))
+
+
+def occurrences(texts: DataFrame, wanted: BitFilter, sizes: list[int], window: int, shingle: int) -> DataFrame:
+    """Where the wanted shingles occur: the words around (lead of them before the shingle), and all places with the same words."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def send(held: dict[tuple, list]) -> pa.RecordBatch:
+        keys, leads, contexts = zip(*held, strict=True)
+        digests, places = ([[p[i] for p in found] for found in held.values()] for i in (0, 1))
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((keys, leads, [c.decode() for c in contexts], digests, places), kinds, strict=True)], names=OCCURRENCES.names)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, bits = WordHashes(), shared.value
+        held: dict[tuple, list] = defaultdict(list)
+        seen: set[bytes] = set()
+        n_held = 0
         for batch in batches:
-            n, spans, items = [], [], []
-            for text in batch.column(batch.schema.get_field_index(text_col)):
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if digest in seen:
+                    continue
+                if len(seen) >= HELD:
+                    seen.clear()
+                seen.add(digest)
                 words = words_of(text.as_py())
-                found = find(words, hashes.of(words))
-                n.append(len(words))
-                spans.append(found[0])
-                items.append(found[1])
-            made = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], *made], names=[*kept, *HITS.names])
-
-    return docs.mapInArrow(run, T.StructType([*[docs.schema[c] for c in kept], *HITS.fields]))
-
-
-def decontaminate(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    window: int = 10,
-    shingle: int = 3,
-    block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
-    """docs with n_words, hit_spans and items, for all windows of the whole benchmark."""
-    out = None
-    spans, names = free_names(docs, "__spans", "__items")
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        windows = Windows(block, window, shingle)
-        if not windows.words:
-            continue
-        counts = _count(docs, text_col, windows.vocabulary())
-        if out is None:
-            out = find_windows(docs, windows, counts, text_col)
-        else:
-            more = find_windows(out.withColumnsRenamed({"hit_spans": spans, "items": names}), windows, counts, text_col)
-            both = F.array_sort(F.concat("hit_spans", spans))
-            merged = F.aggregate(both, F.array().cast(HITS["hit_spans"].dataType), _merge)
-            out = more.withColumns({"hit_spans": merged, "items": F.array_sort(F.array_union("items", names))}).drop(spans, names)
-    return out if out is not None else find_windows(docs, Windows([], window, shingle), {}, text_col)
-
-
-def _merge(runs, span):
-    """Adds a span to sorted, disjoint runs."""
-    last = F.try_element_at(runs, F.lit(-1))
-    grown = F.struct(last["start"].alias("start"), F.greatest(last["stop"], span["stop"]).alias("stop"))
-    head = F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0)))
-    return F.when(last["stop"] >= span["start"], F.concat(head, F.array(grown))).otherwise(F.concat(runs, F.array(span)))
+                h = hashes.of(words)
+                for k in sizes:
+                    keys = shingle_keys(h, k)
+                    reach = window if k == shingle else k  # an item of fewer words is one shingle
+                    for at in np.flatnonzero(bits.has(keys)).tolist():
+                        first = max(0, at - reach + k)
+                        held[int(keys[at : at + 1].view(np.int64)[0]), at - first, b" ".join(words[first : at + reach])].append((digest, at))
+                        n_held += 1
+                        if n_held >= HELD:
+                            yield send(held)
+                            held, n_held = defaultdict(list), 0
+        if held:
+            yield send(held)
+
+    return texts.mapInArrow(run, OCCURRENCES)
+
+
+def verified(found: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(digest, start, stop, id): the windows of the prefixes that stand whole around the occurrences."""
+    whole = F.slice(F.split("context", " "), F.greatest(F.col("lead") - F.col("offset") + 1, F.lit(1)), F.col("length"))
+    fits = (F.col("lead") >= F.col("offset")) & (F.array_join(whole, " ") == F.col("words"))
+    hits = found.join(prefixes, "key").where(fits).select("id", "offset", "length", F.explode(F.arrays_zip("digests", "places")).alias("at"))
+    start = F.col("at.places") - F.col("offset")
+    return hits.select(F.col("at.digests").alias("digest"), start.alias("start"), (start + F.col("length")).alias("stop"), "id")
+
+
+def _runs(hits: DataFrame) -> DataFrame:
+    """The spans of each text, overlapping or touching ones merged."""
+    line = Window.partitionBy("digest").orderBy("start", "stop")
+    reach = F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    opened = hits.select("digest", "start", "stop").distinct().withColumn("opens", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
+    runs = opened.withColumn("run", F.sum("opens").over(line)).groupBy("digest", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return runs.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("hit_spans"))
+
+
+HITS = schema_of(n_words="long", hit_spans=SPANS, items=T.ArrayType(T.StringType()))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3) -> DataFrame:
+    """docs with n_words, hit_spans (runs of hit words) and items (those with a window in the document)."""
+    (digest,) = free_names(docs, "__digest")
+    text = F.col(text_col).cast("string")
+    key = F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+    kept = docs.select(*[c for c in docs.columns if c not in HITS.names], key.alias(digest))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = count_words([t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "n_words"])
+
+    whole = kept.mapInArrow(counted, T.StructType([*kept.schema.fields, HITS["n_words"]]))
+    texts = docs.where(F.col(text_col).isNotNull()).select(key.alias("digest"), text.alias("text"))
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string"), F.col(item_text_col).cast("string"))
+    cut = materialize(cut_windows(items, window, shingle), "windows")
+    sizes = sorted(r[0] for r in cut.select(F.col("length") - F.size("keys") + 1).distinct().collect())  # at most `shingle` numbers
+    if not sizes:
+        return whole.drop(digest).withColumns({n: F.array().cast(HITS[n].dataType) for n in HITS.names[1:]})
+    windows = materialize(cut.drop("item").dropDuplicates(["id"]), "windows")
+    vocabulary = materialize(windows.select(F.explode("keys").alias("key")).distinct(), "shingles")
+    prefixes = materialize(rarest_prefixes(windows, count_shingles(texts, filter_of(vocabulary), sizes)), "prefixes")
+    rare = filter_of(materialize(prefixes.select("key").distinct(), "shingles"))
+    hits = materialize(verified(occurrences(texts, rare, sizes, window, shingle), prefixes), "hits")
+    held = hits.select("digest", "id").distinct().join(cut.select("id", "item").distinct(), "id")
+    names = held.select("digest", "item").distinct().groupBy("digest").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    found = _runs(hits).join(names, "digest").withColumnRenamed("digest", digest)
+    empty = {n: F.coalesce(n, F.array().cast(HITS[n].dataType)) for n in HITS.names[1:]}
+    return join_hot(whole, found, [digest], "left").drop(digest).withColumns(empty)

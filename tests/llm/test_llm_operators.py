@@ -191,17 +191,19 @@ def test_decontamination_matches_brute_force(spark, docs, texts, nothing):
         w = split(t)
         for k in range(max(1, len(w) - 9) if w and item else 0):
             windows.setdefault(tuple(w[k : k + 10]), set()).add(str(item))
-    for size in (1 << 20, 40):  # one block, and several
-        got = by_id(decontaminate.decontaminate(docs, bench, block_bytes=size))
-        for i, t in texts.items():
-            w, hit, names = split(t), set(), set()
-            for win, owners in windows.items():
-                for k in range(len(w) - len(win) + 1):
-                    if tuple(w[k : k + len(win)]) == win:
-                        hit.update(range(k, k + len(win)))
-                        names |= owners
-            assert (got[i].n_words, got[i]["items"]) == (len(w), sorted(names))
-            assert {p for s in got[i].hit_spans for p in range(s.start, s.stop)} == hit
+    rows = decontaminate.decontaminate(docs, bench)
+    got = by_id(rows)
+    assert set(rows.columns) == {*docs.columns, *decontaminate.HITS.names}
+    for i, t in texts.items():
+        w, hit, names = split(t), set(), set()
+        for win, owners in windows.items():
+            for k in range(len(w) - len(win) + 1):
+                if tuple(w[k : k + len(win)]) == win:
+                    hit.update(range(k, k + len(win)))
+                    names |= owners
+        assert (got[i].n_words, got[i]["items"]) == (len(w), sorted(names))
+        assert {p for s in got[i].hit_spans for p in range(s.start, s.stop)} == hit
+    assert [r["items"] for r in rows.where("doc_id IS NULL").collect()] == [got[18]["items"]]
     assert decontaminate.decontaminate(nothing, bench).count() == 0
     assert all(r["items"] == [] for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
 
