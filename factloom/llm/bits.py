@@ -26,23 +26,19 @@ class BitFilter:
         self.shift = np.uint64(64 - (bits - 1).bit_length()) if bits else None
         self.bytes = np.zeros(bits // 8, np.uint8)
 
-    def _places(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def add(self, keys: np.ndarray) -> None:
         for odd in _PROBES:
             at = (keys * odd) >> self.shift
-            yield (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+            np.bitwise_or.at(self.bytes, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
-    def add(self, keys: np.ndarray) -> None:
-        for place, bit in self._places(keys):
-            np.bitwise_or.at(self.bytes, place, bit)
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        """Which keys (uint64) may have been put in."""
-        if self.shift is None:
-            return np.zeros(len(keys), bool)
-        out = np.ones(len(keys), bool)
-        for place, bit in self._places(keys):
-            out &= (self.bytes[place] & bit) != 0
-        return out
+    def passing(self, keys: np.ndarray) -> np.ndarray:
+        """Where those keys (uint64) stand that may have been put in."""
+        left = np.arange(len(keys) if self.shift is not None else 0)
+        for odd in _PROBES:
+            at = (keys[left] * odd) >> self.shift if len(left) else left.astype(np.uint64)
+            set_bits = self.bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)
+            left = left[(set_bits & 1).astype(bool)]
+        return left
 
 
 def filter_of(keys: DataFrame) -> BitFilter:

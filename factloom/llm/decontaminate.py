@@ -29,6 +29,7 @@ no rows, an empty benchmark no hits.
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -44,26 +45,23 @@ from factloom.llm.common import SPANS, free_names, join_hot, materialize, schema
 from factloom.llm.words import WordHashes, shingle_hashes
 
 #: Occurrences that a task holds before it sends them, and distinct shingles before it adds up their counts.
-HELD, COUNTED = 1 << 16, 1 << 20
+HELD, COUNTED = 1 << 15, 1 << 20
+#: Words that are hashed together.
+LINE = 1 << 16
 
 _TO_SPACE = bytes(b if 0x30 <= b < 0x3A or 0x61 <= b < 0x7B or b >= 0x80 else b + 32 if 0x41 <= b < 0x5B else 0x20 for b in range(256))
 _MIX = 0x9E3779B97F4A7C15
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The words in lower case (A-Z only): runs of digits, letters a-z and characters beyond ASCII."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_TO_SPACE).split()
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a UTF-8 text in lower case (A-Z only): runs of digits, letters a-z and characters beyond ASCII."""
+    return text.translate(_TO_SPACE).split()
 
 
-def count_words(texts: list[bytes]) -> np.ndarray:
-    """How many words each text has."""
-    ends = np.cumsum([0, *map(len, texts)])
-    inside = np.frombuffer(b"".join(texts).translate(_TO_SPACE), np.uint8) != 0x20
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    first = ends[:-1][ends[:-1] < len(inside)]
-    starts[first] = inside[first]
-    return np.diff(np.concatenate([[0], np.cumsum(starts)])[ends])
+def count_words(text: bytes) -> int:
+    """How many there are, without making them."""
+    inside = np.frombuffer(text.translate(_TO_SPACE), np.uint8) != 0x20
+    return int(np.count_nonzero(inside[1:] & ~inside[:-1])) + bool(len(inside) and inside[0])
 
 
 def shingle_keys(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -81,8 +79,8 @@ def cut_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words_of(text.as_py())
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                words = words_of(text.as_py() or b"")
                 n = min(window, len(words))
                 k = min(shingle, n)
                 keys = shingle_keys(hashes.of(words), k).view(np.int64) if words else None
@@ -98,13 +96,51 @@ def cut_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
     return benchmark.mapInArrow(run, WINDOWS)
 
 
+class Words:
+    """The words of several texts in one line, so that their shingles are hashed and looked up together."""
+
+    def __init__(self, digests: list[bytes], texts: list[list[bytes]], hashes: WordHashes) -> None:
+        self.digests, self.words = digests, list(itertools.chain.from_iterable(texts))
+        self.ends = np.cumsum([len(t) for t in texts])
+        self.hashes = hashes.of(self.words)
+
+    def wanted(self, bits: BitFilter, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, place in the line and text of the shingles of this size that the filter lets pass."""
+        keys = shingle_keys(self.hashes, size)
+        at = bits.passing(keys)
+        text = np.searchsorted(self.ends, at, side="right")
+        inside = at + size <= self.ends[text]
+        return keys[at[inside]], at[inside], text[inside]
+
+
+def lines_of(batches: Iterator[pa.RecordBatch], once: bool) -> Iterator[Words]:
+    """The texts of batches of (digest, text) in groups; once: equal texts that are near each other count as one."""
+    hashes, seen = WordHashes(), set()
+    digests, texts, n = [], [], 0
+    for batch in batches:
+        for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            if once:
+                if digest in seen:
+                    continue
+                if len(seen) >= HELD:
+                    seen.clear()
+                seen.add(digest)
+            digests.append(digest)
+            texts.append(words_of(text.as_py()))
+            n += len(texts[-1])
+            if n >= LINE:
+                yield Words(digests, texts, hashes)
+                digests, texts, n = [], [], 0
+    if n:
+        yield Words(digests, texts, hashes)
+
+
 def count_shingles(texts: DataFrame, wanted: BitFilter, sizes: list[int]) -> DataFrame:
     """(key, n): how often the wanted shingles occur in all documents; a few others are counted too. texts: digest, text."""
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = WordHashes(), shared.value
         held: list[np.ndarray] = []
         n_held = 0
 
@@ -112,16 +148,13 @@ def count_shingles(texts: DataFrame, wanted: BitFilter, sizes: list[int]) -> Dat
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-        for batch in batches:
-            for text in batch.column(1):
-                h = hashes.of(words_of(text.as_py()))
-                for k in sizes:
-                    keys = shingle_keys(h, k)
-                    held.append(keys[bits.has(keys)])
-                    n_held += len(held[-1])
-                if n_held > COUNTED:
-                    yield total()
-                    held, n_held = [], 0
+        for line in lines_of(batches, once=False):
+            for k in sizes:
+                held.append(line.wanted(shared.value, k)[0])
+                n_held += len(held[-1])
+            if n_held > COUNTED:
+                yield total()
+                held, n_held = [], 0
         if n_held:
             yield total()
 
@@ -151,29 +184,20 @@ def occurrences(texts: DataFrame, wanted: BitFilter, sizes: list[int], window: i
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = WordHashes(), shared.value
         held: dict[tuple, list] = defaultdict(list)
-        seen: set[bytes] = set()
         n_held = 0
-        for batch in batches:
-            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if digest in seen:
-                    continue
-                if len(seen) >= HELD:
-                    seen.clear()
-                seen.add(digest)
-                words = words_of(text.as_py())
-                h = hashes.of(words)
-                for k in sizes:
-                    keys = shingle_keys(h, k)
-                    reach = window if k == shingle else k  # an item of fewer words is one shingle
-                    for at in np.flatnonzero(bits.has(keys)).tolist():
-                        first = max(0, at - reach + k)
-                        held[int(keys[at : at + 1].view(np.int64)[0]), at - first, b" ".join(words[first : at + reach])].append((digest, at))
-                        n_held += 1
-                        if n_held >= HELD:
-                            yield send(held)
-                            held, n_held = defaultdict(list), 0
+        for line in lines_of(batches, once=True):
+            starts = np.concatenate([[0], line.ends[:-1]]).tolist()
+            for k in sizes:
+                reach = window if k == shingle else k  # an item of fewer words is one shingle
+                keys, at, text = line.wanted(shared.value, k)
+                for key, place, t in zip(keys.view(np.int64).tolist(), at.tolist(), text.tolist(), strict=True):
+                    first = max(starts[t], place - reach + k)
+                    held[key, place - first, b" ".join(line.words[first : min(place + reach, line.ends[t])])].append((line.digests[t], place - starts[t]))
+                n_held += len(keys)
+                if n_held >= HELD:
+                    yield send(held)
+                    held, n_held = defaultdict(list), 0
         if held:
             yield send(held)
 
@@ -208,9 +232,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     key = F.unhex(F.substring(F.sha2(text, 256), 1, 32))
     kept = docs.select(*[c for c in docs.columns if c not in HITS.names], key.alias(digest))
 
+    @tidy
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = count_words([t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()])
+            n = [count_words(t.as_py() or b"") for t in batch.column(text_col).cast(pa.string()).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "n_words"])
 
     whole = kept.mapInArrow(counted, T.StructType([*kept.schema.fields, HITS["n_words"]]))
