@@ -1,6 +1,7 @@
 """Each operator against a plain version, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -186,6 +187,7 @@ def test_decontamination_matches_brute_force(spark, docs, texts, nothing):
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     split = lambda t: found.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+    assert all(decontaminate.count_words((t or "").encode()) == len(split(t)) for t in texts.values())
     windows = {}
     for item, t in items:
         w = split(t)
@@ -208,17 +210,21 @@ def test_decontamination_matches_brute_force(spark, docs, texts, nothing):
     assert all(r["items"] == [] for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
 
 
-def test_warc_round_trip(spark):
-    pages = [(3, "http://a/\r\nX: y", "same \r\n\r\n WARC/1.1"), (1, None, "same \r\n\r\n WARC/1.1"), (2, "http://b", None), (4, "http://c", ""), (5, "u", "é" * 60_000), (3, "u", "same \r\n\r\n WARC/1.1"), (None, "n", "other")]
+@pytest.mark.parametrize("most", [1 << 17, 0])
+def test_warc_round_trip(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", most)  # broadcast, or filtered and shuffled
+    same = "same \r\n\r\n WARC/1.1"
+    pages = [(3, "http://a/\r\nX: y", same), (1, None, same), (2, "http://b", None), (4, "http://c", ""), (5, "u", "é" * 60_000), (3, "u", same), (None, "n", "other"), (6, "v", "alone"), (7, "p", "pair"), (8, "p", "pair")]
     df = spark.createDataFrame([(*p, "x", "y") for p in pages], "page_id long, url string, html string, digest string, payload string")
     path = scratch_path(spark, "test")
     warc.write_archive(df, path)
+    records = warc.read_archive(spark, path, with_blocks=True).collect()
     rows = warc.join_revisits(warc.read_archive(spark, path)).collect()
-    assert len(rows) == len(pages)
+    assert len(rows) == len(pages) == len({r.record_id for r in records})
     got = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in rows}
-    assert got == {(3, 18, "revisit", 1), (1, 18, "response", None), (2, 0, "response", None), (4, 0, "revisit", 2), (5, 120_000, "response", None), (None, 5, "response", None)}
-    assert {r.payload_digest for r in rows if r.page_id == 1} == {base64.b32encode(hashlib.sha1(b"same \r\n\r\n WARC/1.1").digest()).decode()}
-    blocks = {r.page_id: bytes(r.block) for r in warc.read_archive(spark, path, with_blocks=True).collect()}
+    assert got == {(3, 18, "revisit", 1), (1, 18, "response", None), (2, 0, "response", None), (4, 0, "revisit", 2), (5, 120_000, "response", None), (None, 5, "response", None), (6, 5, "response", None), (7, 4, "response", None), (8, 4, "revisit", 7)}
+    assert {r.payload_digest for r in rows if r.page_id == 1} == {base64.b32encode(hashlib.sha1(same.encode()).digest()).decode()}
+    blocks = {r.page_id: bytes(r.block) for r in records}
     assert blocks[5] == ("é" * 60_000).encode() and blocks[3] == b""
     small = scratch_path(spark, "test")
     warc.write_archive(df, small, min_bytes=100)
@@ -228,6 +234,16 @@ def test_warc_round_trip(spark):
     assert warc.read_archive(spark, empty).count() == 0
 
 
+def test_warc_files_are_gzip_members_of_whole_records(spark):
+    path = scratch_path(spark, "test")
+    warc.write_archive(spark.createDataFrame([(i, f"http://h/{i}", f"page {i} " * 300) for i in range(50)], "page_id long, url string, html string").coalesce(1), path)
+    (content,) = [bytes(r.content) for r in spark.read.format("binaryFile").load(path + "/part-*").collect()]
+    plain = gzip.decompress(content)
+    assert plain.count(b"WARC/1.1\r\n") == 50 and plain.endswith(b"\r\n\r\n")
+    starts = [m.start() for m in re.finditer(re.escape(warc._END), content)]
+    assert len(starts) == 50 and gzip.decompress(content[starts[9] + len(warc._END) :]).startswith(b"WARC/1.1\r\n")
+
+
 def test_url_rules(spark):
     rules = spark.createDataFrame([("com", "/en/", "block"), ("Example.com", "/en/7", "allow"), ("example.com", "/en/7", "allow"), ("b.org", "", "block"), ("b.org", "", "allow"), (None, "/", "block")], urls.RULES)
     cases = {
