@@ -17,10 +17,12 @@ from factloom.session import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local folder only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may leave it unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.sparkContext.setCheckpointDir(path)
@@ -36,12 +38,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch path that no later read needs."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet into the shared folder and reads it back."""
     spark = df.sparkSession

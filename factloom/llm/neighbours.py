@@ -11,13 +11,15 @@ for a query before it is shuffled, so a query sends k rows a task, not k a leaf.
 
 Equal vectors are indexed by their k + 1 smallest ids alone (no list can use
 more), and equal queries are searched once, so a vector that fills a third of
-the table costs no more than another. A task holds at most about PIECE_ROWS
-vectors of a leaf (a larger leaf is dealt to several tasks), streams the queries
-past them in blocks, and sends what it has found in parts of MERGED_ROWS.
+the table costs no more than another. Leaves are counted first: one of more
+than PIECE_ROWS vectors is dealt to as many tasks as its size asks for, each of
+which sees all its queries. A task streams the queries past its vectors in
+blocks, and sends what it has found in parts of MERGED_ROWS.
 
 Defined results: vectors that are null, empty, all zero, or hold a null or
 non-finite component, and rows with a null id, take no part; vectors of another
-length than the query's are an error; equal distances go to the smaller id; a
+length than the query's are an error; components that are floats stay floats
+in the shuffle, all others are doubles, and all distances are in doubles; equal distances go to the smaller id; a
 query with fewer candidates than k gets all; repeated rows count once; rows
 that share an id with different vectors are one candidate at its nearest and,
 as queries, are searched each; other columns are not looked at; an empty table
@@ -143,7 +145,7 @@ _CELLS = ("cell", "kind", "id", "vector")
 _FOUND = schema_of(key="long", vec_id="long", score="double")
 
 
-def _rerank(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rerank(k: int, stored: type, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cell, indexed vectors first: for each query the k nearest of the cells of a task, in several parts if they are many."""
     cell, ids, blocks, found, n_found = None, [], [], [], 0
 
@@ -164,7 +166,7 @@ def _rerank(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 cell, ids, blocks = cells[a], [], []
             if kinds[a] == 1 and not blocks:
                 continue
-            x = np.frombuffer(b"".join(raw.slice(a, b - a).to_pylist()), np.float32).reshape(b - a, -1)
+            x = np.frombuffer(b"".join(raw.slice(a, b - a).to_pylist()), stored).reshape(b - a, -1)
             if kinds[a] == 0:
                 ids.append(keys[a:b])
                 blocks.append(x)
@@ -204,7 +206,9 @@ def nearest(
     queries: which rows of the table are queries (a condition on it); by default all.
     """
     asked = F.lit(True) if queries is None else queries
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(T.ArrayType(T.FloatType())).alias("vector"), F.coalesce(asked, F.lit(False)).alias("asked"))
+    component = vectors.schema[vector_col].dataType.elementType
+    as_stored, stored = (component, np.float32) if isinstance(component, T.FloatType) else (T.DoubleType(), np.float64)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(T.ArrayType(as_stored)).alias("vector"), F.coalesce(asked, F.lit(False)).alias("asked"))
     rows = rows.where(F.col("id").isNotNull() & usable("vector"))
     alike = Window.partitionBy("vector").orderBy("id")
     indexed = rows.withColumn("__n", F.dense_rank().over(alike)).where(F.col("__n") <= k + 1).distinct()
@@ -214,12 +218,24 @@ def nearest(
     shared = vectors.sparkSession.sparkContext.broadcast(forest)  # its size is bounded by the sample's
     n_leaves = max(LEAST_VISITED, round(visited * trees * (forest.inner + 1)))
 
-    # a leaf of more than PIECE_ROWS vectors is dealt to several tasks, each of which sees all its queries
-    pieces = -(-vectors.count() // ((forest.inner + 1) * PIECE_ROWS)) or 1
+    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many vectors of a task each leaf of each tree has."""
+        forest = shared.value
+        total = np.zeros((trees, forest.inner + 1), np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                leaf = forest.leaves(_matrix(batch.column(0).slice(start, 4096)))
+                np.add.at(total, (np.broadcast_to(np.arange(trees), leaf.shape), leaf), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["leaf", "n"])
+
+    counted = indexed.select("vector").mapInArrow(size, schema_of(leaf="long", n="long")).groupBy("leaf").agg(F.sum("n").alias("n"))
+    pieces = np.ones((trees, forest.inner + 1), np.int64)  # of each leaf: as many numbers as there are leaves
+    for row in counted.where(F.col("n") > PIECE_ROWS).collect():
+        pieces.ravel()[row.leaf] = -(-row.n // PIECE_ROWS)
 
     def place(kind: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each tree and vector, or for each piece of a leaf that a query visits."""
-        forest, step = shared.value, 1024 if kind == 0 else max(1, 16_384 // (n_leaves * pieces))
+        forest, step = shared.value, 1024 if kind == 0 else max(1, 16_384 // (n_leaves * int(pieces.max())))
         for whole in batches:
             for start in range(0, whole.num_rows, step):
                 batch = whole.slice(start, step)
@@ -228,13 +244,13 @@ def nearest(
                     leaf = forest.leaves(x)
                     row = np.repeat(np.arange(len(x)), trees)
                     piece = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-                    cell = (np.arange(trees) << 48 | leaf << 24).ravel() | (piece.astype(np.int64) % pieces)[row]
+                    of_leaf = pieces[np.arange(trees)[None, :], leaf].ravel()
+                    cell = (np.arange(trees) << 48 | leaf << 24).ravel() | piece.astype(np.int64)[row] % of_leaf
                 else:
-                    found = [forest.visit(q, n_leaves) for q in x]
-                    row = np.repeat(np.arange(len(x)), [len(f) * pieces for f in found])
-                    leaf = np.array([t << 48 | i << 24 for f in found for t, i in f], np.int64)
-                    cell = (leaf[:, None] | np.arange(pieces)).ravel()
-                packed = pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())
+                    found = [[(t, i, p) for t, i in forest.visit(q, n_leaves) for p in range(pieces[t, i])] for q in x]
+                    row = np.repeat(np.arange(len(x)), [len(f) for f in found])
+                    cell = np.array([t << 48 | i << 24 | p for f in found for t, i, p in f], np.int64)
+                packed = pa.array([v.tobytes() for v in x.astype(stored)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(len(cell), kind, np.int32)), pa.array(ids[row]), packed.take(pa.array(row))], names=_CELLS)
 
     placed = schema_of(cell="long", kind="int", id="long", vector="binary")
@@ -243,10 +259,10 @@ def nearest(
     data = indexed.select("id", "vector").mapInArrow(lambda it: place(0, it), placed)
     probes = classes.select("key", "vector").mapInArrow(lambda it: place(1, it), placed)
     dealt = data.unionByName(probes).repartition("cell").sortWithinPartitions("cell", "kind")
-    found = dealt.mapInArrow(lambda it: _rerank(k + 1, it), _FOUND)
+    found = dealt.mapInArrow(lambda it: _rerank(k + 1, stored, it), _FOUND)
     nearest_first = found.groupBy("key", "vec_id").agg(F.min("score").alias("score"))
     ranked = nearest_first.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1)
     lists = ranked.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("list"))
-    named = join_hot(members.join(classes, "vector").select("id", "key"), lists, ["key"])
+    named = join_hot(join_hot(members, classes, ["vector"]).select("id", "key"), lists, ["key"])
     others = F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("id")), 1, k)
     return named.select(F.col("id").alias("query_id"), F.posexplode(others)).select("query_id", (F.col("pos") + 1).alias("rank"), "col.vec_id", "col.score")
