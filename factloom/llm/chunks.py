@@ -9,8 +9,9 @@ documents: a chunk is repeated if a document with a smaller doc_id has it or
 if it stands earlier in the same text. The chunk over each edge of a repeated
 passage matches nothing, so a run of repeated chunks is widened byte by byte
 against the earlier text that it repeats: that text's surroundings of the chunks
-are fetched. Widened runs of at least `min_run` bytes are removed; shorter ones
-are chance and stay. A passage that holds no whole chunk of its own is not found.
+are fetched. All widened runs are removed, or, where `min_run` is given, those of
+at least so many bytes: then `n_repeated` counts the repeated chunks of all runs.
+A passage that holds no whole chunk of its own is not found.
 
 Defined results: null and empty texts have no chunks and stay as they are;
 rows that share a doc_id do not count as repeats of each other; rows with a
@@ -33,7 +34,7 @@ from factloom.llm import packed
 from factloom.llm.common import SPANS, free_names, schema_of, tidy
 
 #: About so many bytes a chunk beyond the least: one cut in so many places.
-AVERAGE, LEAST, LARGEST, MIN_RUN = 32, 16, 256, 100
+AVERAGE, LEAST, LARGEST = 32, 16, 256
 GROUP_BYTES = 8 << 20
 #: Bytes fetched before a repeated chunk; after it, LARGEST and a character are enough, as the next chunk begins alike.
 BEFORE = 1024
@@ -118,11 +119,12 @@ ADDED = schema_of(n_bytes="long", n_chunks="long", n_repeated="long", removed_sp
 
 
 def deduplicate(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", average: int = AVERAGE, least: int = LEAST, largest: int = LARGEST, min_run: int = MIN_RUN
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", average: int = AVERAGE, least: int = LEAST, largest: int = LARGEST, min_run: int = 0
 ) -> DataFrame:
     """docs with n_bytes, n_chunks, n_repeated, removed_spans (in UTF-8 bytes) and kept (the text that is left)."""
     sizes = {"average": average, "least": least, "largest": largest}
-    parts = packed.parts_of(docs.sparkSession)
+    tasks = packed.tasks_for(docs.sparkSession, packed.text_bytes(docs, text_col))
+    parts = packed.parts_of(tasks)
 
     @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +137,7 @@ def deduplicate(
 
     sent = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(send, packed.SENT)
     number, known, asked, around = free_names(docs, "__id", "__keys", "__asked", "__around")
-    answers = packed.answer(sent, width=16, all_of_shared=False, sources=True)
+    answers = packed.answer(sent, tasks, width=16, all_of_shared=False, sources=True)
     kept = [c for c in docs.columns if c not in ADDED.names]
     whole_docs = docs.select(*kept)
     same = F.col(id_col).cast("long") == F.col(number)

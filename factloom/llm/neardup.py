@@ -95,7 +95,8 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 def shared_buckets(signatures: DataFrame) -> DataFrame:
     """(bucket, id) for all band buckets with several ids. signatures: id, signature."""
-    parts = packed.parts_of(signatures.sparkSession)
+    tasks = packed.tasks_for(signatures.sparkSession, signatures.count() * 4 * HASHES)
+    parts = packed.parts_of(tasks)
     band = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     mix = np.uint64(0xD6E8FEB86659FD93)
 
@@ -120,7 +121,7 @@ def shared_buckets(signatures: DataFrame) -> DataFrame:
                 k = np.frombuffer(b"".join(keys), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), i, np.int64))], names=["bucket", "id"])
 
-    answers = packed.answer(signatures.mapInArrow(send, packed.SENT), width=8, all_of_shared=True)
+    answers = packed.answer(signatures.mapInArrow(send, packed.SENT), tasks, width=8, all_of_shared=True)
     return answers.mapInArrow(unpack, schema_of(bucket="long", id="long")).distinct()
 
 

@@ -5,7 +5,8 @@ arrays: each group of documents sends, for each part of the key space, one row
 with its distinct keys and the smallest document that has each. A key that a
 third of all documents share is thus one entry for each group, not one for
 each document; what a group knows of itself it answers at once. The parts go
-to as many partitions as any shuffle of the session.
+to as many partitions as any shuffle of the session, or more, as the input's
+size asks for: what a task holds does not grow with the table.
 """
 
 from __future__ import annotations
@@ -20,14 +21,28 @@ from pyspark.sql import functions as F
 from factloom.llm.common import schema_of, shuffle_width, tidy
 
 #: ids: the documents; counts: how many of the keys each has; keys: in the order of the documents
-SENT = schema_of(part="int", kind="int", ids="binary", counts="binary", keys="binary")
+#: many: positions and counts of the keys that the group has COUNTED times or more (where counts are asked for)
+SENT = schema_of(part="int", kind="int", ids="binary", counts="binary", keys="binary", many="binary")
 ANSWERS = schema_of(id="long", keys="binary")
-#: kind of a row: keys to compare with those of other groups, or answers that only pass through
-KEYS, LOCAL = 0, 1
+#: kind of a row: keys to compare with those of other groups, answers that only pass through, or keys that very many have
+KEYS, LOCAL, HOT = 0, 1, 2
+#: Bytes of input for each task of a shuffle.
+TASK_BYTES = 32 << 20
+#: A group that has a key less often does not say how often.
+COUNTED = 16
 
 
-def parts_of(spark: SparkSession) -> int:
-    return 2 * shuffle_width(spark)
+def tasks_for(spark: SparkSession, n_bytes: int | None) -> int:
+    """How many tasks a packed shuffle of so many bytes of input takes."""
+    return max(shuffle_width(spark), -(-(n_bytes or 0) // TASK_BYTES))
+
+
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+
+
+def parts_of(tasks: int) -> int:
+    return 2 * tasks
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -81,12 +96,13 @@ def _with_source(keys: np.ndarray, sources: np.ndarray) -> np.ndarray:
     return np.column_stack([keys, sources.view(np.uint64)])
 
 
-def send(keys: np.ndarray, ids: np.ndarray, parts: int, all_of_shared: bool, width: int, sources: bool = False) -> Iterator[tuple]:
+def send(keys: np.ndarray, ids: np.ndarray, parts: int, all_of_shared: bool, width: int, sources: bool = False, counted: bool = False) -> Iterator[tuple]:
     """Rows of SENT for one group of documents. keys, ids: each key of a document with its id (a repeated one counts once).
 
     all_of_shared: answer every document of a key that several have; else all but the smallest.
     width: bytes that are sent of each key; fewer than it has make rare false matches.
     sources: answers name a smaller document that has the key, in 8 bytes after it (keys of whole words only).
+    counted: say which keys the group has COUNTED times or more.
     """
     order, starts, low, high = compare(keys, ids)
     n = len(order)
@@ -99,43 +115,62 @@ def send(keys: np.ndarray, ids: np.ndarray, parts: int, all_of_shared: bool, wid
         named = _with_source(keys[told], lows[answered]) if sources else keys[told]
         yield _row(int(part_of(keys[told[:1]], parts)[0]), LOCAL, named, ids[told], width + 8 * sources)
     unique, smallest = keys[order[starts]], low
+    times = np.diff(np.append(starts, n)) if counted else None
     part = part_of(unique, parts)
     by_part = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[by_part])) + 1
     for chosen in np.split(by_part, cuts):
-        yield _row(int(part[chosen[0]]), KEYS, unique[chosen], smallest[chosen], width)
+        yield _row(int(part[chosen[0]]), KEYS, unique[chosen], smallest[chosen], width, times[chosen] if counted else None)
 
 
-def _row(part: int, kind: int, keys: np.ndarray, ids: np.ndarray, width: int) -> tuple:
+def _row(part: int, kind: int, keys: np.ndarray, ids: np.ndarray, width: int, times: np.ndarray | None = None) -> tuple:
     order = np.argsort(ids, kind="stable")
     distinct, counts = np.unique(ids[order], return_counts=True)
-    return part, kind, distinct.tobytes(), counts.astype(np.uint32).tobytes(), pack(keys[order], width)
+    many = b""
+    if times is not None:
+        at = np.flatnonzero(times[order] >= COUNTED)
+        many = np.stack([at, times[order][at]]).astype(np.uint32).tobytes()
+    return part, kind, distinct.tobytes(), counts.astype(np.uint32).tobytes(), pack(keys[order], width), many
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=SENT.names)
 
 
-def answer(sent: DataFrame, width: int, all_of_shared: bool, sources: bool = False) -> DataFrame:
-    """For each document the packed keys that others share (or that a smaller document has): one row an id."""
+def answer(sent: DataFrame, tasks: int, width: int, all_of_shared: bool, sources: bool = False, hot: int = 0) -> DataFrame:
+    """For each document the packed keys that others share (or that a smaller document has): one row an id.
+
+    hot: rows without an id name the keys that all documents together may have so often or more. A group that does not
+    say how often it has a key counts as COUNTED - 1, so a key that is not named is surely rarer.
+    """
     told_width = width + 8 * sources
+    parts = parts_of(tasks)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, told_keys, told_ids = [], [], [], []
+        keys, ids, times, told_keys, told_ids = [], [], [], [], []
         for batch in batches:
-            for kind, distinct, counts, packed in zip(*(batch.column(c).to_pylist() for c in SENT.names[1:]), strict=True):
+            for kind, distinct, counts, packed, many in zip(*(batch.column(c).to_pylist() for c in SENT.names[1:]), strict=True):
                 k = unpack(packed, width if kind == KEYS else told_width)
                 i = np.repeat(np.frombuffer(distinct, np.int64), np.frombuffer(counts, np.uint32))
                 (keys if kind == KEYS else told_keys).append(k)
                 (ids if kind == KEYS else told_ids).append(i)
+                if kind == KEYS and hot:
+                    times.append(np.full(len(k), COUNTED - 1, np.uint32))
+                    at, n = np.frombuffer(many, np.uint32).reshape(2, -1)
+                    times[-1][at] = n
         if keys:
             k, i = np.concatenate(keys), np.concatenate(ids)
             keys.clear()
             order, starts, low, high = compare(k, i)
             shared = low != high
+            if hot and len(order):
+                often = shared & (np.add.reduceat(np.concatenate(times)[order].astype(np.int64), starts) >= hot)
+                if often.any():
+                    named = k[order[starts[often]]]
+                    yield batch_of([_row(int(part_of(named[:1], parts)[0]), HOT, named, np.zeros(len(named), np.int64), told_width)])
             lows = spread(low, starts, len(order))
             chosen = spread(shared, starts, len(order)) if all_of_shared else i[order] > lows
             told_keys.append(_with_source(k[order[chosen]], lows[chosen]) if sources else k[order[chosen]])
@@ -152,15 +187,16 @@ def answer(sent: DataFrame, width: int, all_of_shared: bool, sources: bool = Fal
         """One row an id, from the rows of its part."""
         keys, ids = [], []
         for batch in batches:
-            for distinct, counts, packed in zip(*(batch.column(c).to_pylist() for c in SENT.names[2:]), strict=True):
+            for kind, distinct, counts, packed in zip(*(batch.column(c).to_pylist() for c in SENT.names[1:5]), strict=True):
+                if kind == HOT:
+                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([packed], pa.binary())], names=ANSWERS.names)
+                    continue
                 keys.append(unpack(packed, told_width))
                 ids.append(np.repeat(np.frombuffer(distinct, np.int64), np.frombuffer(counts, np.uint32)))
         if keys:
             yield from _by_id(np.concatenate(keys), np.concatenate(ids), told_width)
 
-    n = shuffle_width(sent.sparkSession)
-    parts = parts_of(sent.sparkSession)
-    answers = sent.repartition(n, "part").mapInArrow(run, SENT).repartition(n, "part").mapInArrow(gather, ANSWERS)
+    answers = sent.repartition(tasks, "part").mapInArrow(run, SENT).repartition(tasks, "part").mapInArrow(gather, ANSWERS)
     return answers.select("id", F.array("keys").alias("keys"))
 
 

@@ -20,6 +20,14 @@ smaller doc_id. Sorting every suffix of the corpus is not needed for that:
 Identifiers are ranks of the bytes themselves, so matches are exact; the
 q-gram hash only decides which suffixes are compared.
 
+No task holds more than HOT_CONTEXTS contexts of a q-gram: the initial buckets
+are counted, and one of more is taken apart by what its suffixes go on with.
+Each of its windows goes to the bucket of its own 128-bit hash, where equal
+windows still meet and unlike ones do not (two windows of 50 bytes are taken
+for equal there by chance with a probability of 2^-128). Windows alike in a
+group of documents are sent once, so a line that a third of all documents hold
+costs each group of documents one row.
+
 Defined results: null texts are empty; rows that share a doc_id do not match
 each other; rows with a null doc_id match nothing; texts under 50 bytes lose
 nothing; extra columns stay, columns of the names that are added are replaced;
@@ -39,7 +47,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm import packed
-from factloom.llm.common import SPANS, free_names, schema_of, shuffle_width
+from factloom.llm.bits import BitFilter, filter_of
+from factloom.llm.common import SPANS, free_names, materialize, schema_of, tidy
 
 LENGTH, Q = 50, 16
 BEFORE = AFTER = LENGTH - Q
@@ -48,13 +57,15 @@ OFFSETS = LENGTH - Q + 1
 GROUP_BYTES = 8 << 20
 #: Bytes of a q-gram hash that are shuffled. A false match costs a comparison, no more.
 SENT_BYTES = 5
-#: Contexts that are refined together (whole buckets; a larger bucket is refined alone).
-REFINED_TOGETHER = 8192
+#: Contexts that are refined together (whole buckets; a larger bucket is refined alone), and most of a bucket.
+REFINED_TOGETHER, HOT_CONTEXTS = 8192, 1 << 15
 
 _rng = np.random.default_rng(2)
 _BYTE = _rng.integers(1, 1 << 63, 256).astype(np.uint64)
 _STEP = [np.uint64(x | 1) for x in _rng.integers(1, 1 << 63, 4).tolist()]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BYTE2 = _rng.integers(1, 1 << 63, 256).astype(np.uint64)
+_STEPS = [np.uint64(x | 1) for x in _rng.integers(1, 1 << 63, 16).tolist()]
 
 
 def _slide(a: np.ndarray, width: int, pick) -> np.ndarray:
@@ -97,6 +108,21 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return places, h[places]
 
 
+def window_hashes(data: np.ndarray) -> np.ndarray:
+    """A 128-bit hash of the 50 bytes from each place, as two words."""
+    lanes = []
+    for table, steps in zip((_BYTE, _BYTE2), (_STEPS[:8], _STEPS[8:]), strict=True):
+        spans, h = {1: table[data]}, table[data]
+        for k, c in zip((1, 2, 4, 8, 16), steps[:5], strict=True):
+            h = h[:-k] * c + h[k:]
+            h ^= h >> np.uint64(31)
+            spans[2 * k] = h
+        n = len(data) - LENGTH + 1
+        h = (spans[32][:n] * steps[5] + spans[16][32 : 32 + n]) * steps[6] + spans[2][48 : 48 + n]
+        lanes.append(_mixed(h * steps[7]))
+    return np.stack(lanes, axis=1)
+
+
 def _blocks(ids: list, texts: list[bytes], size: int = 1 << 18) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """ids, joined bytes and bounds of texts that are hashed together."""
     start, held = 0, 0
@@ -110,9 +136,9 @@ def _blocks(ids: list, texts: list[bytes], size: int = 1 << 18) -> Iterator[tupl
             start, held = k + 1, 0
 
 
-def initial_buckets(docs: DataFrame) -> DataFrame:
-    """For each id the anchors' q-gram hashes that other documents have too. docs: id, text."""
-    parts = packed.parts_of(docs.sparkSession)
+def initial_buckets(docs: DataFrame, tasks: int) -> DataFrame:
+    """For each id the anchors' q-gram hashes that other documents have too; without an id, those of too many contexts. docs: id, text."""
+    parts = packed.parts_of(tasks)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in packed.groups(batches, GROUP_BYTES):
@@ -121,9 +147,9 @@ def initial_buckets(docs: DataFrame) -> DataFrame:
                 places, h = anchors(data, bounds)
                 owners.append(np.array(some, np.int64)[np.searchsorted(bounds, places, side="right") - 1])
                 keys.append(h)
-            yield packed.batch_of(list(packed.send(np.concatenate(keys), np.concatenate(owners), parts, all_of_shared=True, width=SENT_BYTES)))
+            yield packed.batch_of(list(packed.send(np.concatenate(keys), np.concatenate(owners), parts, all_of_shared=True, width=SENT_BYTES, counted=True)))
 
-    return packed.answer(docs.mapInArrow(send, packed.SENT), width=SENT_BYTES, all_of_shared=True)
+    return packed.answer(docs.mapInArrow(send, packed.SENT), tasks, width=SENT_BYTES, all_of_shared=True, hot=HOT_CONTEXTS)
 
 
 #: ids, rows (text hashes) and counts: of the texts. kind KEYS: then for each context its place and, compressed, its bytes
@@ -332,35 +358,69 @@ def _row_hash(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """For each id and text hash the spans to remove. docs: rows with an id."""
+@tidy
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for keys in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(packed.unpack(b"".join(keys), SENT_BYTES).view(np.int64))], names=["key"])
+
+
+def _known_anchors(batches: Iterator[pa.RecordBatch], hot: BitFilter, wanted_hot: bool) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """Id, text, its bytes, and place and hash of its anchors that other texts have, of the hot q-grams or of the others."""
+    for batch in batches:
+        for i, text, known in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
+            t = text.as_py()
+            if t is None:
+                continue
+            data = np.frombuffer(t, np.uint8)
+            places, h = anchors(data, np.array([0, len(t)]))
+            short = h & np.uint64((1 << 8 * SENT_BYTES) - 1)
+            chosen = np.isin(short, packed.unpack(b"".join(known), SENT_BYTES))
+            chosen &= np.isin(np.arange(len(short)), hot.passing(short)) == wanted_hot
+            if chosen.any():
+                yield i, t, data, places[chosen], h[chosen]
+
+
+def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """For each id and text hash the spans to remove, and for each id the repeated windows of hot q-grams, if there are any. docs: rows with an id."""
     spark = docs.sparkSession
-    parts = packed.parts_of(spark)
+    tasks = packed.tasks_for(spark, packed.text_bytes(docs, text_col))
+    parts = packed.parts_of(tasks)
     number, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     other, keys = free_names(docs, "__id", "__keys")
-    shared = initial_buckets(docs.select(number, text)).withColumnsRenamed({"id": other, "keys": keys})
+    buckets = materialize(initial_buckets(docs.select(number, text), tasks), "buckets")
+    hot = filter_of(buckets.where("id IS NULL").select("keys").mapInArrow(_numbers, schema_of(key="long")))
+    told = spark.sparkContext.broadcast(hot)
+    shared = buckets.where("id IS NOT NULL").withColumnsRenamed({"id": other, "keys": keys})
     joined = docs.join(shared, number == F.col(other)).select(number, text, keys)
 
+    @tidy
+    def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The hashes of all windows over anchors of hot q-grams."""
+        held, owners, size = [], [], 0
+        for i, _, data, places, _ in _known_anchors(batches, told.value, True):
+            starts = np.unique(places[:, None] + np.arange(-BEFORE, 1))
+            hashes = window_hashes(data)[starts[(starts >= 0) & (starts <= len(data) - LENGTH)]]
+            held.append(hashes)
+            owners.append(np.full(len(hashes), i, np.int64))
+            size += len(hashes)
+            if size >= 1 << 18:
+                yield packed.batch_of(list(packed.send(np.concatenate(held), np.concatenate(owners), parts, all_of_shared=False, width=16)))
+                held, owners, size = [], [], 0
+        if size:
+            yield packed.batch_of(list(packed.send(np.concatenate(held), np.concatenate(owners), parts, all_of_shared=False, width=16)))
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[_Contexts] = []
         size = 0
-        for batch in batches:
-            for i, text, known in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
-                t = text.as_py()
-                if t is None:
-                    continue
-                data, bounds = np.frombuffer(t, np.uint8), np.array([0, len(t)])
-                places, h = anchors(data, bounds)
-                wanted = np.isin(h & np.uint64((1 << 8 * SENT_BYTES) - 1), packed.unpack(b"".join(known), SENT_BYTES))
-                places, h = places[wanted], h[wanted]
-                if not len(h):
-                    continue
-                context, room = context_rows(data, bounds, places)
-                held.append(_Contexts(h, np.full(len(h), i, np.int64), np.full(len(h), _row_hash(t), np.int64), places.astype(np.int64), context, room))
-                size += len(h)
-                if size >= 1 << 17:
-                    yield _send_contexts(_Contexts.join(held), parts)
-                    held, size = [], 0
+        for i, t, data, places, h in _known_anchors(batches, told.value, False):
+            bounds = np.array([0, len(t)])
+            context, room = context_rows(data, bounds, places)
+            held.append(_Contexts(h, np.full(len(h), i, np.int64), np.full(len(h), _row_hash(t), np.int64), places.astype(np.int64), context, room))
+            size += len(h)
+            if size >= 1 << 17:
+                yield _send_contexts(_Contexts.join(held), parts)
+                held, size = [], 0
         if held:
             yield _send_contexts(_Contexts.join(held), parts)
 
@@ -385,8 +445,11 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if spans:
             yield _send_spans(*[np.concatenate(x) for x in zip(*spans, strict=True)], parts)
 
-    found = joined.mapInArrow(gather, CONTEXTS).repartition(shuffle_width(spark), "part").mapInArrow(compare, SPANS_SENT)
-    return found.repartition(shuffle_width(spark), "part").mapInArrow(_gather_spans, FOUND)
+    found = joined.mapInArrow(gather, CONTEXTS).repartition(tasks, "part").mapInArrow(compare, SPANS_SENT)
+    spans = found.repartition(tasks, "part").mapInArrow(_gather_spans, FOUND)
+    if hot.shift is None:
+        return spans, None
+    return spans, packed.answer(joined.mapInArrow(send_windows, packed.SENT), tasks, width=16, all_of_shared=False)
 
 
 ADDED = schema_of(n_bytes="long", removed_spans=SPANS, kept="binary")
@@ -395,12 +458,18 @@ ADDED = schema_of(n_bytes="long", removed_spans=SPANS, kept="binary")
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_bytes, removed_spans (maximal runs, in UTF-8 bytes) and kept (the bytes that are left)."""
     kept = [c for c in docs.columns if c not in ADDED.names]
-    other, spans = free_names(docs, "__id", "__found")
+    other, spans, windows = free_names(docs, "__id", "__found", "__windows")
     # both joins read one shuffle of the rows that have an id
     named = docs.select(*kept).where(F.col(id_col).isNotNull())
-    found = repeated_spans(named, id_col, text_col).groupBy("id").agg(F.collect_list(F.struct("row", "starts", "stops")).alias(spans)).withColumnRenamed("id", other)
-    joined = named.join(found, F.col(id_col).cast("long") == F.col(other), "left").drop(other)
-    nameless = docs.select(*kept).where(F.col(id_col).isNull()).withColumn(spans, F.lit(None).cast(joined.schema[spans].dataType))
+    found, hot = repeated_spans(named, id_col, text_col)
+    found = found.groupBy("id").agg(F.collect_list(F.struct("row", "starts", "stops")).alias(spans)).withColumnRenamed("id", other)
+    same = F.col(id_col).cast("long") == F.col(other)
+    joined = named.join(found, same, "left").drop(other)
+    if hot is None:
+        joined = joined.withColumn(windows, F.lit(None).cast("array<binary>"))
+    else:
+        joined = joined.join(hot.withColumnsRenamed({"id": other, "keys": windows}), same, "left").drop(other)
+    nameless = docs.select(*kept).where(F.col(id_col).isNull()).withColumns({c: F.lit(None).cast(joined.schema[c].dataType) for c in (spans, windows)})
     joined = joined.unionByName(nameless)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,9 +477,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
                 rows = []
-                for text, found in zip(batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                told = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
+                for text, found, windows in zip(batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()), *told, strict=True):
                     t = text.as_py() or b""
-                    spans = merged(found or [], _row_hash(t) if found else 0)
+                    spans = merged(found or [], _row_hash(t) if found else 0, window_places(t, windows))
                     left, at = [], 0
                     for s in spans:
                         left.append(t[at : s["start"]])
@@ -426,9 +496,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 _ADDED_KINDS = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.binary()]
 
 
-def merged(found: list[dict], row: int) -> list[dict]:
-    """The spans of the text with that hash, sorted and merged."""
+def window_places(text: bytes, known: list[bytes] | None) -> list[tuple[int, int]]:
+    """Where the windows with these hashes stand."""
+    if not known or len(text) < LENGTH:
+        return []
+    raw = window_hashes(np.frombuffer(text, np.uint8))
+    wanted = packed.unpack(b"".join(known), 16)
+    at = np.flatnonzero(np.isin(raw[:, 0], wanted[:, 0]))
+    pairs = {tuple(w) for w in wanted.tolist()}
+    return [(i, i + LENGTH) for i in at.tolist() if tuple(raw[i].tolist()) in pairs]
+
+
+def merged(found: list[dict], row: int, more: list[tuple[int, int]]) -> list[dict]:
+    """The spans of the text with that hash and some more, sorted and merged."""
     spans = sorted(s for f in found if f["row"] == row for s in zip(np.frombuffer(f["starts"], np.int32).tolist(), np.frombuffer(f["stops"], np.int32).tolist(), strict=True))
+    spans = sorted(spans + more)
     out: list[dict] = []
     for a, b in spans:
         if out and a <= out[-1]["stop"]:
