@@ -31,7 +31,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -142,6 +142,12 @@ def parse_segment(segment: str) -> tuple[str, str]:
     return unescape(head[1]), segment[head.end() : -len(END) - 1]
 
 
+def _plain(segment: Column) -> Column:
+    """The segment without its end and its escapes: segments of one role sort by it as their texts do."""
+    body = F.substring(segment, F.lit(1), F.length(segment) - len(END) - 1)
+    return F.when(F.contains(body, F.lit("\\")), F.regexp_replace(body, r"(?s)\\(.)", "$1")).otherwise(body)
+
+
 READ = schema_of(conv_id="long", n_turns="long", turns_sha256="string", loss_chars="long", loss_sha256="string", formatted_chars="long", expanded_tokens="long", n_attachments="long")
 
 
@@ -182,5 +188,5 @@ def read_back(segments: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_pylist(done, schema=schema)
 
     schema = to_arrow_schema(READ)
-    dealt = segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "segment")
+    dealt = segments.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_last("turn"), "role", _plain(F.col("segment")), "segment")
     return dealt.mapInArrow(run, READ)

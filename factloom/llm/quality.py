@@ -199,7 +199,7 @@ def _features(batch: pa.RecordBatch, text_col: str) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAINING_ROWS) -> Model:
-    """Fits a model on the labelled documents that are not held out."""
+    """Fits a model on the labelled documents that are not held out: at most max_rows labels, and one row for each id and label."""
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     sample = usable.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     # not over max_rows rows of two numbers
@@ -211,7 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             values = pa.ListArray.from_arrays(np.arange(0, batch.num_rows * len(FEATURES) + 1, len(FEATURES), dtype=np.int32), _features(batch, "__text").ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), values], names=["id", "label", "x"])
 
-    found = rows.mapInArrow(run, "id long, label int, x array<double>").toPandas()
+    # rows that share an id are one row of training for each of its labels, so no more come to the driver than labels were drawn
+    found = rows.mapInArrow(run, "id long, label int, x array<double>").groupBy("id", "label").agg(F.min("x").alias("x")).toPandas()
     found = found.assign(first=[tuple(v) for v in found.x]).sort_values(["id", "label", "first"], kind="stable")
     x = np.array(found.x.tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, (found.label.to_numpy() > 0).astype(float))

@@ -4,8 +4,8 @@ Everything here is DataFrame expressions. A rule (host, path, verdict) fits its
 host and all subdomains where the URL's path starts with the rule's path, so a
 URL is looked up under its own host suffixes and path prefixes, but only under
 those of a shape (labels in the host, characters in the path) that some rule
-has. Distinct URLs are judged once and joined back with salt, so that a URL
-that fills a third of the table does not meet in one task.
+has. Distinct hosts and paths are judged once and joined back as join_hot does
+it, so that a URL that fills a third of the table does not meet in one task.
 
 Defined results: a URL that is null or has no `://` has an empty host and path
 and gets the default verdict; rules with a null field are left out; of equal
