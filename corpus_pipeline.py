@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet into the shared folder and read again as the next one's docs.
+
+Defined results, for every stage: columns beyond those of documents are dropped
+(so no name can clash), rows keep the columns of documents, an empty table gives
+an empty one. What null ids, null and empty texts and repeated rows give is in
+each stage's docstring.
 """
 
 from __future__ import annotations
@@ -13,10 +18,16 @@ from factloom.llm import bpe, chunks, decontaminate, neardup, quality
 from factloom.llm.common import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes from which a repeated run counts as a passage; shorter ones are turns of phrase that any two documents may share.
+PASSAGE_BYTES = 100
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Null and empty texts are scored as texts without words; repeated rows are scored alike; a null doc_id is never a
+    label's, but its row is scored. Without any label every score is 0.5, which accepts.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
@@ -35,19 +46,23 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has."""
-    cut = chunks.deduplicate(docs.select(*COLUMNS))
+    """Documents without the passages (runs of PASSAGE_BYTES or more) that an earlier one has, or that they said before.
+
+    A null text stays null; rows that share a doc_id do not shorten each other, rows without one stay whole. What is cut
+    wholly stays as an empty text.
+    """
+    cut = chunks.deduplicate(docs.select(*COLUMNS), min_run=PASSAGE_BYTES)
     return cut.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item. Null and empty texts hold none; repeated rows go or stay together, whatever their ids."""
     found = decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return found.where(F.size("hit_spans") == 0).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, with the digest of the text that they decode to."""
+    """Token ids, with the digest of the text that they decode to. A null text is an empty one; every row gives one."""
     coded = bpe.decode(bpe.encode(docs.select(*COLUMNS)))
     return coded.select(
         "doc_id",
@@ -75,5 +90,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The classifier and the content-defined chunks have no SQL form; the tests hold each stage against a plain version.
+#: The classifier and the content-defined chunks have no SQL form; the tests hold what each stage keeps against plain versions on fixtures.
 ORACLE_SQL = None

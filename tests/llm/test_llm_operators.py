@@ -73,6 +73,25 @@ def test_substrings_match_brute_force(docs, texts, nothing):
     assert substrings.remove_repeats(nothing).count() == 0
 
 
+def test_hot_grams_are_compared_window_by_window(spark, docs, texts, monkeypatch):
+    rng = random.Random(9)
+    line = words(rng, 14)
+    rows = [(k, words(rng, 30) + " " + line + " " + words(rng, 30)) for k in range(120)] + [(500 + i, t) for i, t in texts.items()] + [(130, line), (131, line[:60]), (131, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spans = lambda: sorted((r.doc_id, r.n_bytes, [tuple(s) for s in r.removed_spans]) for r in substrings.remove_repeats(df).collect())
+    whole = spans()
+    monkeypatch.setattr(substrings, "HOT_CONTEXTS", 30)
+    buckets = substrings.initial_buckets(df, 4)
+    assert buckets.where("id IS NULL").count() > 0
+    assert spans() == whole and sum(bool(s) for _, _, s in whole) > 120
+
+
+def test_window_hashes_are_of_the_bytes_alone():
+    data = np.frombuffer(random.Random(3).randbytes(400) * 2, np.uint8)
+    h = substrings.window_hashes(data)
+    assert len(h) == 751 and (h[:351] == h[400:]).all() and len({tuple(x) for x in h.tolist()}) == 400
+
+
 def test_substrings_of_repeated_rows_and_null_ids(spark):
     rng = random.Random(3)
     t, u = words(rng, 40), words(rng, 40)
@@ -115,12 +134,76 @@ def test_chunks_remove_short_passages_to_their_edges(spark):
         rows += [(k, words(rng, 45) + "|" + passage + "|" + words(rng, 40)), (k + 1, before + passage + " " + words(rng, 40))]
         start = len(before.encode())
         places[k + 1] = start, start + len(passage.encode())
-    got = by_id(chunks.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    got = by_id(chunks.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), min_run=100))
     spans = {i: [(s.start, s.stop) for s in got[i].removed_spans] for i in places}
     assert sum(spans[i] == [places[i]] for i in places) >= 0.95 * len(places)
     assert all(got[i - 1].removed_spans == [] for i in places)
 
 
+def plain_chunks(t):
+    """The chunks of a text by the rule, a byte at a time."""
+    out, last, h = [], 0, 0
+    start = lambda i: next((k for k in range(i, len(t)) if t[k] & 0xC0 != 0x80), len(t))
+    for i, byte in enumerate(t, 1):
+        h = (2 * h + int(chunks._GEAR[byte])) % (1 << 16)
+        if i - last > chunks.LARGEST:
+            out.append((last, start(last + chunks.LARGEST)))
+            last = out[-1][1]
+        if h >> 11 == 0 and i - last >= chunks.LEAST:
+            out.append((last, start(i)))
+            last = out[-1][1]
+    return out + [(last, len(t))] * (last < len(t))
+
+
+def alike(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def test_chunks_match_brute_force(spark, texts):
+    rng = random.Random(8)
+    passages = [words(rng, n) for n in (12, 51, 90, 300)]
+    data = {i: (t or "").encode() for i, t in texts.items() if i not in (6, 7)}  # one letter over and over: widened where the first place is, not the best
+    data |= {100 + k: " ".join(x for p in rng.sample(passages, 2) for x in (words(rng, 30), p)).encode() for k in range(40)}  # no passage twice: of two places the first counts
+    got = by_id(chunks.deduplicate(spark.createDataFrame([(i, t.decode() if texts.get(i, "") is not None else None) for i, t in data.items()], "doc_id long, text string").coalesce(1)))
+    first = {}
+    for i, t in sorted(data.items()):
+        found, seen, runs, asked = plain_chunks(t), set(), [], {}
+        for a, b in found:
+            c = t[a:b]
+            if c in first or c in seen:
+                if c in first:
+                    asked.setdefault(first[c], set()).add(c)
+                if runs and runs[-1][-1][1] == a:
+                    runs[-1].append((a, b))
+                else:
+                    runs.append([(a, b)])
+            seen.add(c)
+        near = []  # what stands around the asked chunks in the texts that have them
+        for source, wanted in asked.items():
+            d, edges = data[source], []
+            for a, b in plain_chunks(d):
+                if d[a:b] in wanted:
+                    a, b = max(0, a - chunks.BEFORE), b + chunks.LARGEST + 4
+                    edges = edges[:-1] + [(edges[-1][0], b)] if edges and a <= min(edges[-1][1], len(d)) else [*edges, (a, b)]
+            near += [d[a:b] for a, b in edges]
+        gone = bytearray(len(t))
+        for run in runs:
+            (a, e), (s, b) = run[0], run[-1]
+            places = lambda c, until: [(d, d.find(c)) for d in near if c in d] + [(t, t.find(c))] * (0 <= t.find(c) < until)
+            left = max((alike(t[:a][::-1], d[:k][::-1]) for d, k in places(t[a:e], a)), default=0)
+            right = max((alike(t[b:], d[k + b - s :]) for d, k in places(t[s:b], s)), default=0)
+            a, b = a - left, b + right
+            while t[a] & 0xC0 == 0x80:
+                a += 1
+            while b < len(t) and t[b] & 0xC0 == 0x80:
+                b -= 1
+            gone[a:b] = b"\1" * (b - a)
+        assert (got[i].n_chunks, got[i].n_repeated) == (len(found), sum(map(len, runs))), i
+        assert (sum(s.stop - s.start for s in got[i].removed_spans), (got[i].kept or "").encode()) == (sum(gone), bytes(x for x, g in zip(t, gone, strict=True) if not g)), i
+        for c in seen:
+            first.setdefault(c, i)
+
+
 def test_gear_hash_and_cuts_match_the_sequential_rule():
     data = random.Random(2).randbytes(5000)
     h, want = 0, []
