@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which the cluster shares; a local one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="factloom-")
+    """A new folder below spark.checkpoint.dir, which the cluster shares. Only a local master may leave it unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="factloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
