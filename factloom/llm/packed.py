@@ -21,15 +21,15 @@ from pyspark.sql import functions as F
 from factloom.llm.common import schema_of, shuffle_width, tidy
 
 #: ids: the documents; counts: how many of the keys each has; keys: in the order of the documents
-#: many: positions and counts of the keys that the group has COUNTED times or more (where counts are asked for)
+#: many: positions and counts of the keys that the group has in COUNTED variants or more (where they are counted)
 SENT = schema_of(part="int", kind="int", ids="binary", counts="binary", keys="binary", many="binary")
 ANSWERS = schema_of(id="long", keys="binary")
 #: kind of a row: keys to compare with those of other groups, answers that only pass through, or keys that very many have
 KEYS, LOCAL, HOT = 0, 1, 2
 #: Bytes of input for each task of a shuffle.
 TASK_BYTES = 32 << 20
-#: A group that has a key less often does not say how often.
-COUNTED = 16
+#: A group that has a key in fewer variants does not say in how many.
+COUNTED = 4
 
 
 def tasks_for(spark: SparkSession, n_bytes: int | None) -> int:
@@ -96,13 +96,13 @@ def _with_source(keys: np.ndarray, sources: np.ndarray) -> np.ndarray:
     return np.column_stack([keys, sources.view(np.uint64)])
 
 
-def send(keys: np.ndarray, ids: np.ndarray, parts: int, all_of_shared: bool, width: int, sources: bool = False, counted: bool = False) -> Iterator[tuple]:
+def send(keys: np.ndarray, ids: np.ndarray, parts: int, all_of_shared: bool, width: int, sources: bool = False, variants: np.ndarray | None = None) -> Iterator[tuple]:
     """Rows of SENT for one group of documents. keys, ids: each key of a document with its id (a repeated one counts once).
 
     all_of_shared: answer every document of a key that several have; else all but the smallest.
     width: bytes that are sent of each key; fewer than it has make rare false matches.
     sources: answers name a smaller document that has the key, in 8 bytes after it (keys of whole words only).
-    counted: say which keys the group has COUNTED times or more.
+    variants: of each key; say which keys the group has in COUNTED variants or more.
     """
     order, starts, low, high = compare(keys, ids)
     n = len(order)
@@ -115,12 +115,28 @@ def send(keys: np.ndarray, ids: np.ndarray, parts: int, all_of_shared: bool, wid
         named = _with_source(keys[told], lows[answered]) if sources else keys[told]
         yield _row(int(part_of(keys[told[:1]], parts)[0]), LOCAL, named, ids[told], width + 8 * sources)
     unique, smallest = keys[order[starts]], low
-    times = np.diff(np.append(starts, n)) if counted else None
+    times = None if variants is None else _varied(order, starts, variants)
     part = part_of(unique, parts)
     by_part = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[by_part])) + 1
     for chosen in np.split(by_part, cuts):
-        yield _row(int(part[chosen[0]]), KEYS, unique[chosen], smallest[chosen], width, times[chosen] if counted else None)
+        yield _row(int(part[chosen[0]]), KEYS, unique[chosen], smallest[chosen], width, None if times is None else times[chosen])
+
+
+def _varied(order: np.ndarray, starts: np.ndarray, variants: np.ndarray) -> np.ndarray:
+    """How many variants each key has; exact from COUNTED on."""
+    n = len(order)
+    times = np.diff(np.append(starts, n))
+    group = np.repeat(np.arange(len(starts)), times)
+    many = np.flatnonzero(times[group] >= COUNTED)
+    group, own = group[many], variants[order[many]]
+    ranked = np.lexsort((own, group))
+    group, own = group[ranked], own[ranked]
+    new = np.ones(len(group), bool)
+    new[1:] = (group[1:] != group[:-1]) | (own[1:] != own[:-1])
+    times[np.unique(group)] = 0
+    np.add.at(times, group[new], 1)
+    return times
 
 
 def _row(part: int, kind: int, keys: np.ndarray, ids: np.ndarray, width: int, times: np.ndarray | None = None) -> tuple:
@@ -142,8 +158,8 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
 def answer(sent: DataFrame, tasks: int, width: int, all_of_shared: bool, sources: bool = False, hot: int = 0) -> DataFrame:
     """For each document the packed keys that others share (or that a smaller document has): one row an id.
 
-    hot: rows without an id name the keys that all documents together may have so often or more. A group that does not
-    say how often it has a key counts as COUNTED - 1, so a key that is not named is surely rarer.
+    hot: rows without an id name the keys that all documents together may have in so many variants or more. A group that
+    does not say how many it has counts as COUNTED - 1, so a key that is not named has surely fewer.
     """
     told_width = width + 8 * sources
     parts = parts_of(tasks)

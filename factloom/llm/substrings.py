@@ -20,13 +20,12 @@ smaller doc_id. Sorting every suffix of the corpus is not needed for that:
 Identifiers are ranks of the bytes themselves, so matches are exact; the
 q-gram hash only decides which suffixes are compared.
 
-No task holds more than HOT_CONTEXTS contexts of a q-gram: the initial buckets
-are counted, and one of more is taken apart by what its suffixes go on with.
-Each of its windows goes to the bucket of its own 128-bit hash, where equal
-windows still meet and unlike ones do not (two windows of 50 bytes are taken
-for equal there by chance with a probability of 2^-128). Windows alike in a
-group of documents are sent once, so a line that a third of all documents hold
-costs each group of documents one row.
+No task holds more than HOT_CONTEXTS unlike contexts of a q-gram: they are
+counted with the initial buckets, and a bucket of more is taken apart by what
+its suffixes go on with. Each of its windows goes to the bucket of its own
+128-bit hash, where equal windows still meet and unlike ones do not (two windows
+of 50 bytes are taken for equal there by chance with a probability of 2^-128).
+A group of documents sends a window once, for its smallest document.
 
 Defined results: null texts are empty; rows that share a doc_id do not match
 each other; rows with a null doc_id match nothing; texts under 50 bytes lose
@@ -59,6 +58,9 @@ GROUP_BYTES = 8 << 20
 SENT_BYTES = 5
 #: Contexts that are refined together (whole buckets; a larger bucket is refined alone), and most of a bucket.
 REFINED_TOGETHER, HOT_CONTEXTS = 8192, 1 << 15
+#: Contexts that a task gathers before it sends them.
+GATHERED = 1 << 16
+_SENT_MASK = np.uint64((1 << 8 * SENT_BYTES) - 1)
 
 _rng = np.random.default_rng(2)
 _BYTE = _rng.integers(1, 1 << 63, 256).astype(np.uint64)
@@ -90,11 +92,11 @@ def gram_hashes(grams: np.ndarray) -> np.ndarray:
     return _mixed(h[:, 0])
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and q-gram hashes of the anchors of all windows inside the texts that `bounds` divides data into."""
+def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and q-gram hashes of the anchors of all windows inside the texts that `bounds` divides data into, and a hash of the bytes around."""
     n = len(data)
     if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     h = _BYTE[data]
     for k, c in zip((1, 2, 4, 8), _STEP, strict=True):
         h = h[:-k] * c + h[k:]
@@ -105,22 +107,25 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     edge = np.zeros(OFFSETS - 1, np.uint64)
     most = _slide(np.concatenate([edge, least, edge]), OFFSETS, np.maximum)
     places = np.flatnonzero(most == h)
-    return places, h[places]
+    around = np.zeros(len(places), np.uint64)
+    for k in (-BEFORE, Q - BEFORE, -Q, Q, 2 * Q, AFTER):  # q-grams that together cover a context
+        around = (around ^ h[np.clip(places + k, 0, len(h) - 1)]) * _MIX
+    return places, h[places], around
 
 
-def window_hashes(data: np.ndarray) -> np.ndarray:
-    """A 128-bit hash of the 50 bytes from each place, as two words."""
+def window_hashes(context: np.ndarray) -> np.ndarray:
+    """A 128-bit hash, as two words, of the 50 bytes from each of the first OFFSETS places of each context."""
     lanes = []
     for table, steps in zip((_BYTE, _BYTE2), (_STEPS[:8], _STEPS[8:]), strict=True):
-        spans, h = {1: table[data]}, table[data]
+        h = table[context]
+        spans = {1: h}
         for k, c in zip((1, 2, 4, 8, 16), steps[:5], strict=True):
-            h = h[:-k] * c + h[k:]
+            h = h[:, :-k] * c + h[:, k:]
             h ^= h >> np.uint64(31)
             spans[2 * k] = h
-        n = len(data) - LENGTH + 1
-        h = (spans[32][:n] * steps[5] + spans[16][32 : 32 + n]) * steps[6] + spans[2][48 : 48 + n]
+        h = (spans[32][:, :OFFSETS] * steps[5] + spans[16][:, 32 : 32 + OFFSETS]) * steps[6] + spans[2][:, 48 : 48 + OFFSETS]
         lanes.append(_mixed(h * steps[7]))
-    return np.stack(lanes, axis=1)
+    return np.stack(lanes, axis=2)
 
 
 def _blocks(ids: list, texts: list[bytes], size: int = 1 << 18) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -142,18 +147,19 @@ def initial_buckets(docs: DataFrame, tasks: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in packed.groups(batches, GROUP_BYTES):
-            keys, owners = [], []
+            keys, owners, around = [], [], []
             for some, data, bounds in _blocks(ids, texts):
-                places, h = anchors(data, bounds)
+                places, h, near = anchors(data, bounds)
+                around.append(near)
                 owners.append(np.array(some, np.int64)[np.searchsorted(bounds, places, side="right") - 1])
                 keys.append(h)
-            yield packed.batch_of(list(packed.send(np.concatenate(keys), np.concatenate(owners), parts, all_of_shared=True, width=SENT_BYTES, counted=True)))
+            yield packed.batch_of(list(packed.send(np.concatenate(keys), np.concatenate(owners), parts, all_of_shared=True, width=SENT_BYTES, variants=np.concatenate(around))))
 
     return packed.answer(docs.mapInArrow(send, packed.SENT), tasks, width=SENT_BYTES, all_of_shared=True, hot=HOT_CONTEXTS)
 
 
 #: ids, rows (text hashes) and counts: of the texts. kind KEYS: then for each context its place and, compressed, its bytes
-#: and how many there are before and after; kind LOCAL: the starts and stops of spans
+#: and how many there are before and after; kind LOCAL: the starts and stops of spans; kind HOT: starts and hashes of windows
 CONTEXTS = schema_of(part="int", kind="int", ids="binary", rows="binary", counts="binary", places="binary", bytes="binary", room="binary")
 FOUND = schema_of(id="long", row="long", starts="binary", stops="binary")
 #: Spans of many texts on their way to the part of their ids
@@ -354,6 +360,42 @@ def _send_contexts(c: _Contexts, parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, _CONTEXT_KINDS, strict=True)], names=CONTEXTS.names)
 
 
+def _send_all(c: _Contexts, hot: BitFilter, parts: int) -> Iterator[pa.RecordBatch]:
+    """Contexts by q-gram; those of hot q-grams window by window."""
+    often = np.zeros(len(c.h), bool)
+    often[hot.passing(c.h & _SENT_MASK)] = True
+    yield _send_contexts(c[~often], parts)
+    for at in range(0, int(often.sum()), REFINED_TOGETHER):
+        yield _send_windows(c[np.flatnonzero(often)[at : at + REFINED_TOGETHER]], parts)
+
+
+def _send_windows(c: _Contexts, parts: int) -> pa.RecordBatch:
+    """Settles windows that a smaller document of the group has, and sends the others by their hash."""
+    offset = np.arange(OFFSETS)
+    fits = (offset >= BEFORE - c.room[:, :1].astype(np.int64)) & (offset <= c.room[:, 1:].astype(np.int64))
+    of, at = np.nonzero(fits)
+    keys, ids, rows, starts = window_hashes(c.context)[of, at], c.ids[of], c.rows[of], c.places[of] - BEFORE + at
+    order, firsts, low, _ = packed.compare(keys, ids)
+    later = np.zeros(len(ids), bool)
+    later[order] = ids[order] > packed.spread(low, firsts, len(order))
+    out = []
+    if later.any():
+        told = _merge_spans(ids[later], rows[later], starts[later], starts[later] + LENGTH)
+        order, *texts = _by_text(told[0], told[1])
+        out.append((int(told[0][0]) % parts, packed.LOCAL, *texts, told[2][order].astype(np.int32).tobytes(), told[3][order].astype(np.int32).tobytes(), b""))
+    left = np.flatnonzero(~later)
+    part = packed.part_of(keys[left], parts)
+    by_part = np.argsort(part, kind="stable")
+    for chosen in np.split(by_part, np.flatnonzero(np.diff(part[by_part])) + 1):
+        if len(chosen):
+            x = left[chosen]
+            order, *texts = _by_text(ids[x], rows[x])
+            x = x[order]
+            out.append((int(part[chosen[0]]), packed.HOT, *texts, starts[x].astype(np.int32).tobytes(), packed.pack(keys[x], 16), b""))
+    columns = list(zip(*out, strict=True)) if out else [()] * 8
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, _CONTEXT_KINDS, strict=True)], names=CONTEXTS.names)
+
+
 def _row_hash(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
@@ -365,67 +407,45 @@ def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(packed.unpack(b"".join(keys), SENT_BYTES).view(np.int64))], names=["key"])
 
 
-def _known_anchors(batches: Iterator[pa.RecordBatch], hot: BitFilter, wanted_hot: bool) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
-    """Id, text, its bytes, and place and hash of its anchors that other texts have, of the hot q-grams or of the others."""
-    for batch in batches:
-        for i, text, known in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
-            t = text.as_py()
-            if t is None:
-                continue
-            data = np.frombuffer(t, np.uint8)
-            places, h = anchors(data, np.array([0, len(t)]))
-            short = h & np.uint64((1 << 8 * SENT_BYTES) - 1)
-            chosen = np.isin(short, packed.unpack(b"".join(known), SENT_BYTES))
-            chosen &= np.isin(np.arange(len(short)), hot.passing(short)) == wanted_hot
-            if chosen.any():
-                yield i, t, data, places[chosen], h[chosen]
-
-
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """For each id and text hash the spans to remove, and for each id the repeated windows of hot q-grams, if there are any. docs: rows with an id."""
+def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """For each id and text hash the spans to remove. docs: rows with an id."""
     spark = docs.sparkSession
     tasks = packed.tasks_for(spark, packed.text_bytes(docs, text_col))
     parts = packed.parts_of(tasks)
     number, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     other, keys = free_names(docs, "__id", "__keys")
     buckets = materialize(initial_buckets(docs.select(number, text), tasks), "buckets")
-    hot = filter_of(buckets.where("id IS NULL").select("keys").mapInArrow(_numbers, schema_of(key="long")))
-    told = spark.sparkContext.broadcast(hot)
+    told = spark.sparkContext.broadcast(filter_of(buckets.where("id IS NULL").select("keys").mapInArrow(_numbers, schema_of(key="long"))))
     shared = buckets.where("id IS NOT NULL").withColumnsRenamed({"id": other, "keys": keys})
     joined = docs.join(shared, number == F.col(other)).select(number, text, keys)
 
     @tidy
-    def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The hashes of all windows over anchors of hot q-grams."""
-        held, owners, size = [], [], 0
-        for i, _, data, places, _ in _known_anchors(batches, told.value, True):
-            starts = np.unique(places[:, None] + np.arange(-BEFORE, 1))
-            hashes = window_hashes(data)[starts[(starts >= 0) & (starts <= len(data) - LENGTH)]]
-            held.append(hashes)
-            owners.append(np.full(len(hashes), i, np.int64))
-            size += len(hashes)
-            if size >= 1 << 18:
-                yield packed.batch_of(list(packed.send(np.concatenate(held), np.concatenate(owners), parts, all_of_shared=False, width=16)))
-                held, owners, size = [], [], 0
-        if size:
-            yield packed.batch_of(list(packed.send(np.concatenate(held), np.concatenate(owners), parts, all_of_shared=False, width=16)))
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[_Contexts] = []
         size = 0
-        for i, t, data, places, h in _known_anchors(batches, told.value, False):
-            bounds = np.array([0, len(t)])
-            context, room = context_rows(data, bounds, places)
-            held.append(_Contexts(h, np.full(len(h), i, np.int64), np.full(len(h), _row_hash(t), np.int64), places.astype(np.int64), context, room))
-            size += len(h)
-            if size >= 1 << 17:
-                yield _send_contexts(_Contexts.join(held), parts)
-                held, size = [], 0
+        for batch in batches:
+            for i, text, known in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
+                t = text.as_py()
+                if t is None:
+                    continue
+                data, bounds = np.frombuffer(t, np.uint8), np.array([0, len(t)])
+                places, h, _ = anchors(data, bounds)
+                wanted = np.isin(h & _SENT_MASK, packed.unpack(b"".join(known), SENT_BYTES))
+                places, h = places[wanted], h[wanted]
+                if not len(h):
+                    continue
+                context, room = context_rows(data, bounds, places)
+                held.append(_Contexts(h, np.full(len(h), i, np.int64), np.full(len(h), _row_hash(t), np.int64), places.astype(np.int64), context, room))
+                size += len(h)
+                if size >= GATHERED:
+                    yield from _send_all(_Contexts.join(held), told.value, parts)
+                    held, size = [], 0
         if held:
-            yield _send_contexts(_Contexts.join(held), parts)
+            yield from _send_all(_Contexts.join(held), told.value, parts)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[_Contexts] = []
+        windows: list[tuple[np.ndarray, ...]] = []
         spans: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for kind, *texts, places, context, room in zip(*(batch.column(c).to_pylist() for c in CONTEXTS.names[1:]), strict=True):
@@ -434,6 +454,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
                 places = np.frombuffer(places, np.int32).astype(np.int64)
                 if kind == packed.LOCAL:
                     spans.append((ids, rows, places, np.frombuffer(context, np.int32).astype(np.int64)))
+                elif kind == packed.HOT:
+                    windows.append((packed.unpack(context, 16), ids, rows, places))
                 else:
                     expand = zstandard.ZstdDecompressor().decompress
                     around = np.frombuffer(expand(context), np.uint8).reshape(-1, CONTEXT)
@@ -442,14 +464,16 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
             whole, rest = settle_equal(_Contexts.join(kept))
             spans.append(whole)
             spans += _refined_spans(rest)
+        if windows:
+            keys, ids, rows, starts = (np.concatenate(x) for x in zip(*windows, strict=True))
+            order, firsts, low, _ = packed.compare(keys, ids)
+            later = order[ids[order] > packed.spread(low, firsts, len(order))]
+            spans.append((ids[later], rows[later], starts[later], starts[later] + LENGTH))
         if spans:
             yield _send_spans(*[np.concatenate(x) for x in zip(*spans, strict=True)], parts)
 
     found = joined.mapInArrow(gather, CONTEXTS).repartition(tasks, "part").mapInArrow(compare, SPANS_SENT)
-    spans = found.repartition(tasks, "part").mapInArrow(_gather_spans, FOUND)
-    if hot.shift is None:
-        return spans, None
-    return spans, packed.answer(joined.mapInArrow(send_windows, packed.SENT), tasks, width=16, all_of_shared=False)
+    return found.repartition(tasks, "part").mapInArrow(_gather_spans, FOUND)
 
 
 ADDED = schema_of(n_bytes="long", removed_spans=SPANS, kept="binary")
@@ -458,18 +482,12 @@ ADDED = schema_of(n_bytes="long", removed_spans=SPANS, kept="binary")
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_bytes, removed_spans (maximal runs, in UTF-8 bytes) and kept (the bytes that are left)."""
     kept = [c for c in docs.columns if c not in ADDED.names]
-    other, spans, windows = free_names(docs, "__id", "__found", "__windows")
+    other, spans = free_names(docs, "__id", "__found")
     # both joins read one shuffle of the rows that have an id
     named = docs.select(*kept).where(F.col(id_col).isNotNull())
-    found, hot = repeated_spans(named, id_col, text_col)
-    found = found.groupBy("id").agg(F.collect_list(F.struct("row", "starts", "stops")).alias(spans)).withColumnRenamed("id", other)
-    same = F.col(id_col).cast("long") == F.col(other)
-    joined = named.join(found, same, "left").drop(other)
-    if hot is None:
-        joined = joined.withColumn(windows, F.lit(None).cast("array<binary>"))
-    else:
-        joined = joined.join(hot.withColumnsRenamed({"id": other, "keys": windows}), same, "left").drop(other)
-    nameless = docs.select(*kept).where(F.col(id_col).isNull()).withColumns({c: F.lit(None).cast(joined.schema[c].dataType) for c in (spans, windows)})
+    found = repeated_spans(named, id_col, text_col).groupBy("id").agg(F.collect_list(F.struct("row", "starts", "stops")).alias(spans)).withColumnRenamed("id", other)
+    joined = named.join(found, F.col(id_col).cast("long") == F.col(other), "left").drop(other)
+    nameless = docs.select(*kept).where(F.col(id_col).isNull()).withColumn(spans, F.lit(None).cast(joined.schema[spans].dataType))
     joined = joined.unionByName(nameless)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,10 +495,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
                 rows = []
-                told = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
-                for text, found, windows in zip(batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()), *told, strict=True):
+                for text, found in zip(batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                     t = text.as_py() or b""
-                    spans = merged(found or [], _row_hash(t) if found else 0, window_places(t, windows))
+                    spans = merged(found or [], _row_hash(t) if found else 0)
                     left, at = [], 0
                     for s in spans:
                         left.append(t[at : s["start"]])
@@ -496,21 +513,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 _ADDED_KINDS = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.binary()]
 
 
-def window_places(text: bytes, known: list[bytes] | None) -> list[tuple[int, int]]:
-    """Where the windows with these hashes stand."""
-    if not known or len(text) < LENGTH:
-        return []
-    raw = window_hashes(np.frombuffer(text, np.uint8))
-    wanted = packed.unpack(b"".join(known), 16)
-    at = np.flatnonzero(np.isin(raw[:, 0], wanted[:, 0]))
-    pairs = {tuple(w) for w in wanted.tolist()}
-    return [(i, i + LENGTH) for i in at.tolist() if tuple(raw[i].tolist()) in pairs]
-
-
-def merged(found: list[dict], row: int, more: list[tuple[int, int]]) -> list[dict]:
-    """The spans of the text with that hash and some more, sorted and merged."""
+def merged(found: list[dict], row: int) -> list[dict]:
+    """The spans of the text with that hash, sorted and merged."""
     spans = sorted(s for f in found if f["row"] == row for s in zip(np.frombuffer(f["starts"], np.int32).tolist(), np.frombuffer(f["stops"], np.int32).tolist(), strict=True))
-    spans = sorted(spans + more)
     out: list[dict] = []
     for a, b in spans:
         if out and a <= out[-1]["stop"]:

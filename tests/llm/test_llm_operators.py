@@ -87,9 +87,14 @@ def test_hot_grams_are_compared_window_by_window(spark, docs, texts, monkeypatch
 
 
 def test_window_hashes_are_of_the_bytes_alone():
-    data = np.frombuffer(random.Random(3).randbytes(400) * 2, np.uint8)
-    h = substrings.window_hashes(data)
-    assert len(h) == 751 and (h[:351] == h[400:]).all() and len({tuple(x) for x in h.tolist()}) == 400
+    context = np.random.default_rng(3).integers(0, 256, (60, substrings.CONTEXT)).astype(np.uint8)
+    context[30:] = context[:30]
+    context[45:, 60] ^= 1
+    seen = {}
+    for row, hashes in zip(context, substrings.window_hashes(context).tolist(), strict=True):
+        for o, h in enumerate(hashes):
+            assert seen.setdefault(tuple(h), bytes(row[o : o + 50])) == bytes(row[o : o + 50])
+    assert len(seen) == len({bytes(row[o : o + 50]) for row in context for o in range(35)})
 
 
 def test_substrings_of_repeated_rows_and_null_ids(spark):
