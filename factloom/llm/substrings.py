@@ -145,6 +145,7 @@ def initial_buckets(docs: DataFrame, tasks: int) -> DataFrame:
     """For each id the anchors' q-gram hashes that other documents have too; without an id, those of too many contexts. docs: id, text."""
     parts = packed.parts_of(tasks)
 
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in packed.groups(batches, GROUP_BYTES):
             keys, owners, around = [], [], []
@@ -308,6 +309,7 @@ def _send_spans(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, stops: np
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=SPANS_SENT.names)
 
 
+@tidy
 def _gather_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A FOUND row for each text, from all the spans that were sent to its part."""
     got: list[tuple[np.ndarray, ...]] = []
@@ -443,6 +445,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if held:
             yield from _send_all(_Contexts.join(held), told.value, parts)
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[_Contexts] = []
         windows: list[tuple[np.ndarray, ...]] = []
@@ -490,6 +493,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nameless = docs.select(*kept).where(F.col(id_col).isNull()).withColumn(spans, F.lit(None).cast(joined.schema[spans].dataType))
     joined = joined.unionByName(nameless)
 
+    @tidy
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
