@@ -10,12 +10,12 @@ from factloom.operators import gaps, reconcile, timeline
 
 def corroborations(claims: DataFrame) -> DataFrame:
     """Facts that sources agree on within both tolerances, here for every unit; a lowest value of zero has no spread and is not listed."""
-    low, high = F.min("value_cents"), F.max("value_cents")
-    facts = reconcile.comparable(claims).where("value_cents IS NOT NULL").groupBy("issuer_id", "fact_key").agg(
+    low, high = F.min("value"), F.max("value")
+    facts = reconcile.comparable(claims).where("value IS NOT NULL").groupBy("issuer_id", "fact_key").agg(
         F.count_distinct("document_id").alias("documents"), F.count_distinct("source_name").alias("sources"), low.alias("low"), high.alias("high")
     )
     gap = F.col("high") - F.col("low")
-    agree = (F.col("low") != 0) & (gap * 1000 <= F.col("low")) & (gap <= reconcile.TOLERANCE_ABS)
+    agree = (F.col("low") != 0) & ~reconcile.over_share(F.col("low"), F.col("high")) & (gap <= reconcile.TOLERANCE_ABS)
     return facts.where((F.col("documents") > 1) & (F.col("sources") > 1) & agree).select("issuer_id", "fact_key", "sources", "low", "high", gap.alias("variance"))
 
 
@@ -23,7 +23,7 @@ def gap_summary(history: DataFrame, primary: DataFrame) -> DataFrame:
     """Of each agency's own listed dates: how many are held, missing within our documents' period, or before it."""
     key = ["issuer_id", "agency"]
     listed = history.select(*key, "action_date").distinct()
-    missing = gaps.find_gaps(history, primary).groupBy(*key, "action_date").agg(F.bool_or(F.col("scope") == "within_corpus").alias("within"))
+    missing = gaps.find_gaps(history, primary).groupBy(*key, "action_date").agg(F.bool_or(F.col("scope") == "within_corpus").alias("within"), F.bool_or("changes_view").alias("changes"))
     within = F.when(F.col("within"), F.col("action_date").cast("string"))
     return listed.join(missing, [*key, "action_date"], "left").groupBy(*key).agg(
         F.count("*").alias("listed"),
@@ -32,6 +32,8 @@ def gap_summary(history: DataFrame, primary: DataFrame) -> DataFrame:
         F.count_if("within").alias("missing_within"),
         F.count_if(~F.col("within")).alias("missing_before"),
         F.array_join(F.array_sort(F.collect_list(within)), ",").alias("missing_dates"),
+        F.count_if(F.col("within") & F.col("changes")).alias("missing_material"),
+        F.array_join(F.array_sort(F.collect_list(F.concat(within, F.lit(":"), F.col("changes").cast("string")))), ",").alias("detail"),
     )
 
 
@@ -78,6 +80,36 @@ def verify_anchors(anchors: DataFrame, documents: DataFrame) -> DataFrame:
     return held.select("doc_id", verdict.alias("verdict"))
 
 
+def unanchored(claims: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Claims that no anchor proves; must be empty before a document is loaded. anchors: claim_id."""
+    return claims.join(anchors.select("claim_id").distinct(), "claim_id", "left_anti")
+
+
+def rehashed(documents: DataFrame) -> DataFrame:
+    """documents (bytes, sha256) with whether the stored bytes still have their hash."""
+    return documents.withColumn("intact", F.coalesce(F.sha2("bytes", 256) == F.lower("sha256"), F.lit(False)))
+
+
+def most_stated(rows: DataFrame, key: list[str], value: str) -> DataFrame:
+    """The value that each key states most often, ties to the largest; nulls are not counted."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("__n"))
+    return counted.groupBy(*key).agg(F.max_by(value, F.struct("__n", value)).alias(value))
+
+
+def unquotable(anchors: DataFrame, policies: DataFrame) -> DataFrame:
+    """Anchors on whole tables of publishers that let only quotes be shown. anchors: source_name, node_path; policies: source_name, policy."""
+    # fixed values: elements that hold a table or a part of one that is more than a cell
+    tables = ["table", "tbody", "thead", "tfoot", "tr"]
+    tag = F.regexp_extract("node_path", r"([a-z0-9]+)(?:\[\d+\])?$", 1)
+    return anchors.join(F.broadcast(policies), "source_name").where((F.col("policy") == "quote_and_link") & tag.isin(tables)).drop("policy")
+
+
+def servable(documents: DataFrame, policies: DataFrame) -> DataFrame:
+    """Documents of which a page may be shown: PDFs of publishers that do not restrict it. One policy a publisher."""
+    known = documents.join(F.broadcast(policies), "source_name", "left")
+    return known.where((F.col("media_type").isNull() | (F.col("media_type") == "application/pdf")) & ~F.col("policy").eqNullSafe(F.lit("quote_and_link"))).drop("policy")
+
+
 def debt_table(totals: DataFrame) -> DataFrame:
     """Stated totals of each (issuer, basis, date): each source's newest statement, and how far the sources agree.
 
@@ -88,7 +120,7 @@ def debt_table(totals: DataFrame) -> DataFrame:
     rows = newest.groupBy(*cell).agg(F.count("*").alias("n_sources"), F.min("amount").alias("low"), F.max("amount").alias("high"), F.bool_or("changed").alias("changed_within"))
     gap = F.col("high") - F.col("low")
     part = F.when(F.col("low") != 0, F.bround((gap * 100).cast("decimal(20,0)") / F.col("low").cast("decimal(20,0)"), 3).cast("decimal(20,3)"))
-    beyond = (gap * 1000 > F.col("low")) | (gap > reconcile.TOLERANCE_ABS)
+    beyond = reconcile.disagrees(F.col("low"), F.col("high"), F.lit(reconcile.ABSOLUTE_UNIT))
     agreement = (
         F.when(F.col("n_sources") == 1, "single source")
         .when(beyond, F.concat(F.lit("difference "), part.cast("string"), F.lit("%")))
@@ -104,7 +136,7 @@ def conflict_evidence(runs: DataFrame, states: DataFrame) -> DataFrame:
     asked = runs.withColumnsRenamed({"start": "run_start", "end": "run_end"}).select(*run, "run_end", F.explode(F.array("a_agency", "b_agency")).alias("agency"))
     held = states.where(~F.col("withdrawn"))
     met = asked.join(held, [*timeline.SHARED, "agency"]).where((F.col("effective_from") < F.coalesce("run_end", forever)) & (F.coalesce("effective_to", forever) > F.col("run_start")))
-    stated = F.when(F.col("aspect") == "grade", F.col("grade")).otherwise(F.col("outlook"))
+    stated = F.when(F.col("aspect") == "grade", F.col("grade")).when(F.col("aspect") == "outlook", F.col("outlook")).otherwise(F.col("watch"))
     early = F.col("effective_from") <= F.col("run_start")
     last = F.row_number().over(Window.partitionBy(*run, "agency", "early").orderBy(F.desc("effective_from"), F.desc("claim_id")))
     role = F.when(F.col("early") & (F.col("last") == 1), "opening").when(~F.col("early") & (F.col("last") <= 2), "latest").otherwise("history")

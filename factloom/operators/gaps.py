@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
@@ -28,12 +28,29 @@ def matched_dates(history: DataFrame, primary: DataFrame, days: int = MATCH_DAYS
 
 
 def find_gaps(history: DataFrame, primary: DataFrame) -> DataFrame:
-    """One row a gap with its claims as evidence, and whether it lies within what our documents cover."""
+    """One row a gap with its claims as evidence, whether it lies within what our documents cover, and whether it changes the agency's view.
+
+    Its view (outlook, watch) is its first claim's. The view before is all that the agency said on its latest earlier
+    date, in primary documents or history; without one the gap is taken to matter.
+    """
     matched = matched_dates(history, primary)
     since = primary.groupBy(*LINE).agg(F.min("action_date").alias("since"))
     same = [history[c] == matched[c] for c in LINE] + [history["action_date"] == matched["day"], history["grade"].eqNullSafe(matched["grade"])]
     left = history.join(matched, same, "left_anti").join(since, LINE, "left")
     scope = F.when(F.col("action_date") > F.col("since"), "within_corpus").otherwise("before_corpus")
-    return left.groupBy(*LINE, "action_date", F.coalesce("grade", F.lit("")).alias("grade")).agg(
-        F.min(scope).alias("scope"), F.count("*").alias("n_evidence"), F.min("claim_id").alias("first_claim")
+    found = left.groupBy(*LINE, "action_date", F.coalesce("grade", F.lit("")).alias("grade")).agg(
+        F.min(scope).alias("scope"),
+        F.count("*").alias("n_evidence"),
+        F.min("claim_id").alias("first_claim"),
+        F.min_by(F.struct("outlook", "watch"), "claim_id").alias("view"),
+        F.array_sort(F.collect_list("claim_id")).alias("evidence"),
     )
+    views = ["grade", "outlook", "watch"]
+    known = history.select(*LINE, "action_date", *views).unionByName(primary.select(*LINE, "action_date", *views)).distinct()
+    line = Window.partitionBy(*LINE).orderBy("action_date")
+    days = known.select(*LINE, "action_date").distinct().withColumn("before", F.lag("action_date").over(line))
+    told = known.select(*LINE, F.col("action_date").alias("before"), F.struct(*views).alias("told"))
+    own = F.struct(F.nullif("grade", F.lit("")).alias("grade"), F.col("view.outlook").alias("outlook"), F.col("view.watch").alias("watch"))
+    asked = found.join(days, [*LINE, "action_date"], "left").withColumn("own", own)
+    heard = asked.join(told, [*LINE, "before"], "left").groupBy(*LINE, "action_date", "grade").agg(F.bool_or(F.coalesce(F.col("told").eqNullSafe(F.col("own")), F.lit(False))).alias("__same"))
+    return found.join(heard, [*LINE, "action_date", "grade"]).withColumn("changes_view", ~F.col("__same")).select("*", "view.*").drop("view", "__same")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
+from factloom.operators import banking
 
 # fixed values: thresholds of the banking analysis
 LARGE_CREDIT, QUICK_SHARE, QUICK_DAYS = 10_000, 0.8, 2
@@ -43,6 +43,14 @@ def balance_breaks(rows: DataFrame, statements: DataFrame | None = None) -> Data
     return before.withColumn("off_by", off).where("balance IS NOT NULL AND previous IS NOT NULL AND off_by <> 0")
 
 
+def reconciliation(rows: DataFrame, statements: DataFrame) -> DataFrame:
+    """Whether each statement's opening, credits and debits give its last stated balance."""
+    sums = rows.groupBy("document_id").agg(F.count("*").alias("n_rows"), F.sum("debit").alias("debits"), F.sum("credit").alias("credits"), F.max_by("balance", F.when(F.col("balance").isNotNull(), F.col("seq"))).alias("closing"))
+    expected = F.col("opening") + F.col("credits") - F.col("debits")
+    both = sums.join(statements.select("document_id", "opening"), "document_id").withColumn("expected", expected).withColumn("difference", F.col("closing") - F.col("expected"))
+    return both.select("document_id", "n_rows", "opening", "closing", "expected", "difference", F.when(F.col("difference") == 0, "reconciles").when(F.col("difference") != 0, "differs").alias("status"))
+
+
 def daily_balances(rows: DataFrame) -> DataFrame:
     """The last stated balance of every day from an account's first to its last, carried forward: for rows without statements."""
     eod = rows.where("balance IS NOT NULL").groupBy("account_key", "txn_date").agg(F.max_by("balance", "seq").alias("eod"))
@@ -79,7 +87,7 @@ def balance_months(daily: DataFrame) -> DataFrame:
     """Covered days, average and lowest balance and negative days of each month of covered_balances."""
     return daily.groupBy("account_key", F.date_format("txn_date", "yyyy-MM").alias("month")).agg(
         F.count("*").alias("days"),
-        F.round(F.avg("balance"), 2).alias("average"),
+        F.bround(F.sum("balance").cast("decimal(30,6)") / F.count("balance"), 2).cast("double").alias("average"),
         F.min("balance").alias("lowest"),
         F.count_if(F.col("balance") < 0).alias("negative_days"),
     )
@@ -87,7 +95,7 @@ def balance_months(daily: DataFrame) -> DataFrame:
 
 def average_balances(months: DataFrame) -> DataFrame:
     """An account's average monthly balance: over its months of FULL_MONTH covered days or more, null without one."""
-    return months.groupBy("account_key").agg(F.round(F.avg(F.when(F.col("days") >= FULL_MONTH, F.col("average"))), 2).alias("average"))
+    return months.groupBy("account_key").agg(F.bround(F.avg(F.when(F.col("days") >= FULL_MONTH, F.col("average").cast("decimal(20,2)"))), 2).cast("double").alias("average"))
 
 
 def monthly(rows: DataFrame) -> DataFrame:
@@ -106,22 +114,68 @@ def statement_gaps(statements: DataFrame) -> DataFrame:
     line = Window.partitionBy("account_key").orderBy("period_start", "document_id")
     after = statements.withColumn("next_start", F.lead("period_start").over(line))
     kind = F.when(F.col("next_start") > F.date_add("period_end", 1), "gap").when(F.col("next_start") <= F.col("period_end"), "overlap")
-    return after.select("account_key", "document_id", "period_end", "next_start", kind.alias("kind")).where("kind IS NOT NULL")
+    both = after.withColumn("next_end", F.lead("period_end").over(line)).withColumn("kind", kind).where("kind IS NOT NULL")
+    first = F.when(F.col("kind") == "gap", F.date_add("period_end", 1)).otherwise(F.col("next_start"))
+    last = F.when(F.col("kind") == "gap", F.date_sub("next_start", 1)).otherwise(F.least("period_end", "next_end"))
+    return both.select("account_key", "document_id", "period_end", "next_start", "kind", first.alias("first_day"), last.alias("last_day"))
+
+
+def accounts(rows: DataFrame, statements: DataFrame) -> DataFrame:
+    """Each account of the statements: its range, gaps, overlaps, unique and duplicate rows and the totals of the unique ones. rows: as mark_duplicates gives them."""
+    held = statements.groupBy("account_key").agg(F.count("*").alias("n_statements"), F.min("period_start").alias("first_day"), F.max("period_end").alias("last_day"))
+    broken = statement_gaps(statements).groupBy("account_key").agg(F.count_if(F.col("kind") == "gap").alias("n_gaps"), F.count_if(F.col("kind") == "overlap").alias("n_overlaps"))
+    own = ~F.col("duplicate")
+    moved = rows.groupBy("account_key").agg(
+        F.count_if(own).alias("unique_rows"),
+        F.count_if(F.col("duplicate")).alias("duplicate_rows"),
+        F.coalesce(F.sum(F.when(own, F.col("credit"))), F.lit(0)).alias("total_credits"),
+        F.coalesce(F.sum(F.when(own, F.col("debit"))), F.lit(0)).alias("total_debits"),
+    )
+    counts = ["n_gaps", "n_overlaps", "unique_rows", "duplicate_rows", "total_credits", "total_debits"]
+    return held.join(broken, "account_key", "left").join(moved, "account_key", "left").fillna(0, counts)
 
 
-def recurring(rows: DataFrame) -> DataFrame:
-    """Debits of the servicing kinds by narration signature in two months or more; typical is the upper median."""
-    serving = rows.where("debit > 0").where(F.col("category").isin("loan_repayment", "card_payment", "od_interest"))
-    months = F.count_distinct(F.date_format("txn_date", "yyyy-MM"))
-    made = serving.groupBy("account_key", "category", text.signature(F.col("narration")).alias("signature")).agg(
-        F.count("*").alias("n"), months.alias("n_months"), F.array_sort(F.collect_list("debit")).alias("amounts")
+def business_months(rows: DataFrame, daily: DataFrame) -> DataFrame:
+    """Each month of an account in one row: turnover, business credits, cash, returns with their rows, and its covered balances.
+
+    rows: without duplicates. Business credits leave out returns and own transfers; cash deposits are business.
+    """
+    month = F.date_format("txn_date", "yyyy-MM").alias("month")
+    of = lambda amount, *tags: F.coalesce(F.sum(F.when((F.col(amount) > 0) & F.col("tag").isin(*tags), F.col(amount))), F.lit(0))
+    moved = banking.tag(rows).groupBy("account_key", month).agg(
+        F.sum("credit").alias("credits"),
+        F.count_if(F.col("credit") > 0).alias("n_credits"),
+        F.sum("debit").alias("debits"),
+        F.count_if(F.col("debit") > 0).alias("n_debits"),
+        of("credit", "business", "cash_deposit").alias("business_credits"),
+        of("credit", "cash_deposit").alias("cash_in"),
+        of("debit", "cash_withdrawal").alias("cash_out"),
+        F.array_sort(F.collect_list(F.when(F.col("tag") == "return", F.col("txn_id")))).alias("return_ids"),
     )
-    typical = F.element_at("amounts", (F.floor(F.col("n") / 2) + 1).cast("int"))
-    low, high = F.element_at("amounts", 1), F.element_at("amounts", -1)
-    fixed = (high - low) * 200 <= F.greatest(F.lit(200), typical)
-    return made.where((F.col("n_months") >= 2) | (F.col("category") == "od_interest")).select(
-        "account_key", "category", "signature", "n", "n_months", typical.alias("typical"), low.alias("low"), high.alias("high"), fixed.alias("fixed_amount")
+    both = moved.join(balance_months(daily), ["account_key", "month"], "full_outer")
+    amounts = ["credits", "n_credits", "debits", "n_debits", "business_credits", "cash_in", "cash_out", "days", "negative_days"]
+    return both.fillna(0, amounts).withColumn("return_ids", F.coalesce("return_ids", F.array().cast("array<long>")))
+
+
+def recurring(rows: DataFrame) -> DataFrame:
+    """Debits of the servicing kinds by narration signature in two months or more; typical is the upper median. Rows marked duplicate take no part."""
+    serving = rows.where(F.col("category").isin("loan_repayment", "card_payment", "od_interest"))
+    if "duplicate" in rows.columns:
+        serving = serving.where("NOT duplicate")
+    key = ["account_key", "category", "signature"]
+    placed = serving.withColumn("signature", text.signature(F.col("narration")))
+    line = Window.partitionBy(*key).orderBy("debit", "txn_id")
+    ranked = placed.withColumns({"__place": F.row_number().over(line), "__n": F.count("*").over(Window.partitionBy(*key))})
+    made = ranked.groupBy(*key).agg(
+        F.count("*").alias("n"),
+        F.count_distinct(F.date_format("txn_date", "yyyy-MM")).alias("n_months"),
+        F.max(F.when(F.col("__place") == F.floor(F.col("__n") / 2) + 1, F.col("debit"))).alias("typical"),
+        F.min("debit").alias("low"),
+        F.max("debit").alias("high"),
+        F.bround(F.sum("debit").cast("decimal(30,6)") / F.count("*"), 2).cast("double").alias("average"),
     )
+    fixed = (F.col("high") - F.col("low")) * 200 <= F.greatest(F.lit(200), F.col("typical"))
+    return made.where((F.col("n_months") >= 2) | (F.col("category") == "od_interest")).withColumn("fixed_amount", fixed)
 
 
 def top_payers(rows: DataFrame, n: int = 5) -> DataFrame:
@@ -132,46 +186,65 @@ def top_payers(rows: DataFrame, n: int = 5) -> DataFrame:
     return ranked.where(F.col("rank") <= n).select("account_key", "payer", "credits", F.floor(F.col("credits") * 1000 / F.col("total")).cast("long").alias("per_mille"), "rank")
 
 
-def _retained(rows: pd.DataFrame) -> pd.DataFrame:
-    """One account: which large credits left again within days; each rupee debited counts for one credit."""
-    rows = rows.sort_values(["txn_date", "seq"])
-    days = pd.to_datetime(rows.txn_date)
-    pool = [[d, left] for d, left in zip(days, rows.debit, strict=True) if left > 0]
-    large = quick = 0
-    for day, amount in zip(days, rows.credit, strict=True):
-        if amount < LARGE_CREDIT:
-            continue
-        large += 1
-        window = [p for p in pool if day <= p[0] <= day + pd.Timedelta(days=QUICK_DAYS) and p[1] > 0]
-        need = amount * QUICK_SHARE
-        if sum(p[1] for p in window) >= need:
-            quick += 1
-            for p in window:
-                used = min(p[1], need)
-                p[1] -= used
-                need -= used
-                if need <= 0:
-                    break
-    return pd.DataFrame({"account_key": [rows.account_key.iloc[0]], "n_large": [large], "n_quick": [quick]})
-
-
 def retention(rows: DataFrame) -> DataFrame:
-    """Large credits and those of them that mostly left within QUICK_DAYS: sequential by nature, so one task an account."""
-    return rows.select("account_key", "txn_date", "seq", "debit", "credit").groupBy("account_key").applyInPandas(_retained, "account_key long, n_large long, n_quick long")
+    """Large business credits and those of them of which QUICK_SHARE left again within QUICK_DAYS, each rupee of a debit counted once.
+
+    rows: without duplicates. A credit takes what it needs from the earliest debits of its days that are still left, and
+    the days of later credits begin no earlier. On the line of all debits one after the other, what is taken is therefore
+    all that lies before one point: a credit has what lies between that point (or its first day) and its last day. That
+    point is folded over each run of credits whose days touch; other credits cannot share a debit.
+    """
+    account = Window.partitionBy("account_key")
+    daily = rows.groupBy("account_key", "txn_date").agg(F.sum("debit").alias("paid"))
+    reach = daily.withColumn("upto", F.sum("paid").over(account.orderBy("txn_date"))).where("paid > 0").select("account_key", F.col("txn_date").alias("day"), "upto")
+    large = banking.tag(rows).where(F.col("tag").isin("business", "cash_deposit") & (F.col("credit") >= LARGE_CREDIT)).select("account_key", "txn_date", "seq", "txn_id", "credit")
+    # the debits up to a day are those of the last day on which there were any
+    asked = large.select("account_key", F.explode(F.array(F.date_sub("txn_date", 1), F.date_add("txn_date", QUICK_DAYS))).alias("day")).distinct()
+    line = account.orderBy("day", F.col("upto").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = reach.unionByName(asked.withColumn("upto", F.lit(None).cast(reach.schema["upto"].dataType)))
+    known = both.withColumn("debits", F.coalesce(F.last("upto", ignorenulls=True).over(line), F.lit(0))).where("upto IS NULL").drop("upto")
+    at = lambda day, name: known.select("account_key", F.col("day").alias(day), F.col("debits").alias(name))
+    spans = large.withColumns({"before": F.date_sub("txn_date", 1), "until": F.date_add("txn_date", QUICK_DAYS)}).join(at("before", "s"), ["account_key", "before"]).join(at("until", "e"), ["account_key", "until"])
+    order = account.orderBy("txn_date", "seq", "txn_id")
+    opens = F.coalesce((F.datediff("txn_date", F.lag("txn_date").over(order)) > QUICK_DAYS).cast("int"), F.lit(1))
+    runs = spans.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order))
+    credit = F.struct("txn_date", "seq", "txn_id", F.col("s").cast("decimal(30,2)").alias("s"), F.col("e").cast("decimal(30,2)").alias("e"), F.col("credit").cast("decimal(30,2)").alias("credit"))
+    zero = F.lit(0).cast("decimal(30,2)")
+    start = F.struct(zero.alias("taken"), F.lit(0).cast("long").alias("n"), zero.alias("amount"))
+
+    def allot(done: Column, c: Column) -> Column:
+        since = F.greatest(done["taken"], c["s"])
+        need = (c["credit"] * F.lit(QUICK_SHARE).cast("decimal(2,1)")).cast("decimal(30,2)")
+        left = c["e"] - since >= need
+        return F.struct(
+            F.when(left, since + need).otherwise(done["taken"]).cast("decimal(30,2)").alias("taken"),
+            (done["n"] + left.cast("long")).alias("n"),
+            (done["amount"] + F.when(left, c["credit"]).otherwise(zero)).cast("decimal(30,2)").alias("amount"),
+        )
+
+    folded = runs.groupBy("account_key", "run").agg(F.count("*").alias("n"), F.sum("credit").alias("amount"), F.array_sort(F.collect_list(credit)).alias("credits")).withColumn("done", F.aggregate("credits", start, allot))
+    return folded.groupBy("account_key").agg(
+        F.sum("n").alias("n_large"), F.sum("done.n").alias("n_quick"), F.sum("amount").alias("large_amount"), F.sum("done.amount").cast("decimal(38,2)").alias("quick_amount")
+    )
 
 
 def eligibility(cases: DataFrame) -> DataFrame:
-    """Instalment capacity and principal at the assumptions; status invalid, needs_input or computed."""
-    bad = (F.col("income") <= 0) | (F.col("obligations") < 0) | ~F.col("ratio_pct").between(1, 100) | ~F.col("rate_pct").between(0, 60) | ~F.col("tenure").between(1, 480)
-    inputs = ("income", "obligations", "ratio_pct", "rate_pct", "tenure")
-    missing = F.greatest(*[F.col(c).isNull().cast("int") for c in inputs]) == 1
+    """Instalment capacity, principal and present ratio at the assumptions; status invalid, needs_input or computed.
+
+    Invalid: an income not above 0, negative obligations, a ratio not above 0 or over 100 %, a rate outside 0 to 60 %, a
+    tenure that is no whole number of 1 to 480 months. The capacity is rounded first; the principal is of the rounded one.
+    """
+    income, owed, ratio, rate, tenure = (F.col(c).cast("decimal(18,4)") for c in ("income", "obligations", "ratio_pct", "rate_pct", "tenure"))
+    bad = (income <= 0) | (owed < 0) | (ratio <= 0) | (ratio > 100) | ~rate.between(0, 60) | ~tenure.between(1, 480) | (tenure != F.floor(tenure))
+    missing = F.greatest(*[F.col(c).isNull().cast("int") for c in ("income", "obligations", "ratio_pct", "rate_pct", "tenure")]) == 1
     status = F.when(F.coalesce(bad, F.lit(False)), "invalid").when(missing, "needs_input").otherwise("computed")
-    capacity = F.greatest(F.lit(0.0), F.col("ratio_pct") / 100.0 * F.col("income") - F.col("obligations"))
-    i = F.col("rate_pct") / 1200.0
-    principal = F.when(F.col("rate_pct") == 0, capacity * F.col("tenure")).otherwise(capacity * (1 - F.pow(1 + i, -F.col("tenure"))) / i)
+    capacity = F.round(F.greatest(F.lit(0).cast("decimal(38,8)"), (ratio * income / 100 - owed).cast("decimal(38,8)")), 2).cast("double")
+    i, n = rate.cast("double") / 1200, tenure.cast("double")
+    principal = F.when(rate == 0, capacity * n).otherwise(capacity * (1 - F.pow(1 + i, -n)) / i)
     done = F.col("status") == "computed"
+    present = F.when((F.col("status") != "invalid") & (income > 0), F.round(owed * 100 / income, 2).cast("double"))
     return cases.withColumn("status", status).select(
-        "case_id", "status", F.when(done, F.round(capacity, 2)).alias("capacity"), F.when(done, F.round(principal, 0)).alias("principal")
+        "case_id", "status", F.when(done, capacity).alias("capacity"), F.when(done, F.round(principal, 0)).alias("principal"), present.alias("present_ratio")
     )
 
 

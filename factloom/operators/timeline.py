@@ -1,7 +1,8 @@
 """Effective dating: states of each source, overlaps of different sources, and runs of disagreement.
 
 Scale: every operator partitions by (issuer, class, term); sources of one such
-key meet in a join on equal keys with a range condition, never in a cross join.
+key meet in a join on equal keys and years with a range condition, never in a
+cross join, so a scope that is rated for decades is dealt out by years.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from factloom.functions import text
 FOREVER = "9999-12-31"
 LINE = ["issuer_id", "agency", "instrument_class", "term"]
 SHARED = ["issuer_id", "instrument_class", "term"]
+#: What two concurrent ratings can disagree about.
+ASPECTS = ("grade", "outlook", "watch")
 
 
 def states(actions: DataFrame) -> DataFrame:
@@ -34,8 +37,8 @@ def states(actions: DataFrame) -> DataFrame:
     return actions.join(after, [*LINE, "action_date"]).select(
         "claim_id",
         *LINE,
-        "grade",
-        "outlook",
+        *ASPECTS,
+        "instrument",
         F.col("action_date").alias("effective_from"),
         F.when(gone, F.col("action_date")).otherwise(F.col("next_action_date")).alias("effective_to"),
         gone.alias("withdrawn"),
@@ -54,15 +57,23 @@ def concurrent(states: DataFrame) -> DataFrame:
     """Pairs of different agencies whose states on the same scale overlap (half-open), with the overlap."""
     end = F.coalesce("effective_to", F.to_date(F.lit(FOREVER)))
     held = states.where(~F.col("withdrawn")).withColumn("until", end).where("effective_from < until")
-    side = lambda tag: held.select(*SHARED, *[F.col(c).alias(f"{tag}_{c}") for c in ("claim_id", "agency", "grade", "outlook", "effective_from", "until")])
+    # a pair begins when its later state does, so states are met in the years up to the last beginning of their scope, and a pair in the year it begins
+    last = held.groupBy(*SHARED).agg(F.max("effective_from").alias("last"))
+    years = F.explode(F.sequence(F.year("effective_from"), F.year(F.least("until", "last"))))
+    met = held.join(last, SHARED).withColumn("year", years)
+    side = lambda tag: met.select(*SHARED, "year", *[F.col(c).alias(f"{tag}_{c}") for c in ("claim_id", "agency", *ASPECTS, "instrument", "effective_from", "until")])
     overlap = (F.col("a_effective_from") < F.col("b_until")) & (F.col("b_effective_from") < F.col("a_until")) & (F.col("a_agency") < F.col("b_agency"))
-    pairs = side("a").join(side("b"), SHARED).where(overlap)
+    begins = F.year(F.greatest("a_effective_from", "b_effective_from"))
+    pairs = side("a").join(side("b"), [*SHARED, "year"]).where(overlap & (F.col("year") == begins)).drop("year")
     until = F.least("a_until", "b_until")
     return pairs.withColumns({"start": F.greatest("a_effective_from", "b_effective_from"), "end": F.when(until < F.to_date(F.lit(FOREVER)), until)})
 
 
-def runs(windows: DataFrame, key: list[str], members: list[str]) -> DataFrame:
-    """Contiguous or overlapping windows (start, end; null: open) of one key become one run with all members."""
+def runs(windows: DataFrame, key: list[str], members: list[str], first: str | None = None) -> DataFrame:
+    """Contiguous or overlapping windows (start, end; null: open) of one key become one run with all members.
+
+    first: a column that the run takes from its first window; of windows that begin together, from the one whose value is smallest.
+    """
     until = F.coalesce("end", F.to_date(F.lit(FOREVER)))
     ordered = Window.partitionBy(*key).orderBy("start", *members)
     reach = F.max(until).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
@@ -73,13 +84,14 @@ def runs(windows: DataFrame, key: list[str], members: list[str]) -> DataFrame:
         F.max(until).alias("until"),
         F.count("*").alias("n_windows"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(*members))))).alias("members"),
+        *([F.min_by(first, F.struct("start", first)).alias(first)] if first else []),
     )
     return merged.withColumn("end", F.when(F.col("until") < F.to_date(F.lit(FOREVER)), F.col("until"))).drop("until", "run")
 
 
 def rating_conflicts(actions: DataFrame) -> DataFrame:
-    """Runs in which two agencies held different grades or outlooks; values are compared normalised, null is no opinion."""
+    """Runs in which two agencies held different grades, outlooks or watches; values are compared normalised, null is no opinion."""
     pairs = concurrent(states(actions))
-    sides = [F.struct(F.lit(a).alias("aspect"), text.normalise(F.col(f"a_{a}")).alias("a_value"), text.normalise(F.col(f"b_{a}")).alias("b_value")) for a in ("grade", "outlook")]
+    sides = [F.struct(F.lit(a).alias("aspect"), text.normalise(F.col(f"a_{a}")).alias("a_value"), text.normalise(F.col(f"b_{a}")).alias("b_value")) for a in ASPECTS]
     both = pairs.withColumn("side", F.explode(F.array(*sides))).select("*", "side.*").where("a_value <> b_value")
     return runs(both, [*SHARED, "aspect", "a_agency", "b_agency", "a_value", "b_value"], ["a_claim_id", "b_claim_id"])

@@ -178,18 +178,19 @@ _CLAIMS, _ACTIONS, _ANCHORS = src.duck(src.CLAIMS), src.duck(src.ACTIONS), src.d
 
 
 @query(f"""
-SELECT issuer_id, fact_key, count(DISTINCT source_name) AS sources, min(value_cents) AS low, max(value_cents) AS high, max(value_cents) - min(value_cents) AS variance
-FROM ({src.duck(src.AGREED)}) WHERE value_cents IS NOT NULL AND NOT ends_with(fact_key, '|rationale') GROUP BY issuer_id, fact_key
-HAVING count(DISTINCT document_id) > 1 AND count(DISTINCT source_name) > 1 AND (max(value_cents) - min(value_cents)) * 1000 <= nullif(min(value_cents), 0) AND max(value_cents) - min(value_cents) <= 5""")
+SELECT issuer_id, fact_key, count(DISTINCT source_name) AS sources, min(value) AS low, max(value) AS high, max(value) - min(value) AS variance
+FROM ({src.duck(src.AGREED)}) WHERE value IS NOT NULL AND NOT (starts_with(fact_key, 'rated_amount|') OR starts_with(fact_key, 'instrument|') OR starts_with(fact_key, 'rating_history|')) GROUP BY issuer_id, fact_key
+HAVING count(DISTINCT document_id) > 1 AND count(DISTINCT source_name) > 1 AND (max(value) - min(value)) / nullif(min(value), 0) * 100 <= 0.10 AND max(value) - min(value) <= 5""")
 def corroborations(spark, sf_dir):
     return evidence.corroborations(src.view(spark, sf_dir, src.AGREED))
 
 
 @query(f"""
 WITH listed AS (SELECT DISTINCT issuer_id, agency, CAST(action_date AS VARCHAR) AS action_date FROM ({_ACTIONS}) WHERE provenance = 'history_annexure'),
-missing AS (SELECT issuer_id, agency, action_date, bool_or(scope = 'within_corpus') AS within FROM ({ORACLES['corpus_gaps']}) GROUP BY ALL)
+missing AS (SELECT issuer_id, agency, action_date, bool_or(scope = 'within_corpus') AS within, bool_or(changes_view) AS changes FROM ({ORACLES['corpus_gaps']}) GROUP BY ALL)
 SELECT issuer_id, agency, count(*) AS listed, min(action_date) AS listed_since, count(*) FILTER (WHERE within IS NULL) AS loaded, count(*) FILTER (WHERE within) AS missing_within,
-       count(*) FILTER (WHERE NOT within) AS missing_before, coalesce(string_agg(action_date, ',' ORDER BY action_date) FILTER (WHERE within), '') AS missing_dates
+       count(*) FILTER (WHERE NOT within) AS missing_before, coalesce(string_agg(action_date, ',' ORDER BY action_date) FILTER (WHERE within), '') AS missing_dates,
+       count(*) FILTER (WHERE within AND changes) AS missing_material, coalesce(string_agg(action_date || ':' || changes, ',' ORDER BY action_date) FILTER (WHERE within), '') AS detail
 FROM listed LEFT JOIN missing USING (issuer_id, agency, action_date) GROUP BY issuer_id, agency""", dates=("listed_since",))
 def gap_summary(spark, sf_dir):
     actions = src.view(spark, sf_dir, src.ACTIONS)

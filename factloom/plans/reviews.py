@@ -201,7 +201,7 @@ s AS (SELECT *, effective_from AS f, coalesce(effective_to, '9999-12-31') AS u F
 k AS (SELECT r.issuer_id, r.instrument_class, r.term, r.aspect, r.a_agency, r.b_agency, r.a_value, r.b_value, run_start, s.agency, s.claim_id, f,
              row_number() OVER (PARTITION BY r.issuer_id, r.instrument_class, r.term, r.aspect, r.a_agency, r.b_agency, r.a_value, r.b_value, run_start, s.agency, f <= run_start ORDER BY f DESC, s.claim_id DESC) AS last_n, f <= run_start AS early
       FROM r JOIN s ON s.issuer_id = r.issuer_id AND s.instrument_class = r.instrument_class AND s.term = r.term AND s.agency IN (r.a_agency, r.b_agency)
-      WHERE f < coalesce(run_end, '9999-12-31') AND u > run_start AND CASE aspect WHEN 'grade' THEN s.grade ELSE s.outlook END IS NOT NULL)
+      WHERE f < coalesce(run_end, '9999-12-31') AND u > run_start AND CASE aspect WHEN 'grade' THEN s.grade WHEN 'outlook' THEN s.outlook ELSE s.watch END IS NOT NULL)
 SELECT issuer_id, instrument_class, term, aspect, a_agency, b_agency, a_value, b_value, run_start, agency, claim_id, CASE WHEN early AND last_n = 1 THEN 'opening' WHEN NOT early AND last_n <= 2 THEN 'latest' ELSE 'history' END AS role FROM k""")
 def conflict_evidence(spark, sf_dir):
     actions = src.view(spark, sf_dir, src.ACTIONS)

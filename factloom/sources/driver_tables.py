@@ -15,7 +15,11 @@ SELECT o_orderkey AS claim_id, CAST(floor(o_custkey / 15) AS BIGINT) AS issuer_i
        CASE WHEN o_orderkey % 3 = 2 THEN 'short_term' ELSE 'long_term' END AS term,
        CASE WHEN o_orderkey % 41 = 0 THEN NULL WHEN o_custkey % 4 = 0 THEN 'AA' WHEN o_custkey % 4 = 1 THEN 'AA+' WHEN o_custkey % 4 = 2 THEN 'aa ' ELSE 'A' END AS grade,
        CASE o_custkey % 3 WHEN 0 THEN 'Stable' WHEN 1 THEN 'NEGATIVE ' ELSE NULL END AS outlook,
-       CASE WHEN o_orderkey % 41 = 0 OR o_orderkey % 23 = 0 THEN 'reaffirmed; withdrawn' ELSE 'reaffirmed' END AS action,
+       CASE o_custkey % 5 WHEN 0 THEN 'Watch with Negative Implications' WHEN 1 THEN 'WATCH with  negative implications' WHEN 2 THEN 'Watch with Developing Implications' END AS watch,
+       CASE o_orderkey % 4 WHEN 0 THEN 'Long Term  Long Term Instruments' WHEN 1 THEN 'NCD programme' ELSE 'Facilities ' || CAST(o_orderkey % 9 AS VARCHAR(20)) END AS instrument,
+       CASE WHEN o_orderkey % 41 = 0 OR o_orderkey % 23 = 0 THEN 'reaffirmed; withdrawn' WHEN o_orderkey % 7 = 0 THEN 'assigned; downgraded; removed' WHEN o_orderkey % 7 = 1 THEN 'upgraded' WHEN o_orderkey % 7 = 2 THEN 'revised'
+            WHEN o_orderkey % 7 = 3 THEN 'placed on' WHEN o_orderkey % 7 = 4 THEN 'assigned' WHEN o_orderkey % 35 = 5 THEN NULL ELSE 'reaffirmed' END AS action,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'AA-' END AS previous, CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE CAST(year(o_orderdate) * 10 + o_orderkey % 7 AS BIGINT) END AS published,
        CAST(o_orderdate AS DATE) AS action_date,
        CASE WHEN o_custkey % 6 = 0 THEN 'history_annexure' ELSE 'primary_rationale' END AS provenance
 FROM {orders}
@@ -23,17 +27,17 @@ FROM {orders}
 
 CLAIMS = """
 SELECT l_orderkey * 10 + l_linenumber AS claim_id, CAST(floor(l_orderkey / 500) AS BIGINT) AS issuer_id,
-       'metric|' || CAST(l_partkey % 50 AS VARCHAR(20)) || '|' || CASE WHEN l_partkey % 50 < 5 THEN 'rationale' ELSE 'total' END AS fact_key,
+       CASE WHEN l_partkey % 50 < 2 THEN 'rated_amount|' WHEN l_partkey % 50 < 4 THEN 'instrument|' WHEN l_partkey % 50 < 5 THEN 'rating_history|' ELSE 'metric|' END || CAST(l_partkey % 50 AS VARCHAR(20)) || '|total' AS fact_key,
        CAST(l_suppkey % 7 AS BIGINT) AS document_id, 'source' || CAST(l_suppkey % 4 AS VARCHAR(20)) AS source_name,
-       CAST(floor(100000 + l_quantity * CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS value_cents,
+       CASE WHEN l_partkey % 23 = 0 THEN NULL ELSE CASE WHEN l_partkey % 50 IN (17, 18) THEN -1 ELSE 1 END * CAST(floor(100000 + l_quantity * CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE 1 END) AS BIGINT) END AS value,
        CASE WHEN l_partkey % 2 = 0 THEN 'INR_CRORE' ELSE 'PERCENT' END AS unit,
        CASE WHEN l_partkey % 11 = 0 AND l_suppkey % 2 = 0 THEN 'agency_adjusted' ELSE 'consolidated' END AS basis,
-       CASE l_suppkey % 3 WHEN 0 THEN 'Negative' WHEN 1 THEN 'NEGATIVE ' ELSE 'Stable' END AS value_text
+       CASE WHEN l_suppkey % 11 = 0 THEN NULL WHEN l_suppkey % 3 = 0 THEN 'Negative' WHEN l_suppkey % 3 = 1 THEN 'NEGATIVE ' ELSE 'Stable' END AS value_text
 FROM {lineitem}
 """
 
 AGREED = f"""
-SELECT claim_id, issuer_id, fact_key, document_id, source_name, CASE WHEN substr(fact_key, 8, 1) IN ('1', '2') THEN 100000 + document_id ELSE value_cents END AS value_cents
+SELECT claim_id, issuer_id, fact_key, document_id, source_name, CASE WHEN substr(fact_key, 8, 2) IN ('17', '18') THEN -100000 + document_id WHEN substr(fact_key, 8, 1) IN ('1', '2') THEN 100000 + document_id ELSE value END AS value
 FROM ({CLAIMS}) c
 """
 
@@ -55,8 +59,10 @@ FROM ({LEDGER}) t
 """
 
 REPEATED = f"""
-SELECT * FROM ({LEDGER}) a
-UNION ALL SELECT txn_id + 100000000, account_key, txn_date, seq, document_id + 1, upper(narration), category, debit, credit FROM ({LEDGER}) b WHERE txn_id % 4 = 0
+SELECT txn_id, CASE WHEN account_key % 10 = 0 THEN 'unnumbered-doc' || CAST(document_id AS VARCHAR(20)) ELSE CAST(account_key AS VARCHAR(20)) END AS account_key, txn_date, seq, document_id, narration, category, debit, credit, balance
+FROM (
+  SELECT a.*, CASE WHEN txn_id % 9 = 0 THEN NULL ELSE txn_id % 1000 END AS balance FROM ({LEDGER}) a
+  UNION ALL SELECT txn_id + 100000000, account_key, txn_date, seq, document_id + 1, upper(narration), category, debit, credit, CASE WHEN txn_id % 9 = 0 THEN NULL WHEN txn_id % 8 = 0 THEN txn_id % 1000 + 1 ELSE txn_id % 1000 END FROM ({LEDGER}) b WHERE txn_id % 4 = 0) r
 """
 
 STATEMENTS = """
@@ -67,6 +73,17 @@ SELECT c_custkey AS account_key, c_custkey * 10 + n AS document_id,
 FROM {customer} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) k
 """
 
+STATED_ROWS = """
+SELECT c_custkey * 100 + k AS txn_id, c_custkey AS account_key, c_custkey * 10 + CAST(floor(k / 4) AS BIGINT) AS document_id, CAST(k AS BIGINT) AS seq,
+       date_add_days(DATE '2024-01-01', CAST(floor(k / 4) * 40 + c_custkey % 7 + k % 4 * 9 AS INT)) AS txn_date,
+       CASE (c_custkey + k) % 9 WHEN 0 THEN 'ACH-HDFC BANK-EMI 1234' WHEN 1 THEN 'ATM 0042' WHEN 2 THEN 'ECS RETURN CHGS' WHEN 3 THEN 'RTN CHG' WHEN 4 THEN 'UPI/SHREE TRADERS/9'
+            WHEN 5 THEN 'NEFT RETURN UNPAID' WHEN 6 THEN 'CASH DEP 0021' WHEN 7 THEN 'OWN A/C SWEEP' ELSE 'IMPS/334455/RAVI STORES' END AS narration,
+       CASE WHEN (c_custkey + k) % 9 < 4 THEN CAST(4000 + c_custkey % 13 * 1000 + k * 100 AS BIGINT) ELSE 0 END AS debit,
+       CASE WHEN (c_custkey + k) % 9 < 4 THEN 0 ELSE CAST(6000 + c_custkey % 11 * 1000 AS BIGINT) END AS credit,
+       CASE WHEN (c_custkey + k) % 5 = 0 OR c_custkey % 17 = 0 THEN NULL ELSE CAST(500 * k - 1500 + c_custkey % 300 AS BIGINT) END AS balance
+FROM {customer} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10 UNION ALL SELECT 11) t
+"""
+
 DAYS = """
 SELECT event_id AS txn_id, user_id AS account_key, CAST(ts AS DATE) AS txn_date, event_id AS seq,
        CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(floor(value * 100) AS BIGINT) END AS balance,
@@ -83,8 +100,8 @@ FROM {lineitem} WHERE l_linenumber = 1 AND l_orderkey % 3 = 0
 
 ASSUMPTIONS = """
 SELECT c_custkey AS case_id, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE CAST(floor(c_acctbal * 10) AS BIGINT) END AS income,
-       CAST(c_custkey % 4000 AS BIGINT) AS obligations, CAST(CASE WHEN c_custkey % 31 = 0 THEN 150 ELSE 40 + c_custkey % 20 END AS BIGINT) AS ratio_pct,
-       CAST(c_custkey % 15 AS BIGINT) AS rate_pct, CAST(12 * (c_custkey % 20) AS BIGINT) AS tenure
+       CAST(c_custkey % 4000 AS BIGINT) AS obligations, CAST(CASE WHEN c_custkey % 31 = 0 THEN 150 WHEN c_custkey % 29 = 0 THEN 0 WHEN c_custkey % 13 = 0 THEN 0.5 ELSE 40 + c_custkey % 20 END AS DECIMAL(9, 2)) AS ratio_pct,
+       CAST(c_custkey % 15 AS BIGINT) AS rate_pct, CAST(12 * (c_custkey % 20) + CASE WHEN c_custkey % 37 = 0 THEN 0.5 ELSE 0 END AS DECIMAL(9, 2)) AS tenure
 FROM {customer}
 """
 
@@ -213,6 +230,11 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace("date_add_days(", "date_add(").format(**names))
 
 
+def literal(value: str) -> str:
+    """A string literal of a view: both engines read quotes doubled and line feeds as they are; braces are for format."""
+    return "'" + value.replace("'", "''").replace("{", "{{").replace("}", "}}") + "'"
+
+
 def duck(sql: str) -> str:
     """The same view for DuckDB."""
     text = sql.format(**{t: t for t in TABLES})

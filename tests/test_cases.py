@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from factloom.operators import banking, credit, evidence
-from factloom.plans import reviews
+from factloom.plans import readings, registers, reviews  # noqa: F401  (all add to one catalogue)
 from factloom.streaming import activity
 
 LINE = "tradeline_id long, case_id long, lender string, account_type string, ownership string, status string, status_verified boolean, date_closed date, date_closed_verified boolean, account_number string, emi long, emi_status string"

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from factloom.functions import text
 from factloom.operators import gaps, ledger, reconcile, timeline
 
-ACTION = "claim_id long, issuer_id long, agency string, instrument_class string, term string, grade string, outlook string, action string, action_date date, provenance string"
+ACTION = "claim_id long, issuer_id long, agency string, instrument_class string, term string, grade string, outlook string, watch string, instrument string, action string, action_date date, provenance string"
 
 
 def action(claim, agency, day, what="reaffirmed", grade="AA", history=False, kind="ncd"):
-    return claim, 1, agency, kind, "long_term", grade, "Stable", what, date.fromisoformat(day), "history_annexure" if history else "primary_rationale"
+    return claim, 1, agency, kind, "long_term", grade, "Stable", None, "NCD", what, date.fromisoformat(day), "history_annexure" if history else "primary_rationale"
 
 
 def states(spark, *rows):
@@ -54,7 +54,7 @@ def test_gaps(spark):
     assert sorted((str(r.action_date), r.scope, r.n_evidence) for r in got) == [("2023-06-01", "before_corpus", 1), ("2024-06-01", "within_corpus", 2)]
 
 
-@pytest.mark.parametrize(("low", "high", "unit", "want"), [(4667420, 4669900, "x", False), (100, 101, "INR_CRORE", True), (100000, 100006, "INR_CRORE", True), (100000, 100006, "PERCENT", False), (0, 5, "PERCENT", False)])
+@pytest.mark.parametrize(("low", "high", "unit", "want"), [(4667420, 4669900, "x", False), (100, 101, "INR_CRORE", True), (100000, 100006, "INR_CRORE", True), (100000, 100006, "PERCENT", False), (0, 5, "PERCENT", False), (-100, -100, "PERCENT", False), (-100, 50, "PERCENT", False), (-100, -90, "INR_CRORE", True)])
 def test_tolerances(spark, low, high, unit, want):
     assert spark.range(1).select(reconcile.disagrees(F.lit(low), F.lit(high), F.lit(unit)).alias("x")).first().x is want
 
@@ -98,14 +98,48 @@ def test_covered_days_restart_after_a_gap(spark):
 
 
 def test_retention_counts_each_rupee_once(spark):
-    rows = [(1, date(2024, 1, 10), 1, 0, 10000), (1, date(2024, 1, 10), 2, 0, 10000), (1, date(2024, 1, 11), 3, 8000, 0)]
-    got = ledger.retention(spark.createDataFrame(rows, "account_key long, txn_date date, seq long, debit long, credit long")).first()
-    assert (got.n_large, got.n_quick) == (2, 1)
+    d = date(2024, 1, 10)
+    rows = [(1, d, 1, 0, 10000, "ok"), (1, d, 2, 0, 10000, "ok"), (1, date(2024, 1, 11), 3, 8000, 0, "ok"), (1, d, 4, 0, 90000, "NEFT RETURN"), (1, d, 5, 0, 90000, "OWN A/C"), (1, d, 6, 0, 9999, "ok")]
+    rows += [(1, date(2024, 3, 1), 7, 0, 20000, "CASH DEP"), (1, date(2024, 3, 3), 8, 15999, 0, "x"), (1, date(2024, 3, 3), 9, 0, 10000, "ok"), (1, date(2024, 3, 4), 10, 1, 0, "x"), (1, date(2024, 3, 6), 11, 9000, 0, "x")]
+    got = ledger.retention(spark.createDataFrame([(*r[:3], r[2], *r[3:]) for r in rows], "account_key long, txn_date date, seq long, txn_id long, debit long, credit long, narration string")).first()
+    assert (got.n_large, got.n_quick, got.large_amount, int(got.quick_amount)) == (4, 2, 50000, 20000)
+
+
+def test_retention_matches_the_rule_told_plainly(spark):
+    import random
+
+    rng, rows = random.Random(6), []
+    for n in range(600):
+        amount = rng.choice([0, 9000, 10000, 12500, 20000, 40000])
+        rows.append((n % 5, date.fromordinal(738000 + rng.randint(0, 25)), n, n, 0 if amount else rng.choice([500, 4000, 9000, 16000]), amount, "ok"))
+    want = {}
+    for account in range(5):
+        own = sorted(r for r in rows if r[0] == account)
+        left = {r[3]: r[4] * 5 for r in own}  # fifths of a unit, so that four fifths of a credit are whole
+        n_large = n_quick = 0
+        for _, day, _, _, _, credit, _ in own:
+            if credit >= 10000:
+                n_large += 1
+                near = [r[3] for r in own if 0 <= (r[1] - day).days <= 2]
+                need = credit * 4
+                if sum(left[k] for k in near) >= need:
+                    n_quick += 1
+                    for k in near:
+                        left[k], need = left[k] - min(left[k], need), need - min(left[k], need)
+        want[account] = (n_large, n_quick)
+    got = ledger.retention(spark.createDataFrame(rows, "account_key long, txn_date date, seq long, txn_id long, debit long, credit long, narration string")).collect()
+    assert {r.account_key: (r.n_large, r.n_quick) for r in got} == want
 
 
 @pytest.mark.parametrize(("inputs", "want"), [((100000, 20000, 50, 0, 60), ("computed", 30000.0, 1800000.0)), ((50000, 40000, 50, 10, 36), ("computed", 0.0, 0.0)), ((0, 0, 50, 10, 12), ("invalid", None, None)), ((None, 0, 50, 10, 12), ("needs_input", None, None)), ((5, 0, 150, 10, 12), ("invalid", None, None))])
 def test_eligibility(spark, inputs, want):
     df = spark.createDataFrame([(1, *inputs)], "case_id long, income long, obligations long, ratio_pct long, rate_pct long, tenure long")
+    assert tuple(ledger.eligibility(df).first())[1:4] == want
+
+
+@pytest.mark.parametrize(("ratio", "tenure", "want"), [("0.5", "12", ("computed", 500.0, 6000.0, 0.0)), ("0", "12", ("invalid", None, None, None)), ("100", "12.5", ("invalid", None, None, None)), ("100", "1", ("computed", 100000.0, 100000.0, 0.0))])
+def test_ratios_below_one_percent_are_valid_and_tenures_are_whole(spark, ratio, tenure, want):
+    df = spark.sql(f"SELECT 1 AS case_id, 100000 AS income, 0 AS obligations, {ratio}BD AS ratio_pct, 0 AS rate_pct, {tenure}BD AS tenure")
     assert tuple(ledger.eligibility(df).first())[1:] == want
 
 
