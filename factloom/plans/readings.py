@@ -202,7 +202,7 @@ SHEETS = (
     + src.literal(".10\n20.00\n")
     + " || CASE WHEN o_orderkey % 13 = 0 THEN 'Other liabilities' ELSE 'Subordinated liabilities' END || "
     + src.literal("\n16.1\n3,000.00\n2,999.99\n")
-    + " AS text FROM {orders} WHERE o_orderkey % 5 <> 4 UNION ALL SELECT -o_orderkey, 'notes to the accounts' FROM {orders}"
+    + " AS text FROM {orders} UNION ALL SELECT -o_orderkey, 'notes to the accounts' FROM {orders}"
 )
 _SH = src.duck(SHEETS)
 _FACTOR = "CASE scale WHEN 'crore' THEN 10000 WHEN 'lakh' THEN 100 WHEN 'million' THEN 1000 END"

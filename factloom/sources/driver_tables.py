@@ -93,9 +93,9 @@ FROM {events}
 """
 
 REPORTS = """
-SELECT DISTINCT CAST(l_suppkey % 5 AS BIGINT) AS agency_id, CAST(year(l_shipdate) AS BIGINT) AS report,
-       'key' || CAST(l_partkey % 97 AS VARCHAR(20)) AS item, 'v' || CAST(l_partkey % 3 AS VARCHAR(20)) AS value_text, l_orderkey * 10 + l_linenumber AS claim_id
-FROM {lineitem} WHERE l_linenumber = 1 AND l_orderkey % 3 = 0
+SELECT CAST(l_suppkey % 5 AS BIGINT) AS agency_id, CAST(year(l_shipdate) AS BIGINT) AS report,
+       'key' || CAST(l_partkey AS VARCHAR(20)) AS item, 'v' || CAST(l_orderkey % 3 AS VARCHAR(20)) AS value_text, l_orderkey * 10 + l_linenumber AS claim_id
+FROM {lineitem}
 """
 
 ASSUMPTIONS = """
@@ -173,8 +173,8 @@ FROM {lineitem}
 """
 
 VERSIONS = """
-SELECT o_orderkey AS document_id, CASE WHEN l_suppkey % 5 = 0 THEN 'v1' WHEN l_linenumber IS NOT NULL THEN 'v2' END AS version, o_orderkey % 50 = 0 AS forced
-FROM {orders} LEFT JOIN (SELECT * FROM {lineitem} WHERE l_orderkey % 10 <> 0) l ON o_orderkey = l_orderkey
+SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN l_suppkey % 5 = 0 THEN 'v1' WHEN l_linenumber IS NOT NULL THEN 'v2' END AS version, o_orderkey % 50 = 0 AS forced
+FROM {orders} LEFT JOIN {lineitem} l ON o_orderkey = l_orderkey
 """
 
 ANCHORS = """
