@@ -222,6 +222,63 @@ SELECT claim_id, issuer_id, CASE WHEN claim_id % 3 = 0 THEN 'standalone' ELSE 'c
 FROM ({DEBTS}) d WHERE instrument_type = 'total'
 """
 
+OD_LINES = f"""
+SELECT t.*, CASE tradeline_id % 4 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE 50000 + tradeline_id END AS sanctioned_amount, CASE WHEN tradeline_id % 7 = 0 THEN 'unverified' ELSE 'reported' END AS sanctioned_status,
+       CASE WHEN tradeline_id % 6 = 0 THEN NULL ELSE 40000 + tradeline_id END AS credit_limit, CASE WHEN tradeline_id % 11 = 0 THEN 'unverified' ELSE 'analyst' END AS limit_status,
+       1000 + tradeline_id AS current_balance, CASE WHEN tradeline_id % 9 = 0 THEN 'unverified' ELSE 'reported' END AS balance_status,
+       CASE WHEN tradeline_id % 3 = 0 THEN NULL ELSE 30000 + tradeline_id END AS drawing_power, CASE tradeline_id % 8 WHEN 2 THEN NULL WHEN 3 THEN 'unverified' ELSE 'reported' END AS power_status
+FROM ({TRADELINES}) t
+"""
+
+ASSUMED = """
+SELECT * FROM (
+  SELECT c_custkey * 10 + k AS assumption_id, c_custkey AS case_id,
+         CASE k WHEN 0 THEN CASE WHEN c_custkey % 3 <> 0 THEN 'eligible_income' END WHEN 1 THEN 'foir_max_pct' WHEN 2 THEN 'annual_rate_pct' WHEN 3 THEN 'tenure_months'
+                WHEN 4 THEN CASE WHEN c_custkey % 5 = 0 THEN 'eligible_income' END ELSE 'unknown_key' END AS key,
+         CAST(CASE k WHEN 0 THEN 30000 + c_custkey % 9000 WHEN 1 THEN CASE WHEN c_custkey % 31 = 0 THEN 150 ELSE 40 + c_custkey % 20 END WHEN 2 THEN c_custkey % 15 WHEN 3 THEN 12 * (1 + c_custkey % 20)
+                WHEN 4 THEN CASE WHEN c_custkey % 25 = 0 THEN NULL ELSE 50000 END ELSE 1 END AS DECIMAL(12, 2)) AS value
+  FROM {customer} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) t) r
+WHERE key IS NOT NULL
+"""
+
+PROPRIETOR_FILES = """
+SELECT o_orderkey AS document_id, o_custkey AS case_id,
+       CASE (o_orderkey * 7 + o_custkey) % 12 WHEN 0 THEN 'kyc' WHEN 1 THEN 'gst_certificate' WHEN 2 THEN 'business_proof' WHEN 3 THEN 'udyam_certificate' WHEN 4 THEN 'itr_ack' WHEN 5 THEN 'itr_json'
+            WHEN 6 THEN 'itr_computation' WHEN 7 THEN 'financials' WHEN 8 THEN 'loan_soa' WHEN 9 THEN 'od_sanction' WHEN 10 THEN 'loan_sanction' ELSE 'bank_statement' END AS kind
+FROM {orders}
+"""
+
+TYPED_STATEMENTS = """
+SELECT c_custkey AS case_id, CASE (c_custkey + n) % 3 WHEN 0 THEN 'current' WHEN 1 THEN 'savings' END AS account_type,
+       date_add_days(DATE '2023-01-01', CAST(c_custkey * 13 % 300 AS INT)) AS period_start, CASE WHEN (c_custkey + n) % 19 = 0 THEN NULL ELSE date_add_days(DATE '2024-01-01', CAST(c_custkey % 60 AS INT)) END AS period_end
+FROM {customer} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1) k
+"""
+
+NEW_CLAIMS = "SELECT doc_id * 2 + k AS claim_id, doc_id AS document_id, 'v2' AS version FROM {documents} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) t"
+
+NEW_ANCHORS = f"""
+SELECT doc_id * 2 AS claim_id, doc_id AS document_id, char_start, char_end, evidence_text FROM ({ANCHORS}) a
+UNION ALL SELECT doc_id * 2 + 1, doc_id, 0, 5, substr(text, 1, 5) FROM {{documents}} WHERE doc_id % 23 <> 0
+"""
+
+OLD_CLAIMS = """
+SELECT doc_id * 2 AS claim_id, doc_id AS document_id, 'v1' AS version FROM {documents}
+UNION ALL SELECT doc_id * 2 + 2000000000, doc_id + 1000000000, 'v1' FROM {documents}
+"""
+
+CORRECTIONS = """
+SELECT c_custkey AS correction_id, CAST(floor(c_custkey / 8) AS BIGINT) AS case_id, CASE c_custkey % 6 WHEN 0 THEN 'fact' WHEN 1 THEN 'txn' WHEN 2 THEN 'other' ELSE 'obligation' END AS target,
+       CASE WHEN c_custkey % 6 = 0 THEN CAST(c_custkey AS VARCHAR(20)) || ':0:gross' WHEN c_custkey % 59 = 0 THEN '' ELSE CAST(c_custkey AS VARCHAR(20)) || ':1' END AS target_id, 'value' AS field,
+       CASE c_custkey % 4 WHEN 0 THEN 'salary' WHEN 1 THEN 'bonus' WHEN 2 THEN 'other' END AS value_text, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS include,
+       CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN -5 ELSE 100 END AS amount, CASE WHEN c_custkey % 8 = 0 THEN '  ' ELSE 'letter' END AS basis, CASE WHEN c_custkey % 13 = 0 THEN ' ' ELSE 'seen' END AS reason
+FROM {customer}
+"""
+
+CORRECTABLE = """
+SELECT CAST(floor(c_custkey / 8) AS BIGINT) AS case_id, 'fact' AS target, CAST(c_custkey AS VARCHAR(20)) || ':0:gross' AS target_id, CAST(c_custkey AS VARCHAR(20)) AS original FROM {customer} WHERE c_acctbal > 0
+UNION ALL SELECT CAST(floor(c_custkey / 8) AS BIGINT), 'txn', CAST(c_custkey AS VARCHAR(20)) || ':1', 'other' FROM {customer} WHERE c_acctbal > 0
+"""
+
 TABLES = ("customer", "supplier", "orders", "lineitem", "events", "documents", "pages")
 
 
