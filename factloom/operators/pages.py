@@ -155,7 +155,7 @@ def span_rects(words: DataFrame, spans: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])))
 def quote_spans(text: pd.Series, quote: pd.Series) -> pd.Series:
-    """Ranges of the text that read as the quote but for case and white space, overlapping ones too; quotes under two characters have none."""
+    """Ranges of the text that read as the quote but for case and white space, overlapping ones too; quotes under two characters have none. A letter whose other case is two letters (ß, SS) matches only itself."""
 
     def spans(whole: str | None, said: str | None) -> list[dict]:
         words = (said or "").split()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import credit, underwriting, writes
+from factloom.operators import credit, fields, underwriting, writes
 from factloom.plans import registers  # noqa: F401 - registers statement_accounts
 from factloom.plans.cases import _FOUND, _matches, _obligations
 from factloom.plans.catalog import ORACLES, QUERIES, query
@@ -151,3 +151,20 @@ def published_claims(spark, sf_dir):
     pairs, ladder = QUERIES["concurrent_pairs"](spark, sf_dir), QUERIES["maturity_ladder"](spark, sf_dir)
     shown = pairs.select(F.explode(F.array("a_claim_id", "b_claim_id")).alias("claim_id"))
     return writes.reachable(src.view(spark, sf_dir, src.CLAIMS), (shown, "claim_id"), (ladder, "claim_id")).select("claim_id", "document_id")
+
+
+_FLAT = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))".format
+
+
+@query(f"""
+WITH f AS (SELECT *, {_FLAT('quote')} AS q, {_FLAT('value')} AS v FROM ({src.duck(src.SAID)}) WHERE status IN ('present', 'blank')),
+g AS (SELECT *, status = 'blank' OR value IS NULL OR lower(trim(value)) IN {tuple(fields.BLANK)} AS blank FROM f),
+h AS (SELECT g.field_id, count(*) AS n, bool_or(p.page_no = g.page_no) AS here, min(p.page_no) AS any_page
+      FROM g JOIN (SELECT document_id, page_no, {_FLAT('text')} AS t FROM ({src.duck(src.TWO_PAGES)})) p ON p.document_id = g.document_id AND length(q) >= 2 AND contains(t, q) GROUP BY 1),
+r AS (SELECT g.*, n, here, CASE WHEN here THEN page_no WHEN n = 1 THEN any_page END AS hit, blank OR contains(q, v) AS holds FROM g LEFT JOIN h USING (field_id))
+SELECT field_id, coalesce(hit IS NOT NULL AND holds, false) AS verified, coalesce(hit, page_no) AS page_no,
+       CASE WHEN coalesce(q, '') = '' THEN 'no_quote' WHEN n IS NULL THEN 'not_found' WHEN hit IS NULL THEN 'several_pages' WHEN NOT holds THEN 'not_in_quote' WHEN NOT coalesce(here, false) AND page_no IS NOT NULL THEN 'other_page' END AS note
+FROM r""")
+def model_fields(spark, sf_dir):
+    found = fields.verified_fields(src.view(spark, sf_dir, src.SAID), src.view(spark, sf_dir, src.TWO_PAGES))
+    return found.select("field_id", "verified", "page_no", "note")

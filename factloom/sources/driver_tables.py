@@ -279,6 +279,19 @@ SELECT CAST(floor(c_custkey / 8) AS BIGINT) AS case_id, 'fact' AS target, CAST(c
 UNION ALL SELECT CAST(floor(c_custkey / 8) AS BIGINT), 'txn', CAST(c_custkey AS VARCHAR(20)) || ':1', 'other' FROM {customer} WHERE c_acctbal > 0
 """
 
+TWO_PAGES = """
+SELECT doc_id AS document_id, 1 AS page_no, substr(text, 1, 300) AS text FROM {documents}
+UNION ALL SELECT doc_id, 2, substr(text, 301) FROM {documents}
+"""
+
+SAID = """
+SELECT doc_id * 8 + k AS field_id, doc_id AS document_id, 'text' AS kind, CASE k WHEN 4 THEN 'blank' WHEN 5 THEN 'not_found' ELSE 'present' END AS status,
+       CASE k WHEN 1 THEN substr(text, 330, 9) WHEN 6 THEN 'zzqq nowhere' WHEN 7 THEN 'NA' ELSE substr(text, 20, 8) END AS value,
+       CASE k WHEN 0 THEN lower(substr(text, 15, 30)) WHEN 1 THEN substr(text, 325, 30) WHEN 2 THEN 'zzqq nowhere' WHEN 3 THEN NULL WHEN 6 THEN substr(text, 15, 30) ELSE substr(text, 1, 12) END AS quote,
+       CASE k WHEN 2 THEN 2 WHEN 7 THEN NULL ELSE 1 END AS page_no
+FROM {documents} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) t
+"""
+
 TABLES = ("customer", "supplier", "orders", "lineitem", "events", "documents", "pages")
 
 
