@@ -21,11 +21,9 @@ def is_blank(x: Column) -> Column:
 def _day_in(span: Column, raw: Column, day: Column) -> Column:
     """Whether the span prints the date as the model gave it or in another form."""
     said = F.split(reading.flat(span), " ")
-    printed = lambda n: F.exists(said if n == 1 else F.transform(said, lambda _, i: F.array_join(F.slice(said, i + 1, n), " ")), lambda g: F.coalesce(reading.any_date(g) == day, F.lit(False)))
-    found = F.contains(reading.flat(span), reading.flat(raw))
-    for n in range(1, DATE_WORDS + 1):
-        found = found | printed(n)
-    return found
+    running = lambda n: F.transform(said, lambda _, i: F.array_join(F.slice(said, i + 1, n), " "))
+    grams = F.flatten(F.array(said, *[running(n) for n in range(2, DATE_WORDS + 1)]))
+    return F.contains(reading.flat(span), reading.flat(raw)) | F.exists(grams, lambda g: F.coalesce(reading.any_date(g) == day, F.lit(False)))
 
 
 def verified_fields(fields: DataFrame, pages: DataFrame) -> DataFrame:

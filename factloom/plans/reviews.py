@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators import banking, evidence, pages, review, timeline
-from factloom.plans.cases import ORACLES, QUERIES
+from factloom.operators import banking, credit, evidence, pages, review, timeline
+from factloom.plans.cases import ORACLES, QUERIES, _matches
 from factloom.plans.catalog import query
 from factloom.sources import driver_tables as src
 
@@ -130,23 +130,27 @@ def case_list(spark, sf_dir):
     return review.case_list(src.view(spark, sf_dir, src.CASE_FILES))
 
 
-def _findings(spark, sf_dir) -> DataFrame:
+def _case(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Findings and obligations of every case; matches and obligations are built once, so that their shuffles are shared."""
     run = lambda name: QUERIES[name](spark, sf_dir)
+    lines, series, treatments = [src.view(spark, sf_dir, v) for v in (src.TRADELINES, src.SERIES, src.TREATMENTS)]
+    matched = _matches(spark, sf_dir)
+    owed = credit.obligations(lines, series, matched, treatments)
     files, slips = src.view(spark, sf_dir, src.CASE_FILES), _of_case(src.view(spark, sf_dir, src.SLIPS))
     narrated = src.view(spark, sf_dir, src.NARRATED)
     breaks, gaps = _of_case(run("balance_breaks")).select("case_id", "account_key").distinct(), _of_case(run("statement_gaps")).where("kind = 'gap'")
     rules = [
         review.document_findings(files),
         review.checklist_findings(review.checklist(files)),
-        review.match_findings(run("bureau_matches")),
-        review.obligation_findings(run("obligations")),
+        review.match_findings(matched),
+        review.obligation_findings(owed),
         review.finding(breaks, "reconcile", F.col("account_key"), "discrepancy", True),
         review.finding(gaps, "gap", F.concat_ws(":", "account_key", "period_end"), "missing", False),
         review.banking_findings(_of_case(banking.monthly_business(narrated)), _of_case(banking.concentration(narrated))),
         review.slip_findings(slips),
         review.salary_findings(_of_case(run("salary_comparison"))),
     ]
-    return review.settled(reduce(DataFrame.unionByName, rules), src.view(spark, sf_dir, src.ACKS))
+    return review.settled(reduce(DataFrame.unionByName, rules), src.view(spark, sf_dir, src.ACKS)), owed
 
 
 _RULES = f"""
@@ -169,7 +173,7 @@ SELECT r.case_id, r.rule, r.item, r.kind, r.blocking, r.by_ack AND a.item IS NOT
 
 @query(_SETTLED)
 def review_findings(spark, sf_dir):
-    return _findings(spark, sf_dir)
+    return _case(spark, sf_dir)[0]
 
 
 @query(f"""
@@ -178,7 +182,8 @@ WITH f AS (SELECT case_id, count(*) FILTER (WHERE NOT resolved AND kind = 'missi
 SELECT case_id, coalesce(n_missing, 0) AS n_missing, coalesce(n_discrepancy, 0) AS n_discrepancy, coalesce(n_confirm, 0) AS n_confirm, coalesce(n_blocking, 0) AS n_blocking, coalesce(n_resolved, 0) AS n_resolved,
        coalesce(total_included, 0) AS total_included, CASE WHEN coalesce(n_blocking, 0) > 0 THEN 'provisional' ELSE 'computed' END AS state FROM f FULL OUTER JOIN ({ORACLES['obligation_totals']}) USING (case_id)""")
 def case_headlines(spark, sf_dir):
-    return review.headline(_findings(spark, sf_dir), QUERIES["obligation_totals"](spark, sf_dir))
+    found, owed = _case(spark, sf_dir)
+    return review.headline(found, credit.obligation_totals(owed))
 
 
 @query(f"""
