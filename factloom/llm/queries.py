@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, chat, chunks, decontaminate, neardup, neighbours, quality, substrings, urls, warc
+from factloom.llm import bpe, chat, chunks, decontaminate, neardup, neighbours, quality, simhash, substrings, urls, warc
 from factloom.llm.oracles import ORACLES  # noqa: F401
 from factloom.llm.common import scratch_path, table
 
@@ -114,6 +114,11 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_groups(docs)
+
+
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_substring_dedup": op2_substring_dedup,
@@ -125,4 +130,5 @@ QUERIES = {
     "op8_chunk_dedup": op8_chunk_dedup,
     "op9_quality": op9_quality,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
+    "op11_simhash_groups": op11_simhash_groups,
 }
