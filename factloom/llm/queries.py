@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, chat, chunks, decontaminate, neardup, neighbours, quality, simhash, substrings, urls, warc
+from factloom.llm import bpe, chat, chunks, collocations, decontaminate, neardup, neighbours, quality, simhash, substrings, urls, warc
 from factloom.llm.oracles import ORACLES  # noqa: F401
 from factloom.llm.common import scratch_path, table
 
@@ -119,6 +119,11 @@ def op11_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(docs)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return collocations.collocations(docs)
+
+
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_substring_dedup": op2_substring_dedup,
@@ -131,4 +136,5 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
     "op11_simhash_groups": op11_simhash_groups,
+    "op12_collocations": op12_collocations,
 }

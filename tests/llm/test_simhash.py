@@ -86,7 +86,7 @@ def test_groups_of_unlike_fingerprints_are_linked_exactly(spark, n, spread, hot)
 
 def test_flips_and_pairs_find_the_same(monkeypatch):
     rng = np.random.default_rng(1)
-    fps = np.unique(rng.integers(0, 1 << 14, 3000).astype(np.uint64) << np.uint64(11))
+    fps = np.unique(rng.integers(0, 1 << 18, 1500).astype(np.uint64) << np.uint64(11))
     flipped = simhash.linked(fps)
     monkeypatch.setattr(simhash, "FLIPPED", 1 << 30)
     monkeypatch.setattr(simhash, "PAIRS", 1 << 12)
