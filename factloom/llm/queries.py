@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, chat, chunks, collocations, decontaminate, neardup, neighbours, quality, simhash, substrings, urls, warc
+from factloom.llm import bpe, chat, chunks, collocations, decontaminate, neardup, negatives, neighbours, quality, simhash, substrings, urls, warc
 from factloom.llm.oracles import ORACLES  # noqa: F401
 from factloom.llm.common import scratch_path, table
 
@@ -124,6 +124,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(docs)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_substring_dedup": op2_substring_dedup,
@@ -137,4 +143,5 @@ QUERIES = {
     "op10_bpe_roundtrip": op10_bpe_roundtrip,
     "op11_simhash_groups": op11_simhash_groups,
     "op12_collocations": op12_collocations,
+    "op13_hard_negatives": op13_hard_negatives,
 }
