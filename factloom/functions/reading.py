@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,14 +126,23 @@ def instrument_cell(x: Column) -> Column:
 # --- dates
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _read(x: Column, *forms: tuple[str, str]) -> Column:
     """The date that the first fitting form gives as year/month/day; a month may be named, years of two digits from 69 on are of the last century."""
-    parts = F.split(F.coalesce(*[F.when(x.rlike(p), F.regexp_replace(x, p, told)) for p, told in forms]), "/")
-    year, month, day = (F.get(parts, F.lit(k)) for k in range(3))
-    at = F.instr(F.lit(_MONTHS), F.lower(F.left(month, F.lit(3))))
-    number = F.when(month.rlike("^[0-9]"), month).otherwise(F.floor((at + 2) / 3).cast("string"))
-    whole = F.when(F.length(year) == 2, F.concat(F.when(year < "69", "20").otherwise("19"), year)).otherwise(year)
-    return F.try_to_date(F.concat_ws("-", whole, number, day), "yyyy-M-d")
+
+    def day_of(parts: Column) -> Column:
+        year, month, day = (F.get(parts, F.lit(k)) for k in range(3))
+        at = F.instr(F.lit(_MONTHS), F.lower(F.left(month, F.lit(3))))
+        number = F.when(month.rlike("^[0-9]"), month).otherwise(F.floor((at + 2) / 3).cast("string"))
+        whole = F.when(F.length(year) == 2, F.concat(F.when(year < "69", "20").otherwise("19"), year)).otherwise(year)
+        return F.try_to_date(F.concat_ws("-", whole, number, day), "yyyy-M-d")
+
+    told = _bound(x, lambda v: F.coalesce(*[F.when(v.rlike(p), F.regexp_replace(v, p, t)) for p, t in forms]))
+    return _bound(F.split(told, "/"), day_of)
 
 
 def month_day_cell(x: Column) -> Column:
@@ -161,7 +172,7 @@ def statement_date(x: Column) -> Column:
         (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "$1/$2/$3"),
         (rf"(?i)^({_LONG}|{_SHORT}) (\d{{1,2}}), (\d{{4}})$", "$3/$1/$2"),
     )
-    return F.when(F.year(found).between(1990, 2100), found)
+    return _bound(found, lambda d: F.when(F.year(d).between(1990, 2100), d))
 
 
 def any_date(x: Column) -> Column:

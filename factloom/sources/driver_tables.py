@@ -292,6 +292,17 @@ SELECT doc_id * 8 + k AS field_id, doc_id AS document_id, 'text' AS kind, CASE k
 FROM {documents} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) t
 """
 
+PRINTED = """
+SELECT document_id, n, CAST(floor((n - 1) / 14) + 1 AS INT) AS page_no, stacked, day, narration, ref, debit, credit, unmarked,
+       CASE WHEN unprinted THEN NULL ELSE CAST(5000000 + sum(credit - debit) OVER (PARTITION BY document_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS balance
+FROM (
+  SELECT o_custkey AS document_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS n, o_custkey % 3 = 1 AS stacked, CAST(o_orderdate AS DATE) AS day,
+         CASE o_orderkey % 4 WHEN 0 THEN 'ACH D- BAJAJ FINANCE LTD LOAN ' || CAST(o_orderkey AS VARCHAR(20)) WHEN 1 THEN 'UPI-SHREE TRADERS' WHEN 2 THEN 'NEFT CR ACME LTD 7.50 back' ELSE 'CASH' END AS narration,
+         CASE WHEN o_orderkey % 6 = 5 THEN NULL ELSE 'REF' || CAST(o_orderkey AS VARCHAR(20)) END AS ref, o_orderkey % 13 = 0 AS unprinted, o_custkey % 3 = 1 AND o_orderkey % 11 = 1 AS unmarked,
+         CASE WHEN o_orderkey % 5 < 3 AND o_orderkey % 17 <> 0 THEN CAST(floor(o_totalprice * 10) AS BIGINT) ELSE 0 END AS debit, CASE WHEN o_orderkey % 5 < 3 OR o_orderkey % 17 = 0 THEN 0 ELSE CAST(floor(o_totalprice * 10) AS BIGINT) END AS credit
+  FROM {orders}) r
+"""
+
 TABLES = ("customer", "supplier", "orders", "lineitem", "events", "documents", "pages")
 
 
