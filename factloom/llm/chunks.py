@@ -7,15 +7,27 @@ so after an insertion the chunks of two equal passages fall together again
 within a chunk or two. Chunks are compared by 128-bit digest over all
 documents: a chunk is repeated if a document with a smaller doc_id has it or
 if it stands earlier in the same text. The chunk over each edge of a repeated
-passage matches nothing, so a run of repeated chunks is widened byte by byte
-against the earlier text that it repeats: that text's surroundings of the chunks
-are fetched. All widened runs are removed, or, where `min_run` is given, those of
-at least so many bytes: then `n_repeated` counts the repeated chunks of all runs.
-A passage that holds no whole chunk of its own is not found.
+passage matches nothing, so a run of repeated chunks is widened byte by byte: at
+its first chunk to the left, at its last to the right, as far as the bytes are
+those around that chunk's first place in the document of smallest doc_id that has
+it, or around its first place in the text itself, whichever goes further, and at
+most `largest` + 4 bytes (a chunk and a character: where the texts agree over
+more, the chunk between would have been cut alike, but for texts so monotonous
+that only the largest size cuts them). These places follow from the documents
+alone, so the result does not depend on how the table is partitioned. All widened
+runs are removed, or, where `min_run` is given, those of at least so many bytes:
+then `n_repeated` counts the repeated chunks of all runs. A passage that holds no
+whole chunk of its own is not found.
+
+Edges of runs, and what stands around their chunks in the documents that are
+asked, are rows that meet in a join by digest; a chunk that very many documents
+share is one row on the asked side, and the askers are split over tasks.
 
 Defined results: null and empty texts have no chunks and stay as they are;
-rows that share a doc_id do not count as repeats of each other; rows with a
-null doc_id stay whole and make nothing a repeat; extra columns stay, columns
+rows that share a doc_id do not count as repeats of each other (of several texts
+of the smallest doc_id, the one that reaches furthest counts); rows with a
+null doc_id stay whole and make nothing a repeat; equal places count once; long
+texts take time in proportion to their length; extra columns stay, columns
 of the names that are added are replaced; an empty table gives no rows.
 """
 
@@ -31,13 +43,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm import packed
-from factloom.llm.common import SPANS, free_names, schema_of, tidy
+from factloom.llm.common import SPANS, free_names, join_hot, materialize, schema_of, tidy
 
 #: About so many bytes a chunk beyond the least: one cut in so many places.
 AVERAGE, LEAST, LARGEST = 32, 16, 256
 GROUP_BYTES = 8 << 20
-#: Bytes fetched before a repeated chunk; after it, LARGEST and a character are enough, as the next chunk begins alike.
-BEFORE = 1024
+#: Bytes beyond `largest` that a run may be widened by: those of a character.
+CHARACTER = 4
 _REACH = 16  # bytes that a 16-bit gear hash sees
 
 
@@ -136,59 +148,53 @@ def deduplicate(
             yield packed.batch_of(rows)
 
     sent = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(send, packed.SENT)
-    number, known, asked, around = free_names(docs, "__id", "__keys", "__asked", "__around")
-    answers = packed.answer(sent, tasks, width=16, all_of_shared=False, sources=True)
+    number, found_runs = free_names(docs, "__id", "__runs")
+    answers = materialize(packed.answer(sent, tasks, width=16, all_of_shared=False, sources=True), "answers")
     kept = [c for c in docs.columns if c not in ADDED.names]
     whole_docs = docs.select(*kept)
-    same = F.col(id_col).cast("long") == F.col(number)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+
+    @tidy
+    def find_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, data, keys in _in_groups(batches, GROUP_BYTES):
+            rows = [row for (t, h), i, k in zip(_hash_texts(data), ids, keys, strict=True) for row in edges_of(i, t, *chunk_digests(t, h, sizes), k or [], largest)]
+            yield _batch(rows, _EDGES, _EDGE_KINDS)
+
+    edges = materialize(texts.join(answers, "id", "left").mapInArrow(find_edges, _EDGES), "edges")
+
+    # the document of smallest id that has each edge's chunk: the smallest that any answer names
+    holders = answers.mapInArrow(_holders, _HOLDERS).groupBy("digest").agg(F.min("source").alias("source"))
+    asked = edges.select("digest").distinct().join(holders, "digest").groupBy(F.col("source").alias("id")).agg(F.array_sort(F.collect_list("digest")).alias("asked"))
 
     @tidy
     def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What each asking document needs of this one."""
-        ids, found, held = [], [], 0
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
-            for text, requests in zip(texts, batch.column(batch.num_columns - 1), strict=True):
-                if not requests.is_valid or not text.is_valid:
-                    continue
-                ((t, h),) = _hash_texts([text.as_py()])
-                ends, digests = chunk_digests(t, h, sizes)
-                for request in requests:
-                    ids.append(request["id"].as_py())
-                    found.append(surroundings(t, ends, digests, request["keys"].as_py(), largest))
-                    held += sum(map(len, found[-1]))
-                    if held >= GROUP_BYTES // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.binary()))], names=_SERVED.names)
-                        ids, found, held = [], [], 0
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.binary()))], names=_SERVED.names)
-
-    requests = answers.mapInArrow(_requests, _REQUESTS).groupBy(F.col("source").alias(number)).agg(F.collect_list(F.struct("id", "keys")).alias(asked))
-    # left joins, so that both read the same shuffle of the documents
-    served = whole_docs.join(requests, same, "left").drop(number).mapInArrow(serve, _SERVED)
-    fetched = served.groupBy(F.col("id").alias(number)).agg(F.flatten(F.collect_list("around")).alias(around))
-    repeated = answers.withColumnsRenamed({"id": number, "keys": known}).join(fetched, number, "left")
-    joined = whole_docs.join(repeated, same, "left").drop(number)
+        for ids, data, wanted in _in_groups(batches, GROUP_BYTES):
+            rows = [row for (t, h), i, k in zip(_hash_texts(data), ids, wanted, strict=True) for row in surroundings(i, t, *chunk_digests(t, h, sizes), set(k), largest)]
+            yield _batch(rows, _SERVED, [pa.binary(), pa.int64(), pa.binary(), pa.binary()])
+
+    served = texts.join(asked, "id").mapInArrow(serve, _SERVED).distinct()
+    reached = join_hot(edges, served, ["digest"], "left").mapInArrow(_reach, _REACHED)
+    gathered = reached.groupBy(F.col("id").alias(number)).agg(F.collect_list(F.struct("text_key", "start", "stop", "n", "side", "reach")).alias(found_runs))
+    joined = whole_docs.join(gathered, F.col(id_col).cast("long") == F.col(number), "left").drop(number)
 
     @tidy
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
-                texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
-                ids = batch.column(batch.schema.get_field_index(id_col))
-                data = [t.as_py() or b"" for t in texts]
+                column = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
+                data = [t.as_py() or b"" for t in column]
+                known_ids = batch.column(batch.schema.get_field_index(id_col)).is_valid().to_pylist()
                 rows = []
-                told, near = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
-                for (t, h), valid, keys, pieces, i in zip(_hash_texts(data), texts.is_valid().to_pylist(), told, near, ids.is_valid().to_pylist(), strict=True):
-                    ends, digests = chunk_digests(t, h, sizes) if i else ([], np.zeros((0, 2), np.uint64))
-                    spans, again = repeated_runs(t, ends, digests, keys or [], pieces or [], min_run)
+                for (t, h), valid, runs, has_id in zip(_hash_texts(data), column.is_valid().to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), known_ids, strict=True):
+                    n_chunks = len(cuts(t, h, **sizes)) if has_id else 0
+                    spans, again = removed_spans(t, runs or [], min_run)
                     left, at = [], 0
                     for a, b in spans:
                         left.append(t[at:a])
                         at = b
                     left.append(t[at:])
-                    rows.append((len(t), len(ends), again, [{"start": a, "stop": b} for a, b in spans], b"".join(left).decode("utf-8", "replace") if valid else None))
+                    rows.append((len(t), n_chunks, again, [{"start": a, "stop": b} for a, b in spans], b"".join(left).decode("utf-8", "replace") if valid else None))
                 made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], *made], names=[*kept, *ADDED.names])
 
@@ -198,39 +204,98 @@ def deduplicate(
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.string()]
 
 
-_REQUESTS = schema_of(source="long", id="long", keys="binary")
-_SERVED = schema_of(id="long", around=T.ArrayType(T.BinaryType()))
-_ASKED = 24  # bytes of an answer: a digest and the document that has it
+#: An edge of a run (side 0: its first chunk, 1: its last): the bytes that follow outwards, and how far the text itself agrees with its first place.
+_EDGES = schema_of(id="long", text_key="binary", start="int", stop="int", n="int", side="int", digest="binary", own="int", outwards="binary")
+_EDGE_KINDS = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+_HOLDERS = schema_of(digest="binary", source="long")
+#: What stands around a chunk: before it (nearest byte first) and after it.
+_SERVED = schema_of(digest="binary", source="long", before="binary", after="binary")
+_REACHED = schema_of(id="long", text_key="binary", start="int", stop="int", n="int", side="int", reach="int")
+_ANSWER = 24  # bytes: a digest and a document that has it
+
+
+def _batch(rows: list[tuple], schema: T.StructType, kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=schema.names)
+
+
+def _in_groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[int], list[bytes], list[list[bytes] | None]]]:
+    """The three columns id, text and a list of keys, in groups of about `size` bytes."""
+    ids, texts, keys, held = [], [], [], 0
+    for batch in batches:
+        for i, text, k in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
+            ids.append(i)
+            texts.append(text.as_py())
+            keys.append(k.as_py())
+            held += len(texts[-1])
+            if held >= size:
+                yield ids, texts, keys
+                ids, texts, keys, held = [], [], [], 0
+    if ids:
+        yield ids, texts, keys
 
 
 @tidy
-def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The answers of each document by the documents that they name."""
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digests of answers with the documents that they name, each digest once a batch, by its smallest."""
     for batch in batches:
-        rows = []
-        for i, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            told = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 3)
-            told = told[np.argsort(told[:, 2], kind="stable")]
-            for part in np.split(told, np.flatnonzero(np.diff(told[:, 2])) + 1):
-                rows.append((int(part[0, 2].view(np.int64)), i, packed.pack(part, 16)))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=_REQUESTS.names)
-
-
-def surroundings(text: bytes, ends: list[int], digests: np.ndarray, keys: bytes, largest: int) -> list[bytes]:
-    """The pieces of a text around its chunks of these digests."""
-    raw = digests.tobytes()
-    wanted = {keys[i : i + 16] for i in range(0, len(keys), 16)}
-    pieces: list[tuple[int, int]] = []
-    start = 0
+        told = np.frombuffer(b"".join(k for keys in batch.column(1).to_pylist() for k in keys), np.uint64).reshape(-1, 3)
+        order = np.lexsort((told[:, 2].view(np.int64) if len(told) else told[:, 2], told[:, 1], told[:, 0]))
+        told = told[order]
+        new = np.ones(len(told), bool)
+        new[1:] = (told[1:, :2] != told[:-1, :2]).any(axis=1)
+        told = told[new]
+        digests = [told[k, :2].tobytes() for k in range(len(told))]
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.ascontiguousarray(told[:, 2]).view(np.int64))], names=_HOLDERS.names)
+
+
+def _outwards(text: bytes, side: int, start: int, stop: int, reach: int) -> bytes:
+    """The bytes beyond a chunk, the nearest first."""
+    return text[max(0, start - reach) : start][::-1] if side == 0 else text[stop : stop + reach]
+
+
+def edges_of(i: int, text: bytes, ends: list[int], digests: np.ndarray, known: list[bytes], largest: int) -> Iterator[tuple]:
+    """Rows of _EDGES: two for each run of chunks that are known or were seen before in the text."""
+    elsewhere = set()
+    for packed_keys in known:
+        elsewhere.update(packed_keys[k : k + 16] for k in range(0, len(packed_keys), _ANSWER))
+    raw, reach = digests.tobytes(), largest + CHARACTER
+    first: dict[bytes, tuple[int, int]] = {}
+    runs: list[list] = []
+    at, open_run = 0, False
+    for k, end in enumerate(ends):
+        d = raw[16 * k : 16 * k + 16]
+        if d in elsewhere or d in first:
+            chunk = (at, end, d)
+            if open_run:
+                runs[-1][1:] = [chunk, runs[-1][2] + 1]
+            else:
+                runs.append([chunk, chunk, 1])
+            open_run = True
+        else:
+            open_run = False
+        first.setdefault(d, (at, end))
+        at = end
+    if not runs:
+        return
+    text_key = xxhash.xxh3_128_digest(text)
+    for head, tail, n in runs:
+        for side, (a, b, d) in enumerate((head, tail)):
+            near = _outwards(text, side, a, b, reach)
+            place = first[d]
+            own = _alike(near, _outwards(text, side, *place, reach)) if place != (a, b) else 0
+            yield i, text_key, head[0], tail[1], n, side, d, own, near
+
+
+def surroundings(i: int, text: bytes, ends: list[int], digests: np.ndarray, wanted: set[bytes], largest: int) -> Iterator[tuple]:
+    """Rows of _SERVED: what stands around the first place of each wanted chunk."""
+    raw, at = digests.tobytes(), 0
     for k, end in enumerate(ends):
-        if raw[16 * k : 16 * k + 16] in wanted:
-            a, b = max(0, start - BEFORE), min(len(text), end + largest + 4)
-            if pieces and a <= pieces[-1][1]:
-                a = pieces.pop()[0]
-            pieces.append((a, b))
-        start = end
-    return [text[a:b] for a, b in pieces]
+        d = raw[16 * k : 16 * k + 16]
+        if d in wanted:
+            wanted.discard(d)
+            yield d, i, _outwards(text, 0, at, end, largest + CHARACTER), _outwards(text, 1, at, end, largest + CHARACTER)
+        at = end
 
 
 def _alike(a: bytes, b: bytes) -> int:
@@ -245,62 +310,35 @@ def _alike(a: bytes, b: bytes) -> int:
     return low
 
 
-def _places(chunk: bytes, pieces: list[bytes], text: bytes, start: int) -> Iterator[tuple[bytes, int]]:
-    """Where earlier texts, and this one before `start`, have a chunk: the first place in each."""
-    for piece in pieces:
-        at = piece.find(chunk)
-        if at >= 0:
-            yield piece, at
-    at = text.find(chunk, 0, start + len(chunk) - 1)
-    if at >= 0:
-        yield text, at
-
-
-def _widened(text: bytes, first: tuple[int, int], last: tuple[int, int], pieces: list[bytes]) -> tuple[int, int]:
-    """A run from its first to its last chunk with what is alike before and after it, in whole characters."""
-    (a, first_end), (last_start, b) = first, last
-    left = right = 0
-    before = text[max(0, a - BEFORE) : a][::-1]
-    for other, at in _places(text[a:first_end], pieces, text, a):
-        left = max(left, _alike(before, other[max(0, at - BEFORE) : at][::-1]))
-    for other, at in _places(text[last_start:b], pieces, text, last_start):
-        end = at + b - last_start
-        right = max(right, _alike(text[b : b + BEFORE], other[end : end + BEFORE]))
-    a, b = a - left, b + right
-    while text[a] & 0xC0 == 0x80:
-        a += 1
-    while b < len(text) and text[b] & 0xC0 == 0x80:
-        b -= 1
-    return a, b
-
-
-def repeated_runs(text: bytes, ends: list[int], digests: np.ndarray, known: list[bytes], pieces: list[bytes], min_run: int) -> tuple[list[tuple[int, int]], int]:
-    """The spans to remove, and how many chunks are repeated: those known or seen before in the text."""
-    elsewhere = set()
-    for packed_keys in known:
-        elsewhere.update(packed_keys[i : i + 16] for i in range(0, len(packed_keys), _ASKED))
-    raw = digests.tobytes()
-    seen: set[bytes] = set()
-    runs: list[list[tuple[int, int]]] = []
-    again, at, open_run = 0, 0, False
-    for k, end in enumerate(ends):
-        d = raw[16 * k : 16 * k + 16]
-        if d in elsewhere or d in seen:
-            again += 1
-            if open_run:
-                runs[-1][1] = (at, end)
-            else:
-                runs.append([(at, end), (at, end)])
-            open_run = True
-        else:
-            seen.add(d)
-            open_run = False
-        at = end
+@tidy
+def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How far each edge may move outwards."""
+    for batch in batches:
+        get = lambda c: batch.column(c).to_pylist()  # noqa: B023, E731
+        reach = [
+            own if source is None or source >= i else max(own, _alike(near, before if side == 0 else after))
+            for i, side, own, near, source, before, after in zip(*map(get, ("id", "side", "own", "outwards", "source", "before", "after")), strict=True)
+        ]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in _REACHED.names[:-1]], pa.array(reach, pa.int32())], names=_REACHED.names)
+
+
+def removed_spans(text: bytes, edges: list[dict], min_run: int) -> tuple[list[tuple[int, int]], int]:
+    """The spans to remove, and how many chunks are repeated. edges: those of all texts of the document, at times more than one for a side."""
+    text_key = xxhash.xxh3_128_digest(text) if edges else b""
+    runs: dict[tuple[int, int], list[int]] = {}
+    for e in edges:
+        if bytes(e["text_key"]) == text_key:
+            found = runs.setdefault((e["start"], e["stop"]), [e["n"], 0, 0])
+            found[1 + e["side"]] = max(found[1 + e["side"]], e["reach"])
     spans: list[tuple[int, int]] = []
-    for first, last in runs:
-        a, b = _widened(text, first, last, pieces)
+    for (a, b), (_, left, right) in sorted(runs.items()):
+        a, b = a - left, b + right
+        while text[a] & 0xC0 == 0x80:
+            a += 1
+        while b < len(text) and text[b] & 0xC0 == 0x80:
+            b -= 1
         while spans and a <= spans[-1][1]:
             before = spans.pop()
             a, b = min(a, before[0]), max(b, before[1])
         spans.append((a, b))
-    return [(a, b) for a, b in spans if b - a >= min_run], again
+    return [(a, b) for a, b in spans if b - a >= min_run], sum(n for n, _, _ in runs.values())

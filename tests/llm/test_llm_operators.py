@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -164,49 +165,80 @@ def alike(a, b):
     return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
-def test_chunks_match_brute_force(spark, texts):
-    rng = random.Random(8)
-    passages = [words(rng, n) for n in (12, 51, 90, 300)]
-    data = {i: (t or "").encode() for i, t in texts.items() if i not in (6, 7)}  # one letter over and over: widened where the first place is, not the best
-    data |= {100 + k: " ".join(x for p in rng.sample(passages, 2) for x in (words(rng, 30), p)).encode() for k in range(40)}  # no passage twice: of two places the first counts
-    got = by_id(chunks.deduplicate(spark.createDataFrame([(i, t.decode() if texts.get(i, "") is not None else None) for i, t in data.items()], "doc_id long, text string").coalesce(1)))
-    first = {}
-    for i, t in sorted(data.items()):
-        found, seen, runs, asked = plain_chunks(t), set(), [], {}
+def plain_removals(rows):
+    """What each row (id, text) loses by the rule, and its repeated chunks."""
+    reach = chunks.LARGEST + chunks.CHARACTER
+    data = [(i, (t or "").encode()) for i, t in rows]
+    cut = [plain_chunks(t) for _, t in data]
+    holder = {}  # smallest document of each chunk
+    for (i, t), found in zip(data, cut, strict=True):
+        for a, b in found:
+            holder[t[a:b]] = min(i, holder.get(t[a:b], i))
+    out = []
+    for (i, t), found in zip(data, cut, strict=True):
+        seen, runs = {}, []
         for a, b in found:
             c = t[a:b]
-            if c in first or c in seen:
-                if c in first:
-                    asked.setdefault(first[c], set()).add(c)
+            if holder[c] < i or c in seen:
                 if runs and runs[-1][-1][1] == a:
                     runs[-1].append((a, b))
                 else:
                     runs.append([(a, b)])
-            seen.add(c)
-        near = []  # what stands around the asked chunks in the texts that have them
-        for source, wanted in asked.items():
-            d, edges = data[source], []
-            for a, b in plain_chunks(d):
-                if d[a:b] in wanted:
-                    a, b = max(0, a - chunks.BEFORE), b + chunks.LARGEST + 4
-                    edges = edges[:-1] + [(edges[-1][0], b)] if edges and a <= min(edges[-1][1], len(d)) else [*edges, (a, b)]
-            near += [d[a:b] for a, b in edges]
+            seen.setdefault(c, (a, b))
+
+        def places(a, b):
+            c = t[a:b]  # noqa: B023
+            if seen[c] != (a, b):  # noqa: B023
+                yield t, *seen[c]  # noqa: B023
+            if holder[c] < i:  # noqa: B023
+                for (j, d), others in zip(data, cut, strict=True):
+                    if j == holder[c]:
+                        yield from [(d, x, y) for x, y in others if d[x:y] == c][:1]
+
         gone = bytearray(len(t))
         for run in runs:
-            (a, e), (s, b) = run[0], run[-1]
-            places = lambda c, until: [(d, d.find(c)) for d in near if c in d] + [(t, t.find(c))] * (0 <= t.find(c) < until)
-            left = max((alike(t[:a][::-1], d[:k][::-1]) for d, k in places(t[a:e], a)), default=0)
-            right = max((alike(t[b:], d[k + b - s :]) for d, k in places(t[s:b], s)), default=0)
-            a, b = a - left, b + right
+            left = max((alike(t[max(0, run[0][0] - reach) : run[0][0]][::-1], d[max(0, x - reach) : x][::-1]) for d, x, _ in places(*run[0])), default=0)
+            right = max((alike(t[run[-1][1] :][:reach], d[y:][:reach]) for d, _, y in places(*run[-1])), default=0)
+            a, b = run[0][0] - left, run[-1][1] + right
             while t[a] & 0xC0 == 0x80:
                 a += 1
             while b < len(t) and t[b] & 0xC0 == 0x80:
                 b -= 1
             gone[a:b] = b"\1" * (b - a)
-        assert (got[i].n_chunks, got[i].n_repeated) == (len(found), sum(map(len, runs))), i
-        assert (sum(s.stop - s.start for s in got[i].removed_spans), (got[i].kept or "").encode()) == (sum(gone), bytes(x for x, g in zip(t, gone, strict=True) if not g)), i
-        for c in seen:
-            first.setdefault(c, i)
+        out.append((i, bytes(x for x, g in zip(t, gone, strict=True) if not g), sum(map(len, runs)), len(found)))
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 7])
+def test_chunks_match_brute_force_however_the_table_lies(spark, texts, partitions):
+    """Ties too: passages that stand twice in a text or in several earlier ones, in unlike surroundings, monotonous texts, several texts of one id."""
+    rng = random.Random(8)
+    passages = [words(rng, n) for n in (12, 51, 90, 300)]
+    rows = list(texts.items())
+    rows += [(100 + k, " ".join(x for p in rng.choices(passages, k=3) for x in (words(rng, 30), p))) for k in range(40)]
+    for k in range(40):  # of three that share a passage, two share what stands before it
+        own, before = words(rng, 60), words(rng, 4)
+        rows += [(200 + 3 * k, words(rng, 20) + " " + own), (201 + 3 * k, words(rng, 20) + f" {before} {own}"), (202 + 3 * k, words(rng, 20) + f" {before} {own} " + words(rng, 9))]
+    rows += [(150, passages[3] + words(rng, 20)), (150, words(rng, 20) + passages[3]), (150, words(rng, 20) + passages[3]), (50, "aaaa" * 650), (51, "abab" * 400)]
+    want = sorted(plain_removals(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = chunks.deduplicate(df.repartition(partitions) if partitions > 1 else df.coalesce(1)).collect()
+    assert sorted((r.doc_id, (r.kept or "").encode(), r.n_repeated, r.n_chunks) for r in got) == want
+    assert sum(len(t or "") for _, t in rows) - sum(len(k.decode()) for _, k, _, _ in want) > 10_000
+
+
+def test_chunks_of_a_long_text_take_time_in_proportion(spark):
+    rng = random.Random(12)
+    lines = [words(rng, 12) for _ in range(2000)]
+    texts = [" ".join(rng.choice(lines) + " " + words(rng, 2) for _ in range(n)) for n in (2_000, 20_000)]
+    for t in texts:  # the first finds its own runs; quadratic work would take minutes for the second
+        data = t.encode()
+        ((_, h),) = chunks._hash_texts([data])
+        start = time.perf_counter()
+        found = list(chunks.edges_of(1, data, *chunks.chunk_digests(data, h, {}), [], chunks.LARGEST))
+        assert time.perf_counter() - start < 20 and len(found) > 300
+    (row,) = chunks.deduplicate(spark.createDataFrame([(1, texts[1])], "doc_id long, text string")).collect()
+    assert row.n_bytes > 1_500_000 and len(row.kept) < 0.6 * row.n_bytes
 
 
 def test_gear_hash_and_cuts_match_the_sequential_rule():
