@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.functions import reading
+from factloom.functions import reading, text
 from factloom.operators import extractors
+from factloom.operators import pages as page_ops
 from factloom.plans.catalog import ORACLES, QUERIES, query
 from factloom.sources import driver_tables as src
 
@@ -192,7 +193,11 @@ def sentence_readings(spark, sf_dir):
 # --- pages
 
 SHEETS = (
-    "SELECT o_orderkey AS page_id, CASE o_orderkey % 2 WHEN 0 THEN 'Consolidated' ELSE 'STANDALONE' END || "
+    "SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 4 = 0 THEN "
+    + src.literal("the standalone balance sheet is given below, as the note says\n")
+    + " || repeat('prose ', CAST(900 + o_orderkey % 50 AS INT)) || "
+    + src.literal("\n \n")
+    + " ELSE '' END || CASE o_orderkey % 2 WHEN 0 THEN 'Consolidated' ELSE 'STANDALONE' END || "
     + src.literal(" Balance  Sheet\n(")
     + " || CASE o_orderkey % 9 WHEN 0 THEN 'nothing' WHEN 1 THEN '₹ in Lakhs' WHEN 2 THEN 'in trillions' WHEN 3 THEN 'Rs. in millions' ELSE '` in Crores' END || "
     + src.literal(")\nAs at\nMarch 31, 2024\nAs at\nMarch 31, 2023\nDebt securities\n14\n1,200.50\n")
@@ -209,7 +214,7 @@ _FACTOR = "CASE scale WHEN 'crore' THEN 10000 WHEN 'lakh' THEN 100 WHEN 'million
 
 
 @query(f"""
-WITH p AS (SELECT page_id, lower(regexp_extract(text, '(?i)(CONSOLIDATED|STANDALONE)', 1)) AS basis, regexp_replace(lower(nullif(regexp_extract(text, '(?i)\\(\\s*[`₹]?\\s*(?:Rs\\.?|INR|₹|`)?\\s*in\\s+([A-Za-z]+)\\s*\\)', 1), '')), 's$', '') AS scale, text,
+WITH p AS (SELECT page_id, CASE page_id % 2 WHEN 0 THEN 'consolidated' ELSE 'standalone' END AS basis, regexp_replace(lower(nullif(regexp_extract(split_part(text, '  Sheet', 2), '(?i)\\(\\s*[`₹]?\\s*(?:Rs\\.?|INR|₹|`)?\\s*in\\s+([A-Za-z]+)\\s*\\)', 1), '')), 's$', '') AS scale, text,
                   list_transform(regexp_extract_all(text, '[\\d,]+\\.\\d\\d'), lambda x: CAST(replace(replace(x, ',', ''), '.', '') AS BIGINT)) AS n FROM ({_SH}) WHERE text <> 'notes to the accounts'),
 q AS (SELECT *, {_FACTOR} AS f, CASE WHEN scale IS NULL THEN 'no unit declared' WHEN f IS NULL THEN 'unknown unit ' || scale WHEN NOT contains(text, 'Subordinated') THEN 'rows not found: Subordinated liabilities' END AS problem FROM p),
 c AS (SELECT page_id, basis, problem, f, unnest(CASE WHEN problem IS NULL THEN [1, 2, 3, 4, 5, 6] ELSE [0] END) AS k, n FROM q),
@@ -244,15 +249,52 @@ def registration_facts(spark, sf_dir):
     return gst.unionByName(udyam).withColumn("day", F.col("day").cast("string"))
 
 
-KINDS = [
-    ("Aadhaar of a person", "kyc"), ("form gst reg-06", "gst_certificate"), ("Udyam Registration certificate", "udyam_certificate"), ("Computation of Total  Income", "itr_computation"), ("Balance sheet and profit & loss", "financials"),
-    ("Form 26AS", "tax_statement"), ("ITR-V", "itr_ack"), ("Form No. 16 section 203 gross total income", "form16_part_b"), ("Form 16 section 203", "form16_part_a"), ("CIBIL credit score, date opened", "credit_report"),
-    ("Repayment schedule with EMI", "loan_soa"), ("electricity bill", "business_proof"), ("Pay slip", "salary_slip"), ("sanction of an overdraft", "od_sanction"), ("sanction letter", "loan_sanction"), ("nothing", "other"), ("", "bank_statement"),
+KIND_WORDS = [
+    "Aadhaar of a person", "form gst reg-06", "Registration certificate", "GSTIN", "Udyam Registration", "certificate", "Computation of Total  Income", "Balance sheet", "profit & loss", "Form 26AS", "ITR-V", "Form No. 16", "section 203",
+    "gross total income", "CIBIL", "credit score, date opened", "Repayment schedule", "EMI", "electricity", "consumer bill", "trade licence", "Pay slip", "net pay, earnings", "deductions", "sanction", "overdraft", "nothing", "", "Elector", "soap",
 ]
-KIND_PAGES = f"SELECT o_orderkey AS document_id, {_pick(_N, [k for k, _ in KINDS])} AS text, {_pick(_N, [w for _, w in KINDS])} AS wanted, CASE WHEN o_orderkey % {len(KINDS)} = {len(KINDS) - 1} THEN 'My Stmt.pdf' ELSE 'x.pdf' END AS filename FROM {{orders}}"
+KIND_PAGES = (
+    f"SELECT o_orderkey AS document_id, concat({_pick(_N, KIND_WORDS)}, ' ', {_pick(f'CAST(floor({_N} / 30) AS BIGINT)', KIND_WORDS)}, CASE WHEN o_orderkey % 7 = 0 THEN repeat(' filler', 300) ELSE '' END) AS text, "
+    "CASE o_orderkey % 5 WHEN 0 THEN 'My Stmt.pdf' WHEN 1 THEN 'CIBIL.pdf' WHEN 2 THEN NULL ELSE 'x.pdf' END AS filename, CAST(1 + o_orderkey % 2 AS INT) AS n_pages, o_orderkey % 31 = 0 AS has_table FROM {orders}"
+)
+
+
+def _says(*words: str) -> str:
+    return "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
 
 
-@query(f"SELECT document_id, wanted AS kind FROM ({src.duck(KIND_PAGES)})")
+@query(f"""
+WITH p AS (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t, lower(coalesce(filename, '')) AS f FROM ({src.duck(KIND_PAGES)})),
+q AS (SELECT *, CASE WHEN contains(f, 'stmt') THEN 'bank_statement' WHEN contains(f, 'cibil') THEN 'credit_report' ELSE 'other' END AS by_name,
+             length(t) < 1500 AS short, {_says('form no. 16')} AND {_says('section 203')} AS sixteen FROM p)
+SELECT document_id, CASE WHEN t = '' THEN by_name
+  WHEN short AND {_says('aadhaar', 'elector')} THEN 'kyc' WHEN {_says('gst reg-06')} OR {_says('registration certificate')} AND {_says('gstin')} THEN 'gst_certificate' WHEN {_says('udyam registration')} AND {_says('certificate')} THEN 'udyam_certificate'
+  WHEN {_says('computation of total income')} THEN 'itr_computation' WHEN {_says('balance sheet')} AND {_says('profit & loss')} THEN 'financials' WHEN {_says('form 26as')} THEN 'tax_statement' WHEN {_says('itr-v')} THEN 'itr_ack'
+  WHEN sixteen AND {_says('gross total income')} THEN 'form16_part_b' WHEN sixteen THEN 'form16_part_a' WHEN {_says('cibil')} AND {_says('credit score')} AND {_says('date opened')} AND n_pages = 2 THEN 'credit_report' WHEN has_table THEN 'bank_statement'
+  WHEN {_says('repayment schedule')} AND {_says('emi', 'soa', 'principal')} THEN 'loan_soa' WHEN {_says('electricity')} AND {_says('bill')} OR {_says('trade licence')} THEN 'business_proof'
+  WHEN {_says('pay slip')} OR {_says('net pay, earnings')} AND {_says('deduction')} THEN 'salary_slip' WHEN {_says('sanction')} AND {_says('overdraft')} THEN 'od_sanction' WHEN {_says('sanction')} THEN 'loan_sanction' ELSE by_name END AS kind
+FROM q""")
 def document_kinds(spark, sf_dir):
     rows = src.view(spark, sf_dir, KIND_PAGES)
-    return rows.select("document_id", extractors.document_kind(F.col("text"), F.col("filename"), F.lit(2), F.lit(False)).alias("kind"))
+    return rows.select("document_id", extractors.document_kind(F.col("text"), F.col("filename"), F.col("n_pages"), F.col("has_table")).alias("kind"))
+
+
+FIGURES = (
+    "SELECT o_orderkey AS row_id, CASE o_orderkey % 8 WHEN 0 THEN 'NCD Series ' WHEN 1 THEN 'Subordinated NCD ' WHEN 2 THEN 'CP programme ' WHEN 3 THEN 'Cash credit ' WHEN 4 THEN 'Perpetual Bonds ' WHEN 5 THEN 'Tier II PDI ' WHEN 6 THEN 'Commercial Paper ' ELSE NULL END AS name, "
+    "CASE o_orderkey % 3 WHEN 0 THEN 'A1+' WHEN 1 THEN ' A4 ' ELSE 'AA+' END AS grade, CASE o_orderkey % 5 WHEN 0 THEN 'Reaffirmed and Withdrawn' WHEN 1 THEN 'Placed on watch; upgraded' WHEN 2 THEN 'noted' WHEN 3 THEN NULL ELSE 'ASSIGNED' END AS said, "
+    "CASE o_orderkey % 4 WHEN 0 THEN concat('Rs. ', CAST(o_orderkey AS VARCHAR(20)), '.505/-') WHEN 1 THEN concat('(', CAST(o_orderkey AS VARCHAR(20)), ',000)') WHEN 2 THEN 'n/a' ELSE NULL END AS quote, o_orderkey AS amount FROM {orders}"
+)
+
+
+@query(f"""
+WITH p AS (SELECT *, lower(name) AS n FROM ({src.duck(FIGURES)})),
+q AS (SELECT *, CASE WHEN contains(n, 'commercial paper') THEN 'commercial_paper' WHEN contains(n, 'subordinated ncd') THEN 'subordinated_debt' WHEN contains(n, 'perpetual bond') THEN 'perpetual_debt' WHEN contains(n, 'ncd') THEN 'ncd' WHEN contains(n, 'cash credit') THEN 'bank_facility'
+                 WHEN starts_with(n, 'cp ') THEN 'commercial_paper' WHEN contains(n, ' pdi ') THEN 'perpetual_debt' ELSE 'other' END AS class FROM p)
+SELECT row_id, class, CASE WHEN class = 'commercial_paper' OR trim(grade) IN ('A1+', 'A4') THEN 'short_term' ELSE 'long_term' END AS term,
+       nullif(array_to_string(list_filter(['reaffirmed', 'withdrawn', 'assigned', 'upgraded', 'placed on'], lambda v: contains(lower(said), v)), '; '), '') AS verbs,
+       CASE row_id % 4 WHEN 0 THEN false WHEN 1 THEN row_id * 1000 = amount WHEN 2 THEN false END AS named
+FROM q""")
+def figure_readings(spark, sf_dir):
+    rows = src.view(spark, sf_dir, FIGURES)
+    named = F.when(F.col("quote").isNotNull(), page_ops.amount_in(F.col("quote"), F.col("amount")))
+    return rows.select("row_id", text.instrument_class(F.col("name")).alias("class"), text.rating_term(F.col("name"), F.col("grade")).alias("term"), text.action_verbs(F.col("said")).alias("verbs"), named.alias("named"))

@@ -183,13 +183,14 @@ s AS ({_S}), t AS ({_R}),
 eod AS (SELECT account_key, txn_date, arg_max(balance, seq) AS eod FROM t WHERE balance IS NOT NULL GROUP BY ALL),
 firsts AS (SELECT account_key, arg_min(opening, period_start) AS opening, min(period_start) AS since FROM s GROUP BY 1 HAVING account_key IN (SELECT account_key FROM eod)),
 cover AS (SELECT DISTINCT account_key, CAST(unnest(generate_series(period_start, period_end, INTERVAL 1 DAY)) AS DATE) AS day FROM s),
+begun AS (SELECT account_key, period_start, min(opening) AS opening FROM s GROUP BY ALL),
 stated AS (
-  SELECT c.account_key, c.day, coalesce(e.eod, CASE WHEN p.day IS NULL THEN CASE WHEN c.day = f.since THEN f.opening ELSE (SELECT min(opening) FROM s WHERE s.account_key = c.account_key AND s.period_start = c.day) END END) AS stated
+  SELECT c.account_key, c.day, true AS covered, coalesce(e.eod, CASE WHEN p.day IS NULL THEN CASE WHEN c.day = f.since THEN f.opening ELSE b.opening END END) AS stated
   FROM cover c JOIN firsts f USING (account_key) LEFT JOIN cover p ON p.account_key = c.account_key AND p.day = c.day - 1 LEFT JOIN eod e ON e.account_key = c.account_key AND e.txn_date = c.day
-  UNION ALL SELECT e.account_key, e.txn_date, e.eod FROM eod e JOIN firsts f USING (account_key) WHERE e.txn_date >= f.since AND NOT EXISTS (SELECT 1 FROM cover c WHERE c.account_key = e.account_key AND c.day = e.txn_date)),
+  LEFT JOIN begun b ON b.account_key = c.account_key AND b.period_start = c.day
+  UNION ALL SELECT e.account_key, e.txn_date, false, e.eod FROM eod e JOIN firsts f USING (account_key) LEFT JOIN cover c ON c.account_key = e.account_key AND c.day = e.txn_date WHERE e.txn_date >= f.since AND c.day IS NULL),
 daily AS (
-  SELECT account_key, day, balance FROM (SELECT *, last_value(stated IGNORE NULLS) OVER (PARTITION BY account_key ORDER BY day ROWS UNBOUNDED PRECEDING) AS balance FROM stated) x
-  WHERE EXISTS (SELECT 1 FROM cover c WHERE c.account_key = x.account_key AND c.day = x.day)),
+  SELECT account_key, day, balance FROM (SELECT *, last_value(stated IGNORE NULLS) OVER (PARTITION BY account_key ORDER BY day ROWS UNBOUNDED PRECEDING) AS balance FROM stated) x WHERE covered),
 months AS (SELECT account_key, strftime(day, '%Y-%m') AS month, count(*) AS days, round_even(avg(balance), 2) AS average, min(balance) AS lowest, count(*) FILTER (WHERE balance < 0) AS negative_days FROM daily GROUP BY ALL)"""
 
 
