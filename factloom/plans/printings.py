@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import statements
+from factloom.operators import histories, statements
 from factloom.plans.catalog import ORACLES, QUERIES, query
 from factloom.sources import driver_tables as src
 from factloom.sources import printed
@@ -56,3 +56,33 @@ def printed_statement_checks(spark, sf_dir):
     told = statements.statement_checks(statements.statement_rows(words), statements.statement_summary(words))
     amounts = ("total_debits", "total_credits", "opening_balance", "closing_balance", "difference")
     return told.select("document_id", "n_rows", "debit_count", "credit_count", *map(_cents, amounts), "running_rows", "n_breaks", F.col("opening_stated").alias("stated"))
+
+
+_H = src.duck(src.HISTORY_CELLS)
+_TOLD = f"""
+told AS (
+  SELECT *, CASE WHEN starts_with(said, '[ICRA]') THEN regexp_extract(said, '\\](\\S+)', 1) WHEN starts_with(said, 'CARE') THEN 'A' END AS grade, said = 'Withdrawn' AS withdrawn, CASE WHEN contains(said, 'Stable') THEN 'Stable' WHEN contains(said, 'Negative') THEN 'Negative' END AS outlook,
+         CASE WHEN contains(said, 'RWD') THEN 'Watch with Developing Implications' END AS watch, said <> 'not rated here' AS readable, CASE row_no WHEN 1 THEN 'ncd' WHEN 2 THEN 'commercial_paper' ELSE 'bank_facility' END AS class
+  FROM ({_H}) WHERE said <> '-')"""
+
+
+def _history(spark, sf_dir):
+    lines = printed.history_lines(src.view(spark, sf_dir, src.HISTORY_CELLS))
+    return histories.table_lines(lines, "Rating history for past three years", ["Complexity level"])
+
+
+@query(f"WITH {_TOLD} SELECT document_id, row_no, name, day AS action_date, said AS rating_text, grade, outlook, watch, withdrawn, readable FROM told", dates=("action_date",))
+def rating_history_entries(spark, sf_dir):
+    return histories.entries(_history(spark, sf_dir)).select("document_id", "row_no", "name", "action_date", "rating_text", "grade", "outlook", "watch", "withdrawn", "readable")
+
+
+@query(f"""
+WITH {_TOLD}, own AS (SELECT document_id, min(day) AS own_date FROM ({_H}) WHERE document_id % 4 = 0 GROUP BY 1)
+SELECT document_id, class AS instrument_class, CASE WHEN class = 'commercial_paper' OR grade = 'A1+' THEN 'short_term' ELSE 'long_term' END AS term,
+       'rating_history|agency|' || class || '|' || CASE WHEN class = 'commercial_paper' OR grade = 'A1+' THEN 'short_term' ELSE 'long_term' END || '|' || CAST(day AS VARCHAR) || '|' || lower(name) AS fact_key, said AS value_text
+FROM told LEFT JOIN own USING (document_id) WHERE readable AND (own_date IS NULL OR day <> own_date)""")
+def rating_history_claims(spark, sf_dir):
+    cells = src.view(spark, sf_dir, src.HISTORY_CELLS)
+    own = cells.where("document_id % 4 = 0").groupBy("document_id").agg(F.min("day").alias("own_date"))
+    known = cells.select("document_id").distinct().join(own, "document_id", "left").withColumn("agency", F.lit("agency"))
+    return histories.history_claims(histories.entries(_history(spark, sf_dir)), known).select("document_id", "instrument_class", "term", "fact_key", "value_text")

@@ -303,6 +303,13 @@ FROM (
   FROM {orders}) r
 """
 
+HISTORY_CELLS = """
+SELECT c_custkey AS document_id, CAST(r AS INT) AS row_no, CAST(k AS INT) AS k, CAST(c_custkey % 3 AS INT) AS layout, c_custkey % 3 = 0 AND c_custkey % 5 = 0 AS orphan, date_add_days(DATE '2022-01-05', CAST(c_custkey % 90 * 7 + k * 37 AS INT)) AS day,
+       CASE r WHEN 1 THEN 'NCD programme' WHEN 2 THEN 'Commercial Paper' ELSE 'Term loan' END AS name,
+       CASE (c_custkey + r * 2 + k) % 7 WHEN 0 THEN '[ICRA]AA (Stable)' WHEN 1 THEN '[ICRA]A1+' WHEN 2 THEN 'Withdrawn' WHEN 3 THEN 'not rated here' WHEN 4 THEN '-' WHEN 5 THEN '[ICRA]BBB+ (Negative)' ELSE 'CARE A (RWD)' END AS said
+FROM {customer} CROSS JOIN (SELECT 1 AS r UNION ALL SELECT 2 UNION ALL SELECT 3) a CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) b
+"""
+
 TABLES = ("customer", "supplier", "orders", "lineitem", "events", "documents", "pages")
 
 
