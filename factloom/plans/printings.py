@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import histories, statements
+from factloom.operators import histories, pages, rationales, statements
 from factloom.plans.catalog import ORACLES, QUERIES, query
 from factloom.sources import driver_tables as src
 from factloom.sources import printed
@@ -86,3 +86,71 @@ def rating_history_claims(spark, sf_dir):
     own = cells.where("document_id % 4 = 0").groupBy("document_id").agg(F.min("day").alias("own_date"))
     known = cells.select("document_id").distinct().join(own, "document_id", "left").withColumn("agency", F.lit("agency"))
     return histories.history_claims(histories.entries(_history(spark, sf_dir)), known).select("document_id", "instrument_class", "term", "fact_key", "value_text")
+
+
+_R = src.duck(src.RATIONALES)
+
+
+def _rationales(spark, sf_dir):
+    units = rationales.placed(pages.html_units(printed.rationale_pages(src.view(spark, sf_dir, src.RATIONALES)), "document_id", "html"))
+    return units, rationales.shapes(rationales.grid_rows(units))
+
+
+@query(f"""
+WITH r AS ({_R})
+SELECT document_id, 'bank' AS part, 'Bank Loan Facilities' AS instrument, 'bank_facility' AS instrument_class, CAST(amount AS DOUBLE) AS amount, 'AA' AS grade, 'Stable' AS outlook, NULL AS watch, 'reaffirmed' AS action, '' AS qualifiers, '' AS note, true AS readable FROM r
+UNION ALL SELECT document_id, 'action', 'Non Convertible Debentures', 'ncd', amount + 1, CASE v WHEN 0 THEN 'AA' WHEN 1 THEN 'AA' WHEN 4 THEN 'AA-' END, CASE v WHEN 0 THEN 'Stable' WHEN 1 THEN 'Negative' END, CASE v WHEN 4 THEN 'Watch with Developing Implications' END,
+       CASE v WHEN 0 THEN 'reaffirmed' WHEN 1 THEN 'downgraded' WHEN 3 THEN 'withdrawn' WHEN 4 THEN 'placed on' END, CASE v WHEN 1 THEN 'ppmld,legacy_r,' ELSE '' END || 'retail,secured', '', v <> 2 FROM r
+UNION ALL SELECT document_id, 'action', 'Commercial Paper', 'commercial_paper', 8500, 'A1+', NULL, NULL, 'reaffirmed', '', '', true FROM r
+UNION ALL SELECT document_id, 'annexure', 'Subordinated NCD', 'subordinated_debt', NULL, 'AA', 'Stable', NULL, NULL, 'interchangeable_subordinated', '|NA|7-365 days', true FROM r""")
+def rationale_ratings(spark, sf_dir):
+    rated = rationales.ratings(*_rationales(spark, sf_dir))
+    return rated.select("document_id", "part", "instrument", "instrument_class", F.col("amount").cast("double").alias("amount"), "grade", "outlook", "watch", "action", F.array_join("qualifiers", ",").alias("qualifiers"), "note", "readable")
+
+
+@query(f"""
+SELECT document_id, 'INE' || document_id AS isin, 'NCD' AS instrument, '9.5' AS coupon, '2028-06-30' AS maturity_date, '30-Jun-28' AS due, CASE WHEN gap > 0 THEN CAST(amount + 2 AS DOUBLE) END AS amount, gap > 0 AS readable FROM ({_R})
+UNION ALL SELECT document_id, 'NA', 'Subordinated NCD', 'NA', NULL, '7-365 days', 50.25, true FROM ({_R})""")
+def rationale_instruments(spark, sf_dir):
+    listed = rationales.instruments(_rationales(spark, sf_dir)[1])
+    return listed.select("document_id", "isin", "instrument", "coupon", F.col("maturity_date").cast("string").alias("maturity_date"), "due", F.col("amount").cast("double").alias("amount"), "readable")
+
+
+@query(f"""
+WITH r AS ({_R})
+SELECT document_id, 'Fund Based Facilities' AS instrument, 'long_term' AS term, day1 AS action_date, 'AA' AS grade, 'Stable' AS outlook, false AS withdrawn, true AS readable FROM r WHERE day1 <> published
+UNION ALL SELECT document_id, 'Fund Based Facilities', 'long_term', day2, NULL, NULL, gap <> 1, gap <> 1 FROM r WHERE day2 <> published
+UNION ALL SELECT document_id, 'Fund Based Facilities', 'short_term', day3, 'A1+', NULL, false, true FROM r WHERE day3 <> published""", dates=("action_date",))
+def rationale_history(spark, sf_dir):
+    units, rows = _rationales(spark, sf_dir)
+    return rationales.history(rows, rationales.published(units)).select("document_id", "instrument", "term", "action_date", "grade", "outlook", "withdrawn", "readable")
+
+
+@query(f"""
+WITH r AS (SELECT * FROM ({_R}) WHERE gap <> 2)
+SELECT document_id, 'consolidated' AS scope, 'total_assets' AS slug, '2025-12-31' AS as_of, CAST(assets AS DOUBLE) AS value, 'INR_CRORE' AS unit FROM r
+UNION ALL SELECT document_id, 'consolidated', 'gearing', '2025-12-31', -1.2, 'TIMES' FROM r UNION ALL SELECT document_id, 'consolidated', 'gearing', '2025-03-31', 3.45, 'TIMES' FROM r
+UNION ALL SELECT document_id, NULL, NULL, NULL, NULL, NULL FROM ({_R}) WHERE gap = 2
+UNION ALL SELECT document_id, 'lender', 'Term Loan', 'State Bank of India', amount, NULL FROM ({_R})""")
+def rationale_figures(spark, sf_dir):
+    units, rows = _rationales(spark, sf_dir)
+    measured = rationales.indicators(units, rows).select("document_id", "scope", "slug", F.col("as_of").cast("string").alias("as_of"), F.col("value").cast("double").alias("value"), "unit")
+    lent = rationales.lenders(rows).select("document_id", F.lit("lender").alias("scope"), F.col("facility").alias("slug"), F.col("lender").alias("as_of"), F.col("amount").cast("double").alias("value"), F.lit(None).cast("string").alias("unit"))
+    return measured.unionByName(lent)
+
+
+@query(f"""
+SELECT document_id, unnest(['outlook', 'liquidity', 'liquidity_detail', 'driver', 'factors', 'factors', 'updated_on']) AS part, unnest(['', '', '', 'strengths', 'positive', 'negative', '']) AS key,
+       unnest(['Stable', 'Strong', 'The company keeps liquid funds that cover its debt of the next quarter.', 'Comfortable capital', 'more profit', 'less', '2026-05-22']) AS value FROM ({_R})""")
+def rationale_prose(spark, sf_dir):
+    return rationales.prose(_rationales(spark, sf_dir)[0]).select("document_id", "part", "key", "value")
+
+
+@query(f"""
+WITH r AS ({_R})
+SELECT document_id, CASE WHEN len(missing) = 0 THEN 'complete' ELSE 'incomplete' END AS status, array_to_string(missing, '; ') AS missing FROM (
+  SELECT document_id, list_filter([CASE WHEN gap = 2 THEN 'indicators without an adjusted heading' END, CASE WHEN gap = 0 THEN 'no instrument' END, CASE WHEN v = 2 THEN 'no rating' END, CASE WHEN gap = 1 AND day2 <> published THEN 'unreadable history of Fund Based Facilities ' || day2 END, CASE WHEN v = 2 THEN 'unreadable rating of Non Convertible Debentures' END], lambda x: x IS NOT NULL) AS missing FROM r)""")
+def rationale_coverage(spark, sf_dir):
+    units, rows = _rationales(spark, sf_dir)
+    told = rationales.coverage(units, rows, rationales.ratings(units, rows), rationales.instruments(rows), rationales.history(rows, rationales.published(units)), rationales.indicators(units, rows), rationales.prose(units))
+    return told.select("document_id", "status", F.regexp_replace(F.array_join("missing", "; "), r" in the row of unit \d+", "").alias("missing"))

@@ -310,6 +310,13 @@ SELECT c_custkey AS document_id, CAST(r AS INT) AS row_no, CAST(k AS INT) AS k,
 FROM {customer} CROSS JOIN (SELECT 1 AS r UNION ALL SELECT 2 UNION ALL SELECT 3) a CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) b
 """
 
+RATIONALES = """
+SELECT c_custkey AS document_id, date_add_days(DATE '2025-01-27', CAST(c_custkey % 300 AS INT)) AS published, CAST(1000 + c_custkey AS BIGINT) AS amount, CAST(c_custkey % 5 AS INT) AS v,
+       date_add_days(DATE '2023-01-06', CAST(c_custkey % 500 AS INT)) AS day1, CASE WHEN c_custkey % 8 = 0 THEN date_add_days(DATE '2025-01-27', CAST(c_custkey % 300 AS INT)) ELSE date_add_days(DATE '2023-02-06', CAST(c_custkey % 500 AS INT)) END AS day2,
+       date_add_days(DATE '2022-03-06', CAST(c_custkey % 500 AS INT)) AS day3, CAST(c_custkey % 7 AS INT) AS gap, CAST(80000 + c_custkey * 3 AS BIGINT) AS assets
+FROM {customer}
+"""
+
 TABLES = ("customer", "supplier", "orders", "lineitem", "events", "documents", "pages")
 
 

@@ -115,3 +115,39 @@ def history_lines(cells: DataFrame) -> DataFrame:
     width = F.length("text") * 4.0
     stop = F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
     return every.select("document_id", "page_no", "line_no", "text", (stop - F.length("text")).cast("int").alias("start"), stop.cast("int").alias("stop"), (F.col("middle") - width / 2).alias("x0"), (F.col("middle") + width / 2).alias("x1"), (F.col("line_no") * 12.0).alias("y"))
+
+
+#: Ratings of an action table's first row, by the document's v.
+ACTED = ["Crisil AA/Stable (Reaffirmed)", "Crisil PPMLD AA r /Negative (Downgraded)", "Rating to be confirmed", "Withdrawn", "Crisil AA-/Watch Developing (Placed on watch)"]
+
+
+def rationale_pages(rows: DataFrame) -> DataFrame:
+    """HTML of rating rationales (document_id, html). rows: document_id, published, amount, v, day1, day2, day3, gap, assets."""
+    acted = F.element_at(F.array(*map(F.lit, ACTED)), F.col("v") + 1)
+    day = lambda c: F.date_format(c, "dd-MM-yy")
+    number = lambda c: F.format_number(c, 0)
+
+    def table(*lines: list) -> Column:
+        cells = lambda line: F.concat(*[F.concat(F.lit("<td> "), F.lit(c) if isinstance(c, str) else c, F.lit("</td>")) for c in line])
+        return F.concat(F.lit("<table><tbody>"), *[F.concat(F.lit("<tr>"), cells(line), F.lit("</tr>")) for line in lines], F.lit("</tbody></table>"))
+
+    crore = lambda n: F.concat(F.lit("Rs."), number(n), F.lit(" Crore"))
+    parts = [
+        "<html><body><p>", F.date_format("published", "MMMM d, yyyy"), "</p>",
+        table(["Total Bank Loan Facilities Rated", crore(F.col("amount"))], ["Long Term Rating", "Crisil AA/Stable (Reaffirmed)"]),
+        table([F.concat(crore(F.col("amount") + 1), F.lit(" Non Convertible Debentures&amp;**")), acted], ["Rs.8500 Crore  Commercial Paper (Reduced from Rs.9000 Crore)", "Crisil A1+ (Reaffirmed)"]),
+        "<p>some words</p><p>&amp; For retail bond issuance ** Secured.</p><p>plain</p><p>&amp; not a note any more</p>",
+        table(
+            ["ISIN", "Name of instrument", "Date of allotment", "Coupon", "Maturity date", "Issue size", "Complexity", "Rating"],
+            [F.concat(F.lit("INE"), F.col("document_id").cast("string")), "NCD&amp;", "1-Jan-20", "9.5", "30-Jun-28", F.when(F.col("gap") == 0, "NA").otherwise(number(F.col("amount") + 2)), "Simple", "Crisil AA/Stable"],
+            ["NA", "Subordinated NCD#", "1-Jan-20", "NA", "7-365 days", "50.25", "Simple", "Crisil AA/Stable"],
+        ), "<p># Interchangeable between secured and subordinated debt</p>",
+        table(["", "Current", "2025"], ["Instrument", "Type", "Outstanding Amount", "Rating", "Date", "Rating", "Date", "Rating"], ["Fund Based Facilities", "LT", "1", "x", day("day1"), "Crisil AA/Stable", day("day2"), F.when(F.col("gap") == 1, "unclear").otherwise("Withdrawn")], ["", "ST", "2", "x", day("day3"), "Crisil A1+", "--", "--"]),
+        F.when(F.col("gap") == 2, "<p>Key financial indicators</p>").otherwise("<p>Key financial indicators (consolidated; Crisil Ratings-adjusted numbers)</p>"),
+        table(["As on/for the year ended", "Unit", "December 31, 2025", "Mar 31, 2025/ FY25"], ["Total assets", "Rs crore", number(F.col("assets")), "NA"], ["Gearing", "Times", "(1.2)", "3.45"], ["Odd", "kg", "1", "2"]),
+        table(["Facility", "Amount (Rs.Crore)", "Name of Lender"], ["Term Loan&amp;", number(F.col("amount")), "State Bank of India"], ["Proposed", "NA", "none"]),
+        "<p>Outlook:  Stable</p><p>Liquidity: Strong</p><p>short</p><p>", F.lit("The company keeps liquid funds that cover its debt of the next quarter."), "</p>",
+        "<div><p>Key Rating Drivers - Strengths</p><p>Comfortable capital</p><p>A body that explains it.</p></div><div><p>Upward factors:</p><ul><li>more</li><li>profit</li></ul><p>Downward factors:</p><ul><li>less</li></ul></div>",
+        "<div><p>This RR was updated on May 22, 2026</p></div></body></html>",
+    ]
+    return rows.select("document_id", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("html"))
