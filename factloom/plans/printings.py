@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import histories, pages, rationales, statements
+from factloom.operators import histories, pages, rationales, statements, summaries
 from factloom.plans.catalog import ORACLES, QUERIES, query
 from factloom.sources import driver_tables as src
 from factloom.sources import printed
@@ -154,3 +154,29 @@ def rationale_coverage(spark, sf_dir):
     units, rows = _rationales(spark, sf_dir)
     told = rationales.coverage(units, rows, rationales.ratings(units, rows), rationales.instruments(rows), rationales.history(rows, rationales.published(units)), rationales.indicators(units, rows), rationales.prose(units))
     return told.select("document_id", "status", F.regexp_replace(F.array_join("missing", "; "), r" in the row of unit \d+", "").alias("missing"))
+
+
+_RL = src.duck(src.RATED_LINES)
+
+
+@query(f"""
+WITH r AS (SELECT *, lag(v) OVER (PARTITION BY document_id ORDER BY row_no) AS before FROM ({_RL})),
+-- an unrated row's lines stay in the label of the next rated one; six lines of them at most
+runs AS (SELECT *, count(*) FILTER (WHERE v <> 0) OVER (PARTITION BY document_id ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM r),
+said AS (
+  SELECT *, CASE v WHEN 0 THEN ['Bank lines', format('{{:,}}', current) || '.00', 'not rated, assigned'] WHEN 1 THEN ['Non-convertible', 'debentures'] WHEN 2 THEN ['Commercial paper'] ELSE ['Bank lines'] END AS lines FROM runs),
+labels AS (SELECT document_id, run, flatten(list(lines ORDER BY row_no)) AS lines, max(row_no) FILTER (WHERE v <> 0) AS row_no FROM said GROUP BY document_id, run)
+SELECT r.document_id, array_to_string(l.lines[greatest(len(l.lines) - 5, 1):], ' ') AS label, CASE WHEN r.v <> 3 THEN previous END AS previous, current,
+       CASE r.v WHEN 1 THEN '[ICRA]AA (Stable); reaffirmed, removed from watch and withdrawn' WHEN 2 THEN '[ICRA]A1+; reaffirmed' ELSE '[ICRA]AA (Stable); outlook Negative' END AS rating_text
+FROM r JOIN labels l ON l.document_id = r.document_id AND l.row_no = r.row_no""")
+def rated_amount_lines(spark, sf_dir):
+    rows = summaries.rated_amounts(printed.rated_lines(src.view(spark, sf_dir, src.RATED_LINES), listed=False))
+    return rows.select("document_id", "label", F.col("previous_amount").cast("long").alias("previous"), F.col("current_amount").cast("long").alias("current"), "rating_text")
+
+
+@query(f"""
+SELECT document_id, CASE v WHEN 1 THEN 'Not placed' ELSE isin END AS isin, 'NCD Series II' AS name, CASE WHEN v <> 1 THEN issued END AS issuance, '9.50%' AS coupon, matures AS maturity_date, current AS amount
+FROM ({_RL}) WHERE v IN (0, 1)""", dates=("issuance", "maturity_date"))
+def listed_instrument_lines(spark, sf_dir):
+    rows = summaries.listed_instruments(printed.rated_lines(src.view(spark, sf_dir, src.RATED_LINES), listed=True))
+    return rows.select("document_id", "isin", "name", "issuance", "coupon", "maturity_date", F.col("amount").cast("long").alias("amount"))

@@ -317,6 +317,12 @@ SELECT c_custkey AS document_id, date_add_days(DATE '2025-01-27', CAST(c_custkey
 FROM {customer}
 """
 
+RATED_LINES = """
+SELECT o_custkey AS document_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS row_no, o_orderkey % 4 AS v, CAST(1000 + o_orderkey % 9000 AS BIGINT) AS previous, CAST(2000 + o_orderkey % 7000 AS BIGINT) AS current,
+       'INE' || CAST(100000000 + o_orderkey % 899999999 AS VARCHAR(20)) AS isin, CAST(o_orderdate AS DATE) AS issued, date_add_days(DATE '2030-01-01', CAST(o_orderkey % 3000 AS INT)) AS matures
+FROM {orders}
+"""
+
 TABLES = ("customer", "supplier", "orders", "lineitem", "events", "documents", "pages")
 
 

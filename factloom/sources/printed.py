@@ -151,3 +151,24 @@ def rationale_pages(rows: DataFrame) -> DataFrame:
         "<div><p>This RR was updated on May 22, 2026</p></div></body></html>",
     ]
     return rows.select("document_id", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("html"))
+
+
+def rated_lines(rows: DataFrame, listed: bool) -> DataFrame:
+    """Lines (document_id, at, text, start, stop) of a summary of rated amounts, or of a list of instruments. rows: document_id, row_no, v, previous, current, isin, issued, matures."""
+    two = lambda c: F.concat(F.format_number(c, 0), F.lit(".00"))
+    day = lambda c: F.date_format(c, "MMM-dd-yyyy")
+    none = F.array().cast("array<string>")
+    v = F.col("v")
+    summary = F.concat(
+        F.when(v == 1, F.array(F.lit("Non-convertible"), F.lit("debentures"))).when(v == 2, F.array(F.lit("Previous rated"), F.lit("Commercial paper"))).otherwise(F.array(F.lit("Bank lines"))),
+        F.array(F.when(v == 3, "-").otherwise(two("previous")), two("current")),
+        F.when(v == 0, F.array(F.lit("not rated, assigned"))).when(v == 1, F.array(F.lit("[ICRA]AA (Stable); reaffirmed,"), F.lit("removed from watch"), F.lit("and withdrawn"))).when(v == 2, F.array(F.lit("[ICRA]A1+; reaffirmed"))).otherwise(F.array(F.lit("[ICRA]AA"), F.lit("(Stable); outlook"), F.lit("Negative"))),
+    )
+    listing = F.concat(
+        F.array(F.when(v == 1, "Not placed").otherwise(F.col("isin"))), F.when(v == 2, none).otherwise(F.array(F.lit("NCD"), F.lit("Series II"))),
+        F.array(F.when(v == 1, "NA").otherwise(day("issued")), F.lit("9.50%"), day("matures"), F.when(v == 3, "250 each").otherwise(two("current"))),
+    )
+    each = rows.select("document_id", F.struct("row_no").alias("r"), F.posexplode(listing if listed else summary).alias("pos", "text"))
+    order = Window.partitionBy("document_id").orderBy("r.row_no", "pos")
+    stop = F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return each.select("document_id", F.row_number().over(order).alias("at"), "text", (stop - F.length("text")).cast("int").alias("start"), stop.cast("int").alias("stop"))
