@@ -323,6 +323,12 @@ SELECT o_custkey AS document_id, CAST(row_number() OVER (PARTITION BY o_custkey
 FROM {orders}
 """
 
+CITED = """
+SELECT doc_id * 3 + k AS fact_id, CASE WHEN k = 2 THEN NULL ELSE CAST(doc_id % 40 AS INT) END AS start, CASE WHEN k = 2 THEN NULL WHEN doc_id % 31 = 0 THEN 900000 ELSE CAST(doc_id % 40 + 8 AS INT) END AS stop, doc_id + CASE WHEN k = 1 AND doc_id % 29 = 0 THEN 1000000000 ELSE 0 END AS document_id,
+       CASE WHEN k = 2 THEN NULL WHEN doc_id % 17 = 0 THEN 'not what is there' ELSE concat(substr(text, CAST(doc_id % 40 + 1 AS INT), 8), ' ', substr(text, 1, 3)) END AS evidence_text, k < 2 OR doc_id % 3 = 0 AS verified
+FROM {documents} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) t
+"""
+
 TABLES = ("customer", "supplier", "orders", "lineitem", "events", "documents", "pages")
 
 
