@@ -2,9 +2,10 @@
 
 Everything here is DataFrame expressions. A rule (host, path, verdict) fits its
 host and all subdomains where the URL's path starts with the rule's path, so a
-URL is looked up under its own host suffixes and path prefixes, but only under
-those of a shape (labels in the host, characters in the path) that some rule
-has. Distinct hosts and paths are judged once and joined back as join_hot does
+URL is first looked up under its own host suffixes, in a table of the rules'
+hosts with the path lengths that each has, and then under its path prefixes of
+those lengths: as many keys as its path has characters at most, however many
+rules there are. Both lookups pass a Bloom filter before they are joined. Distinct hosts and paths are judged once and joined back as join_hot does
 it, so that a URL that fills a third of the table does not meet in one task.
 
 Defined results: a URL that is null or has no `://` has an empty host and path
@@ -56,6 +57,10 @@ def _masks(key: Column) -> list[Column]:
     return [bit(2 * i).bitwiseOR(bit(2 * i + 1)) for i in range(WORDS)]
 
 
+def _blocks(keys: int) -> int:
+    return max(1, -(-keys * BITS_PER_KEY // (64 * WORDS)))
+
+
 def bloom_filter(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     """The filter as a table: block, w0 .. w3."""
     marked = keys.select(_block(F.col(key), blocks).alias("block"), *[m.alias(f"m{i}") for i, m in enumerate(_masks(F.col(key)))])
@@ -79,25 +84,25 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
         .agg(F.max("verdict").alias("rule_verdict"))
         .withColumn("key", F.concat_ws("\n", "rule_host", "rule_path"))
     )
-    shape = F.struct(F.size(F.split("rule_host", r"\.")).alias("labels"), F.length("rule_path").alias("chars"))
-    stats = listed.agg(F.count("*").alias("n"), F.collect_set(shape).alias("shapes")).first()
+    hosts = listed.groupBy("rule_host").agg(F.array_sort(F.collect_set(F.length("rule_path"))).alias("lengths"))
+    stats = listed.agg(F.count("*").alias("n"), F.count_distinct("rule_host").alias("hosts")).first()
     added = ["host", "path", "rule", "verdict"]
     source = pages.select(*[c for c in pages.columns if c not in added], *[e.alias(n) for e, n in zip(split_url(F.col(url_col)), added, strict=False)])
     if not stats.n:
         return source.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
 
-    def candidate(labels: int, chars: int) -> Column:
-        """The key under which the URL would be listed in this shape; null if it is too short."""
-        suffix = F.array_join(F.slice("names", -labels, labels), ".")
-        fits = (F.size("names") >= labels) & (F.length("path") >= chars)
-        return F.when(fits, F.concat_ws("\n", suffix, F.substring("path", 1, chars)))
-
-    keys = F.array_compact(F.array(*[candidate(s.labels, s.chars) for s in sorted(stats.shapes)]))
-    urls = source.select("host", "path").distinct().withColumn("names", F.split("host", r"\."))
-    looked_up = urls.select("host", "path", F.explode(keys).alias("key"))
-    blocks = max(1, -(-stats.n * BITS_PER_KEY // (64 * WORDS)))
+    few = stats.n <= BROADCAST_RULES
+    names = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.array_join(F.slice(names, F.size(names) - k + 1, k), "."))
+    urls = source.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("rule_host"))
+    blocks = _blocks(stats.hosts)
+    under = possible_hits(urls, "rule_host", bloom_filter(hosts, "rule_host", blocks), blocks)
+    known = under.join(F.broadcast(hosts), "rule_host") if few else join_hot(under, hosts, ["rule_host"])
+    fitting = F.filter("lengths", lambda n: n <= F.length("path"))
+    looked_up = known.select("host", "path", "rule_host", F.explode(fitting).alias("n")).select("host", "path", F.concat_ws("\n", "rule_host", F.expr("substring(path, 1, n)")).alias("key"))
+    blocks = _blocks(stats.n)
     hits = possible_hits(looked_up, "key", bloom_filter(listed, "key", blocks), blocks)
-    exact = F.broadcast(listed) if stats.n <= BROADCAST_RULES else listed.hint("shuffle_hash")
+    exact = F.broadcast(listed) if few else listed.hint("shuffle_hash")
     longest = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), "rule_host", "rule_path")
     found = (
         hits.join(exact, "key")

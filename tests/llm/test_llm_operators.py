@@ -386,6 +386,39 @@ def test_url_rules(spark):
     assert {r.verdict for r in urls.judge(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("limits", [(1 << 20, 1 << 17), (0, 0)])
+def test_urls_match_brute_force_on_either_side_of_the_limits(spark, monkeypatch, limits):
+    monkeypatch.setattr(urls, "BROADCAST_BLOCKS", limits[0])
+    monkeypatch.setattr(urls, "BROADCAST_RULES", limits[1])
+    rng = random.Random(13)
+    name = lambda n: ".".join(rng.choice(["a", "b", "com", "Org", "x"]) for _ in range(rng.randint(0, n)))
+    path = lambda n: "".join(rng.choice("/ab") for _ in range(rng.randint(0, n)))
+    listed = {(name(3).lower(), path(5)): rng.choice(["allow", "block"]) for _ in range(150)}
+    found = [None, "no scheme", "https://"] + [f"http://{name(4)}{path(9)}{rng.choice(['', '?q=/a', '#b'])}" for _ in range(600)]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(found)], "page_id long, url string").repartition(3)
+    got = {r.page_id: r for r in urls.judge(pages, spark.createDataFrame([(*k, v) for k, v in listed.items()], urls.RULES)).collect()}
+    for k, u in enumerate(found):
+        rest = (u or "").partition("://")[2] if "://" in (u or "") else ""
+        host = re.match(r"[^/?#]*", rest).group()
+        place = re.match(r"[^?#]*", rest[len(host) :]).group()
+        host = host.lower()
+        fits = [(len(h) + len(p), len(h), h, p) for h, p in listed if (host == h or host.endswith("." + h)) and place.startswith(p)]
+        best = max(fits, default=None)
+        assert (got[k].host, got[k].path, got[k].rule, got[k].verdict) == (host, place, best and best[2] + best[3], listed[best[2:]] if best else "allow"), u
+
+
+def test_many_path_lengths_cost_as_much_as_one(spark):
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://w.site.com/"), F.repeat(F.lit("p"), (F.col("id") % 40).cast("int"))).alias("url")).repartition(4)
+    one = spark.range(10_000).select(F.lit("site.com").alias("host"), F.concat(F.lit("/q"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("path"), F.lit("block").alias("verdict"))
+    many = spark.range(10_000).select(F.lit("site.com").alias("host"), F.concat(F.lit("/"), F.repeat(F.lit("p"), F.col("id").cast("int"))).alias("path"), F.lit("block").alias("verdict"))
+    took = []
+    for rules in (one, one, many):
+        start = time.perf_counter()
+        judged = urls.judge(pages, rules).groupBy("verdict").count().collect()
+        took.append(time.perf_counter() - start)
+    assert [(r.verdict, r["count"]) for r in judged] == [("block", 3000)] and took[2] < 4 * took[1] + 2
+
+
 def test_bloom_filter_has_no_false_negatives(spark):
     keys = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("key"))
     blooms = urls.bloom_filter(keys, "key", 125)
