@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import histories, pages, rationales, statements, summaries
+from factloom.operators import bureau, columns, histories, pages, rationales, statements, summaries
 from factloom.plans.catalog import ORACLES, QUERIES, query
 from factloom.sources import driver_tables as src
 from factloom.sources import printed
@@ -180,3 +180,35 @@ FROM ({_RL}) WHERE v IN (0, 1)""", dates=("issuance", "maturity_date"))
 def listed_instrument_lines(spark, sf_dir):
     rows = summaries.listed_instruments(printed.rated_lines(src.view(spark, sf_dir, src.RATED_LINES), listed=True))
     return rows.select("document_id", "isin", "name", "issuance", "coupon", "maturity_date", F.col("amount").cast("long").alias("amount"))
+
+
+_LR = src.duck(src.LABEL_ROWS)
+
+
+@query(f"""
+WITH r AS ({_LR}),
+classes AS (SELECT document_id, v, size, CASE v WHEN 4 THEN 'subordinated_debt' ELSE 'perpetual_debt' END AS class, CASE v WHEN 4 THEN 'Subordinated debt' ELSE 'Perpetual bonds' END AS name FROM r WHERE v IN (3, 4)),
+fits AS (
+  SELECT r.document_id, r.row_no, c.name, c.class FROM r JOIN classes c ON c.document_id = r.document_id AND c.v = 4 AND c.size = r.size WHERE r.v NOT IN (0, 3)
+  UNION ALL SELECT r.document_id, r.row_no, c.name, c.class FROM r JOIN classes c ON c.document_id = r.document_id AND c.v = 3 WHERE r.v = 3),
+single AS (SELECT document_id, row_no, min(name) AS name, min(class) AS class FROM fits GROUP BY ALL HAVING count(*) = 1)
+SELECT r.document_id, r.row_no AS group_no, CASE WHEN v = 0 THEN 'Long Term Bank Facilities' ELSE 'Long Term Instruments' END AS label, CASE WHEN v <> 3 THEN size END AS amount, CASE v WHEN 1 THEN 'CARE AA; Stable' WHEN 3 THEN '-' ELSE 'CARE A' END AS rating_text,
+       'Reaffirmed as before' AS action_text, s.name AS told_name, s.class AS told_class
+FROM r LEFT JOIN single s USING (document_id, row_no)""")
+def label_column_rows(spark, sf_dir):
+    rows = src.view(spark, sf_dir, src.LABEL_ROWS)
+    table, annexure = (printed.label_lines(rows, a) for a in (False, True))
+    told = columns.told_by_size(columns.rated_rows(table), columns.sized_names(annexure))
+    return told.select("document_id", F.col("group_no").cast("int").alias("group_no"), "label", F.col("amount").cast("long").alias("amount"), "rating_text", "action_text", "told_name", "told_class")
+
+
+@query(f"""
+WITH s AS (SELECT * FROM ({src.duck(src.SIGHTS)}) WHERE value IS NOT NULL),
+accounts AS (SELECT document_id, batch, seq, min(value) FILTER (WHERE field = 'account_number') AS number, min(value) FILTER (WHERE field = 'lender') AS lender FROM s GROUP BY ALL),
+keyed AS (SELECT *, CASE WHEN number IS NULL THEN 'alone' || batch || ':' || seq ELSE lower(lender) || '|' || right(number, 4) END AS same FROM accounts),
+seen AS (SELECT *, first_value(batch) OVER w AS b, first_value(seq) OVER w AS q, count(*) OVER (PARTITION BY document_id, same) AS sights FROM keyed WINDOW w AS (PARTITION BY document_id, same ORDER BY batch, seq)),
+numbered AS (SELECT *, dense_rank() OVER (PARTITION BY document_id ORDER BY b, q) AS account_no FROM seen),
+told AS (SELECT n.document_id, n.account_no, n.sights, s.batch, s.seq, s.field, s.value, first_value(s.value) OVER (PARTITION BY n.document_id, n.account_no, s.field ORDER BY s.batch, s.seq) AS kept FROM s JOIN numbered n USING (document_id, batch, seq))
+SELECT document_id, account_no, field, max(kept) AS value, arg_min(value, batch * 100000000 + seq) FILTER (WHERE value <> kept) AS conflict, CAST(max(sights) AS INTEGER) AS sights FROM told GROUP BY document_id, account_no, field""")
+def merged_bureau_accounts(spark, sf_dir):
+    return bureau.merged_accounts(src.view(spark, sf_dir, src.SIGHTS)).withColumn("account_no", F.col("account_no").cast("long"))

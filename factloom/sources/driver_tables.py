@@ -329,6 +329,17 @@ SELECT doc_id * 3 + k AS fact_id, CASE WHEN k = 2 THEN NULL ELSE CAST(doc_id % 4
 FROM {documents} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) t
 """
 
+SIGHTS = """
+SELECT CAST(floor(o_custkey / 4) AS BIGINT) AS document_id, CAST(o_orderkey % 5 AS INT) AS batch, CAST(floor(o_orderkey / 5) AS INT) AS seq, f AS field,
+       CASE f WHEN 'lender' THEN CASE o_orderkey % 3 WHEN 0 THEN 'HDFC Bank' WHEN 1 THEN 'hdfc bank' ELSE 'SBI' END WHEN 'account_number' THEN CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'XX' || CAST(1000 + o_orderkey % 13 AS VARCHAR(20)) END
+            WHEN 'emi' THEN CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(100 + o_orderkey % 3 AS VARCHAR(20)) END ELSE CASE WHEN o_orderkey % 4 = 0 THEN 'open' END END AS value
+FROM {orders} CROSS JOIN (SELECT 'lender' AS f UNION ALL SELECT 'account_number' UNION ALL SELECT 'emi' UNION ALL SELECT 'status') t
+"""
+
+LABEL_ROWS = """
+SELECT o_custkey AS document_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS row_no, CAST(o_orderkey % 5 AS INT) AS v, CAST(10 + o_orderkey % 40 AS BIGINT) AS size FROM {orders}
+"""
+
 TABLES = ("customer", "supplier", "orders", "lineitem", "events", "documents", "pages")
 
 

@@ -172,3 +172,20 @@ def rated_lines(rows: DataFrame, listed: bool) -> DataFrame:
     order = Window.partitionBy("document_id").orderBy("r.row_no", "pos")
     stop = F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
     return each.select("document_id", F.row_number().over(order).alias("at"), "text", (stop - F.length("text")).cast("int").alias("start"), stop.cast("int").alias("stop"))
+
+
+def label_lines(rows: DataFrame, annexure: bool) -> DataFrame:
+    """Lines of a table whose labels stand at its left edge, on one page, or of its annexure of sizes. rows: document_id, row_no, v, size."""
+    line = lambda said, x: F.struct((F.lit(said) if isinstance(said, str) else said).alias("text"), F.lit(float(x)).alias("x0"))
+    size = F.concat(F.col("size").cast("string"), F.lit(".00"))
+    v = F.col("v")
+    if annexure:
+        cells = F.array(line(F.when(v == 4, "Subordinated debt").when(v == 3, "Perpetual bonds").otherwise("plain paper"), 20), line("INE000A01234", 80), line(F.when(v == 3, "0.00").otherwise(size), 200))
+    else:
+        label = F.when(v == 0, F.array(line("Long Term Bank", 10), line("Facilities", 11))).otherwise(F.array(line("Long Term Instruments", 10)))
+        rating = F.when(v == 1, F.array(line("CARE AA;", 300), line("Stable", 300))).when(v == 3, F.array(line("-", 300))).otherwise(F.array(line("CARE A", 300)))
+        cells = F.concat(label, F.array(line(F.when(v == 3, "-").otherwise(size), 200)), rating, F.array(line("Reaffirmed", 400), line("as before", 400)))
+    each = rows.select("document_id", "row_no", F.posexplode(cells).alias("pos", "c"))
+    order = Window.partitionBy("document_id").orderBy("row_no", "pos")
+    stop = F.sum(F.length("c.text") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return each.select("document_id", F.lit(1).alias("page_no"), F.row_number().over(order).alias("line_no"), F.col("c.text").alias("text"), (stop - F.length("c.text")).cast("int").alias("start"), stop.cast("int").alias("stop"), F.col("c.x0").alias("x0"))
