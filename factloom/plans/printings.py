@@ -11,6 +11,7 @@ from factloom.operators import bureau, columns, histories, pages, rationales, st
 from factloom.plans.catalog import ORACLES, QUERIES, query
 from factloom.sources import driver_tables as src
 from factloom.sources import printed
+from factloom.streaming.activity import workspace
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -21,6 +22,13 @@ read AS (
 numbered AS (SELECT *, CASE WHEN issue IS NULL THEN CAST(count(*) FILTER (WHERE issue IS NULL) OVER (PARTITION BY document_id ORDER BY n) AS BIGINT) END AS seq FROM read)"""
 
 
+def _written(df, name):
+    """df, worked out once: written into the shared folder and read back, for readers that look at it several times."""
+    path = workspace(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _words(spark, sf_dir):
     return printed.statement_words(src.view(spark, sf_dir, src.PRINTED))
 
@@ -52,7 +60,7 @@ sums AS (
   FROM steps GROUP BY document_id)
 SELECT document_id, n_rows, total_debits, total_credits, debit_count, credit_count, opening_balance, closing_balance, CAST(closing_balance - opening_balance - total_credits + total_debits AS BIGINT) AS difference, running_rows, n_breaks, stated FROM sums""")
 def printed_statement_checks(spark, sf_dir):
-    words = _words(spark, sf_dir)
+    words = _written(_words(spark, sf_dir), "words")
     told = statements.statement_checks(statements.statement_rows(words), statements.statement_summary(words))
     amounts = ("total_debits", "total_credits", "opening_balance", "closing_balance", "difference")
     return told.select("document_id", "n_rows", "debit_count", "credit_count", *map(_cents, amounts), "running_rows", "n_breaks", F.col("opening_stated").alias("stated"))
@@ -68,7 +76,7 @@ told AS (
 
 def _history(spark, sf_dir):
     lines = printed.history_lines(src.view(spark, sf_dir, src.HISTORY_CELLS))
-    return histories.table_lines(lines, "Rating history for past three years", ["Complexity level"])
+    return _written(histories.table_lines(lines, "Rating history for past three years", ["Complexity level"]), "history")
 
 
 @query(f"WITH {_TOLD} SELECT document_id, row_no, name, day AS action_date, said AS rating_text, grade, outlook, watch, withdrawn, readable FROM told", dates=("action_date",))
@@ -93,7 +101,8 @@ _R = src.duck(src.RATIONALES)
 
 def _rationales(spark, sf_dir):
     units = rationales.placed(pages.html_units(printed.rationale_pages(src.view(spark, sf_dir, src.RATIONALES)), "document_id", "html"))
-    return units, rationales.shapes(rationales.grid_rows(units))
+    units = _written(units, "units")
+    return units, _written(rationales.shapes(rationales.grid_rows(units)), "grids")
 
 
 @query(f"""

@@ -150,7 +150,8 @@ def rationale_pages(rows: DataFrame) -> DataFrame:
         "<div><p>Key Rating Drivers - Strengths</p><p>Comfortable capital</p><p>A body that explains it.</p></div><div><p>Upward factors:</p><ul><li>more</li><li>profit</li></ul><p>Downward factors:</p><ul><li>less</li></ul></div>",
         "<div><p>This RR was updated on May 22, 2026</p></div></body></html>",
     ]
-    return rows.select("document_id", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("html"))
+    # dealt out, as pages come in many files: one small file would be read by one task
+    return rows.repartition("document_id").select("document_id", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("html"))
 
 
 def rated_lines(rows: DataFrame, listed: bool) -> DataFrame:
