@@ -22,10 +22,11 @@ q-gram hash only decides which suffixes are compared.
 
 No task holds more than HOT_CONTEXTS unlike contexts of a q-gram: they are
 counted with the initial buckets, and a bucket of more is taken apart by what
-its suffixes go on with. Each of its windows goes to the bucket of its own
-128-bit hash, where equal windows still meet and unlike ones do not (two windows
-of 50 bytes are taken for equal there by chance with a probability of 2^-128).
-A group of documents sends a window once, for its smallest document.
+its suffixes go on with: each of its windows is a suffix of its own, whose
+initial bucket is a hash of all its 50 bytes. The bytes go with it, and buckets
+that several documents share are refined as above, so here too the hash only
+decides what is compared. A group of documents sends a window once, for its
+smallest document.
 
 Defined results: null texts are empty; rows that share a doc_id do not match
 each other; rows with a null doc_id match nothing; texts under 50 bytes lose
@@ -54,20 +55,32 @@ BEFORE = AFTER = LENGTH - Q
 CONTEXT = BEFORE + Q + AFTER
 OFFSETS = LENGTH - Q + 1
 GROUP_BYTES = 8 << 20
-#: Bytes of a q-gram hash that are shuffled. A false match costs a comparison, no more.
+#: Bytes of a q-gram hash that are shuffled, at least. A false match costs a comparison, no more; see sent_bytes().
 SENT_BYTES = 5
+#: Anchors of a text, at most about one for each so many bytes, and how rarely one may be taken for another.
+ANCHOR_BYTES, FALSE_MATCH = 16, 100
 #: Contexts that are refined together (whole buckets; a larger bucket is refined alone), and most of a bucket.
 REFINED_TOGETHER, HOT_CONTEXTS = 8192, 1 << 15
 #: Contexts that a task gathers before it sends them.
 GATHERED = 1 << 16
-_SENT_MASK = np.uint64((1 << 8 * SENT_BYTES) - 1)
 
 _rng = np.random.default_rng(2)
 _BYTE = _rng.integers(1, 1 << 63, 256).astype(np.uint64)
 _STEP = [np.uint64(x | 1) for x in _rng.integers(1, 1 << 63, 4).tolist()]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_BYTE2 = _rng.integers(1, 1 << 63, 256).astype(np.uint64)
-_STEPS = [np.uint64(x | 1) for x in _rng.integers(1, 1 << 63, 16).tolist()]
+_STEPS = [np.uint64(x | 1) for x in _rng.integers(1, 1 << 63, 8).tolist()]
+
+
+def sent_bytes(n_bytes: int) -> int:
+    """How many bytes of a q-gram hash keep unlike anchors of so many bytes of text apart, but for one in FALSE_MATCH."""
+    width = SENT_BYTES
+    while width < 8 and n_bytes // ANCHOR_BYTES * FALSE_MATCH > 1 << 8 * width:
+        width += 1
+    return width
+
+
+def _mask(width: int) -> np.uint64:
+    return np.uint64((1 << 8 * width) - 1)
 
 
 def _slide(a: np.ndarray, width: int, pick) -> np.ndarray:
@@ -114,18 +127,16 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def window_hashes(context: np.ndarray) -> np.ndarray:
-    """A 128-bit hash, as two words, of the 50 bytes from each of the first OFFSETS places of each context."""
-    lanes = []
-    for table, steps in zip((_BYTE, _BYTE2), (_STEPS[:8], _STEPS[8:]), strict=True):
-        h = table[context]
-        spans = {1: h}
-        for k, c in zip((1, 2, 4, 8, 16), steps[:5], strict=True):
-            h = h[:, :-k] * c + h[:, k:]
-            h ^= h >> np.uint64(31)
-            spans[2 * k] = h
-        h = (spans[32][:, :OFFSETS] * steps[5] + spans[16][:, 32 : 32 + OFFSETS]) * steps[6] + spans[2][:, 48 : 48 + OFFSETS]
-        lanes.append(_mixed(h * steps[7]))
-    return np.stack(lanes, axis=2)
+    """A hash of the 50 bytes from each place of each context (row) that has so many."""
+    h = _BYTE[context]
+    spans = {1: h}
+    for k, c in zip((1, 2, 4, 8, 16), _STEPS[:5], strict=True):
+        h = h[:, :-k] * c + h[:, k:]
+        h ^= h >> np.uint64(31)
+        spans[2 * k] = h
+    n = context.shape[1] - LENGTH + 1
+    h = (spans[32][:, :n] * _STEPS[5] + spans[16][:, 32 : 32 + n]) * _STEPS[6] + spans[2][:, 48 : 48 + n]
+    return _mixed(h * _STEPS[7])
 
 
 def _blocks(ids: list, texts: list[bytes], size: int = 1 << 18) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -141,8 +152,8 @@ def _blocks(ids: list, texts: list[bytes], size: int = 1 << 18) -> Iterator[tupl
             start, held = k + 1, 0
 
 
-def initial_buckets(docs: DataFrame, tasks: int) -> DataFrame:
-    """For each id the anchors' q-gram hashes that other documents have too; without an id, those of too many contexts. docs: id, text."""
+def initial_buckets(docs: DataFrame, tasks: int, width: int = SENT_BYTES) -> DataFrame:
+    """For each id the anchors' q-gram hashes that other documents have too; without an id, those of too many contexts. docs: id, text; width: bytes that are sent of a hash."""
     parts = packed.parts_of(tasks)
 
     @tidy
@@ -154,13 +165,13 @@ def initial_buckets(docs: DataFrame, tasks: int) -> DataFrame:
                 around.append(near)
                 owners.append(np.array(some, np.int64)[np.searchsorted(bounds, places, side="right") - 1])
                 keys.append(h)
-            yield packed.batch_of(list(packed.send(np.concatenate(keys), np.concatenate(owners), parts, all_of_shared=True, width=SENT_BYTES, variants=np.concatenate(around))))
+            yield packed.batch_of(list(packed.send(np.concatenate(keys), np.concatenate(owners), parts, all_of_shared=True, width=width, variants=np.concatenate(around))))
 
-    return packed.answer(docs.mapInArrow(send, packed.SENT), tasks, width=SENT_BYTES, all_of_shared=True, hot=HOT_CONTEXTS)
+    return packed.answer(docs.mapInArrow(send, packed.SENT), tasks, width=width, all_of_shared=True, hot=HOT_CONTEXTS)
 
 
 #: ids, rows (text hashes) and counts: of the texts. kind KEYS: then for each context its place and, compressed, its bytes
-#: and how many there are before and after; kind LOCAL: the starts and stops of spans; kind HOT: starts and hashes of windows
+#: and how many there are before and after; kind LOCAL: the starts and stops of spans; kind HOT: starts and, compressed, bytes of windows
 CONTEXTS = schema_of(part="int", kind="int", ids="binary", rows="binary", counts="binary", places="binary", bytes="binary", room="binary")
 FOUND = schema_of(id="long", row="long", starts="binary", stops="binary")
 #: Spans of many texts on their way to the part of their ids
@@ -232,9 +243,10 @@ def refine(context: np.ndarray) -> np.ndarray:
         width = min(ids.shape[1], later.shape[1] - by)
         return ranks(ids[:, :width] << np.uint64(32) | later[:, by : by + width])
 
-    start = np.zeros((len(context), CONTEXT - 4), np.uint64)
+    width = context.shape[1] - 4
+    start = np.zeros((len(context), width), np.uint64)
     for k in range(5):
-        start = start << np.uint64(8) | context[:, k : CONTEXT - 4 + k]
+        start = start << np.uint64(8) | context[:, k : width + k]
     by5 = ranks(start)
     by10 = pointed(by5, by5, 5)
     by20 = pointed(by10, by10, 10)
@@ -253,6 +265,39 @@ def repeated_windows(c: _Contexts) -> np.ndarray:
     return fits & (low[bucket] < c.ids[:, None])
 
 
+def repeats(windows: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which windows (rows of LENGTH bytes) a smaller document has; keys: their hashes.
+
+    Windows that share their hash with another document's are refined, whole buckets at a time; of equal neighbours in a
+    bucket the first stands for all, so a window that very many groups send is refined once.
+    """
+    order, firsts, low, high = packed.compare(keys, ids)
+    n = len(order)
+    order = order[packed.spread(low != high, firsts, n)]
+    out = np.zeros(n, bool)
+    if not len(order):
+        return out
+    keys = keys[order]
+    new = np.ones(len(order), bool)
+    for at in range(1, len(order), REFINED_TOGETHER):  # equal neighbours, in blocks
+        here = order[at - 1 : at + REFINED_TOGETHER]
+        new[at : at + REFINED_TOGETHER] = (windows[here[1:]] != windows[here[:-1]]).any(axis=1)
+    stand_in, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    least = np.minimum.reduceat(ids[order], first)
+    of, held = keys[first], order[first]
+    ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of))
+    at = 0
+    while at < len(held):
+        stop = int(ends[max(np.searchsorted(ends, at + REFINED_TOGETHER, side="right") - 1, np.searchsorted(ends, at, side="right"))])
+        bucket = refine(windows[held[at:stop]])[:, 0]
+        lowest = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(lowest, bucket, least[at:stop])
+        least[at:stop] = lowest[bucket]
+        at = stop
+    out[order] = ids[order] > least[stand_in]
+    return out
+
+
 def _covered(c: _Contexts, repeated: np.ndarray) -> tuple[np.ndarray, ...]:
     """The spans of each run of repeated windows."""
     edge = np.zeros((len(repeated), 1), np.int8)
@@ -362,24 +407,25 @@ def _send_contexts(c: _Contexts, parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, _CONTEXT_KINDS, strict=True)], names=CONTEXTS.names)
 
 
-def _send_all(c: _Contexts, hot: BitFilter, parts: int) -> Iterator[pa.RecordBatch]:
+def _send_all(c: _Contexts, hot: BitFilter, parts: int, mask: np.uint64) -> Iterator[pa.RecordBatch]:
     """Contexts by q-gram; those of hot q-grams window by window."""
     often = np.zeros(len(c.h), bool)
-    often[hot.passing(c.h & _SENT_MASK)] = True
+    often[hot.passing(c.h & mask)] = True
     yield _send_contexts(c[~often], parts)
     for at in range(0, int(often.sum()), REFINED_TOGETHER):
         yield _send_windows(c[np.flatnonzero(often)[at : at + REFINED_TOGETHER]], parts)
 
 
 def _send_windows(c: _Contexts, parts: int) -> pa.RecordBatch:
-    """Settles windows that a smaller document of the group has, and sends the others by their hash."""
+    """Settles windows that a smaller document of the group has, and sends the others, with their bytes, by their hash."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
     offset = np.arange(OFFSETS)
     fits = (offset >= BEFORE - c.room[:, :1].astype(np.int64)) & (offset <= c.room[:, 1:].astype(np.int64))
     of, at = np.nonzero(fits)
-    keys, ids, rows, starts = window_hashes(c.context)[of, at], c.ids[of], c.rows[of], c.places[of] - BEFORE + at
-    order, firsts, low, _ = packed.compare(keys, ids)
-    later = np.zeros(len(ids), bool)
-    later[order] = ids[order] > packed.spread(low, firsts, len(order))
+    ids, rows, starts = c.ids[of], c.rows[of], c.places[of] - BEFORE + at
+    windows = np.lib.stride_tricks.sliding_window_view(c.context, LENGTH, axis=1)[of, at]
+    keys = window_hashes(c.context)[of, at]
+    later = repeats(windows, ids, keys)
     out = []
     if later.any():
         told = _merge_spans(ids[later], rows[later], starts[later], starts[later] + LENGTH)
@@ -393,7 +439,7 @@ def _send_windows(c: _Contexts, parts: int) -> pa.RecordBatch:
             x = left[chosen]
             order, *texts = _by_text(ids[x], rows[x])
             x = x[order]
-            out.append((int(part[chosen[0]]), packed.HOT, *texts, starts[x].astype(np.int32).tobytes(), packed.pack(keys[x], 16), b""))
+            out.append((int(part[chosen[0]]), packed.HOT, *texts, starts[x].astype(np.int32).tobytes(), squeeze(windows[x].tobytes()), b""))
     columns = list(zip(*out, strict=True)) if out else [()] * 8
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, _CONTEXT_KINDS, strict=True)], names=CONTEXTS.names)
 
@@ -405,19 +451,20 @@ def _row_hash(text: bytes) -> int:
 @tidy
 def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for keys in batch.column(0).to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(packed.unpack(b"".join(keys), SENT_BYTES).view(np.int64))], names=["key"])
+        for keys, width in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(packed.unpack(b"".join(keys), width).view(np.int64))], names=["key"])
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """For each id and text hash the spans to remove. docs: rows with an id."""
     spark = docs.sparkSession
-    tasks = packed.tasks_for(spark, packed.text_bytes(docs, text_col))
+    n_bytes = packed.text_bytes(docs, text_col)
+    tasks, width = packed.tasks_for(spark, n_bytes), sent_bytes(n_bytes)
     parts = packed.parts_of(tasks)
     number, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     other, keys = free_names(docs, "__id", "__keys")
-    buckets = materialize(initial_buckets(docs.select(number, text), tasks), "buckets")
-    told = spark.sparkContext.broadcast(filter_of(buckets.where("id IS NULL").select("keys").mapInArrow(_numbers, schema_of(key="long"))))
+    buckets = materialize(initial_buckets(docs.select(number, text), tasks, width), "buckets")
+    told = spark.sparkContext.broadcast(filter_of(buckets.where("id IS NULL").select("keys", F.lit(width)).mapInArrow(_numbers, schema_of(key="long"))))
     shared = buckets.where("id IS NOT NULL").withColumnsRenamed({"id": other, "keys": keys})
     joined = docs.join(shared, number == F.col(other)).select(number, text, keys)
 
@@ -432,7 +479,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     continue
                 data, bounds = np.frombuffer(t, np.uint8), np.array([0, len(t)])
                 places, h, _ = anchors(data, bounds)
-                wanted = np.isin(h & _SENT_MASK, packed.unpack(b"".join(known), SENT_BYTES))
+                wanted = np.isin(h & _mask(width), packed.unpack(b"".join(known), width))
                 places, h = places[wanted], h[wanted]
                 if not len(h):
                     continue
@@ -440,10 +487,10 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 held.append(_Contexts(h, np.full(len(h), i, np.int64), np.full(len(h), _row_hash(t), np.int64), places.astype(np.int64), context, room))
                 size += len(h)
                 if size >= GATHERED:
-                    yield from _send_all(_Contexts.join(held), told.value, parts)
+                    yield from _send_all(_Contexts.join(held), told.value, parts, _mask(width))
                     held, size = [], 0
         if held:
-            yield from _send_all(_Contexts.join(held), told.value, parts)
+            yield from _send_all(_Contexts.join(held), told.value, parts, _mask(width))
 
     @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,7 +505,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if kind == packed.LOCAL:
                     spans.append((ids, rows, places, np.frombuffer(context, np.int32).astype(np.int64)))
                 elif kind == packed.HOT:
-                    windows.append((packed.unpack(context, 16), ids, rows, places))
+                    expand = zstandard.ZstdDecompressor().decompress
+                    windows.append((np.frombuffer(expand(context), np.uint8).reshape(-1, LENGTH), ids, rows, places))
                 else:
                     expand = zstandard.ZstdDecompressor().decompress
                     around = np.frombuffer(expand(context), np.uint8).reshape(-1, CONTEXT)
@@ -468,9 +516,10 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             spans.append(whole)
             spans += _refined_spans(rest)
         if windows:
-            keys, ids, rows, starts = (np.concatenate(x) for x in zip(*windows, strict=True))
-            order, firsts, low, _ = packed.compare(keys, ids)
-            later = order[ids[order] > packed.spread(low, firsts, len(order))]
+            held, ids, rows, starts = (np.concatenate(x) for x in zip(*windows, strict=True))
+            windows.clear()
+            blocks = range(0, len(held), REFINED_TOGETHER)
+            later = repeats(held, ids, np.concatenate([window_hashes(held[k : k + REFINED_TOGETHER])[:, 0] for k in blocks]))
             spans.append((ids[later], rows[later], starts[later], starts[later] + LENGTH))
         if spans:
             yield _send_spans(*[np.concatenate(x) for x in zip(*spans, strict=True)], parts)

@@ -56,6 +56,15 @@ def by_id(df, key="doc_id"):
     return {r[key]: r for r in df.collect() if r[key] is not None}
 
 
+def removed(b, i, first):
+    """Which bytes of a text are covered by a window that a smaller document has; first: the smallest document of each."""
+    gone = bytearray(len(b))
+    for k in range(len(b) - 49):
+        if first[b[k : k + 50]] < i:
+            gone[k : k + 50] = b"\1" * 50
+    return bytes(gone)
+
+
 def test_substrings_match_brute_force(docs, texts, nothing):
     got = by_id(substrings.remove_repeats(docs))
     first = {}
@@ -65,10 +74,7 @@ def test_substrings_match_brute_force(docs, texts, nothing):
             first.setdefault(b[k : k + 50], i)
     for i, t in texts.items():
         b = (t or "").encode()
-        gone = bytearray(len(b))
-        for k in range(len(b) - 49):
-            if first[b[k : k + 50]] < i:
-                gone[k : k + 50] = b"\1" * 50
+        gone = removed(b, i, first)
         assert bytes(got[i].kept) == bytes(x for x, g in zip(b, gone, strict=True) if not g)
         assert len(got[i].removed_spans) == len(re.findall(b"\1+", bytes(gone))) and got[i].host == "d"
     assert substrings.remove_repeats(nothing).count() == 0
@@ -84,7 +90,37 @@ def test_hot_grams_are_compared_window_by_window(spark, docs, texts, monkeypatch
     monkeypatch.setattr(substrings, "HOT_CONTEXTS", 30)
     buckets = substrings.initial_buckets(df, 4)
     assert buckets.where("id IS NULL").count() > 0
-    assert spans() == whole and sum(bool(s) for _, _, s in whole) > 120
+    hot = spans()
+    assert hot == whole and sum(bool(s) for _, _, s in whole) > 120
+    first = {}
+    for i, t in sorted((i, (t or "").encode()) for i, t in rows):
+        for k in range(len(t) - 49):
+            first.setdefault(t[k : k + 50], i)
+    plain = sorted((i, len(b), [m.span() for m in re.finditer(b"\1+", removed(b, i, first))]) for i, b in ((i, (t or "").encode()) for i, t in rows))
+    assert hot == plain
+    monkeypatch.setattr(substrings, "SENT_BYTES", 7)
+    assert spans() == whole
+
+
+@pytest.mark.parametrize("together", [1, 7, 8192])
+def test_windows_are_told_apart_by_their_bytes(monkeypatch, together):
+    """Also where unlike windows have one hash and stand between equal ones."""
+    monkeypatch.setattr(substrings, "REFINED_TOGETHER", together)
+    rng = np.random.default_rng(4)
+    windows = rng.integers(97, 99, (9, substrings.LENGTH)).astype(np.uint8)[rng.integers(0, 9, 300)]
+    windows[::50, 49] ^= 1
+    ids = rng.integers(0, 40, 300)
+    keys = np.array([k % 2 + 1 for k in windows.sum(axis=1)], np.uint64)  # equal windows have equal hashes
+    low = {}
+    for w, i in zip(windows, ids.tolist(), strict=True):
+        low[bytes(w)] = min(i, low.get(bytes(w), i))
+    assert substrings.repeats(windows, ids, keys).tolist() == [i > low[bytes(w)] for w, i in zip(windows, ids.tolist(), strict=True)]
+    assert substrings.repeats(windows[:0], ids[:0], keys[:0]).tolist() == []
+
+
+def test_hashes_are_sent_wide_enough_for_the_anchors():
+    assert [substrings.sent_bytes(n) for n in (0, 10**9, 10**11, 10**12, 10**14)] == [5, 5, 5, 6, 7]
+    assert all(substrings.sent_bytes(n) <= 8 for n in (10**16, 10**18))
 
 
 def test_window_hashes_are_of_the_bytes_alone():
@@ -94,7 +130,8 @@ def test_window_hashes_are_of_the_bytes_alone():
     seen = {}
     for row, hashes in zip(context, substrings.window_hashes(context).tolist(), strict=True):
         for o, h in enumerate(hashes):
-            assert seen.setdefault(tuple(h), bytes(row[o : o + 50])) == bytes(row[o : o + 50])
+            assert seen.setdefault(h, bytes(row[o : o + 50])) == bytes(row[o : o + 50])
+            assert substrings.window_hashes(row[None, o : o + 50])[0, 0] == h
     assert len(seen) == len({bytes(row[o : o + 50]) for row in context for o in range(35)})
 
 
