@@ -92,7 +92,7 @@ def table_lines(lines: DataFrame, head: str, ends: list[str], furniture: str | N
     opened = F.max((~again).cast("int")).over(down)
     kept = seen.withColumn("opened", opened).where("first_page OR opened = 1")
     order = Window.partitionBy(*DOCUMENT).orderBy("page_no", "line_no")
-    return kept.select(*DOCUMENT, F.when(F.col("in_head"), "head").otherwise("body").alias("part"), F.row_number().over(order).alias("at"), "page_no", "line_no", "text", "start", "stop", "x0", "x1", "middle")
+    return kept.select(*DOCUMENT, F.when(F.col("in_head"), "head").otherwise("body").alias("part"), F.row_number().over(order).alias("at"), "page_no", "line_no", "text", "start", "stop", "x0", "x1", "y", "middle")
 
 
 def rows_of(table: DataFrame) -> DataFrame:

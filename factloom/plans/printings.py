@@ -5,9 +5,10 @@ The twins state the rows that were printed, so what is compared is whether the r
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from factloom.operators import bureau, columns, histories, pages, rationales, statements, summaries
+from factloom.operators import bureau, columns, histories, pages, particulars, rationales, statements, summaries
 from factloom.plans.catalog import ORACLES, QUERIES, query
 from factloom.sources import driver_tables as src
 from factloom.sources import printed
@@ -221,3 +222,34 @@ told AS (SELECT n.document_id, n.account_no, n.sights, s.batch, s.seq, s.field,
 SELECT document_id, account_no, field, max(kept) AS value, arg_min(value, batch * 100000000 + seq) FILTER (WHERE value <> kept) AS conflict, CAST(max(sights) AS INTEGER) AS sights FROM told GROUP BY document_id, account_no, field""")
 def merged_bureau_accounts(spark, sf_dir):
     return bureau.merged_accounts(src.view(spark, sf_dir, src.SIGHTS)).withColumn("account_no", F.col("account_no").cast("long"))
+
+
+@query(f"""
+SELECT document_id, dense_rank() OVER (PARTITION BY document_id ORDER BY row_no) AS nth, label, amount, rating_text, previous_text, grade, action FROM (
+  SELECT *, CASE v WHEN 0 THEN 'NCDs Public Issue' WHEN 1 THEN 'Commercial Paper' ELSE 'Secured NCD' END AS label, CASE v WHEN 0 THEN 'BWR AA+ Reaffirmed and removed Rating Watch with Negative Implications' WHEN 1 THEN 'BWR A1+ Reaffirmed' ELSE 'BWR A Assignment' END AS rating_text,
+         CASE WHEN v <> 1 THEN 'BWR AA' END AS previous_text, CASE v WHEN 0 THEN 'AA+' WHEN 1 THEN 'A1+' ELSE 'A' END AS grade, CASE v WHEN 0 THEN 'reaffirmed; removed' WHEN 1 THEN 'reaffirmed' ELSE 'assigned' END AS action
+  FROM ({src.duck(src.PARTICULARS)}) WHERE v <> 2) r""")
+def printed_particulars(spark, sf_dir):
+    read = particulars.rated_particulars(printed.particulars_words(src.view(spark, sf_dir, src.PARTICULARS))).where("readable")
+    nth = F.dense_rank().over(Window.partitionBy("document_id").orderBy("row_no")).cast("long").alias("nth")
+    return read.select("document_id", nth, "label", F.col("amount").cast("long").alias("amount"), "rating_text", "previous_text", "grade", "action")
+
+
+@query(f"""
+WITH r AS (SELECT *, CASE row_no WHEN 1 THEN 'NCDs' WHEN 2 THEN 'Secured NCD' ELSE 'Bank Loan' END AS said FROM ({src.duck(src.DATED_CELLS)}))
+SELECT document_id, row_no, said AS name, DATE '2025-09-15' AS action_date, 'BWR AA+' AS rating_text, 'AA+' AS grade, NULL AS outlook, false AS withdrawn, 'read' AS status FROM r
+UNION ALL SELECT document_id, row_no, said, CASE WHEN NOT undated THEN day END, CASE WHEN undated THEN 'Withdrawn' ELSE 'BWR AA (Stable) ' || strftime(day, '%-d %b %Y') END, CASE WHEN NOT undated THEN 'AA' END, CASE WHEN NOT undated THEN 'Stable' END, undated, CASE WHEN undated THEN 'undated' ELSE 'read' END FROM r
+UNION ALL SELECT document_id, row_no, said, earlier, 'BWR A+ (' || strftime(earlier, '%d.%m.%Y') || ')', 'A+', NULL, false, 'read' FROM r
+UNION ALL SELECT document_id, row_no, said, DATE '2023-05-03', 'BWR said 3 May 2023', NULL, NULL, false, 'unreadable' FROM r WHERE unreadable""", dates=("action_date",))
+def dated_history_entries(spark, sf_dir):
+    lines = printed.dated_lines(src.view(spark, sf_dir, src.DATED_CELLS))
+    table = _written(histories.table_lines(lines, "Rating History", ["The end"]), "dated")
+    return particulars.dated_entries(table).select("document_id", F.col("row_no").cast("int").alias("row_no"), "name", "action_date", "rating_text", "grade", "outlook", "withdrawn", "status")
+
+
+@query(f"""
+SELECT document_id, page_no, CASE WHEN n % 2 = 0 THEN 'consolidated' ELSE 'standalone' END AS basis, unnest(['FY23', 'FY24', 'Q1FY25']) AS period, unnest([DATE '2023-03-31', DATE '2024-03-31', DATE '2024-06-30']) AS as_of, unnest([30000 + n, 40000 + n, 50000]) AS amount
+FROM ({src.duck(src.DEBT_PAGES)}) WHERE n % 5 <> 0 AND n % 3 <> 0
+UNION ALL SELECT document_id, page_no, CASE WHEN n % 2 = 0 THEN 'consolidated' ELSE 'standalone' END, unnest(['FY23', 'Q1FY25']), unnest([DATE '2023-03-31', DATE '2024-06-30']), unnest([30000 + n, 50000]) FROM ({src.duck(src.DEBT_PAGES)}) WHERE n % 5 <> 0 AND n % 3 = 0""", dates=("as_of",))
+def debt_under_periods(spark, sf_dir):
+    return particulars.total_debt(src.view(spark, sf_dir, src.DEBT_PAGES)).select("document_id", "page_no", "basis", "period", "as_of", F.col("amount").cast("long").alias("amount"))

@@ -340,6 +340,25 @@ LABEL_ROWS = """
 SELECT o_custkey AS document_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS row_no, CAST(o_orderkey % 5 AS INT) AS v, CAST(10 + o_orderkey % 40 AS BIGINT) AS size FROM {orders}
 """
 
+PARTICULARS = """
+SELECT c_custkey AS document_id, CAST(r AS INT) AS row_no, CAST((c_custkey + r) % 4 AS INT) AS v, CAST(100 + c_custkey * r % 90000 AS BIGINT) AS amount, c_custkey % 6 = 0 AS undated
+FROM {customer} CROSS JOIN (SELECT 1 AS r UNION ALL SELECT 2 UNION ALL SELECT 3) t
+"""
+
+DATED_CELLS = """
+SELECT c_custkey AS document_id, CAST(r AS INT) AS row_no, CAST(100 + r + c_custkey % 70000 * r AS BIGINT) AS amount, c_custkey % 3 > 0 AS totalled, (c_custkey + r) % 5 = 0 AS undated, (c_custkey + r) % 7 = 0 AS unreadable,
+       CASE r WHEN 1 THEN 'NCDs ^ Long' WHEN 2 THEN '2 Secured NCD' ELSE 'Bank Loan' END AS name, date_add_days(DATE '2024-01-05', CAST(c_custkey % 300 + r AS INT)) AS day, date_add_days(DATE '2023-01-05', CAST(c_custkey % 300 + r AS INT)) AS earlier
+FROM {customer} CROSS JOIN (SELECT 1 AS r UNION ALL SELECT 2 UNION ALL SELECT 3) t
+"""
+
+DEBT_PAGES = """
+SELECT c_custkey AS document_id, CAST(c_custkey % 4 AS INT) AS page_no, CAST(c_custkey AS BIGINT) AS n,
+       concat('Total Debt', chr(10), 'Rs.in Crores', chr(10), '1', chr(10), CASE WHEN c_custkey % 5 = 0 THEN 'Key figures' ELSE 'Key Financial Performance - IIFL Finance Ltd.' END, CASE WHEN c_custkey % 2 = 0 THEN ' (Consolidated)' ELSE ' (Standalone)' END,
+              chr(10), 'Particulars', chr(10), 'FY23', chr(10), CASE WHEN c_custkey % 3 = 0 THEN 'Q7FY24' ELSE 'FY24' END, chr(10), 'Q1FY25', chr(10), 'Net worth', chr(10), 'Total Debt', chr(10), 'Rs.in Crores', chr(10),
+              CAST(30000 + c_custkey AS VARCHAR(20)), chr(10), CAST(40000 + c_custkey AS VARCHAR(20)), chr(10), '50,000', chr(10), '9', chr(10), 'Total Income') AS text
+FROM {customer}
+"""
+
 TABLES = ("customer", "supplier", "orders", "lineitem", "events", "documents", "pages")
 
 

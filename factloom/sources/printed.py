@@ -190,3 +190,61 @@ def label_lines(rows: DataFrame, annexure: bool) -> DataFrame:
     order = Window.partitionBy("document_id").orderBy("row_no", "pos")
     stop = F.sum(F.length("c.text") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
     return each.select("document_id", F.lit(1).alias("page_no"), F.row_number().over(order).alias("line_no"), F.col("c.text").alias("text"), (stop - F.length("c.text")).cast("int").alias("start"), stop.cast("int").alias("stop"), F.col("c.x0").alias("x0"))
+
+
+def _cell(text: Column | str, x: float, y: Column | float) -> Column:
+    return F.struct((F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(x).alias("x"), (F.lit(y) if isinstance(y, float) else y).cast("double").alias("y"))
+
+
+def _rated(v: Column, y: Column) -> Column:
+    """The lines of text of a rated row (its cells each), by the row's v: labels and ratings that wrap, an empty rating."""
+    said = {0: (["NCDs Public", "Issue **"], ["BWR AA+", "Reaffirmed and", "removed Rating Watch", "with Negative", "Implications"]), 1: (["Commercial Paper"], ["BWR A1+ Reaffirmed"]), 2: (["Bank Loan"], ["-"]), 3: (["Secured NCD"], ["BWR A", "Assignment"])}
+    out = None
+    for k, (label, rating) in said.items():
+        tenure = "Short Term" if k == 1 else "Long Term"
+        first = F.array(_cell(label[0], 20.0, y), _cell(F.format_number(F.col("amount") + 7, 2), 100.0, y + 2), _cell(F.format_number("amount", 2), 170.0, y + 2), _cell(tenure, 250.0, y + 2), _cell("-" if k == 1 else "BWR AA", 320.0, y - 2), _cell(rating[0], 420.0, y - 4))
+        more = [F.array(_cell(t, 20.0, y + 8)) for t in label[1:]] + [F.array(_cell(t, 420.0, y + 6 + 10 * n)) for n, t in enumerate(rating[1:])]
+        lines = F.array(first, *more)
+        out = F.when(v == k, lines) if out is None else out.when(v == k, lines)
+    return out
+
+
+def particulars_words(rows: DataFrame) -> DataFrame:
+    """Words of tables without lines. rows: document_id, row_no, v, amount, undated (a head without the previous rating's date)."""
+    y = (100 + F.col("row_no") * 60).cast("double")
+    body = rows.select("document_id", F.col("row_no").alias("block"), F.posexplode(_rated(F.col("v"), y)).alias("line", "cells"))
+    over = [[_cell("Particulars:", 10.0, 50.0)], [_cell("Instruments", 20.0, 60.0), _cell("Amount (Rs Crs)", 120.0, 60.0), _cell("Tenure", 250.0, 60.0), _cell("Rating", 340.0, 60.0)], [_cell("Previous", 100.0, 70.0), _cell("Present", 170.0, 70.0), _cell("Previous", 320.0, 70.0), _cell("Present", 420.0, 70.0)]]
+    under = [[_cell("Total", 20.0, 350.0), _cell("9.00", 170.0, 350.0)], [_cell("*Please refer below", 10.0, 370.0)], [_cell("NCDs", 20.0, 380.0), _cell("9.00", 170.0, 380.0), _cell("Long Term", 250.0, 380.0), _cell("BWR B", 420.0, 380.0)]]
+    pages = rows.groupBy("document_id").agg(F.max("undated").alias("undated"))
+    fixed = lambda parts: F.array(*[F.array(*p) for p in parts])
+    heads = F.when(F.col("undated"), fixed(over)).otherwise(fixed([*over, [_cell("(30th Sept 2024)", 310.0, 80.0)]]))
+    around = pages.select("document_id", F.explode(F.array(F.struct(F.lit(0).alias("block"), heads.alias("lines")), F.struct(F.lit(99).alias("block"), fixed(under).alias("lines")))).alias("b"))
+    around = around.select("document_id", F.col("b.block").alias("block"), F.posexplode("b.lines").alias("line", "cells"))
+    cells = body.unionByName(around).select("document_id", (F.col("block") * 100 + F.col("line")).alias("line_no"), F.posexplode("cells").alias("pos", "c"))
+    words = cells.select("document_id", "line_no", "pos", "c.x", "c.y", F.split("c.text", " ").alias("said")).select("*", F.posexplode("said").alias("k", "text"))
+    left = F.col("x") + F.aggregate(F.slice("said", 1, F.col("k")), F.lit(0.0), lambda s, w: s + (F.length(w) + 1) * LETTER)
+    order = Window.partitionBy("document_id").orderBy("line_no", "pos", "k")
+    stop = F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    set_ = words.withColumns({"x0": left, "word_no": F.row_number().over(order), "stop": stop.cast("int")})
+    return set_.select("document_id", F.lit(1).alias("page_no"), "word_no", "line_no", "text", (F.col("stop") - F.length("text")).alias("start"), "stop", "x0", (F.col("y") - 4).alias("y0"), (F.col("x0") + F.length("text") * LETTER).alias("x1"), (F.col("y") + 4).alias("y1"))
+
+
+def dated_lines(rows: DataFrame) -> DataFrame:
+    """Lines of histories whose cells carry their dates. rows: document_id, row_no, name, amount, day, earlier, totalled, undated, unreadable; the third row stands on a second page."""
+    y = (100 + F.col("row_no") * 40).cast("double")
+    none = F.array().cast("array<struct<text:string,x:double,y:double>>")
+    number = F.concat(F.col("amount").cast("string"), F.lit(".00"))
+    later = F.when(F.col("undated"), F.array(_cell("Withdrawn", 385.0, y))).otherwise(F.array(_cell("BWR AA", 390.0, y - 5), _cell("(Stable)", 390.0, y + 5), _cell(F.date_format("day", "d MMM"), 390.0, y + 15), _cell(F.date_format("day", "yyyy"), 395.0, y + 25)))
+    first = F.array(_cell(F.concat(F.lit("BWR A+ ("), F.date_format("earlier", "dd.MM.yyyy"), F.lit(")")), 470.0, y))
+    cells = F.concat(F.array(_cell(F.col("name"), 30.0, y), _cell(number, 120.0, y + 4), _cell("BWR AA+", 190.0, y), _cell("Stable", 200.0, y + 10), _cell("BWR AA+", 290.0, y)), later, first, F.when(F.col("unreadable"), F.array(_cell("BWR said", 490.0, y + 10), _cell("3 May 2023", 490.0, y + 20))).otherwise(none))
+    body = rows.select("document_id", F.when(F.col("row_no") < 3, 1).otherwise(2).alias("page_no"), F.col("row_no").alias("block"), F.posexplode(cells).alias("pos", "c"))
+    heads = F.array(*[_cell(t, x, h) for t, x, h in (("Rating History", 10.0, 10.0), ("Sl", 5.0, 30.0), ("Instruments", 30.0, 30.0), ("Amount", 120.0, 30.0), ("Rating", 200.0, 30.0), ("(15 Sept", 290.0, 30.0), ("2025)", 300.0, 40.0), ("2024", 400.0, 30.0), ("2023", 500.0, 30.0))])
+    ends = rows.groupBy("document_id").agg(F.sum("amount").alias("total"), F.max("totalled").alias("totalled"))
+    total = F.when(F.col("totalled"), F.array(_cell("Total", 30.0, 300.0), _cell(F.concat(F.col("total").cast("string"), F.lit(".00")), 120.0, 300.0), _cell("BWR D", 290.0, 300.0))).otherwise(none)
+    around = ends.select("document_id", F.explode(F.array(F.struct(F.lit(1).alias("page_no"), F.lit(0).alias("block"), heads.alias("l")), F.struct(F.lit(2).alias("page_no"), F.lit(9).alias("block"), F.concat(total, F.array(_cell("The end", 10.0, 340.0))).alias("l")))).alias("b"))
+    around = around.select("document_id", "b.page_no", "b.block", F.posexplode("b.l").alias("pos", "c"))
+    order = Window.partitionBy("document_id", "page_no").orderBy("block", "pos")
+    every = body.unionByName(around).select("document_id", "page_no", "block", "pos", "c.text", "c.x", "c.y")
+    stop = F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    set_ = every.withColumns({"line_no": F.row_number().over(order), "stop": stop.cast("int")})
+    return set_.select("document_id", "page_no", "line_no", "text", (F.col("stop") - F.length("text")).alias("start"), "stop", F.col("x").alias("x0"), (F.col("x") + F.length("text") * LETTER).alias("x1"), "y")
