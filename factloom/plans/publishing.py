@@ -8,6 +8,7 @@ from factloom.operators import proofs, versions
 from factloom.plans import underwritings
 from factloom.plans.catalog import ORACLES, QUERIES, query
 from factloom.sources import driver_tables as src
+from factloom.sources import folders
 from factloom.streaming.activity import workspace
 
 __all__ = ["ORACLES", "QUERIES", "underwritings"]
@@ -56,3 +57,39 @@ def fact_proofs(spark, sf_dir):
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     pages = documents.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_no"), "text")
     return proofs.proofs(facts, pages, documents.select(F.col("doc_id").alias("document_id"), F.col("text").alias("raw")))
+
+
+_FETCHED = "SELECT doc_id AS document_id, k AS fetched_at, CASE WHEN doc_id % 13 = k THEN NULL WHEN doc_id % 5 = 0 AND doc_id % 4 < k THEN concat(text, CASE WHEN doc_id % 3 = 0 THEN CAST(k AS VARCHAR(2)) ELSE '!' END) ELSE text END AS body, doc_id % 13 = k AS failed FROM {documents} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) t WHERE doc_id % 5 > 0 OR k < 3 OR doc_id % 2 = 0"
+
+
+@query(f"""
+WITH f AS (SELECT document_id, fetched_at, CASE WHEN NOT failed THEN sha256(coalesce(body, '')) END AS now FROM ({src.duck(_FETCHED)})),
+d AS (SELECT doc_id AS document_id, doc_id % 7 > 0 AS looked, sha256(coalesce(text, '')) AS sha256 FROM documents),
+-- before each look, the looks since the last that matched: the first that differed stamps, the last that differed gives the hash
+a AS (SELECT d.*, f.fetched_at, f.now, max(f.fetched_at) FILTER (WHERE f.now = d.sha256) OVER (PARTITION BY d.document_id) AS ok FROM d LEFT JOIN f ON f.document_id = d.document_id AND looked)
+SELECT document_id, CAST(min(fetched_at) FILTER (WHERE now <> sha256 AND fetched_at > coalesce(ok, 0)) AS INTEGER) AS source_changed_at, arg_max(now, fetched_at) FILTER (WHERE now <> sha256 AND fetched_at > coalesce(ok, 0)) AS source_changed_sha256 FROM a GROUP BY document_id""")
+def source_drift(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = documents.select(F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 7 > 0, folders.QUOTED).otherwise("full").alias("policy"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.lit(None).cast("int").alias("source_changed_at"), F.lit(None).cast("string").alias("source_changed_sha256"))
+    seen = src.view(spark, sf_dir, _FETCHED).select("document_id", "fetched_at", F.when(~F.col("failed"), F.sha2(F.coalesce("body", F.lit("")), 256)).alias("sha256"))
+    for k in (1, 2, 3):
+        held = folders.drift(held, seen.where(F.col("fetched_at") == k)).drop("drift")
+    return held.select("document_id", "source_changed_at", "source_changed_sha256")
+
+
+_FILES = "SELECT CAST(floor(page_id / 40) AS BIGINT) AS case_id, concat('in/', CASE page_id % 50 WHEN 49 THEN 'manifest.json' ELSE concat(CAST(page_id AS VARCHAR(20)), CASE page_id % 3 WHEN 0 THEN '.json' ELSE '.pdf' END) END) AS path, CASE WHEN page_id % 6 = 0 THEN '' WHEN page_id % 5 = 0 THEN concat('%PDF', CAST(page_id % 7 AS VARCHAR(2))) ELSE html END AS html FROM {pages}"
+_NAMED = "SELECT concat(CAST(page_id AS VARCHAR(20)), '.pdf') AS file, k AS n, CASE WHEN page_id % 9 = 0 THEN 'no kind' WHEN k = 1 THEN 'kyc' ELSE 'financials' END AS kind FROM {pages} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) t WHERE page_id % 4 = 1 AND (k = 1 OR page_id % 8 = 1)"
+
+
+@query(f"""
+WITH named AS (SELECT file, arg_max(kind, n) AS stated FROM ({src.duck(_NAMED)}) GROUP BY file),
+f AS (SELECT case_id, substr(path, 4) AS filename, coalesce(html, '') AS said FROM ({src.duck(_FILES)}) WHERE path <> 'in/manifest.json'),
+r AS (SELECT f.*, sha256(said) AS sha256, CAST(strlen(said) AS BIGINT) AS byte_size, CASE WHEN ends_with(filename, '.json') THEN 'application/json' WHEN starts_with(said, '%PDF') THEN 'application/pdf' ELSE 'application/octet-stream' END AS media_type,
+             coalesce(stated, CASE WHEN ends_with(filename, '.json') THEN 'itr_json' ELSE 'other' END) AS kind FROM f LEFT JOIN named ON file = filename),
+g AS (SELECT case_id, sha256, min(filename) AS same_as FROM r WHERE kind <> 'no kind' GROUP BY 1, 2)
+SELECT r.case_id, filename, r.sha256, byte_size, media_type, kind, same_as, coalesce(kind <> 'no kind' AND filename = same_as AND NOT (r.case_id % 10 = 0 AND byte_size = 0), false) AS is_new FROM r LEFT JOIN g ON g.case_id = r.case_id AND g.sha256 = r.sha256""")
+def imported_files(spark, sf_dir):
+    files = src.view(spark, sf_dir, _FILES).withColumn("content", F.encode("html", "UTF-8")).drop("html")
+    known = files.where("case_id % 10 = 0").select("case_id", F.sha2(F.lit(b""), 256).alias("sha256"))
+    told = folders.imported(files, src.view(spark, sf_dir, _NAMED), known)
+    return told.select("case_id", "filename", "sha256", "byte_size", "media_type", "kind", "same_as", "is_new")

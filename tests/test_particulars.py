@@ -43,7 +43,8 @@ def test_rows_are_built_around_their_tenure_cell(spark):
         (1, "NCDs Public Issue", D(450), "BWR AA+ Reaffirmed and removed Rating Watch with Negative Implications", "BWR AA+ /Stable", "AA+", "reaffirmed; removed", True),
         (1, "Commercial Paper", D("75.82"), "BWR A1+ Assignment", None, "A1+", "assigned", True),
     ]
-    assert got[0].watch is None and got[0].amount_span.stop - got[0].amount_span.start == 6 and len(got[0].rating_spans) == 5
+    # only `removed from` ends a watch
+    assert got[0].watch == "Watch with Negative Implications" and got[0].amount_span.stop - got[0].amount_span.start == 6 and len(got[0].rating_spans) == 5
     assert particulars.rated_particulars(spark.createDataFrame([], WORDS)).count() == 0
 
 
