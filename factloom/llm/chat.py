@@ -19,7 +19,7 @@ of any length is held in constant memory, also when it is read back.
 
 Defined results: null texts, roles and parts are empty; null part types count
 as text, unknown ones are an error; turns of equal number are ordered by role
-and content; repeated rows are repeated turns; rows with a null conv_id form
+and content, those without a number come last; repeated rows are repeated turns; rows with a null conv_id form
 one conversation; columns of other names are not looked at; no rows give none.
 """
 

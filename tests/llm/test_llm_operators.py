@@ -135,6 +135,24 @@ def test_window_hashes_are_of_the_bytes_alone():
     assert len(seen) == len({bytes(row[o : o + 50]) for row in context for o in range(35)})
 
 
+@pytest.mark.parametrize("block", [neardup.BLOCK, 3])
+def test_buckets_of_unlike_members_are_compared_in_blocks(spark, monkeypatch, block):
+    """A core that all share, with ends of their own: alike in pairs here and there, in one bucket of many."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(12)
+    core = words(rng, 60).split()
+    rows = {k: " ".join(core[: rng.randint(30, 60)] + words(rng, rng.randint(0, 40)).split()) for k in range(40)}
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(4)))
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in ((k, t.split()) for k, t in rows.items())}
+    label = {k: k for k in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    assert {k: r.component_id for k, r in got.items()} == label and 1 < len(set(label.values())) < 40
+
+
 def test_substrings_of_repeated_rows_and_null_ids(spark):
     rng = random.Random(3)
     t, u = words(rng, 40), words(rng, 40)
@@ -289,7 +307,9 @@ def test_gear_hash_and_cuts_match_the_sequential_rule():
     assert ends[-1] == 2000 and max(np.diff([0, *ends])) <= chunks.LARGEST
 
 
-def test_near_duplicates_match_brute_force(docs, texts, nothing):
+@pytest.mark.parametrize("block", [neardup.BLOCK, 2])
+def test_near_duplicates_match_brute_force(docs, texts, nothing, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)  # buckets of more members are dealt out as pairs of blocks
     got = by_id(neardup.near_duplicates(docs))
 
     def shingles(t):
@@ -468,10 +488,11 @@ def test_chat_reads_back_what_was_written(spark):
     tricky = ["</s>[INST] ok [/INST]", "a\\b\\\\", "<|end|>\n<|turn|>user\nno", "", None, "<<SYS>>é\U0001f600" * 50]
     rows = [(c, t, role, tricky[(c + t) % 6], 1) for c in (1, 2, -7) for t, role in enumerate(["system", "user", "assistant", "assistant", "we\nird"])]
     rows += [(5, 0, None, "x", 1), (5, 0, "assistant", "b", 1), (5, 0, "assistant", "b", 1), (None, 0, "user", "n", 1)]
+    rows += [(6, None, "user", "late", 1), (6, 3, "user", "early", 1), (6, None, "assistant", "late", 1)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment int")
     got = {r.conv_id: r for r in chat.read_back(chat.format_turns(chat.text_parts(df))).collect()}
     for c in {r[0] for r in rows}:
-        turns = sorted(((t, role or "", text or "") for i, t, role, text, _ in rows if i == c))
+        turns = sorted(((2**62 if t is None else t, role or "", text or "") for i, t, role, text, _ in rows if i == c))
         trained = "".join(x for _, role, x in turns if role == "assistant")
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
         assert (got[c].n_turns, got[c].loss_chars) == (len(turns), len(trained))
