@@ -47,10 +47,16 @@ def placed(units: DataFrame) -> DataFrame:
 
 def grid_rows(units: DataFrame) -> DataFrame:
     """One row a table row: cells (col, said, at) from the left, and the first row's number and cells (head). units: placed."""
+    # the path's last two steps, cut off one after the other: cheaper than a pattern over the whole path for each part
     path = F.col("node_path")
-    cells = units.where(path.rlike(CELL)).select(*DOC, F.regexp_extract(path, CELL, 1).alias("table_path"), F.regexp_extract(path, CELL, 2).cast("int").alias("row_no"), F.regexp_extract(path, CELL, 3).cast("int").alias("col"), "said", "at")
-    single = cells.groupBy(*ROW, "col").agg(F.max(F.struct("at", "said")).alias("c"))
-    rows = single.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("col", F.col("c.said").alias("said"), F.col("c.at").alias("at")))).alias("cells"))
+    column, row = F.substring_index(path, "/", -1), F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    number = lambda step: F.regexp_extract(step, r"(\d+)", 1).cast("int")
+    table = F.regexp_replace(F.left(path, F.length(path) - F.length(column) - F.length(row) - 2), r"/tbody\[\d+\]$", "")
+    cells = units.where(path.endswith("]") & column.startswith("td[")).where(path.rlike(CELL)).select(*DOC, table.alias("table_path"), number(row).alias("row_no"), number(column).alias("col"), "said", "at")
+    # of the cells at one place the last counts: they are gathered once and sorted by column and place
+    rows = cells.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("col", "at", "said"))).alias("c"))
+    last = F.filter("c", lambda x, i: ~F.coalesce(F.get("c", i + 1)["col"] == x["col"], F.lit(False)))
+    rows = rows.select(*ROW, F.transform(last, lambda x: F.struct(x["col"].alias("col"), x["said"].alias("said"), x["at"].alias("at"))).alias("cells"))
     whole = Window.partitionBy(*TABLE)
     return rows.withColumn("head", F.min(F.struct("row_no", "cells")).over(whole))
 
@@ -72,17 +78,18 @@ def shapes(rows: DataFrame) -> DataFrame:
     whole = Window.partitionBy(*TABLE)
     every = lambda c: F.min(c.cast("int")).over(whole) == 1
     some = lambda c: F.max(c.cast("int")).over(whole) == 1
+    # what the first cells say is looked up once
+    told = rows.withColumns({"__1": said(1), "__2": said(2), "__3": said(3), "__top": F.transform("head.cells", lambda c: c["said"]), "__columns": F.transform("cells", lambda c: c["col"])})
+    one, top = F.col("__1"), F.col("__top")
     # two columns and an amount on every row, a rating on some: one rating that does not read must not hide the table
-    columns = F.transform("cells", lambda c: c["col"])
-    action = every((columns == F.array(F.lit(1), F.lit(2))) & F.lower(said(1)).contains("crore")) & some(said(2).rlike(RATED))
-    bank = some(said(1).startswith("Total Bank Loan Facilities")) & some(said(1).startswith("Long Term Rating") | said(1).startswith("Short Term Rating"))
-    top = F.transform("head.cells", lambda c: c["said"])
+    action = every((F.col("__columns") == F.array(F.lit(1), F.lit(2))) & F.lower(one).contains("crore")) & some(F.col("__2").rlike(RATED))
+    bank = some(one.startswith("Total Bank Loan Facilities")) & some(one.startswith("Long Term Rating") | one.startswith("Short Term Rating"))
     annexure = (F.size(top) >= 8) & (F.get(top, F.lit(0)) == "ISIN") & F.get(top, F.lit(1)).startswith("Name of instrument")
-    history = some((said(1) == "Instrument") & said(3).startswith("Outstanding"))
+    history = some((one == "Instrument") & F.col("__3").startswith("Outstanding"))
     indicators = F.lower(F.regexp_replace(F.get(top, F.lit(0)), " ", "")).startswith("ason/forthe")
     lenders = F.slice(top, 1, 3) == F.array(*map(F.lit, LENDER_HEAD))
     named = {"is_action": action, "is_bank": bank, "is_annexure": annexure, "is_history": history, "is_indicators": indicators, "is_lenders": lenders}
-    return rows.withColumns({n: F.coalesce(c, F.lit(False)) for n, c in named.items()})
+    return told.withColumns({n: F.coalesce(c, F.lit(False)) for n, c in named.items()}).drop("__1", "__2", "__3", "__top", "__columns")
 
 
 def footnotes(units: DataFrame, rows: DataFrame) -> DataFrame:

@@ -23,15 +23,34 @@ read AS (
 numbered AS (SELECT *, CASE WHEN issue IS NULL THEN CAST(count(*) FILTER (WHERE issue IS NULL) OVER (PARTITION BY document_id ORDER BY n) AS BIGINT) END AS seq FROM read)"""
 
 
-def _written(df, name):
-    """df, worked out once: written into the shared folder and read back, for readers that look at it several times."""
-    path = workspace(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows of a table whose pages one task prints and reads: what a row prints is bounded, so a task's memory is too, however large the table.
+CUSTOMERS, ORDERS = 5_000, 40_000
+
+
+def _tasks(spark, sf_dir, table: str, rows: int) -> int:
+    """Tasks for a table's pages: one for each so many of its rows, at least one a core."""
+    return max(spark.sparkContext.defaultParallelism, -(-spark.read.parquet(f"{sf_dir}/{table}.parquet").count() // rows))
+
+
+def _dealt(spark, sf_dir, view, table: str = "customer", rows: int = CUSTOMERS):
+    """The view's rows, a document's in one task: printing and reading them is then done where they are."""
+    return src.view(spark, sf_dir, view).repartition(_tasks(spark, sf_dir, table, rows), "document_id")
+
+
+def _written(df, name, tasks: int):
+    """df, worked out once for readers that look at it several times: written into the shared folder in buckets of documents, so that no reader has to shuffle it.
+
+    Its joins are merges: the files are many times smaller than the rows in them, and by the files' size the driver would
+    gather and broadcast them.
+    """
+    spark, path = df.sparkSession, workspace(df.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(tasks, "document_id").write.bucketBy(tasks, "document_id").sortBy("document_id").option("path", path).saveAsTable(table)
+    return spark.table(table).hint("merge")
 
 
 def _words(spark, sf_dir):
-    return printed.statement_words(src.view(spark, sf_dir, src.PRINTED))
+    return printed.statement_words(_dealt(spark, sf_dir, src.PRINTED, "orders", ORDERS))
 
 
 def _cents(c: str):
@@ -61,7 +80,7 @@ sums AS (
   FROM steps GROUP BY document_id)
 SELECT document_id, n_rows, total_debits, total_credits, debit_count, credit_count, opening_balance, closing_balance, CAST(closing_balance - opening_balance - total_credits + total_debits AS BIGINT) AS difference, running_rows, n_breaks, stated FROM sums""")
 def printed_statement_checks(spark, sf_dir):
-    words = _written(_words(spark, sf_dir), "words")
+    words = _written(_words(spark, sf_dir), "words", _tasks(spark, sf_dir, "orders", ORDERS))
     told = statements.statement_checks(statements.statement_rows(words), statements.statement_summary(words))
     amounts = ("total_debits", "total_credits", "opening_balance", "closing_balance", "difference")
     return told.select("document_id", "n_rows", "debit_count", "credit_count", *map(_cents, amounts), "running_rows", "n_breaks", F.col("opening_stated").alias("stated"))
@@ -76,8 +95,8 @@ told AS (
 
 
 def _history(spark, sf_dir):
-    lines = printed.history_lines(src.view(spark, sf_dir, src.HISTORY_CELLS))
-    return _written(histories.table_lines(lines, "Rating history for past three years", ["Complexity level"]), "history")
+    lines = printed.history_lines(_dealt(spark, sf_dir, src.HISTORY_CELLS))
+    return _written(histories.table_lines(lines, "Rating history for past three years", ["Complexity level"]), "history", _tasks(spark, sf_dir, "customer", CUSTOMERS))
 
 
 @query(f"WITH {_TOLD} SELECT document_id, row_no, name, day AS action_date, said AS rating_text, grade, outlook, watch, withdrawn, readable FROM told", dates=("action_date",))
@@ -100,10 +119,15 @@ def rating_history_claims(spark, sf_dir):
 _R = src.duck(src.RATIONALES)
 
 
+def _units(spark, sf_dir):
+    units = pages.html_units(printed.rationale_pages(_dealt(spark, sf_dir, src.RATIONALES)), "document_id", "html")
+    tasks = _tasks(spark, sf_dir, "customer", CUSTOMERS)
+    return _written(rationales.placed(units.repartition(tasks, "document_id")), "units", tasks)
+
+
 def _rationales(spark, sf_dir):
-    units = rationales.placed(pages.html_units(printed.rationale_pages(src.view(spark, sf_dir, src.RATIONALES)), "document_id", "html"))
-    units = _written(units, "units")
-    return units, _written(rationales.shapes(rationales.grid_rows(units)), "grids")
+    units = _units(spark, sf_dir)
+    return units, _written(rationales.shapes(rationales.grid_rows(units)), "grids", _tasks(spark, sf_dir, "customer", CUSTOMERS))
 
 
 @query(f"""
@@ -153,7 +177,7 @@ def rationale_figures(spark, sf_dir):
 SELECT document_id, unnest(['outlook', 'liquidity', 'liquidity_detail', 'driver', 'factors', 'factors', 'updated_on']) AS part, unnest(['', '', '', 'strengths', 'positive', 'negative', '']) AS key,
        unnest(['Stable', 'Strong', 'The company keeps liquid funds that cover its debt of the next quarter.', 'Comfortable capital', 'more profit', 'less', '2026-05-22']) AS value FROM ({_R})""")
 def rationale_prose(spark, sf_dir):
-    return rationales.prose(_rationales(spark, sf_dir)[0]).select("document_id", "part", "key", "value")
+    return rationales.prose(_units(spark, sf_dir)).select("document_id", "part", "key", "value")
 
 
 @query(f"""
@@ -180,7 +204,7 @@ SELECT r.document_id, array_to_string(l.lines[greatest(len(l.lines) - 5, 1):], '
        CASE r.v WHEN 1 THEN '[ICRA]AA (Stable); reaffirmed, removed from watch and withdrawn' WHEN 2 THEN '[ICRA]A1+; reaffirmed' ELSE '[ICRA]AA (Stable); outlook Negative' END AS rating_text
 FROM r JOIN labels l ON l.document_id = r.document_id AND l.row_no = r.row_no""")
 def rated_amount_lines(spark, sf_dir):
-    rows = summaries.rated_amounts(printed.rated_lines(src.view(spark, sf_dir, src.RATED_LINES), listed=False))
+    rows = summaries.rated_amounts(printed.rated_lines(_dealt(spark, sf_dir, src.RATED_LINES, "orders", ORDERS), listed=False))
     return rows.select("document_id", "label", F.col("previous_amount").cast("long").alias("previous"), F.col("current_amount").cast("long").alias("current"), "rating_text")
 
 
@@ -188,7 +212,7 @@ def rated_amount_lines(spark, sf_dir):
 SELECT document_id, CASE v WHEN 1 THEN 'Not placed' ELSE isin END AS isin, 'NCD Series II' AS name, CASE WHEN v <> 1 THEN issued END AS issuance, '9.50%' AS coupon, matures AS maturity_date, current AS amount
 FROM ({_RL}) WHERE v IN (0, 1)""", dates=("issuance", "maturity_date"))
 def listed_instrument_lines(spark, sf_dir):
-    rows = summaries.listed_instruments(printed.rated_lines(src.view(spark, sf_dir, src.RATED_LINES), listed=True))
+    rows = summaries.listed_instruments(printed.rated_lines(_dealt(spark, sf_dir, src.RATED_LINES, "orders", ORDERS), listed=True))
     return rows.select("document_id", "isin", "name", "issuance", "coupon", "maturity_date", F.col("amount").cast("long").alias("amount"))
 
 
@@ -206,7 +230,7 @@ SELECT r.document_id, r.row_no AS group_no, CASE WHEN v = 0 THEN 'Long Term Bank
        'Reaffirmed as before' AS action_text, s.name AS told_name, s.class AS told_class
 FROM r LEFT JOIN single s USING (document_id, row_no)""")
 def label_column_rows(spark, sf_dir):
-    rows = src.view(spark, sf_dir, src.LABEL_ROWS)
+    rows = _dealt(spark, sf_dir, src.LABEL_ROWS, "orders", ORDERS)
     table, annexure = (printed.label_lines(rows, a) for a in (False, True))
     told = columns.told_by_size(columns.rated_rows(table), columns.sized_names(annexure))
     return told.select("document_id", F.col("group_no").cast("int").alias("group_no"), "label", F.col("amount").cast("long").alias("amount"), "rating_text", "action_text", "told_name", "told_class")
@@ -230,7 +254,7 @@ SELECT document_id, dense_rank() OVER (PARTITION BY document_id ORDER BY row_no)
          CASE WHEN v <> 1 THEN 'BWR AA' END AS previous_text, CASE v WHEN 0 THEN 'AA+' WHEN 1 THEN 'A1+' ELSE 'A' END AS grade, CASE v WHEN 0 THEN 'reaffirmed; removed' WHEN 1 THEN 'reaffirmed' ELSE 'assigned' END AS action
   FROM ({src.duck(src.PARTICULARS)}) WHERE v <> 2) r""")
 def printed_particulars(spark, sf_dir):
-    read = particulars.rated_particulars(printed.particulars_words(src.view(spark, sf_dir, src.PARTICULARS))).where("readable")
+    read = particulars.rated_particulars(printed.particulars_words(_dealt(spark, sf_dir, src.PARTICULARS))).where("readable")
     nth = F.dense_rank().over(Window.partitionBy("document_id").orderBy("row_no")).cast("long").alias("nth")
     return read.select("document_id", nth, "label", F.col("amount").cast("long").alias("amount"), "rating_text", "previous_text", "grade", "action")
 
@@ -242,8 +266,8 @@ UNION ALL SELECT document_id, row_no, said, CASE WHEN NOT undated THEN day END,
 UNION ALL SELECT document_id, row_no, said, earlier, 'BWR A+ (' || strftime(earlier, '%d.%m.%Y') || ')', 'A+', NULL, false, 'read' FROM r
 UNION ALL SELECT document_id, row_no, said, DATE '2023-05-03', 'BWR said 3 May 2023', NULL, NULL, false, 'unreadable' FROM r WHERE unreadable""", dates=("action_date",))
 def dated_history_entries(spark, sf_dir):
-    lines = printed.dated_lines(src.view(spark, sf_dir, src.DATED_CELLS))
-    table = _written(histories.table_lines(lines, "Rating History", ["The end"]), "dated")
+    lines = printed.dated_lines(_dealt(spark, sf_dir, src.DATED_CELLS))
+    table = _written(histories.table_lines(lines, "Rating History", ["The end"]), "dated", _tasks(spark, sf_dir, "customer", CUSTOMERS))
     return particulars.dated_entries(table).select("document_id", F.col("row_no").cast("int").alias("row_no"), "name", "action_date", "rating_text", "grade", "outlook", "withdrawn", "status")
 
 

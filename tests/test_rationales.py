@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import pages, rationales
+from factloom.plans import printings
 
 
 def table(*rows, body=""):
@@ -94,3 +95,23 @@ def test_nested_tables_second_bodies_and_empty_documents(spark):
     assert [tuple(r)[:4] for r in rationales.lenders(rows).collect()] == [(0, "Loan", "A Bank", D(5))]
     assert rows.where("document_id = 1").select(F.col("cells")[0]["said"]).first()[0] == "later"
     assert rationales.grid_rows(units.where("false")).count() == 0
+
+
+def test_what_is_written_for_readers_is_dealt_by_its_size_and_never_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(printings, "CUSTOMERS", 10)
+    sf_dir = "/root/testdata/sf0.001"
+    units = printings._units(spark, sf_dir)
+    assert printings._tasks(spark, sf_dir, "customer", 10) == 15
+    # by the size of its files this table would be broadcast, whole and from the driver
+    plan = units.groupBy("document_id").count().join(units, "document_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Exchange" not in plan and "SortMergeJoin" in plan
+
+
+@pytest.mark.parametrize("html", ['<p class="a">x &amp; y<br>z</p>', "<p a=b>x</p><p>y", "a < b <p>c</p>", "<script><p>no</p></script><p>yes</p>", "<!-- <p>no</p> --><P>yes</P>", "<p>&lt;p&gt;</p ><td>q", '</p x="1"><p\n>r</p>', "<title><p>t</p></title>", ""])
+def test_tags_are_cut_as_the_parser_cuts_them(html):
+    reader = pages._Units()
+    reader.feed(html)
+    reader.close()
+    whole = "".join(reader.text)
+    told = [(path, tag, whole[start : len(whole) if end is None else end]) for path, tag, start, end in reader.ranges]
+    assert pages.units_of(html) == [t for t in told if t[2].strip()]
