@@ -232,7 +232,9 @@ FROM r LEFT JOIN single s USING (document_id, row_no)""")
 def label_column_rows(spark, sf_dir):
     rows = _dealt(spark, sf_dir, src.LABEL_ROWS, "orders", ORDERS)
     table, annexure = (printed.label_lines(rows, a) for a in (False, True))
-    told = columns.told_by_size(columns.rated_rows(table), columns.sized_names(annexure))
+    # both are looked at several times: read once, the lines are not printed and sorted again for each
+    tasks = _tasks(spark, sf_dir, "orders", ORDERS)
+    told = columns.told_by_size(_written(columns.rated_rows(table), "rated", tasks), _written(columns.sized_names(annexure), "sized", tasks))
     return told.select("document_id", F.col("group_no").cast("int").alias("group_no"), "label", F.col("amount").cast("long").alias("amount"), "rating_text", "action_text", "told_name", "told_class")
 
 

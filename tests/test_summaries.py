@@ -4,7 +4,10 @@ import random
 import re
 from datetime import date, datetime
 
+import pytest
+
 from factloom.operators import summaries as s
+from factloom.plans import printings
 
 LINES = "document_id long, at int, text string, start int, stop int"
 
@@ -96,3 +99,16 @@ def test_blocks_by_their_heads_and_ends(spark):
     assert [(r.document_id, r.text) for r in got] == [(0, "a"), (0, "b"), (1, "b"), (3, "z")]
     empty = frame(spark, documents).where("false")
     assert s.rated_amounts(empty).count() == 0 and s.listed_instruments(empty).count() == 0
+
+
+@pytest.mark.parametrize("name", ["rated_amount_lines", "listed_instrument_lines", "printed_statement_rows"])
+def test_pages_are_dealt_by_the_rows_of_their_table(spark, monkeypatch, name):
+    monkeypatch.setattr(printings, "ORDERS", 100)
+    plan = printings.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(document_id#\d+L?, 15\), REPARTITION_BY_NUM", plan)
+
+
+def test_label_rows_are_read_once_and_joined_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(printings, "ORDERS", 100)
+    plan = printings.QUERIES["label_column_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "SelectedBucketsCount: 15 out of 15" in plan and "x0" not in plan
