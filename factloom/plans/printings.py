@@ -49,6 +49,13 @@ def _written(df, name, tasks: int):
     return spark.table(table).hint("merge")
 
 
+def _kept(df, name):
+    """df, worked out once, as plain files in the shared folder."""
+    path = workspace(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _words(spark, sf_dir):
     return printed.statement_words(_dealt(spark, sf_dir, src.PRINTED, "orders", ORDERS))
 
@@ -80,7 +87,7 @@ sums AS (
   FROM steps GROUP BY document_id)
 SELECT document_id, n_rows, total_debits, total_credits, debit_count, credit_count, opening_balance, closing_balance, CAST(closing_balance - opening_balance - total_credits + total_debits AS BIGINT) AS difference, running_rows, n_breaks, stated FROM sums""")
 def printed_statement_checks(spark, sf_dir):
-    words = _written(_words(spark, sf_dir), "words", _tasks(spark, sf_dir, "orders", ORDERS))
+    words = _kept(_words(spark, sf_dir), "words")
     told = statements.statement_checks(statements.statement_rows(words), statements.statement_summary(words))
     amounts = ("total_debits", "total_credits", "opening_balance", "closing_balance", "difference")
     return told.select("document_id", "n_rows", "debit_count", "credit_count", *map(_cents, amounts), "running_rows", "n_breaks", F.col("opening_stated").alias("stated"))
@@ -95,8 +102,8 @@ told AS (
 
 
 def _history(spark, sf_dir):
-    lines = printed.history_lines(_dealt(spark, sf_dir, src.HISTORY_CELLS))
-    return _written(histories.table_lines(lines, "Rating history for past three years", ["Complexity level"]), "history", _tasks(spark, sf_dir, "customer", CUSTOMERS))
+    lines = printed.history_lines(src.view(spark, sf_dir, src.HISTORY_CELLS))
+    return _kept(histories.table_lines(lines, "Rating history for past three years", ["Complexity level"]), "history")
 
 
 @query(f"WITH {_TOLD} SELECT document_id, row_no, name, day AS action_date, said AS rating_text, grade, outlook, watch, withdrawn, readable FROM told", dates=("action_date",))
@@ -268,8 +275,8 @@ UNION ALL SELECT document_id, row_no, said, CASE WHEN NOT undated THEN day END,
 UNION ALL SELECT document_id, row_no, said, earlier, 'BWR A+ (' || strftime(earlier, '%d.%m.%Y') || ')', 'A+', NULL, false, 'read' FROM r
 UNION ALL SELECT document_id, row_no, said, DATE '2023-05-03', 'BWR said 3 May 2023', NULL, NULL, false, 'unreadable' FROM r WHERE unreadable""", dates=("action_date",))
 def dated_history_entries(spark, sf_dir):
-    lines = printed.dated_lines(_dealt(spark, sf_dir, src.DATED_CELLS))
-    table = _written(histories.table_lines(lines, "Rating History", ["The end"]), "dated", _tasks(spark, sf_dir, "customer", CUSTOMERS))
+    lines = printed.dated_lines(src.view(spark, sf_dir, src.DATED_CELLS))
+    table = _kept(histories.table_lines(lines, "Rating History", ["The end"]), "dated")
     return particulars.dated_entries(table).select("document_id", F.col("row_no").cast("int").alias("row_no"), "name", "action_date", "rating_text", "grade", "outlook", "withdrawn", "status")
 
 
