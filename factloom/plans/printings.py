@@ -27,9 +27,7 @@ numbered AS (SELECT *, CASE WHEN issue IS NULL THEN CAST(count(*) FILTER (WHERE
 CUSTOMERS, ORDERS = 5_000, 40_000
 
 
-def _tasks(spark, sf_dir, table: str, rows: int) -> int:
-    """Tasks for a table's pages: one for each so many of its rows, at least one a core."""
-    return max(spark.sparkContext.defaultParallelism, -(-spark.read.parquet(f"{sf_dir}/{table}.parquet").count() // rows))
+_tasks = src.tasks
 
 
 def _dealt(spark, sf_dir, view, table: str = "customer", rows: int = CUSTOMERS):

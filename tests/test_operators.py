@@ -97,6 +97,27 @@ def test_covered_days_restart_after_a_gap(spark):
     assert [r.average for r in ledger.average_balances(months).collect()] == [63.2]
 
 
+def test_covered_days_are_told_last_and_their_accounts_dealt(spark, monkeypatch):
+    from factloom.plans import registers
+
+    monkeypatch.setattr(registers, "ACCOUNTS", ("customer", "c_custkey", 10))
+    daily = registers._daily(spark, "/root/testdata/sf0.001")
+    assert daily.rdd.getNumPartitions() == 15
+    # days outnumber what they follow from many times: none is shuffled, sorted or joined
+    plan = daily._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate explode")]
+    assert not any(step in above for step in ("Exchange", "Sort ", "Join", "Aggregate"))
+
+
+def test_overlapping_and_endless_statements_cover_as_told(spark):
+    d = date.fromisoformat
+    statements = [(1, 1, d("2024-01-05"), None, 1), (1, 2, d("2024-01-06"), d("2024-01-10"), None), (1, 3, d("2024-01-07"), d("2024-01-08"), 3), (1, 4, d("2024-01-11"), d("2024-01-09"), 4), (1, 5, d("2024-01-12"), d("2024-01-13"), 5), (2, 6, d("2024-01-01"), d("2024-01-02"), 6)]
+    rows = [(1, 1, d("2024-01-05"), 1, 50), (1, 1, None, 1, 60), (1, 1, d("2024-01-11"), 1, 70), (1, 1, d("2024-01-11"), 2, None)]
+    daily = ledger.covered_balances(spark.createDataFrame(rows, "account_key long, document_id long, txn_date date, seq long, balance long"), spark.createDataFrame(statements, "account_key long, document_id long, period_start date, period_end date, opening long"))
+    # the first opening stands for a missing one on the first day; an opening inside covered days is not one; the 12th starts anew
+    assert sorted((str(r.txn_date)[8:], r.balance) for r in daily.collect()) == [("06", 1), ("07", 1), ("08", 1), ("09", 1), ("10", 1), ("12", 5), ("13", 5)]
+
+
 def test_retention_counts_each_rupee_once(spark):
     d = date(2024, 1, 10)
     rows = [(1, d, 1, 0, 10000, "ok"), (1, d, 2, 0, 10000, "ok"), (1, date(2024, 1, 11), 3, 8000, 0, "ok"), (1, d, 4, 0, 90000, "NEFT RETURN"), (1, d, 5, 0, 90000, "OWN A/C"), (1, d, 6, 0, 9999, "ok")]
