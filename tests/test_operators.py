@@ -117,6 +117,13 @@ def test_an_accounts_months_are_counted_where_its_days_are(spark):
     assert plan.count("Exchange hashpartitioning") == 2
 
 
+def test_rows_of_business_months_are_made_by_dealt_customers(spark):
+    from factloom.plans import registers
+
+    plan = registers.business_months(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 3
+
+
 def test_overlapping_and_endless_statements_cover_as_told(spark):
     d = date.fromisoformat
     statements = [(1, 1, d("2024-01-05"), None, 1), (1, 2, d("2024-01-06"), d("2024-01-10"), None), (1, 3, d("2024-01-07"), d("2024-01-08"), 3), (1, 4, d("2024-01-11"), d("2024-01-09"), 4), (1, 5, d("2024-01-12"), d("2024-01-13"), 5), (2, 6, d("2024-01-01"), d("2024-01-02"), 6)]
