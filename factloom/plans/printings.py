@@ -25,14 +25,19 @@ numbered AS (SELECT *, CASE WHEN issue IS NULL THEN CAST(count(*) FILTER (WHERE
 
 #: Rows of a table whose pages one task prints and reads: what a row prints is bounded, so a task's memory is too, however large the table.
 CUSTOMERS, ORDERS = 5_000, 40_000
+#: The tables' columns that the printed views call document_id.
+KEYS = {"customer": "c_custkey", "orders": "o_custkey"}
 
 
 _tasks = src.tasks
 
 
 def _dealt(spark, sf_dir, view, table: str = "customer", rows: int = CUSTOMERS):
-    """The view's rows, a document's in one task: printing and reading them is then done where they are."""
-    return src.view(spark, sf_dir, view).repartition(_tasks(spark, sf_dir, table, rows), "document_id")
+    """The view's rows, a document's in one task: numbering, printing and reading them is then done where they are.
+
+    The table's rows are dealt, not the view's: a view that numbers them would shuffle them before, into tasks that grow with the table.
+    """
+    return src.view(spark, sf_dir, view, (table, KEYS[table], rows), "document_id")
 
 
 def _written(df, name, tasks: int):

@@ -112,3 +112,11 @@ def test_label_rows_are_read_once_and_joined_where_they_lie(spark, monkeypatch):
     monkeypatch.setattr(printings, "ORDERS", 100)
     plan = printings.QUERIES["label_column_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan and "SelectedBucketsCount: 15 out of 15" in plan and "x0" not in plan
+
+
+@pytest.mark.parametrize("name", ["rated_amount_lines", "listed_instrument_lines", "printed_statement_rows"])
+def test_rows_are_numbered_where_their_table_is_dealt(spark, monkeypatch, name):
+    monkeypatch.setattr(printings, "ORDERS", 100)
+    # a shuffle of the view's own, for its numbers, gives each task a part that grows with the table
+    plan = printings.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(o_custkey" not in plan
