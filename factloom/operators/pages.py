@@ -28,7 +28,7 @@ BATCH_UNITS = 5_000
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Tags as most pages have them: names with plainly quoted attributes. Pages with any other "<", or with elements whose content is no markup, are left to the parser.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s+[a-zA-Z][a-zA-Z0-9-]*="[^"<>]*")*)\s*>""")
-_RAW = re.compile(r"<(?:script|style|textarea|title|iframe|noembed|noframes|noscript|xmp|plaintext)\b", re.IGNORECASE)
+_RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "noscript", "xmp", "plaintext"}
 #: An opening tag ends an open one of these, up to the nearest container named second.
 _ENDS = {"li": ({"li"}, {"ul", "ol"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "tr": ({"tr"}, {"table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "p": ({"p"}, {"div", "td", "th", "li", "body", "section"})}
 
@@ -42,25 +42,40 @@ class _Units(HTMLParser):
         self.open: list[tuple[str, str, int, dict[str, int], int]] = [("", "", 0, {}, -1)]
         self.ranges: list[list] = []
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _ENDS:
+    def _begin(self, tag: str) -> str:
+        """The path of an element that begins here, after what it ends."""
+        _, path, _, counts, _ = self.open[-1]
+        # where such an element stood already, another ends nothing
+        if tag not in counts and tag in _ENDS:
             ends, within = _ENDS[tag]
-            for at in range(len(self.open) - 1, 0, -1):
-                name = self.open[at][0]
-                if name in within:
+            at = len(self.open)
+            for held in reversed(self.open):
+                at -= 1
+                if held[0] in within:
                     break
-                if name in ends:
+                if held[0] in ends:
                     self._close(at)
+                    _, path, _, counts, _ = self.open[-1]
                     break
-        _, path, _, counts, _ = self.open[-1]
-        counts[tag] = counts.get(tag, 0) + 1
-        here, number = f"{path}/{tag}[{counts[tag]}]", -1
+        counts[tag] = count = counts.get(tag, 0) + 1
+        return f"{path}/{tag}[{count}]"
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        here, number = self._begin(tag), -1
         if tag in UNIT_TAGS:
             number = len(self.ranges)
             self.ranges.append([here, tag, self.length, None])
         if tag not in _VOID:
             self.open.append((tag, here, self.length, {}, number))
 
+    def leaf(self, tag: str, data: str) -> None:
+        """An element that holds this text and no other: opened and closed at once."""
+        here, start = self._begin(tag), self.length
+        if data:
+            self.handle_data(data)
+        if tag in UNIT_TAGS:
+            self.ranges.append([here, tag, start, self.length])
+
     def handle_endtag(self, tag: str) -> None:
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at][0] == tag:
@@ -82,20 +97,31 @@ def _fed(reader: _Units, html: str) -> None:
     """The page's tags and texts, handed to the reader: cut by one expression where that says the same as the parser, which takes several times as long."""
     parts = _TAG.split(html)
     plain = parts[0::4]
+    closing, tags = parts[1::4], [t.lower() for t in parts[2::4]]
     # a closing tag has no attributes
-    if _RAW.search(html) or any("<" in p for p in plain) or any(a and b for a, b in zip(parts[1::4], parts[3::4], strict=True)):
+    if any("<" in p for p in plain) or not _RAW.isdisjoint(tags) or any(a and b for a, b in zip(closing, parts[3::4], strict=True)):
         reader.feed(html)
         reader.close()
         return
-    if plain[0]:
-        reader.handle_data(unescape(plain[0]))
-    for closing, tag, text in zip(parts[1::4], parts[2::4], plain[1:], strict=True):
-        if closing:
-            reader.handle_endtag(tag.lower())
+    texts = [unescape(t) if "&" in t else t for t in plain]
+    if texts[0]:
+        reader.handle_data(texts[0])
+    # most elements hold only a text, and are closed by the next tag
+    leaf = [not c and d and t == u and t not in _VOID for c, d, t, u in zip(closing, closing[1:], tags, tags[1:], strict=False)] + [False]
+    done = False
+    for is_leaf, closes, tag, text in zip(leaf, closing, tags, texts[1:], strict=False):
+        if is_leaf:
+            reader.leaf(tag, text)
+            done = True
+            continue
+        if done:
+            done = False
+        elif closes:
+            reader.handle_endtag(tag)
         else:
-            reader.handle_starttag(tag.lower(), [])
+            reader.handle_starttag(tag, [])
         if text:
-            reader.handle_data(unescape(text) if "&" in text else text)
+            reader.handle_data(text)
 
 
 def units_of(html: str | None) -> list[tuple[str, str, str]]:

@@ -36,13 +36,17 @@ UPDATED = r"This RR was updated on ([A-Z][a-z]+ \d{1,2}, \d{4})"
 # fixed values: units after a table in which its footnotes stand, units from the top in which the date stands, the length of a narrative, of a headline, and where that is looked for
 NOTES, TOP, NARRATIVE, HEADLINE, NEAR = 8, 40, 60, 200, 3
 
+# fixed values: one bit for each thing that a rationale must give, by what is said without it, and one for the document itself
+GIVEN = {"no rating-action table": 1, "no instrument annexure": 2, "no rating history entries": 4, "no outlook": 8}
+DOCUMENT = 16
+
 DOC, TABLE, ROW = ["document_id"], ["document_id", "table_path"], ["document_id", "table_path", "row_no"]
 
 
-def placed(units: DataFrame) -> DataFrame:
-    """units with at (their number from 1) and said (white space collapsed)."""
-    order = Window.partitionBy(*DOC).orderBy("unit_no")
-    return units.select(*DOC, F.row_number().over(order).alias("at"), "node_path", F.coalesce(reading.flat(F.col("text")), F.lit("")).alias("said"))
+def placed(units: DataFrame, counted: bool = False) -> DataFrame:
+    """units with at (their number from 1) and said (white space collapsed). counted: each document's unit_no are 0, 1, 2 and so on, as html_units gives them, so that none has to be sorted or shuffled."""
+    at = F.col("unit_no") + 1 if counted else F.row_number().over(Window.partitionBy(*DOC).orderBy("unit_no"))
+    return units.select(*DOC, at.alias("at"), "node_path", F.coalesce(reading.flat(F.col("text")), F.lit("")).alias("said"))
 
 
 def grid_rows(units: DataFrame) -> DataFrame:
@@ -54,7 +58,7 @@ def grid_rows(units: DataFrame) -> DataFrame:
     table = F.regexp_replace(F.left(path, F.length(path) - F.length(column) - F.length(row) - 2), r"/tbody\[\d+\]$", "")
     cells = units.where(path.endswith("]") & column.startswith("td[")).where(path.rlike(CELL)).select(*DOC, table.alias("table_path"), number(row).alias("row_no"), number(column).alias("col"), "said", "at")
     # of the cells at one place the last counts: they are gathered once and sorted by column and place
-    rows = cells.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("col", "at", "said"))).alias("c"))
+    rows = cells.groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("col", "at", "said"))).alias("c"))
     last = F.filter("c", lambda x, i: ~F.coalesce(F.get("c", i + 1)["col"] == x["col"], F.lit(False)))
     rows = rows.select(*ROW, F.transform(last, lambda x: F.struct(x["col"].alias("col"), x["said"].alias("said"), x["at"].alias("at"))).alias("cells"))
     whole = Window.partitionBy(*TABLE)
@@ -246,22 +250,29 @@ def prose(units: DataFrame) -> DataFrame:
 
 def published(units: DataFrame) -> DataFrame:
     """document_id, published: the first date that one of a document's first units states."""
-    stated = units.where(F.col("at") <= TOP).withColumn("day", reading.published_date(F.col("said"))).where("day IS NOT NULL")
+    # a year is looked for first: that is cheap, and most units state none
+    stated = units.where((F.col("at") <= TOP) & F.col("said").rlike(r"\d{4}")).withColumn("day", reading.published_date(F.col("said"))).where("day IS NOT NULL")
     return stated.groupBy(*DOC).agg(F.min_by("day", "at").alias("published"))
 
 
 def coverage(documents: DataFrame, rows: DataFrame, rated: DataFrame, listed: DataFrame, dated: DataFrame, measured: DataFrame, told: DataFrame) -> DataFrame:
     """document_id, status, missing: what a rationale must give and does not, and every row that was found but could not be read."""
-    acted = rated.where("part <> 'annexure'")
-    lacks = []
-    for name, found in (("no rating-action table", rows.where("is_action")), ("no instrument annexure", annexure_rows(rows).where("complete AND NOT withdrawn_table")), ("no rating history entries", dated.where("readable")), ("no outlook", told.where("part = 'outlook'"))):
-        lacks.append(documents.select(*DOC).distinct().join(found.select(*DOC).distinct(), DOC, "left_anti").select(*DOC, F.lit(name).alias("what")))
-    lacks.append(acted.where("NOT readable").select(*DOC, F.concat(F.lit("no rating in the row of unit "), F.col("place").cast("string")).alias("what")))
-    lacks.append(listed.where("NOT readable").select(*DOC, F.concat(F.lit("no instrument in the row of unit "), F.col("place").cast("string")).alias("what")))
-    lacks.append(rated.where("NOT readable").select(*DOC, F.concat_ws(" ", F.lit("unreadable rating of"), "instrument").alias("what")))
-    lacks.append(dated.where("NOT readable").select(*DOC, F.concat_ws(" ", F.lit("unreadable history of"), "instrument", F.col("action_date").cast("string")).alias("what")))
-    lacks.append(annexure_rows(rows).where("NOT complete").select(*DOC, F.concat(F.lit("unreadable annexure row "), F.col("row_no").cast("string")).alias("what")))
-    lacks.append(measured.where("metric IS NULL").select(*DOC, F.lit("indicators without an adjusted heading").alias("what")))
-    missing = reduce(DataFrame.unionByName, lacks).groupBy(*DOC).agg(F.array_sort(F.collect_list("what")).alias("missing"))
-    out = documents.select(*DOC).distinct().join(missing, DOC, "left")
-    return out.select(*DOC, F.when(F.col("missing").isNull(), "complete").otherwise("incomplete").alias("status"), F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
+    # every part is looked through once, for what it gives and for its rows that were not read
+    told_of = lambda found, gives, *unread: found.select(*DOC, gives.cast("int").alias("gives"), F.array_compact(F.array(*unread)).cast("array<string>").alias("unread"))
+    place, nothing = F.col("place").cast("string"), F.lit(0)
+    lines = annexure_rows(rows)
+    of_line = (F.col("complete") & ~F.col("withdrawn_table")).cast("int") * GIVEN["no instrument annexure"]
+    parts = [
+        told_of(documents.select(*DOC).distinct(), F.lit(DOCUMENT)),
+        told_of(rows.where("is_action").select(*DOC).distinct(), F.lit(GIVEN["no rating-action table"])),
+        told_of(lines, of_line, F.when(~F.col("complete"), F.concat(F.lit("unreadable annexure row "), F.col("row_no").cast("string")))),
+        told_of(rated.where("NOT readable"), nothing, F.when(F.col("part") != "annexure", F.concat(F.lit("no rating in the row of unit "), place)), F.concat_ws(" ", F.lit("unreadable rating of"), "instrument")),
+        told_of(listed.where("NOT readable"), nothing, F.concat(F.lit("no instrument in the row of unit "), place)),
+        told_of(dated, F.col("readable").cast("int") * GIVEN["no rating history entries"], F.when(~F.col("readable"), F.concat_ws(" ", F.lit("unreadable history of"), "instrument", F.col("action_date").cast("string")))),
+        told_of(measured.where("metric IS NULL"), nothing, F.lit("indicators without an adjusted heading")),
+        told_of(told.where("part = 'outlook'").select(*DOC).distinct(), F.lit(GIVEN["no outlook"])),
+    ]
+    whole = reduce(DataFrame.unionByName, parts).groupBy(*DOC).agg(F.bit_or("gives").alias("gives"), F.flatten(F.collect_list(F.when(F.size("unread") > 0, F.col("unread")))).alias("unread"))
+    lacks = F.array_compact(F.array(*[F.when(F.col("gives").bitwiseAND(bit) == 0, name) for name, bit in GIVEN.items()]))
+    out = whole.where(F.col("gives").bitwiseAND(DOCUMENT) > 0).select(*DOC, F.array_sort(F.concat(lacks, "unread")).alias("missing"))
+    return out.select(*DOC, F.when(F.size("missing") == 0, "complete").otherwise("incomplete").alias("status"), "missing")

@@ -40,15 +40,16 @@ def _dealt(spark, sf_dir, view, table: str = "customer", rows: int = CUSTOMERS):
     return src.view(spark, sf_dir, view, (table, KEYS[table], rows), "document_id")
 
 
-def _written(df, name, tasks: int):
+def _written(df, name, tasks: int, dealt: bool = False):
     """df, worked out once for readers that look at it several times: written into the shared folder in buckets of documents, so that no reader has to shuffle it.
 
     Its joins are merges: the files are many times smaller than the rows in them, and by the files' size the driver would
-    gather and broadcast them.
+    gather and broadcast them. dealt: its tasks hold a bucket's documents each already, which the plan does not know behind Python.
     """
     spark, path = df.sparkSession, workspace(df.sparkSession, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
-    df.repartition(tasks, "document_id").write.bucketBy(tasks, "document_id").sortBy("document_id").option("path", path).saveAsTable(table)
+    rows = df if dealt else df.repartition(tasks, "document_id")
+    rows.write.bucketBy(tasks, "document_id").sortBy("document_id").option("path", path).saveAsTable(table)
     return spark.table(table).hint("merge")
 
 
@@ -130,9 +131,9 @@ _R = src.duck(src.RATIONALES)
 
 
 def _units(spark, sf_dir):
-    units = pages.html_units(printed.rationale_pages(_dealt(spark, sf_dir, src.RATIONALES)), "document_id", "html")
+    units = pages.html_units(printed.rationale_pages(_dealt(spark, sf_dir, src.RATIONALES, "customer", CUSTOMERS)), "document_id", "html")
     tasks = _tasks(spark, sf_dir, "customer", CUSTOMERS)
-    return _written(rationales.placed(units.repartition(tasks, "document_id")), "units", tasks)
+    return _written(rationales.placed(units, counted=True), "units", tasks, dealt=True)
 
 
 def _rationales(spark, sf_dir):

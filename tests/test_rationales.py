@@ -1,5 +1,6 @@
 """Rationales in HTML: tables known by shape, footnotes of their own table, group labels carried down, and what coverage tells."""
 
+import random
 from datetime import date
 from decimal import Decimal as D
 
@@ -115,3 +116,26 @@ def test_tags_are_cut_as_the_parser_cuts_them(html):
     whole = "".join(reader.text)
     told = [(path, tag, whole[start : len(whole) if end is None else end]) for path, tag, start, end in reader.ranges]
     assert pages.units_of(html) == [t for t in told if t[2].strip()]
+
+
+def test_elements_that_hold_only_text_are_read_as_the_parser_reads_them():
+    rng = random.Random(7)
+    bits = ["<p>", "</p>", "<td>", "</td>", "<tr>", "</tr>", "<table>", "</table>", "<li>", "</li>", "<ul>", "</ul>", "<br>", "</br>", "<div>", "</div>", "a", "&amp;", '<P class="x">', "<dt>", "<dd>", "</dd>", " ", "<p></p>", "<td>b</td>", "<th>c</th>", "<title>"]
+    for _ in range(3000):
+        html = "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))
+        reader = pages._Units()
+        reader.feed(html)
+        reader.close()
+        whole = "".join(reader.text)
+        assert pages.units_of(html) == [(path, tag, whole[start : len(whole) if end is None else end]) for path, tag, start, end in reader.ranges if whole[start : len(whole) if end is None else end].strip()]
+
+
+def test_coverage_looks_through_each_part_once_and_units_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(printings, "CUSTOMERS", 10)
+    sf_dir = "/root/testdata/sf0.001"
+    plan = printings.rationale_coverage(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") < 18 and "LeftAnti" not in plan
+    units = printings._units(spark, sf_dir)
+    # a bucket is one file at most, written by the task that printed and read its documents
+    assert 10 < len(units.inputFiles()) <= 15
+    assert units.groupBy("document_id").agg(F.min("at").alias("a"), (F.max("at") - F.count("*")).alias("b")).where("a <> 1 OR b <> 0").count() == 0
