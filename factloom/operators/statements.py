@@ -14,13 +14,14 @@ told are listed as issues, never guessed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import reading
-from factloom.operators.layout import PAGE, joined, lines_of, named_runs, phrases, stacked, visual_lines
+from factloom.operators.layout import PAGE, joined, lines_of, named_runs, page_lines, phrases, stacked, visual_lines
 
 # fixed values: header phrases of a statement's columns
 HEADERS = {
@@ -71,11 +72,19 @@ _NAMES = {name: kind for kind, names in HEADERS.items() for name in names}
 _MONEY = "decimal(20,2)"
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _complete(columns: Column) -> Column:
     """columns, if they make a statement's table; else null."""
-    kinds = F.transform(columns, lambda c: c["kind"])
-    has = lambda k: F.array_contains(kinds, k)
-    return F.when(has("date") & has("balance") & ((has("debit") & has("credit")) | has("amount")), columns)
+
+    def told(columns: Column) -> Column:
+        has = lambda k: F.exists(columns, lambda c: c["kind"] == k)
+        return F.when(has("date") & has("balance") & ((has("debit") & has("credit")) | has("amount")), columns)
+
+    return _once(columns, told)
 
 
 def _merged(columns: Column) -> Column:
@@ -107,17 +116,26 @@ def _stacked_columns(lines: list[Column]) -> Column:
 def with_headers(lines: DataFrame) -> DataFrame:
     """lines with `columns` where a header begins, and `n_header`, how many lines it takes."""
     down = Window.partitionBy(*PAGE).orderBy("line_no")
-    near = lines
+    # every header names both a date and a balance, in the lines that it takes: the words of other lines are not carried along
+    near = lines.withColumn("__said", F.lower("text"))
     for k in (1, 2):
-        near = near.withColumn(f"__w{k}", F.lead("words", k).over(down)).withColumn(f"__y{k}", F.lead("line_y", k).over(down))
-    low = F.lower(F.concat_ws(" ", joined("words"), joined("__w1"), joined("__w2")))
-    near = near.withColumn("__may", low.contains("date") & low.contains("balance"))  # every header names both
+        near = near.withColumn(f"__said{k}", F.lead("__said", k).over(down)).withColumn(f"__y{k}", F.lead("line_y", k).over(down))
+
+    def may(k: int) -> Column:
+        names = lambda word: reduce(Column.__or__, [F.coalesce(F.col(c).contains(word), F.lit(False)) for c in ("__said", "__said1", "__said2")[:k]])
+        return names("date") & names("balance")
+
+    near = near.withColumns({f"__may{k}": may(k) for k in (1, 2, 3)}).drop("__said", "__said1", "__said2")
+    asked = F.coalesce(F.lag("__may3", 1).over(down), F.lit(False)) | F.coalesce(F.lag("__may3", 2).over(down), F.lit(False))
+    near = near.withColumn("__asked", F.when(asked, F.col("words")))
+    for k in (1, 2):
+        near = near.withColumn(f"__w{k}", F.lead("__asked", k).over(down))
     single = _complete(_merged(named_runs(F.col("words"), _NAMES, 3)))
     close1, close2 = F.col("__y1") - F.col("line_y") <= STACK_GAP, F.col("__y2") - F.col("__y1") <= STACK_GAP
     two = F.when(close1, _stacked_columns([F.col("words"), F.col("__w1")]))
     three = F.when(close1 & close2, _stacked_columns([F.col("words"), F.col("__w1"), F.col("__w2")]))
-    named = near.withColumn("__one", F.when(F.col("__may"), single)).withColumn("__two", F.when(F.col("__may") & F.col("__one").isNull(), two))
-    named = named.withColumn("__three", F.when(F.col("__may") & F.col("__one").isNull() & F.col("__two").isNull(), three))
+    named = near.withColumn("__one", F.when(F.col("__may1"), single)).withColumn("__two", F.when(F.col("__may2") & F.col("__one").isNull(), two))
+    named = named.withColumn("__three", F.when(F.col("__may3") & F.col("__one").isNull() & F.col("__two").isNull(), three))
     size = F.when(F.col("__one").isNotNull(), 1).when(F.col("__two").isNotNull(), 2).when(F.col("__three").isNotNull(), 3)
     named = named.withColumn("__n", size).withColumn("columns", F.coalesce("__one", "__two", "__three"))
     # a header takes its lines: one that would begin inside another is none
@@ -127,12 +145,13 @@ def with_headers(lines: DataFrame) -> DataFrame:
         last = F.try_element_at(taken, F.lit(-1))
         return F.when(h["line_no"] < last["line_no"] + last["n"], taken).otherwise(F.concat(taken, F.array(h)))
 
-    kept = F.aggregate(F.array_sort(mine), F.array().cast("array<struct<line_no:int,n:int>>"), take)
+    named = named.withColumn("__mine", mine)
+    kept = F.when(F.size("__mine") < 2, F.col("__mine")).otherwise(F.aggregate(F.array_sort("__mine"), F.array().cast("array<struct<line_no:int,n:int>>"), take))
     named = named.withColumn("__kept", kept)
     own = F.try_element_at(F.filter("__kept", lambda h: h["line_no"] == F.col("line_no")), F.lit(1))
     inside = F.exists("__kept", lambda h: (F.col("line_no") > h["line_no"]) & (F.col("line_no") < h["line_no"] + h["n"]))
     named = named.withColumn("n_header", own["n"]).withColumn("in_header", inside | own.isNotNull()).withColumn("columns", F.when(own.isNotNull(), F.col("columns")))
-    return named.drop("__w1", "__w2", "__y1", "__y2", "__may", "__one", "__two", "__three", "__n", "__kept")
+    return named.drop("__w1", "__w2", "__y1", "__y2", "__may1", "__may2", "__may3", "__asked", "__mine", "__one", "__two", "__three", "__n", "__kept")
 
 
 def _ruled(words: DataFrame, rules: DataFrame) -> DataFrame:
@@ -171,20 +190,22 @@ def _placed_words(words: DataFrame, rules: DataFrame | None) -> DataFrame:
     return both.withColumn("line_no", number).drop("zone", "band")
 
 
-def _assigned(w: Column, columns: Column, snapped: Column) -> Column:
-    """The kind of column that a word stands in."""
-    money = F.filter(columns, lambda c: c["kind"].isin(*_AMOUNTS))
-    first = F.array_min(F.transform(money, lambda c: c["x0"]))
+def _held(columns: Column, money: Column) -> Column:
+    """What the words of a table ask of its columns: the columns, those of amounts (money), where the first of these begins, and for text where each column begins and what it is called there."""
+    lefts = F.transform(columns, lambda c: F.when(c["kind"].isin(*_AMOUNTS), "overflow").otherwise(c["kind"]))
+    return F.struct(columns.alias("columns"), money.alias("money"), F.array_min(F.transform(money, lambda c: c["x0"])).alias("first"), F.transform(columns, lambda c: c["x0"] - TEXT_SLACK).alias("edges"), lefts.alias("lefts"))
+
+
+def _assigned(w: Column, held: Column, snapped: Column) -> Column:
+    """The kind of column that a word stands in; columns follow each other from the left."""
     middle = (w["x0"] + w["x1"]) / 2
-    near = F.array_min(F.transform(money, lambda c, i: F.struct(F.least(F.abs(w["x1"] - c["x1"]), F.abs(middle - (c["x0"] + c["x1"]) / 2)).alias("d"), i.alias("i"), c["kind"].alias("kind"))))
-    boxed = F.try_element_at(F.filter(columns, lambda c: ~c["kind"].isin(*_AMOUNTS) & middle.between(c["x0"] - INSIDE, c["x1"] + INSIDE)), F.lit(1))
-    left = F.coalesce(F.try_element_at(F.filter(columns, lambda c: c["x0"] - TEXT_SLACK <= w["x0"]), F.lit(-1)), F.get(columns, F.lit(0)))
+    near = F.array_min(F.transform(held["money"], lambda c, i: F.struct(F.least(F.abs(w["x1"] - c["x1"]), F.abs(middle - (c["x0"] + c["x1"]) / 2)).alias("d"), i.alias("i"), c["kind"].alias("kind"))))
+    boxed = F.try_element_at(F.filter(held["columns"], lambda c: ~c["kind"].isin(*_AMOUNTS) & middle.between(c["x0"] - INSIDE, c["x1"] + INSIDE)), F.lit(1))
     return (
-        F.when(w["text"].rlike(AMOUNT) & (w["x1"] >= first - AMOUNT_SLACK), near["kind"])
-        .when(F.lower(w["text"]).isin(MARKERS) & (w["x0"] >= first - AMOUNT_SLACK), "marker")
+        F.when((w["x1"] >= held["first"] - AMOUNT_SLACK) & w["text"].rlike(AMOUNT), near["kind"])
+        .when((w["x0"] >= held["first"] - AMOUNT_SLACK) & F.lower(w["text"]).isin(MARKERS), "marker")
         .when(snapped & boxed.isNotNull(), boxed["kind"])
-        .when(left["kind"].isin(*_AMOUNTS), "overflow")
-        .otherwise(left["kind"])
+        .otherwise(F.element_at(held["lefts"], F.greatest(F.size(F.filter(held["edges"], lambda e: e <= w["x0"])), F.lit(1))))
     )
 
 
@@ -195,15 +216,25 @@ def _money(w: Column) -> Column:
     return F.when(w.rlike(AMOUNT), F.struct(value.alias("amount"), marker.alias("marker")))
 
 
-def table_lines(words: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """The lines of each page's tables: segment (a header and what follows), txn (0 before the first date), said date, and cells (kind, text, word_no)."""
-    used = words.where("text <> '' AND x0 IS NOT NULL AND x1 IS NOT NULL AND y0 IS NOT NULL AND y1 IS NOT NULL")
-    placed = _placed_words(used, rules)
-    marks = placed.groupBy(*PAGE).agg(F.bool_or("banded").alias("banded"), F.first("verticals", ignorenulls=True).alias("verticals"))
-    headed = with_headers(lines_of(placed)).join(marks, PAGE)
+def _used(words: DataFrame) -> DataFrame:
+    return words.where("text <> '' AND x0 IS NOT NULL AND x1 IS NOT NULL AND y0 IS NOT NULL AND y1 IS NOT NULL")
+
+
+def table_lines(words: DataFrame, rules: DataFrame | None = None, summed: bool = False) -> DataFrame:
+    """The lines of each page's tables: segment (a header and what follows), txn (0 before the first date), said date, and cells (kind, text, word_no). summed: with what its document's summary states (stated), read from the same lines."""
+    used = _used(words)
+    if rules is None:
+        lines = page_lines(used, LINE)
+        marked = with_headers(_with_stated(lines) if summed else lines)
+        banded, snapped = F.lit(False), F.lit(False)
+    else:
+        placed = _placed_words(used, rules)
+        marks = placed.groupBy(*PAGE).agg(F.bool_or("banded").alias("banded"), F.first("verticals", ignorenulls=True).alias("verticals"))
+        lines = lines_of(placed)
+        marked = with_headers(_with_stated(lines) if summed else lines).join(marks, PAGE)
+        banded, snapped = F.col("banded"), F.coalesce(F.size("verticals") >= LEAST_RULES, F.lit(False))
     down = Window.partitionBy(*PAGE).orderBy("line_no")
     so_far = down.rowsBetween(Window.unboundedPreceding, 0)
-    snapped = F.coalesce(F.size("verticals") >= LEAST_RULES, F.lit(False))
 
     def snap(c: Column) -> Column:
         middle = (c["x0"] + c["x1"]) / 2
@@ -211,107 +242,137 @@ def table_lines(words: DataFrame, rules: DataFrame | None = None) -> DataFrame:
         both = left.isNotNull() & right.isNotNull()
         return F.struct(c["kind"].alias("kind"), F.when(both, left).otherwise(c["x0"]).alias("x0"), F.when(both, right).otherwise(c["x1"]).alias("x1"))
 
-    own = F.when(snapped, F.transform("columns", snap)).otherwise(F.col("columns"))
-    carried = headed.withColumn("columns", F.last(own, ignorenulls=True).over(so_far)).withColumn("segment", F.count("n_header").over(so_far)).withColumn("snapped", snapped)
-    body = carried.where("columns IS NOT NULL AND NOT in_header")
-    cells = body.withColumn("cells", F.transform("words", lambda w: F.struct(_assigned(w, F.col("columns"), F.col("snapped")).alias("kind"), w["text"].alias("text"), w["word_no"].alias("word_no"))))
+    own = F.when(snapped, F.transform("columns", snap)).otherwise(F.col("columns")) if rules is not None else F.col("columns")
+    # what the words of a table ask of its columns is worked out at its header
+    headed = marked.withColumn("snapped", snapped).withColumn("columns", own).withColumn("__money", F.filter("columns", lambda c: c["kind"].isin(*_AMOUNTS)))
+    held = F.when(F.col("columns").isNotNull(), _held(F.col("columns"), F.col("__money")))
+    carried = headed.withColumn("held", held).withColumn("held", F.last("held", ignorenulls=True).over(so_far)).withColumn("segment", F.count("n_header").over(so_far))
+    body = carried.where("held IS NOT NULL AND NOT in_header")
+    cells = body.withColumn("cells", F.transform("words", lambda w: F.struct(_assigned(w, F.col("held"), F.col("snapped") if rules is not None else snapped).alias("kind"), w["text"].alias("text"), w["word_no"].alias("word_no"))))
     of = lambda kind: F.array_join(F.transform(F.filter("cells", lambda c: c["kind"] == kind), lambda c: c["text"]), " ")
     dated = cells.withColumn("__said", of("date")).withColumn("day", F.when(F.col("__said") != "", reading.statement_date(F.col("__said")))).withColumn("__value", of("value_date"))
-    dated = dated.withColumn("value_day", F.when(F.col("__value") != "", reading.statement_date(F.col("__value"))))
+    dated = dated.withColumn("value_day", F.when(F.col("__value") == F.col("__said"), F.col("day")).when(F.col("__value") != "", reading.statement_date(F.col("__value"))))
     low = F.lower("text")
     stop = reduce(Column.__or__, [low.contains(s) for s in STOPS])
     inside = Window.partitionBy(*PAGE, "segment").orderBy("line_no")
     until = inside.rowsBetween(Window.unboundedPreceding, 0)
     # a stop counts as no row of its own; in a banded table a row without a date carries nothing on
-    stepped = dated.withColumn("__stop", stop).withColumn("__open", F.when(~F.col("__stop") & F.col("day").isNotNull(), 1).otherwise(0)).withColumn("txn", F.sum("__open").over(until))
+    stepped = dated.withColumn("banded", banded).withColumn("__stop", stop).withColumn("__open", F.when(~F.col("__stop") & F.col("day").isNotNull(), 1).otherwise(0)).withColumn("txn", F.sum("__open").over(until))
     gap = ~F.col("banded") & F.col("day").isNull() & (F.col("txn") > 0) & (F.coalesce(F.lag("txn").over(inside), F.lit(0)) > 0) & (F.col("line_y") - F.lag("line_y").over(inside) > ROW_GAP)
     ended = stepped.withColumn("__end", (F.col("__stop") | gap).cast("int")).withColumn("__ended", F.max("__end").over(until))
     kept = ended.where("__ended = 0 AND txn > 0 AND NOT (banded AND day IS NULL)")
-    return kept.select(*PAGE, "segment", "txn", "line_no", "day", "value_day", "cells")
+    return kept.select(*PAGE, "segment", "txn", "line_no", "day", "value_day", "cells", *(["stated"] if summed else []))
 
 
-def statement_rows(words: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+def statement_rows(words: DataFrame, rules: DataFrame | None = None, summed: bool = False) -> DataFrame:
     """One row a printed transaction: document_id, seq, page_no, txn_date, value_date, narration, ref, debit, credit, balance, word_nos, evidence_text, issue.
 
-    seq numbers the rows that were read; one that was not has a null seq and says why in `issue`.
+    seq numbers the rows that were read; one that was not has a null seq and says why in `issue`. summed: with what the
+    document's summary states (stated: field, value), so that the pages need not be read a second time for it.
     """
-    lines = table_lines(words, rules)
-    each = lines.select(*PAGE, "segment", "txn", "line_no", "day", "value_day", F.posexplode("cells").alias("at", "cell")).select("*", "cell.*", _money(F.col("cell.text")).alias("money"))
-    overflow = (F.col("kind") == "overflow").cast("int")
-    marker = F.when(F.col("kind") == "marker", F.regexp_replace(F.initcap("text"), r"\.$", ""))
-    last_marker = F.last(marker, ignorenulls=True).over(Window.partitionBy(*PAGE, "segment", "txn", "line_no").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    each = each.withColumn("marker", last_marker).withColumn("place", F.struct("line_no", overflow.alias("late"), "at"))
-    of = lambda kind, value: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("place", value.alias("v")))))
-    said = lambda *kinds: F.array_sort(F.collect_list(F.when(F.col("kind").isin(*kinds), F.struct("place", F.col("text").alias("v")))))
-    marked = F.struct(F.col("money.amount").alias("amount"), F.coalesce("money.marker", "marker").alias("marker"))
-    grouped = each.groupBy(*PAGE, "segment", "txn").agg(
-        F.max("day").alias("txn_date"),
-        F.min_by("value_day", F.when(F.col("value_day").isNotNull(), F.col("line_no"))).alias("value_date"),
-        said("narration", "overflow").alias("narration"),
-        said("ref").alias("ref"),
-        *[of(k, F.col("money.amount")).alias(k) for k in ("debit", "credit", "amount")],
-        of("balance", marked).alias("balance"),
-        F.max_by("marker", F.when((F.col("kind") == "amount") & F.col("marker").isNotNull(), F.col("line_no"))).alias("marker"),
-        F.array_sort(F.collect_list(F.struct("word_no", "text"))).alias("all"),
-    )
-    only = lambda c: F.when(F.size(c) == 1, F.get(c, F.lit(0))["v"])
+    lines = table_lines(words, rules, summed)
+    # a line's last marker, and its cells with the overflowing ones last; a row's lines then follow each other
+    markers = F.filter("cells", lambda c: c["kind"] == "marker")
+    marker = F.regexp_replace(F.initcap(F.try_element_at(markers, F.lit(-1))["text"]), r"\.$", "")
+    ordered = F.when(F.exists("cells", lambda c: c["kind"] == "overflow"), F.concat(F.filter("cells", lambda c: c["kind"] != "overflow"), F.filter("cells", lambda c: c["kind"] == "overflow"))).otherwise(F.col("cells"))
+    told = lines.withColumn("line", F.struct("line_no", "day", "value_day", marker.alias("marker"), ordered.alias("cells")))
+    grouped = told.groupBy(*PAGE, "segment", "txn").agg(F.array_sort(F.collect_list("line")).alias("lines"), *([F.first("stated").alias("stated")] if summed else []))
+    marked = lambda x: F.transform(F.filter(x["cells"], lambda c: c["kind"].isin(*_AMOUNTS)), lambda c: F.struct(c["kind"].alias("kind"), c["text"].alias("text"), x["marker"].alias("marker")))
+    each = grouped.withColumn("all", F.flatten(F.transform("lines", lambda x: x["cells"]))).withColumn("money", F.flatten(F.transform("lines", marked)))
+    of = lambda kind: F.filter("money", lambda c: c["kind"] == kind)
+    parts = each.withColumns({k: of(k) for k in _AMOUNTS})
+    only = lambda c: F.when(F.size(c) == 1, _money(F.get(c, F.lit(0))["text"])["amount"])
+    said = lambda *kinds: F.array_join(F.transform(F.filter("all", lambda c: c["kind"].isin(*kinds)), lambda c: c["text"]), " ")
+    told = parts.withColumn("marker", F.try_element_at(F.filter("amount", lambda c: c["marker"].isNotNull()), F.lit(-1))["marker"])
+    last = F.try_element_at("balance", F.lit(-1))
+    told = told.withColumn("last", F.struct(_money(last["text"]).alias("money"), last["marker"].alias("marker")))
     has_amount = F.size("amount") > 0
     unmarked = has_amount & ~F.coalesce(F.col("marker").isin("Dr", "Cr"), F.lit(False))
     debit = F.when(has_amount & (F.col("marker") == "Dr"), only("amount")).otherwise(only("debit"))
     credit = F.when(has_amount & (F.col("marker") == "Cr"), only("amount")).otherwise(only("credit"))
-    last = F.try_element_at("balance", F.lit(-1))["v"]
-    read = grouped.select(
-        *PAGE, "segment", "txn", "txn_date", "value_date",
-        F.trim(F.array_join(F.transform("narration", lambda n: n["v"]), " ")).alias("narration"), F.nullif(F.array_join(F.transform("ref", lambda n: n["v"]), " "), F.lit("")).alias("ref"),
-        debit.alias("debit"), credit.alias("credit"), F.when(last["marker"].isin("Dr", "-"), -last["amount"]).otherwise(last["amount"]).alias("balance"),
-        F.transform("all", lambda w: w["word_no"]).alias("word_nos"), joined("all").alias("evidence_text"), unmarked.alias("unmarked"),
+    taken = F.coalesce(F.col("last.money.marker"), F.col("last.marker")).isin("Dr", "-")
+    placed = F.array_sort(F.transform("all", lambda c: F.struct(c["word_no"].alias("word_no"), c["text"].alias("text"))))
+    read = told.select(
+        *PAGE, "segment", "txn", F.array_max(F.transform("lines", lambda x: x["day"])).alias("txn_date"), F.get(F.filter(F.transform("lines", lambda x: x["value_day"]), lambda d: d.isNotNull()), F.lit(0)).alias("value_date"),
+        F.trim(said("narration", "overflow")).alias("narration"), F.nullif(said("ref"), F.lit("")).alias("ref"),
+        debit.alias("debit"), credit.alias("credit"), F.when(taken, -F.col("last.money.amount")).otherwise(F.col("last.money.amount")).alias("balance"),
+        F.transform(placed, lambda w: w["word_no"]).alias("word_nos"), joined(placed).alias("evidence_text"), unmarked.alias("unmarked"), *(["stated"] if summed else []),
     )
     neither = F.col("debit").isNull() & F.col("credit").isNull()
     issue = F.when(F.col("unmarked"), "an amount without a Dr/Cr marker; not read").when(neither, "no withdrawal or deposit amount; not read").when(F.col("debit").isNotNull() & F.col("credit").isNotNull(), "both a withdrawal and a deposit; kept")
     told = read.withColumn("issue", issue).withColumn("__read", ~F.col("unmarked") & ~neither)
-    order = Window.partitionBy("document_id").orderBy("page_no", "segment", "txn")
+    order = Window.partitionBy("document_id").orderBy("page_no", "segment", "txn").rowsBetween(Window.unboundedPreceding, 0)
     number = F.when(F.col("__read"), F.sum(F.col("__read").cast("int")).over(order)).cast("long")
-    return told.withColumn("seq", number).select("document_id", "seq", "page_no", "txn_date", "value_date", "narration", "ref", "debit", "credit", "balance", "word_nos", "evidence_text", "issue")
+    kept = ["document_id", "seq", "page_no", "txn_date", "value_date", "narration", "ref", "debit", "credit", "balance", "word_nos", "evidence_text", "issue"]
+    return told.withColumn("seq", number).select(*kept, *(["stated"] if summed else []))
 
 
 def unread(words: DataFrame) -> DataFrame:
     """document_id of the documents that no page of shows a statement's header."""
-    headed = with_headers(lines_of(visual_lines(words.where("text <> ''"), LINE))).where("n_header IS NOT NULL")
+    headed = with_headers(page_lines(_used(words), LINE)).where("n_header IS NOT NULL")
     return words.select("document_id").distinct().join(headed.select("document_id").distinct(), "document_id", "left_anti")
 
 
-def statement_summary(words: DataFrame) -> DataFrame:
-    """The summary that a statement prints (document_id, field, value): of its first line of labels that has values under it."""
-    lines = lines_of(visual_lines(words.where("text <> ''"), LINE))
+def _stated(words: Column, values: Column) -> Column:
+    """What a line of labels states by the values under it: field and value, of a field that is named twice the first."""
+    names = {name: field for field, names in SUMMARY.items() for name in names}
+    labels = F.transform(named_runs(words, names, 2), lambda r: F.struct(r["kind"].alias("field"), ((r["x0"] + r["x1"]) / 2).alias("xc")))
+
+    def told(label: Column) -> Column:
+        near = F.array_min(F.transform(values, lambda w, i: F.struct(F.abs((w["x0"] + w["x1"]) / 2 - label["xc"]).alias("d"), i.alias("i"), w["text"].alias("text"))))
+        return F.struct(label["field"].alias("field"), near.alias("near"))
+
+    def value(t: Column) -> Column:
+        said, money = t["near"]["text"], _money(t["near"]["text"])
+        whole = F.when(F.regexp_replace(said, ",", "").rlike(r"^\d+$"), F.regexp_replace(said, ",", "").try_cast(_MONEY))
+        return F.struct(t["field"].alias("field"), F.when(t["field"].endswith("_count"), whole).when(money["marker"].isin("Dr", "-"), -money["amount"]).otherwise(money["amount"]).alias("value"))
+
+    def read(labels: Column) -> Column:
+        first = F.filter(labels, lambda r, i: ~F.exists(F.slice(labels, 1, i), lambda q: q["field"] == r["field"]))
+        near = F.filter(F.transform(first, told), lambda t: t["near"]["d"] <= LABEL_REACH)
+        return F.when((F.size(labels) >= 2) & (F.size(values) > 0), F.filter(F.transform(near, value), lambda t: t["value"].isNotNull()))
+
+    return _once(labels, read)
+
+
+def _summaries(lines: DataFrame) -> DataFrame:
+    """lines with __told: where a line of labels has values under it, its page, number and what it states."""
     down = Window.partitionBy(*PAGE).orderBy("line_no")
     low = F.lower("text")
-    labelled = lines.withColumn("__next", F.lead("words").over(down)).where(low.contains("opening") & low.contains("closing") & F.col("__next").isNotNull())
-    names = {name: field for field, names in SUMMARY.items() for name in names}
-    labels = F.transform(named_runs(F.col("words"), names, 2), lambda r: F.struct(r["kind"].alias("field"), ((r["x0"] + r["x1"]) / 2).alias("xc")))
-    values = F.filter("__next", lambda w: w["text"].rlike(SUMMARY_VALUE))
-    read = labelled.select(*PAGE, "line_no", labels.alias("labels"), values.alias("values")).where("size(labels) >= 2 AND size(values) > 0")
-    first = read.groupBy("document_id").agg(F.min(F.struct("page_no", "line_no", "labels", "values")).alias("s")).select("document_id", "s.labels", "s.values")
-    each = first.select("document_id", "values", F.posexplode("labels").alias("at", "label"))
-    once = each.withColumn("__n", F.row_number().over(Window.partitionBy("document_id", "label.field").orderBy("at"))).where("__n = 1")
-    near = F.array_min(F.transform("values", lambda w, i: F.struct(F.abs((w["x0"] + w["x1"]) / 2 - F.col("label.xc")).alias("d"), i.alias("i"), w["text"].alias("text"))))
-    told = once.select("document_id", F.col("label.field").alias("field"), near.alias("near")).where(F.col("near.d") <= LABEL_REACH)
-    money = _money(F.col("near.text"))
-    whole = F.when(F.regexp_replace("near.text", ",", "").rlike(r"^\d+$"), F.regexp_replace("near.text", ",", "").try_cast(_MONEY))
-    value = F.when(F.col("field").endswith("_count"), whole).when(money["marker"].isin("Dr", "-"), -money["amount"]).otherwise(money["amount"])
-    return told.select("document_id", "field", value.alias("value")).where("value IS NOT NULL")
-
-
-def statement_checks(rows: DataFrame, summary: DataFrame, periods: DataFrame | None = None) -> DataFrame:
+    labelled = low.contains("opening") & low.contains("closing")
+    following = lines.withColumn("__next", F.lead("words").over(down))
+    under = following.withColumn("__values", F.when(labelled & F.col("__next").isNotNull(), F.filter("__next", lambda w: w["text"].rlike(SUMMARY_VALUE)))).drop("__next")
+    stated = under.withColumn("__stated", F.when(F.size("__values") > 0, _stated(F.col("words"), F.col("__values"))))
+    return stated.withColumn("__told", F.when(F.col("__stated").isNotNull(), F.struct("page_no", "line_no", F.col("__stated").alias("stated")))).drop("__values", "__stated")
+
+
+def _with_stated(lines: DataFrame) -> DataFrame:
+    """lines with what their document's summary states, null without one."""
+    first = F.min("__told").over(Window.partitionBy("document_id"))
+    return _summaries(lines).withColumn("stated", first["stated"]).drop("__told")
+
+
+def statement_summary(words: DataFrame) -> DataFrame:
+    """The summary that a statement prints (document_id, field, value): of its first line of labels that has values under it."""
+    first = _summaries(page_lines(_used(words), LINE)).where("__told IS NOT NULL").groupBy("document_id").agg(F.min("__told").alias("s"))
+    return first.select("document_id", F.explode("s.stated").alias("f")).select("document_id", "f.field", "f.value")
+
+
+def statement_checks(rows: DataFrame, summary: DataFrame | None = None, periods: DataFrame | None = None) -> DataFrame:
     """One row a document with rows: its totals, opening and closing with their basis, the balance identity, breaks of the running balance, and issues.
 
-    summary: statement_summary; periods: document_id, period_start, period_end.
+    summary: statement_summary; without it the rows carry what theirs states (`summed`). periods: document_id, period_start, period_end.
     """
     zero = F.lit(0).cast(_MONEY)
     read = rows.where("seq IS NOT NULL").withColumn("__d", F.coalesce("debit", zero)).withColumn("__c", F.coalesce("credit", zero))
-    stated = summary.groupBy("document_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"stated_{f}") for f in SUMMARY])
     order = Window.partitionBy("document_id").orderBy("seq")
-    first = read.where("seq = 1").select("document_id", (F.col("balance") - F.col("__c") + F.col("__d")).alias("__first"))
-    known = read.join(stated, "document_id", "left").join(first, "document_id", "left").withColumn("opening_balance", F.coalesce("stated_opening_balance", "__first"))
+    if summary is None:
+        stated = lambda f: F.get(F.filter("stated", lambda s: s["field"] == f), F.lit(0))["value"]
+        known = read.withColumns({f"stated_{f}": stated(f) for f in SUMMARY})
+    else:
+        known = read.join(summary.groupBy("document_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"stated_{f}") for f in SUMMARY]), "document_id", "left")
+    first = F.first(F.when(F.col("seq") == 1, F.col("balance") - F.col("__c") + F.col("__d"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    known = known.withColumn("__first", first).withColumn("opening_balance", F.coalesce("stated_opening_balance", "__first"))
     before = F.coalesce(F.last("balance", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("opening_balance"))
     broken = F.col("balance").isNotNull() & (F.abs(before + F.col("__c") - F.col("__d") - F.col("balance")) >= 0.01)
     known = known.withColumn("__broken", F.coalesce(broken, F.lit(False)))

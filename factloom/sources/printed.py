@@ -22,7 +22,7 @@ def _word(text: Column | str, x: Column | float, y: Column | float, right: bool
 
 def _run(words: Column, x: float, y: Column) -> Column:
     """Words one after another from x on."""
-    before = lambda i: F.aggregate(F.slice(words, 1, i), F.lit(0.0), lambda s, w: s + (F.length(w) + 1) * LETTER)
+    before = lambda i: F.when(i > 0, (F.length(F.array_join(F.slice(words, 1, i), " ")) + 1) * LETTER).otherwise(0.0)
     return F.transform(words, lambda w, i: _word(w, F.lit(x) + before(i), y))
 
 
@@ -42,38 +42,44 @@ def _cents(c: str) -> Column:
 
 def statement_words(rows: DataFrame) -> DataFrame:
     """Word boxes of statements. rows: document_id, n, page_no, stacked, day, narration, ref, debit, credit, unmarked, balance (in cents; 0 and null are not printed)."""
-    page = Window.partitionBy("document_id", "page_no").orderBy("n")
+    by_page = Window.partitionBy("document_id", "page_no")
+    page, document = by_page.orderBy("n").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("document_id")
     said = F.split("narration", " ")
     spaced = rows.withColumn("said", said).withColumn("height", F.lit(LEADING) + F.when(F.size("said") > FIRST_LINE, 10.0).otherwise(0.0)).withColumn("y", TOP + F.sum("height").over(page) - F.col("height") + LEADING)
+    # a page's head and foot, and a document's summary, are printed with the first row of their page
+    spaced = spaced.withColumn("first", F.row_number().over(by_page.orderBy("n")) == 1).withColumn("any_stacked", F.max("stacked").over(by_page))
+    plainly = lambda c: F.when(~F.col("stacked"), c)
+    counts = {"debits": F.sum(plainly(F.col("debit"))), "credits": F.sum(plainly(F.col("credit"))), "n_debits": F.count(plainly(F.when(F.col("debit") > 0, 1))), "n_credits": F.count(plainly(F.when(F.col("credit") > 0, 1))), "last": F.max(plainly(F.col("page_no")))}
+    spaced = spaced.select("*", *[c.over(document).alias(k) for k, c in counts.items()]).withColumn("opening", F.lit(5000000)).withColumn("closing", F.col("opening") + F.col("credits") - F.col("debits"))
     y = F.col("y")
     narration = F.concat(_run(F.slice("said", 1, FIRST_LINE), PLAIN["narration"], y), _run(F.slice("said", FIRST_LINE + 1, 99), PLAIN["narration"], y + 10))
-    day = F.date_format("day", "dd/MM/yy")
-    amount = lambda c, x: F.when(F.col(c) > 0, _word(_cents(c), x, y, right=True))
-    overdrawn = F.concat(F.format_number((F.abs("balance") / 100).cast("decimal(20,2)"), 2), F.when(F.col("balance") < 0, "Dr").otherwise(""))
-    plain = F.array(_word(day, PLAIN["date"], y), _word(F.col("ref"), PLAIN["ref"], y), _word(day, PLAIN["value"], y), amount("debit", PLAIN["debit"]), amount("credit", PLAIN["credit"]), _word(overdrawn, PLAIN["balance"], y, right=True))
-    either = F.when(F.col("debit") + F.col("credit") > 0, F.format_number(((F.col("debit") + F.col("credit")) / 100).cast("decimal(20,2)"), 2))
-    marker = F.when(~F.col("unmarked") & either.isNotNull(), F.when(F.col("debit") > 0, "Dr.").otherwise("Cr"))
-    own = F.concat(F.format_number((F.abs("balance") / 100).cast("decimal(20,2)"), 2), F.when(F.col("balance") < 0, "DR").otherwise("CR"))
-    stacked = F.array(_word(F.date_format("day", "dd-MMM-yyyy"), 10.0, y), _word(either, 440.0, y, right=True), _word(marker, 450.0, y), _word(own, 568.0, y, right=True))
+    amount = lambda c, x: _word(F.col(c), x, y, right=True)
+    plain = F.array(_word(F.col("dmy"), PLAIN["date"], y), _word(F.col("ref"), PLAIN["ref"], y), _word(F.col("dmy"), PLAIN["value"], y), amount("taken", PLAIN["debit"]), amount("given", PLAIN["credit"]), amount("overdrawn", PLAIN["balance"]))
+    stacked = F.array(_word(F.col("named"), 10.0, y), amount("either", 440.0), _word(F.col("marker"), 450.0, y), amount("own", 568.0))
+    # what a row prints is written out before it is placed: a box asks for its text several times
+    either, absolute = F.col("debit") + F.col("credit"), F.format_number((F.abs("balance") / 100).cast("decimal(20,2)"), 2)
+    spaced = spaced.withColumns(
+        {
+            "dmy": F.date_format("day", "dd/MM/yy"), "named": F.date_format("day", "dd-MMM-yyyy"), "absolute": absolute, "taken": F.when(F.col("debit") > 0, _cents("debit")), "given": F.when(F.col("credit") > 0, _cents("credit")),
+            "either": F.when(either > 0, F.format_number((either / 100).cast("decimal(20,2)"), 2)), "marker": F.when(~F.col("unmarked") & (either > 0), F.when(F.col("debit") > 0, "Dr.").otherwise("Cr")),
+        }
+    )
+    spaced = spaced.withColumn("overdrawn", F.concat("absolute", F.when(F.col("balance") < 0, "Dr").otherwise(""))).withColumn("own", F.concat("absolute", F.when(F.col("balance") < 0, "DR").otherwise("CR")))
     words = F.concat(narration, F.when(F.col("stacked"), stacked).otherwise(plain))
-    printed = spaced.select("document_id", "page_no", F.explode(F.filter(words, lambda w: w["text"].isNotNull() & w["x0"].isNotNull())).alias("w"))
+    printed = F.filter(words, lambda w: w["text"].isNotNull() & w["x0"].isNotNull())
 
     one = [("Date", PLAIN["date"], TOP, False), ("Narration", PLAIN["narration"], TOP, False), ("Chq./Ref.No.", PLAIN["ref"], TOP, False), ("Value Dt", PLAIN["value"], TOP, False), ("Withdrawal Amt.", PLAIN["debit"], TOP, True), ("Deposit Amt.", PLAIN["credit"], TOP, True), ("Closing Balance", PLAIN["balance"], TOP, True)]
     two = [("Transaction", 10.0, TOP - 10, False), ("Date", 10.0, TOP, False), ("Transaction", 70.0, TOP - 10, False), ("Remarks", 70.0, TOP, False), ("Amount", 440.0, TOP - 10, True), ("(INR)", 440.0, TOP, True), ("Balance", 568.0, TOP - 10, True), ("(INR)", 568.0, TOP, True)]
-    pages = rows.groupBy("document_id", "page_no").agg(F.max("stacked").alias("stacked"))
     footer = F.array(_word("Page", 28.0, 815.0), _word("No", 50.0, 815.0), _word(F.col("page_no").cast("string"), 66.0, 815.0))
-    heads = pages.select("document_id", "page_no", F.explode(F.concat(F.when(F.col("stacked"), _head(two)).otherwise(_head(one)), footer)).alias("w"))
+    heads = F.concat(F.when(F.col("any_stacked"), _head(two)).otherwise(_head(one)), footer)
 
-    totals = rows.where("NOT stacked").groupBy("document_id").agg(
-        F.max("page_no").alias("page_no"), F.sum("debit").alias("debits"), F.sum("credit").alias("credits"), F.count(F.when(F.col("debit") > 0, 1)).alias("n_debits"), F.count(F.when(F.col("credit") > 0, 1)).alias("n_credits"), F.lit(5000000).alias("opening")
-    )
     at = {"opening": ("Opening Balance", 40.0), "n_debits": ("Dr Count", 130.0), "n_credits": ("Cr Count", 200.0), "debits": ("Debits", 280.0), "credits": ("Credits", 370.0), "closing": ("Closing Bal", 470.0)}
-    totals = totals.withColumn("closing", F.col("opening") + F.col("credits") - F.col("debits"))
     shown = {c: F.col(c).cast("string") if c.startswith("n_") else F.concat(F.when(F.col(c) < 0, "-").otherwise(""), F.format_number((F.abs(c) / 100).cast("decimal(20,2)"), 2)) for c in at}
     figures = F.array(*[_word(shown[c], x, SUMMARY + 14) for c, (_, x) in at.items()])
-    ends = totals.select("document_id", "page_no", F.explode(F.concat(_head([("STATEMENT SUMMARY", 28.0, SUMMARY - 14, False), *[(label, x, SUMMARY, False) for label, x in at.values()]]), figures)).alias("w"))
+    ends = F.concat(_head([("STATEMENT SUMMARY", 28.0, SUMMARY - 14, False), *[(label, x, SUMMARY, False) for label, x in at.values()]]), figures)
 
-    every = printed.unionByName(heads).unionByName(ends).select("document_id", "page_no", "w.*")
+    every = F.when(~F.col("first"), printed).when(F.col("page_no") == F.col("last"), F.concat(printed, heads, ends)).otherwise(F.concat(printed, heads))
+    every = spaced.select("document_id", "page_no", every.alias("words")).select("document_id", "page_no", F.explode("words").alias("w")).select("document_id", "page_no", "w.*")
     order = Window.partitionBy("document_id", "page_no").orderBy("y0", "x0", "text")
     return every.withColumn("word_no", F.row_number().over(order).cast("long")).select("document_id", "page_no", "word_no", "text", "x0", "y0", "x1", "y1")
 

@@ -198,6 +198,24 @@ def test_lines_follow_their_first_word(spark):
     assert [(r.page_no, r.line_no, r.text) for r in got] == [(1, 1, "w1 w0"), (1, 2, "w3 w2"), (1, 3, "w5 w4"), (2, 1, "other")]
 
 
+def test_page_lines_are_the_lines_of_visual_lines(spark):
+    rows = [(1, 1, k, f"w{k}", float(50 - k), 2.0 * k, 55.0 - k, 2.0 * k + 4) for k in range(6)] + [(1, 2, 9, "other", 0.0, 0.0, 1.0, 1.0), (1, 2, 9, "other", 0.0, 0.0, 1.0, 1.0), (1, 2, 8, "low", 0.0, 9.0, 1.0, 11.0)]
+    words = spark.createDataFrame(rows, WORDS)
+    want, got = layout.lines_of(layout.visual_lines(words, 2.5)), layout.page_lines(words, 2.5)
+    told = lambda df: sorted((r.page_no, r.line_no, r.line_y, r.text, [w.word_no for w in r.words]) for r in df.collect())
+    assert told(got) == told(want) and len(told(got)) == 5
+
+
+def test_the_summary_comes_with_the_rows(case):
+    """What the rows carry gives the same checks as the summary read apart, without a second look at the pages."""
+    words = case[1]
+    rows = statements.statement_rows(words, summed=True)
+    apart = statements.statement_checks(statements.statement_rows(words), statements.statement_summary(words))
+    assert sorted(statements.statement_checks(rows).collect()) == sorted(apart.collect())
+    plan = statements.statement_checks(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan
+
+
 def test_spans_must_read_as_their_evidence(spark):
     rows = [("abc def ghi", [(0, 3), (8, 11)], "abc ghi"), ("abc", [(0, 4)], "abc"), ("abc", [(2, 2)], ""), ("abc", [(0, 2)], "abc"), ("abc", [], ""), (None, [(0, 1)], "a")]
     df = spark.createDataFrame(rows, "text string, spans array<struct<start:int,stop:int>>, said string")
