@@ -91,8 +91,7 @@ sums AS (
   FROM steps GROUP BY document_id)
 SELECT document_id, n_rows, total_debits, total_credits, debit_count, credit_count, opening_balance, closing_balance, CAST(closing_balance - opening_balance - total_credits + total_debits AS BIGINT) AS difference, running_rows, n_breaks, stated FROM sums""")
 def printed_statement_checks(spark, sf_dir):
-    words = _kept(_words(spark, sf_dir), "words")
-    told = statements.statement_checks(statements.statement_rows(words), statements.statement_summary(words))
+    told = statements.statement_checks(statements.statement_rows(_words(spark, sf_dir), summed=True))
     amounts = ("total_debits", "total_credits", "opening_balance", "closing_balance", "difference")
     return told.select("document_id", "n_rows", "debit_count", "credit_count", *map(_cents, amounts), "running_rows", "n_breaks", F.col("opening_stated").alias("stated"))
 
