@@ -62,22 +62,23 @@ def table_lines(lines: DataFrame, head: str, ends: list[str], furniture: str | N
     if furniture:
         used = used.where(~F.col("text").rlike(furniture))
     used = used.withColumn("middle", (F.col("x0") + F.col("x1")) / 2)
-    heading = used.where(F.col("text").contains(head)).groupBy(*DOCUMENT).agg(F.min_by(F.struct("page_no", "y"), F.struct("page_no", "line_no")).alias("top"))
-    open_pages = used.join(heading, DOCUMENT).where("page_no >= top.page_no").withColumn("top_y", F.when(F.col("page_no") == F.col("top.page_no"), F.col("top.y")))
+    # windows over the document and its pages: nothing is joined, so the lines are made and looked through once
+    whole, paged = Window.partitionBy(*DOCUMENT), Window.partitionBy(*DOCUMENT, "page_no")
+    top = F.min(F.when(F.col("text").contains(head), F.struct("page_no", "line_no", "y"))).over(whole)
+    open_pages = used.withColumn("top", top).where("page_no >= top.page_no").withColumn("top_y", F.when(F.col("page_no") == F.col("top.page_no"), F.col("top.y")))
     under = open_pages.where("top_y IS NULL OR y > top_y")
     # of each end its first line in the text that lies under the heading
     found = []
-    for k, end in enumerate(ends):
+    for end in ends:
         said = end.strip("\n")
         hit = (F.col("text") == said) if end.startswith("\n") and end.endswith("\n") else F.col("text").startswith(said) if end.startswith("\n") else F.col("text").contains(said)
-        found.append(F.when(hit, F.struct("line_no", "y")).alias(f"end{k}"))
-    stops = under.select(*DOCUMENT, "page_no", *found).groupBy(*DOCUMENT, "page_no").agg(F.least(*[F.min(f"end{k}")["y"] for k in range(len(ends))], F.lit(float("inf"))).alias("bottom"))
-    last = stops.where(F.col("bottom") < float("inf")).groupBy(*DOCUMENT).agg(F.min("page_no").alias("last_page"))
-    inside = under.join(stops, [*DOCUMENT, "page_no"]).join(last, DOCUMENT, "left").where("(last_page IS NULL OR page_no <= last_page) AND y < bottom")
+        found.append(F.min(F.when(hit, F.struct("line_no", "y"))).over(paged)["y"])
+    stopped = under.withColumn("bottom", F.least(*found, F.lit(float("inf"))))
+    stopped = stopped.withColumn("last_page", F.min(F.when(F.col("bottom") < float("inf"), F.col("page_no"))).over(whole))
+    inside = stopped.where("(last_page IS NULL OR page_no <= last_page) AND y < bottom")
     inside = inside.withColumn("first_page", F.col("page_no") == F.col("top.page_no"))
 
     # on the first page the head ends at the first line of the name column after the type head
-    whole = Window.partitionBy(*DOCUMENT)
     first = lambda c: F.when(F.col("first_page"), c)
     marked = inside.withColumn("kind_at", F.min(first(F.when(_matches("text", TYPE_HEAD), F.struct("line_no", "middle", "x0")))).over(whole))
     named = F.when(_matches("text", NAME_HEAD) & (F.col("line_no") <= F.col("kind_at.line_no")), F.struct("line_no", "middle"))
@@ -110,11 +111,12 @@ def rows_of(table: DataFrame) -> DataFrame:
 
     down = Window.partitionBy(*DOCUMENT).orderBy("at")
     so_far = down.rowsBetween(Window.unboundedPreceding, 0)
-    by_serial = numbered.where("by_serial").withColumn("row_no", F.sum(F.col("serial").cast("int")).over(so_far))
-    by_serial = by_serial.where("row_no > 0 AND NOT serial").withColumn("role", F.when(F.col("in_band"), "label").otherwise("cell")).where(F.col("in_band") | ~stray)
+    # a document's rows are told by their serials or by their types: both are counted in one pass, its own way counts
+    numbered = numbered.withColumn("serial_no", F.sum(F.col("serial").cast("int")).over(so_far))
+    of_serial = F.when((F.col("serial_no") > 0) & ~F.col("serial") & (F.col("in_band") | ~stray), F.col("serial_no"))
 
     near = F.coalesce(F.abs(F.col("middle") - F.col("kind.middle")) <= REACH / 2, F.lit(False))
-    typed = numbered.where("NOT by_serial").withColumn("is_type", ~F.col("in_band") & _matches("text", TYPE_CELL) & near)
+    typed = numbered.withColumn("is_type", ~F.col("in_band") & _matches("text", TYPE_CELL) & near)
     opens = F.col("is_type") & ~F.coalesce(F.lag("is_type").over(down), F.lit(False))
     typed = typed.withColumn("opens", opens).withColumn("row_no", F.sum(opens.cast("int")).over(so_far))
     # runs of name lines, and what follows each: a type cell (its row's name), a cell (an orphan name), or nothing
@@ -137,10 +139,8 @@ def rows_of(table: DataFrame) -> DataFrame:
     owner = F.coalesce(owner, F.when((F.col("step") == -1) & (F.col("followed_by") == "cell") & (F.col("row_no") > 0), F.col("row_no")))
     waiting = waiting.withColumn("owner", F.max(owner).over(Window.partitionBy(*DOCUMENT, "run")))
     row = F.when(~F.col("in_band"), F.when((F.col("row_no") > 0) & (F.col("is_type") | ~stray), F.col("row_no"))).when(F.col("followed_by") == "type", F.col("row_no") + 1).otherwise(F.col("owner"))
-    by_type = waiting.withColumn("row_no", row).where("row_no IS NOT NULL").withColumn("role", F.when(F.col("in_band"), "label").otherwise("cell"))
-
-    kept = [*DOCUMENT, "row_no", "role", "at", "page_no", "text", "start", "stop", "x0", "x1", "middle"]
-    return by_serial.select(*kept).unionByName(by_type.select(*kept))
+    placed = waiting.withColumn("row_no", F.when(F.col("by_serial"), of_serial).otherwise(row)).where("row_no IS NOT NULL").withColumn("role", F.when(F.col("in_band"), "label").otherwise("cell"))
+    return placed.select(*DOCUMENT, "row_no", "role", "at", "page_no", "text", "start", "stop", "x0", "x1", "middle")
 
 
 def head_dates(table: DataFrame) -> DataFrame:
@@ -166,8 +166,8 @@ def entries(table: DataFrame) -> DataFrame:
     of the column head whose middle is nearest, within reach.
     """
     lined = rows_of(table)
-    names = lined.where("role = 'label'").groupBy(*DOCUMENT, "row_no").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("l"))
-    names = names.select(*DOCUMENT, "row_no", F.array_join(F.transform("l", lambda x: x["text"]), " ").alias("name"), F.transform("l", lambda x: x["at"]).alias("label_at"))
+    label = F.collect_list(F.when(F.col("role") == "label", F.struct("at", "text"))).over(Window.partitionBy(*DOCUMENT, "row_no"))
+    lined = lined.withColumn("l", label)
     down = Window.partitionBy(*DOCUMENT, "row_no").orderBy("at")
     so_far = down.rowsBetween(Window.unboundedPreceding, 0)
     cells = lined.where("role = 'cell'").select("*", F.lead("text", 1).over(down).alias("t1"), F.lead("text", 2).over(down).alias("t2"))
@@ -182,20 +182,19 @@ def entries(table: DataFrame) -> DataFrame:
     is_date = (F.col("entry") > 0) & (F.col("k") <= F.col("own_length"))
     ended = F.max(F.when(~is_date, _matches("text", EMPTY).cast("int")).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, 0)) == 1
     parted = dated.withColumn("use", F.when(is_date, "date").when((F.col("entry") > 0) & ~ended, "rating"))
-    of = lambda use: F.array_sort(F.collect_list(F.when(F.col("use") == use, F.struct("at", "text"))))
-    from_cells = parted.where("use IS NOT NULL").groupBy(*DOCUMENT, "row_no", "entry").agg(F.first("own_day").alias("action_date"), of("date").alias("d"), of("rating").alias("r"))
-    from_cells = from_cells.select(*DOCUMENT, "row_no", "entry", "action_date", F.transform("d", lambda x: x["at"]).alias("date_at"), "r")
-
     columns = head_dates(table).groupBy(*DOCUMENT).agg(F.array_sort(F.collect_list(F.struct("column_no", "day", "middle", "date_at"))).alias("columns"))
-    loose = parted.where(F.col("use").isNull() & ~_matches("text", EMPTY)).join(columns, DOCUMENT)
     near = F.array_min(F.transform("columns", lambda c: F.struct(F.abs(c["middle"] - F.col("middle")).alias("far"), c["column_no"].alias("column_no"), c["day"].alias("day"), c["date_at"].alias("date_at"))))
-    loose = loose.withColumn("near", near).where(F.col("near.far") <= REACH)
-    from_heads = loose.groupBy(*DOCUMENT, "row_no", F.col("near.column_no").alias("entry")).agg(F.first("near.day").alias("action_date"), F.first("near.date_at").alias("date_at"), F.array_sort(F.collect_list(F.struct("at", "text"))).alias("r"))
-
-    both = from_cells.unionByName(from_heads.select(*from_cells.columns)).join(names, [*DOCUMENT, "row_no"], "left")
+    near = F.when(F.col("use").isNull() & ~_matches("text", EMPTY), near)
+    used = parted.join(columns, DOCUMENT, "left").withColumn("near", near).where(F.col("use").isNotNull() | (F.col("near.far") <= REACH))
+    used = used.withColumn("dated", F.col("use").isNotNull()).withColumn("entry", F.when(F.col("dated"), F.col("entry").cast("int")).otherwise(F.col("near.column_no")))
+    of = lambda use: F.array_sort(F.collect_list(F.when(F.coalesce("use", F.lit("rating")) == use, F.struct("at", "text"))))
+    day = F.when(F.col("dated"), F.col("own_day")).otherwise(F.col("near.day"))
+    both = used.groupBy(*DOCUMENT, "row_no", "dated", "entry").agg(F.first(day).alias("action_date"), of("date").alias("d"), of("rating").alias("r"), F.first("near.date_at").alias("head_at"), F.first("l").alias("l"))
+    both = both.withColumn("date_at", F.when(F.col("dated"), F.transform("d", lambda x: x["at"])).otherwise(F.col("head_at"))).withColumn("l", F.array_sort("l"))
+    both = both.withColumn("name", F.array_join(F.transform("l", lambda x: x["text"]), " ")).withColumn("label_at", F.transform("l", lambda x: x["at"]))
     said = both.withColumn("rating_text", F.array_join(F.transform("r", lambda x: x["text"]), " ")).withColumn("rating_at", F.transform("r", lambda x: x["at"]))
     read = said.withColumn("h", reading.history_rating(F.col("rating_text"))).withColumn("readable", F.col("h.grade").isNotNull() | F.col("h.withdrawn"))
-    return read.where(F.col("readable") | (F.size("rating_at") > 0)).select(*DOCUMENT, "row_no", F.coalesce("name", F.lit("")).alias("name"), "action_date", "rating_text", "h.grade", "h.outlook", "h.watch", "h.withdrawn", "readable", F.coalesce("label_at", F.array().cast("array<int>")).alias("label_at"), "date_at", "rating_at")
+    return read.where(F.col("readable") | (F.size("rating_at") > 0)).select(*DOCUMENT, "row_no", "name", "action_date", "rating_text", "h.grade", "h.outlook", "h.watch", "h.withdrawn", "readable", "label_at", "date_at", "rating_at")
 
 
 def history_claims(read: DataFrame, own_dates: DataFrame) -> DataFrame:

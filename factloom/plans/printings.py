@@ -105,8 +105,9 @@ told AS (
 
 
 def _history(spark, sf_dir):
-    lines = printed.history_lines(src.view(spark, sf_dir, src.HISTORY_CELLS))
-    return _kept(histories.table_lines(lines, "Rating history for past three years", ["Complexity level"]), "history")
+    lines = printed.history_lines(_dealt(spark, sf_dir, src.HISTORY_CELLS))
+    table = histories.table_lines(lines, "Rating history for past three years", ["Complexity level"])
+    return _written(table, "history", _tasks(spark, sf_dir, "customer", CUSTOMERS), dealt=True)
 
 
 @query(f"WITH {_TOLD} SELECT document_id, row_no, name, day AS action_date, said AS rating_text, grade, outlook, watch, withdrawn, readable FROM told", dates=("action_date",))

@@ -102,22 +102,22 @@ def history_lines(cells: DataFrame) -> DataFrame:
     here = F.when(split, F.concat(kind, part(1, 1))).otherwise(F.concat(serial, label, kind, F.when(broken, part(1, 2)).otherwise(part(1, 3))))
     # a numbered row's last cell stands first on the next page: a serial number there would be taken for the page's
     later = F.when(split, F.concat(label, part(2, 2))).when(broken, part(3, 1)).otherwise(none)
-    body = rows.select("document_id", "row_no", F.explode(F.array(F.struct(F.when(F.col("row_no") < 3, 1).otherwise(2).alias("page_no"), here.alias("l")), F.struct(F.lit(2).alias("page_no"), later.alias("l")))).alias("b"))
-    body = body.select("document_id", F.col("b.page_no").alias("page_no"), F.col("row_no").alias("block"), F.posexplode("b.l").alias("pos", "w"))
-
-    days = cells.where("row_no = 1").groupBy("document_id", "layout").agg(F.array_sort(F.collect_list(F.struct("k", "day"))).alias("d"))
-    day = lambda k, form: F.date_format(F.get("d", F.lit(k))["day"], form)
+    day = lambda k, form: F.date_format(F.get("cells", F.lit(k))["day"], form)
     stated = F.array(*[F.struct(t.alias("text"), F.lit(m).alias("middle")) for t, m in ((day(0, "MMM dd, yyyy"), 250.0), (day(1, "MMM dd,"), 350.0), (day(1, "yyyy"), 350.0), (day(2, "d MMMM yyyy"), 450.0))])
     words = F.array(*[line(w, m) for w, m in (("Date", 240), ("Rating", 260), ("Date", 340), ("Rating", 360))])
     head = F.concat(F.array(line("Instrument", 70), line("Type", 150)), F.when(F.col("layout") == 0, words).otherwise(stated))
     first = F.concat(F.array(line("Complexity level of what follows", 200), line("Rating history for past three years", 200)), head)
     again = F.concat(F.array(line("7", 300)), head)
     last = F.array(line("Complexity level", 100), line("[ICRA]D", 250))
-    around = days.select("document_id", F.explode(F.array(*[F.struct(F.lit(p).alias("page_no"), F.lit(b).alias("block"), x.alias("l")) for p, b, x in ((1, 0, first), (2, 0, again), (2, 9, last))])).alias("b"))
-    around = around.select("document_id", F.col("b.page_no").alias("page_no"), F.col("b.block").alias("block"), F.posexplode("b.l").alias("pos", "w"))
+    # what stands around the rows is printed with the first of them
+    block = lambda page, number, l: F.struct((F.lit(page) if isinstance(page, int) else page).alias("page_no"), (F.lit(number) if isinstance(number, int) else number).alias("block"), l.alias("l"))  # noqa: E731, E741
+    own = F.array(block(F.when(F.col("row_no") < 3, 1).otherwise(2), F.col("row_no"), here), block(2, F.col("row_no"), later))
+    around = F.array(block(1, 0, first), block(2, 0, again), block(2, 9, last))
+    blocks = rows.select("document_id", F.when(F.col("row_no") == 1, F.concat(own, around)).otherwise(own).alias("blocks")).select("document_id", F.explode("blocks").alias("b"))
+    body = blocks.select("document_id", F.col("b.page_no").alias("page_no"), F.col("b.block").alias("block"), F.posexplode("b.l").alias("pos", "w"))
 
     order = Window.partitionBy("document_id", "page_no").orderBy("block", "pos")
-    every = body.unionByName(around).select("document_id", "page_no", "block", "pos", "w.text", "w.middle").withColumn("line_no", F.row_number().over(order))
+    every = body.select("document_id", "page_no", "block", "pos", "w.text", "w.middle").withColumn("line_no", F.row_number().over(order))
     width = F.length("text") * 4.0
     stop = F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
     return every.select("document_id", "page_no", "line_no", "text", (stop - F.length("text")).cast("int").alias("start"), stop.cast("int").alias("stop"), (F.col("middle") - width / 2).alias("x0"), (F.col("middle") + width / 2).alias("x1"), (F.col("line_no") * 12.0).alias("y"))

@@ -3,6 +3,9 @@
 from datetime import date
 
 from factloom.operators import histories
+from factloom.plans import printings
+from factloom.sources import driver_tables as src
+from factloom.sources import printed
 
 LINES = "document_id long, page_no int, line_no int, text string, start int, stop int, x0 double, x1 double, y double"
 
@@ -83,3 +86,16 @@ def test_empty_and_blank_lines(spark):
     blank = Table().add(("History", 50), ("Instrument", 50))
     blank.rows.append((1, 1, 9, "  ", 0, 2, None, None, None))
     assert read(spark, [blank])[1].count() == 0
+
+
+def test_lines_are_printed_and_placed_in_one_pass(spark):
+    cells = src.view(spark, "/root/testdata/sf0.001", src.HISTORY_CELLS, ("customer", "c_custkey", 50), "document_id")
+    table = histories.table_lines(printed.history_lines(cells), "Rating history for past three years", ["Complexity level"])
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    # a document's lines are made and looked through where its customer is dealt: no second shuffle, no join, no second reading
+    assert plan.count("hashpartitioning") == 1 and plan.count("FileScan parquet") == 1 and "MergeJoin" not in plan and "HashJoin" not in plan
+
+
+def test_entries_read_the_table_where_it_lies(spark):
+    plan = printings.QUERIES["rating_history_entries"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Union" not in plan and "hashpartitioning" not in plan
